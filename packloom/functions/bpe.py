@@ -1,0 +1,31 @@
+"""Exact token counts, for callers who bring the encoding's rank file."""
+
+from __future__ import annotations
+
+from collections.abc import Iterator
+
+import pandas as pd
+from pyspark.sql import functions as F
+
+from packloom.fixed_values import BPE_SPECIAL_TOKENS, BPE_SPLIT
+
+
+def exact_tokens(rank_file: str, split: str = BPE_SPLIT):
+    """Column function that counts tokens with the rank file at ``rank_file``.
+
+    The path must be readable on every executor (a shared mount, or a file sent along with the
+    job).  Special tokens in the text count as special tokens.  Each task loads the file once.
+    """
+
+    @F.pandas_udf("bigint")
+    def count(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+        import tiktoken
+        from tiktoken.load import load_tiktoken_bpe
+
+        ranks = load_tiktoken_bpe(rank_file)
+        encoding = tiktoken.Encoding("supplied", pat_str=split, mergeable_ranks=ranks, special_tokens=BPE_SPECIAL_TOKENS)
+        for texts in batches:
+            sizes = [None if t is None else len(encoding.encode(t, allowed_special="all")) for t in texts]
+            yield pd.Series(sizes, dtype="Int64")
+
+    return count
