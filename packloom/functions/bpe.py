@@ -6,6 +6,7 @@ from collections.abc import Iterator
 
 import pandas as pd
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from packloom.fixed_values import BPE_SPECIAL_TOKENS, BPE_SPLIT
 
@@ -17,7 +18,7 @@ def exact_tokens(rank_file: str, split: str = BPE_SPLIT):
     job).  Special tokens in the text count as special tokens.  Each task loads the file once.
     """
 
-    @F.pandas_udf("bigint")
+    @F.pandas_udf(T.LongType())
     def count(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
         import tiktoken
         from tiktoken.load import load_tiktoken_bpe

@@ -11,6 +11,7 @@ import re
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 # White space as Unicode defines it (a Java and RE2 character class body); \s alone means less.
 SPACES = r"\t\n\x0B\f\r\x{85}\p{Z}"
@@ -136,7 +137,10 @@ def compile_patterns(csv: str | None) -> list[tuple[str, str]]:
     return rules
 
 
-COMPILED = "struct<error:string,raws:array<string>,regexes:array<string>,any_regex:string>"
+# A schema object, since a type given as text needs a running session at import.
+COMPILED = (
+    T.StructType().add("error", "string").add("raws", T.ArrayType(T.StringType()))
+    .add("regexes", T.ArrayType(T.StringType())).add("any_regex", "string"))
 
 
 @F.pandas_udf(COMPILED)

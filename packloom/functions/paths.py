@@ -15,7 +15,7 @@ def path_order(rel_path: Column) -> Column:
     NUL cannot occur in a path and sorts before every other byte, so ``a/b`` comes before
     ``a-b/x``; a string key also sorts much faster than an array of components.
     """
-    return F.translate(rel_path, "/", "\0")
+    return F.replace(rel_path, F.lit("/"), F.lit("\0"))
 
 
 def file_name(rel_path: Column) -> Column:

@@ -16,7 +16,6 @@ from packloom.functions.paths import file_name
 
 _UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 _LONGEST = 2**63 - 1
-_NO_RULE = F.lit(None).cast("string")
 
 
 class LiteralRules:
@@ -33,7 +32,7 @@ class LiteralRules:
 
     def first_match(self, path: Column) -> Column:
         if not self.rules:
-            return _NO_RULE
+            return F.lit(None).cast("string")
         each = [F.when(path.rlike(whole(body)), F.lit(raw)) for raw, body in self.rules]
         return each[0] if len(each) == 1 else F.when(self.matches(path), F.coalesce(*each))
 
@@ -55,7 +54,7 @@ class ColumnRules:
         return F.coalesce(column_rlike(path, self.any_regex), F.lit(False))
 
     def first_match(self, path: Column) -> Column:
-        hits = F.filter(self.raws, lambda _, i: path.rlike(F.get(self.regexes, i)))
+        hits = F.filter(self.raws, lambda _, i: F.rlike(path, F.get(self.regexes, i)))
         return F.when(self.matches(path), F.get(hits, F.lit(0)))
 
     def text(self) -> Column:

@@ -13,19 +13,19 @@ from packloom.functions.paths import link_escapes
 from packloom.functions.rules import filter_code, filter_rule, too_large
 from packloom.operators.config import Rules
 
-_FACTS = {
-    "is_dir": F.lit(False), "is_file": ~F.col("is_dir"), "length": F.lit(None).cast("bigint"),
-    "read_error": F.lit(None).cast("string"), "is_binary": F.lit(False), "lossy_utf8": F.lit(False),
-    "link_target": F.lit(None).cast("string"), "root": F.lit(None).cast("string"),
-    "ignored": F.lit(False), "is_output": F.lit(False),
-}
 INCLUDED = ["included", "included_lossy"]
 SKIPPED = ["max_size", "binary", "unreadable", "not_a_file"]
 
 
 def with_facts(entries: DataFrame) -> DataFrame:
     """Fill in the facts an entry table does not carry."""
-    for name, default in _FACTS.items():
+    no, nothing = F.lit(False), F.lit(None)
+    defaults = {
+        "is_dir": no, "is_file": ~F.col("is_dir"), "length": nothing.cast("bigint"),
+        "read_error": nothing.cast("string"), "is_binary": no, "lossy_utf8": no,
+        "link_target": nothing.cast("string"), "root": nothing.cast("string"), "ignored": no, "is_output": no,
+    }
+    for name, default in defaults.items():
         value = F.coalesce(F.col(name), default) if name in entries.columns else default
         entries = entries.withColumn(name, value)
     return entries

@@ -5,6 +5,7 @@ from __future__ import annotations
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from packloom.functions.globs import SPACES, glob_body
 from packloom.functions.paths import below, depth, file_name, parent_dir, prefixes
@@ -67,7 +68,10 @@ def ignore_rules(files: DataFrame) -> DataFrame:
     return files.select("project", "base_dir", "priority", F.inline(_rules_of(F.col("content"))))
 
 
-@F.pandas_udf("array<struct<run:int,negated:boolean,regex:string>>")
+_RUNS = T.ArrayType(T.StructType().add("run", "integer").add("negated", "boolean").add("regex", "string"))
+
+
+@F.pandas_udf(_RUNS)
 def _rule_runs(globs: pd.Series, negated: pd.Series, dir_only: pd.Series) -> pd.Series:
     """Merge neighbouring rules of the same sign in one file: only the last matching sign counts.
 

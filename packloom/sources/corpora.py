@@ -8,41 +8,29 @@ from pyspark.sql import functions as F
 from packloom.functions.content import is_binary
 
 
-def entries_from(table: DataFrame, project: Column, rel_path: Column, content: Column) -> DataFrame:
+def entries_from(rows: DataFrame, project: Column, rel_path: Column, content: Column) -> DataFrame:
     """Entries of a table whose rows are files; texts in a table are valid UTF-8 already."""
-    return table.select(project.alias("project"), rel_path.alias("rel_path"), content.alias("content")).withColumns({
+    return rows.select(project.alias("project"), rel_path.alias("rel_path"), content.alias("content")).withColumns({
         "is_dir": F.lit(False), "is_file": F.lit(True),
         "length": F.octet_length("content").cast("bigint"),
         "is_binary": is_binary(F.col("content")), "lossy_utf8": F.lit(False),
     })
 
 
-def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def _pick(number: Column, *values: str) -> Column:
+def pick(number: Column, *values: str) -> Column:
+    """One of the values by the number's remainder."""
     return F.element_at(F.array(*map(F.lit, values)), (F.pmod(number, F.lit(len(values))) + 1).cast("int"))
 
 
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     """One project per source; ``lang/doc_id.ext``."""
-    ext = _pick(F.col("doc_id"), ".txt", ".md", ".log", ".pem")
+    ext = pick(F.col("doc_id"), ".txt", ".md", ".log", ".pem")
     path = F.concat("lang", F.lit("/"), F.col("doc_id").cast("string"), ext)
-    return entries_from(_table(spark, sf_dir, "documents"), F.col("source"), path, F.col("text"))
-
-
-def workspaces(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The documents laid out like source trees, with names that rules react to."""
-    number, text = F.col("doc_id"), F.col("doc_id").cast("string")
-    folder = _pick(number, "src", "src/core", "docs/en", "config", "Node_Modules/lib", ".env.d", "a/.env.d", "tests")
-    ext = _pick(number, ".txt", ".md", ".log", ".PEM", ".rs")
-    name = (
-        F.when(number % 11 == 0, F.concat(text, F.lit("/Credentials.json")))
-        .when(number % 13 == 0, F.concat(text, F.lit("/service-account-"), "lang", F.lit(".json")))
-        .otherwise(F.concat(text, ext)))
-    path = F.concat(folder, F.lit("/"), "lang", F.lit("/"), name)
-    return entries_from(_table(spark, sf_dir, "documents"), F.col("source"), path, F.col("text"))
+    return entries_from(table(spark, sf_dir, "documents"), F.col("source"), path, F.col("text"))
 
 
 def pages(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -50,12 +38,12 @@ def pages(spark: SparkSession, sf_dir: str) -> DataFrame:
     tail = F.regexp_extract("url", r"^https?://[^/?#]+/?([^?#]*)", 1)
     tail = F.when((tail == "") | tail.endswith("/"), F.concat(tail, F.lit("index.html"))).otherwise(tail)
     return entries_from(
-        _table(spark, sf_dir, "pages"), F.regexp_extract("url", r"^https?://([^/?#]+)", 1),
+        table(spark, sf_dir, "pages"), F.regexp_extract("url", r"^https?://([^/?#]+)", 1),
         F.concat(F.col("page_id").cast("string"), F.lit("/"), tail), F.col("html"))
 
 
 def conversations(spark: SparkSession, sf_dir: str) -> DataFrame:
     """One project per conversation, one file per turn."""
     return entries_from(
-        _table(spark, sf_dir, "conversations"), F.concat(F.lit("conv-"), F.col("conv_id").cast("string")),
+        table(spark, sf_dir, "conversations"), F.concat(F.lit("conv-"), F.col("conv_id").cast("string")),
         F.concat("role", F.lit("/"), F.col("turn").cast("string"), F.lit(".txt")), F.col("text"))
