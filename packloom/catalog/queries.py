@@ -129,7 +129,8 @@ def ignore_rules(spark, sf_dir):
 def ignore_apply(spark, sf_dir):
     entries = made.ruled_workspaces(spark, sf_dir)
     ignored = ignore.ignored_entries(entries, ignore.ignore_files(entries))
-    return decide.with_marks(entries, ignored).select("project", "rel_path", "ignored")
+    marks = decide.marks_of(ignored, None)
+    return decide.with_marks(entries, marks).select("project", "rel_path", "ignored")
 
 
 @query
@@ -326,7 +327,8 @@ def content_tokens(spark, sf_dir):
 
 @query
 def project_tokens(spark, sf_dir):
-    return stats.output_tokens(Run(corpora.documents(spark, sf_dir), DOCUMENTS).decisions)
+    run = Run(corpora.documents(spark, sf_dir), DOCUMENTS)
+    return stats.output_tokens(run.decisions, run.outline)
 
 
 @query
@@ -341,7 +343,7 @@ def walk_errors(spark, sf_dir):
     listed = listed.withColumn("read_error", F.when(F.col("rel_path").rlike("^(config|docs|src/core)$"), made.DIR_DENIED))
     rule_rows = ignore.ignore_files(made.rule_files(spark, sf_dir))
     options = ScanConfig(exclude="tests/", tree_no_ignore=True).rules()
-    marked = decide.with_marks(listed, ignore.ignored_entries(listed, rule_rows))
+    marked = decide.with_marks(listed, decide.marks_of(ignore.ignored_entries(listed, rule_rows), None))
     return stats.walk_errors(decide.decide(marked, options), options)
 
 

@@ -31,17 +31,24 @@ def with_facts(entries: DataFrame) -> DataFrame:
     return entries
 
 
-def with_marks(entries: DataFrame, ignored: DataFrame | None = None, outputs: DataFrame | None = None) -> DataFrame:
-    """Add ``ignored`` and ``is_output`` by one join on the entry key."""
+def marks_of(ignored: DataFrame | None, outputs: DataFrame | None) -> DataFrame | None:
+    """``project, rel_path, ignored, is_output`` of the entries in either set; None without sets."""
     marks = [
         keys.select("project", "rel_path", F.lit(i == 0).alias("ignored"), F.lit(i == 1).alias("is_output"))
         for i, keys in enumerate((ignored, outputs)) if keys is not None
     ]
     if not marks:
+        return None
+    both = marks[0] if len(marks) == 1 else marks[0].unionByName(marks[1])
+    return both.groupBy("project", "rel_path").agg(F.max("ignored").alias("ignored"), F.max("is_output").alias("is_output"))
+
+
+def with_marks(entries: DataFrame, marks: DataFrame | None) -> DataFrame:
+    """Put the marks on the entries by one join on the entry key."""
+    if marks is None:
         return entries
-    table = marks[0] if len(marks) == 1 else marks[0].unionByName(marks[1])
-    table = table.groupBy("project", "rel_path").agg(F.max("ignored").alias("ignored"), F.max("is_output").alias("is_output"))
-    return entries.drop("ignored", "is_output").join(table, ["project", "rel_path"], "left").fillna(False, ["ignored", "is_output"])
+    marked = entries.drop("ignored", "is_output").join(marks, ["project", "rel_path"], "left")
+    return marked.fillna(False, ["ignored", "is_output"])
 
 
 def exclude_outputs(entries: DataFrame, outputs: DataFrame) -> DataFrame:

@@ -2,41 +2,24 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-
-def ensure_checkpoint_dir(spark: SparkSession) -> None:
-    """Use the checkpoint folder the cluster names; only a local session may fall back to its own."""
-    context = spark.sparkContext
-    if context.getCheckpointDir():
-        return
-    folder = spark.conf.get("spark.checkpoint.dir", None)
-    if folder is None and context.master.startswith("local"):
-        import tempfile
-
-        folder = tempfile.mkdtemp(prefix="packloom-checkpoint-")
-    if folder is None:
-        raise ValueError("set spark.checkpoint.dir to a folder that every executor can reach")
-    context.setCheckpointDir(folder)
+from packloom.operators.saving import saved
 
 
 def number_rows(rows: DataFrame, group: str, order: str, name: str = "seq") -> DataFrame:
     """Add ``name``: 1, 2, 3… within each ``group`` by ``order`` (unique within the group).
 
     Rows are range-partitioned by (group, order), so a large group spans many partitions.  Their
-    places are checkpointed, because range bounds are sampled and may not come out the same
-    twice.  Counts per group and partition, a small table, then give every partition its offset.
+    places are saved, because range bounds are sampled and may not come out the same twice.  Counts per group and partition, a small table, then give every partition its offset.
     """
-    spark = rows.sparkSession
-    ensure_checkpoint_dir(spark)
-    partitions = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    placed = (
+    partitions = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    placed = saved(
         rows.repartitionByRange(partitions, group, order)
         .sortWithinPartitions(group, order)
         .withColumn("_at", F.monotonically_increasing_id())
         .withColumn("_part", F.shiftright("_at", 33))
-        .checkpoint()
     )
     runs = placed.groupBy(group, "_part").agg(F.min("_at").alias("_first"), F.count("*").alias("_n"))
     # At most one run per partition in each group, so this window stays small.

@@ -29,38 +29,34 @@ def blocks(survivors: DataFrame) -> DataFrame:
     return survivors.select("project", "rel_path", frame(F.col("rel_path"), F.col("content")).alias("value"))
 
 
-def trees(decided: DataFrame) -> DataFrame:
+def trees(outline: DataFrame) -> DataFrame:
     """The tree's rows of every project whose tree is not switched off.
 
-    A project in which every path is excluded still gets its heading line.
+    ``outline`` has ``project, rel_path, is_dir, tree_code`` of every entry.  It is used many
+    times over, so hand in a saved table.  A project in which every path is excluded still gets
+    its heading line.
     """
-    shown = decided.where(included("tree")).select("project", "rel_path", "is_dir")
-    projects = decided.groupBy("project").agg(
-        F.max(F.col("tree_code") != "tree_disabled").alias("has_tree")).where("has_tree")
+    shown = outline.where(included("tree")).select("project", "rel_path", "is_dir")
+    projects = outline.where(F.col("tree_code") != "tree_disabled").select("project").distinct()
     return tree_text(tree_lines(shown), projects)
 
 
-def pack(decided: DataFrame, survivors: DataFrame) -> DataFrame:
+def pack(outline: DataFrame, survivors: DataFrame) -> DataFrame:
     """``project, section, path_order, value``: rows of the packs, tree first, then the blocks.
 
-    A pack is its rows' values in (section, path_order).  ``survivors`` are the included files
-    with their content.
+    A pack is its rows' values in (section, path_order).  ``outline`` has the tree decisions,
+    ``survivors`` are the included files with their content.
     """
-    tree_rows = trees(decided).select(
+    tree_rows = trees(outline).select(
         "project", F.lit(TREE).alias("section"), "path_order", F.concat("line", F.lit("\n")).alias("value"))
     block_rows = blocks(survivors).select(
         "project", F.lit(BLOCKS).alias("section"), path_order(F.col("rel_path")).alias("path_order"), "value")
     return tree_rows.unionByName(block_rows)
 
 
-def file_tokens(decided: DataFrame, tokens=estimated_tokens) -> DataFrame:
-    """Per included file: tokens of its content, and of its block (opening, content, closing).
-
-    ``content_tokens`` is measured where the content is at hand and then carried along.
-    """
-    framing = tokens(opening(F.col("rel_path"))) + tokens(F.lit(BLOCK_CLOSING))
-    return decided.where(included("content")).select(
-        "project", "rel_path", "content_tokens", (F.col("content_tokens") + framing).alias("block_tokens"))
+def block_tokens(rel_path: Column, tokens_of_content: Column, tokens=estimated_tokens) -> Column:
+    """Tokens of a block: its opening, content and closing, each counted by itself."""
+    return tokens(opening(rel_path)) + tokens_of_content + tokens(F.lit(BLOCK_CLOSING))
 
 
 def preview(decided: DataFrame, max_kib: Column) -> DataFrame:

@@ -2,17 +2,17 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from packloom.functions.content import estimated_tokens
 from packloom.operators.config import Rules
 from packloom.operators.decide import SKIPPED, link_error
-from packloom.operators.render import file_tokens, included, trees
+from packloom.operators.render import block_tokens, included, trees
 
 
-def walk_errors(decided: DataFrame, rules: Rules) -> DataFrame:
-    """``project, walk_errors``.
+def walk_error_count(rules: Rules) -> Column:
+    """Walk errors an entry stands for.
 
     A link out of the root counts once, when content looks at it.  A directory that cannot be
     listed counts once per walk that reaches it: one for content, one for the tree.
@@ -21,32 +21,39 @@ def walk_errors(decided: DataFrame, rules: Rules) -> DataFrame:
     in_tree = ~rules.no_tree & (rules.tree_no_ignore | ~F.col("ignored"))
     bad_link = link_error() & in_content & F.col("passes_filters") & ~F.col("is_output")
     bad_dir = F.col("is_dir") & F.col("read_error").isNotNull()
-    count = bad_link.cast("bigint") + F.when(bad_dir, in_content.cast("bigint") + in_tree.cast("bigint")).otherwise(0)
-    return decided.groupBy("project").agg(F.sum(count).alias("walk_errors"))
+    return bad_link.cast("bigint") + F.when(
+        bad_dir, in_content.cast("bigint") + in_tree.cast("bigint")).otherwise(0)
 
 
-def output_tokens(decided: DataFrame, tokens=estimated_tokens) -> DataFrame:
-    """``project, output_tokens``: tree, and per file its opening, content and closing.
+def walk_errors(decided: DataFrame, rules: Rules) -> DataFrame:
+    return decided.groupBy("project").agg(F.sum(walk_error_count(rules)).alias("walk_errors"))
 
-    A newline always ends a token piece before the drawing of the next line, so the tree's
-    count is the sum over its lines and no project's tree has to be one value.
-    """
-    of_tree = trees(decided).select("project", tokens(F.concat("line", F.lit("\n"))).alias("n"))
-    of_files = file_tokens(decided, tokens).select("project", F.col("block_tokens").alias("n"))
-    return of_tree.unionByName(of_files).groupBy("project").agg(F.sum("n").alias("output_tokens"))
+
+def output_tokens(decided: DataFrame, outline: DataFrame, tokens=estimated_tokens) -> DataFrame:
+    """``project, output_tokens``: tree, and per file its opening, content and closing."""
+    of_files = decided.where(included("content")).select(
+        "project", block_tokens(F.col("rel_path"), F.col("content_tokens"), tokens).alias("n"))
+    return of_files.unionByName(_tree_tokens(outline, tokens)).groupBy("project").agg(F.sum("n").alias("output_tokens"))
+
+
+def _tree_tokens(outline: DataFrame, tokens) -> DataFrame:
+    # A newline always ends a token piece before the drawing of the next line, so the tree's
+    # count is the sum over its lines and no project's tree has to be one value.
+    return trees(outline).select("project", tokens(F.concat("line", F.lit("\n"))).alias("n"))
 
 
-def run_stats(decided: DataFrame, rules: Rules, tokens=estimated_tokens) -> DataFrame:
-    """``project, files_processed, files_skipped, output_tokens``.
+def run_stats(decided: DataFrame, outline: DataFrame, rules: Rules, tokens=estimated_tokens) -> DataFrame:
+    """``project, files_processed, files_skipped, output_tokens``, in one pass over the files.
 
     Files the rules reject are not "skipped"; files that reading rejects, and walk errors, are.
     """
-    skipped = F.col("content_code").isin(*SKIPPED) & ~F.col("is_dir")
-    counts = decided.groupBy("project").agg(
-        F.count_if(included("content")).alias("files_processed"), F.count_if(skipped).alias("skipped"))
-    return (
-        counts.join(walk_errors(decided, rules), "project")
-        .join(output_tokens(decided, tokens), "project", "left")
-        .select("project", "files_processed", (F.col("skipped") + F.col("walk_errors")).alias("files_skipped"),
-                F.coalesce("output_tokens", F.lit(0)).alias("output_tokens"))
-    )
+    zero = F.lit(0).cast("bigint")
+    skipped = (F.col("content_code").isin(*SKIPPED) & ~F.col("is_dir")).cast("bigint")
+    block = block_tokens(F.col("rel_path"), F.col("content_tokens"), tokens)
+    of_files = decided.select(
+        "project", included("content").cast("bigint").alias("processed"),
+        (skipped + walk_error_count(rules)).alias("skipped"), F.when(included("content"), block).otherwise(0).alias("n"))
+    of_trees = _tree_tokens(outline, tokens).select("project", zero.alias("processed"), zero.alias("skipped"), "n")
+    return of_files.unionByName(of_trees).groupBy("project").agg(
+        F.sum("processed").alias("files_processed"), F.sum("skipped").alias("files_skipped"),
+        F.sum("n").alias("output_tokens"))

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import cached_property
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -9,22 +11,25 @@ from packloom.functions.content import estimated_tokens
 from packloom.operators import explain as explaining
 from packloom.operators import render, stats
 from packloom.operators.config import ScanConfig, compile_configs, with_configs
-from packloom.operators.decide import apply_marks, inspection_code, inspection_rule, judge, with_facts, with_marks
+from packloom.operators.decide import apply_marks, inspection_code, inspection_rule, judge, marks_of, with_facts, with_marks
 from packloom.operators.ignore import ignore_files, ignored_entries, is_ignore_file
+from packloom.operators.saving import saved
 from packloom.operators.tree import with_directories
 from packloom.sources.content import attach_content, inspect_bytes
 from packloom.sources.directory import read_entries
 
 
 class Run:
-    """One scan of a corpus under given options; lazy until a result is used.
+    """One scan of a corpus under given options.
 
     ``config`` is a ScanConfig for all projects, or a DataFrame of resolved options with one row
     per project.  ``outputs`` (project, rel_path) are the current output files.  Ignore rules come
     from ``ignore_from`` (project, base_dir, priority, content), by default from the ignore files
     in the corpus.
 
-    Texts cross the network only for the packs: whatever else needs them is measured in the scan.
+    Two narrow tables without texts are saved when first needed, because plans use them many
+    times: the marks on entries (ignored, current output), and the outline trees are drawn from.
+    Texts cross the network for the packs only; whatever else needs them is measured in the scan.
     """
 
     def __init__(self, entries: DataFrame, config: ScanConfig | DataFrame, outputs: DataFrame | None = None,
@@ -32,41 +37,60 @@ class Run:
         self.listed = with_facts(with_directories(entries) if directories else entries)
         if "content" not in self.listed.columns:
             self.listed = self.listed.withColumn("content", F.lit(None).cast("string"))
-        self.ignore_files = ignore_files(entries) if ignore_from is None else ignore_from
         self.outputs, self.tokens = outputs, tokens
+        self._ignore_files = ignore_files(entries) if ignore_from is None else ignore_from
         self.configs = None if isinstance(config, ScanConfig) else compile_configs(config)
         self.rules = config.rules() if isinstance(config, ScanConfig) else with_configs(self.listed, self.configs)[1]
-        self.decisions = self._decide(self.listed)
-        self.survivors = self._survivors()
-
-    def _judge(self, listed: DataFrame) -> DataFrame:
-        return judge(listed if self.configs is None else with_configs(listed, self.configs)[0], self.rules)
 
-    def _mark(self, judged: DataFrame, listed: DataFrame) -> DataFrame:
-        ignored = ignored_entries(listed, self.ignore_files, self.listed)
-        return apply_marks(with_marks(judged, ignored, self.outputs), self.rules)
-
-    def _decide(self, listed: DataFrame) -> DataFrame:
+    @cached_property
+    def ignore_files(self) -> DataFrame | None:
+        """The ignore files, None when there are none and nothing needs matching."""
+        files = saved(self._ignore_files)
+        return None if files.isEmpty() else files
+
+    @cached_property
+    def marks(self) -> DataFrame | None:
+        """``project, rel_path, ignored, is_output`` of the entries that carry a mark."""
+        marks = marks_of(self._ignored(self.listed), self.outputs)
+        return None if marks is None else saved(marks)
+
+    @cached_property
+    def outline(self) -> DataFrame:
+        """``project, rel_path, is_dir, tree_code`` of every entry."""
+        return saved(self.decisions.select("project", "rel_path", "is_dir", "tree_code"))
+
+    @cached_property
+    def decisions(self) -> DataFrame:
+        """Facts, codes and rules of every entry, and the tokens of included files' contents."""
         measured = F.when(render.included("content"), self.tokens(F.col("content")))
-        judged = self._judge(listed).withColumn("content_tokens", measured).drop("content")
-        return self._mark(judged, listed)
+        judged = self._judge(self.listed).withColumn("content_tokens", measured).drop("content")
+        return apply_marks(with_marks(judged, self.marks), self.rules)
 
-    def _survivors(self) -> DataFrame:
+    @cached_property
+    def survivors(self) -> DataFrame:
+        """``project, rel_path, content`` of the included files."""
         passed = self._judge(self.listed).where(render.included("content"))
-        return self._mark(passed, self.listed).where(render.included("content")).select("project", "rel_path", "content")
+        final = apply_marks(with_marks(passed, self.marks), self.rules)
+        return final.where(render.included("content")).select("project", "rel_path", "content")
+
+    def _judge(self, listed: DataFrame) -> DataFrame:
+        return judge(listed if self.configs is None else with_configs(listed, self.configs)[0], self.rules)
+
+    def _ignored(self, entries: DataFrame) -> DataFrame | None:
+        return None if self.ignore_files is None else ignored_entries(entries, self.ignore_files, self.listed)
 
     def config_errors(self) -> DataFrame:
         """Projects left out because a pattern list of theirs has an invalid glob."""
         return self.configs.where("config_error is not null").select("project", "config_error")
 
     def pack(self) -> DataFrame:
-        return render.pack(self.decisions, self.survivors)
+        return render.pack(self.outline, self.survivors)
 
     def preview(self) -> DataFrame:
         return render.preview(self.decisions, self.rules.max_kib)
 
     def stats(self) -> DataFrame:
-        return stats.run_stats(self.decisions, self.rules, self.tokens)
+        return stats.run_stats(self.decisions, self.outline, self.rules, self.tokens)
 
     def explain(self, requested: DataFrame, roots: DataFrame | None = None) -> DataFrame:
         """Decide about the requested paths alone, then put the answers on the requests."""
@@ -76,26 +100,59 @@ class Run:
             self.listed.select("project").distinct()
             .withColumns({"rel_path": F.lit(""), "is_dir": F.lit(True), "is_file": F.lit(False)}))
         known = self.listed.unionByName(with_facts(tops), allowMissingColumns=True)
-        return explaining.explain(located, self._decide(known.join(keys, ["project", "rel_path"], "left_semi")))
-
-
-def scan_directories(spark: SparkSession, roots: list[str], config: ScanConfig,
-                     outputs: DataFrame | None = None, tokens=estimated_tokens) -> Run:
-    """Run over directories: list metadata, read ignore files, judge, then open only what is left."""
-    listed = read_entries(spark, roots)
-    rule_rows = listed.where(is_ignore_file(F.col("rel_path")) & F.col("is_file"))
-    files = ignore_files(inspect_bytes(attach_content(rule_rows, F.lit(True))))
-    run = Run(listed, config, outputs, ignore_from=files, directories=False, tokens=tokens)
-
-    code, opened = F.col("content_code"), F.col("_opened")
-    unread = run.decisions.drop("content_tokens", "is_binary", "lossy_utf8").withColumn("_opened", code == "included")
-    read = (
-        inspect_bytes(attach_content(unread, opened))
-        .withColumn("content_code", F.when(opened, inspection_code(run.rules)).otherwise(code))
-        .withColumn("content_rule", F.when(opened, inspection_rule(code, run.rules)).otherwise(F.col("content_rule")))
-        .drop("_opened")
-    )
-    run.survivors = read.where(render.included("content")).select("project", "rel_path", "content")
-    run.decisions = read.withColumn(
-        "content_tokens", F.when(render.included("content"), tokens(F.col("content")))).drop("content")
-    return run
+        wanted = known.join(keys, ["project", "rel_path"], "left_semi")
+        marks = marks_of(self._ignored(wanted), self.outputs)
+        return explaining.explain(located, apply_marks(with_marks(self._judge(wanted), marks), self.rules))
+
+
+class DirectoryRun(Run):
+    """A run over directories: list metadata, read ignore files, judge, then open only what is left."""
+
+    def __init__(self, spark: SparkSession, roots: list[str], config: ScanConfig,
+                 outputs: DataFrame | None = None, tokens=estimated_tokens):
+        listed = read_entries(spark, roots)
+        rule_rows = listed.where(is_ignore_file(F.col("rel_path")) & F.col("is_file"))
+        files = ignore_files(inspect_bytes(attach_content(rule_rows, F.lit(True))))
+        # The listing is saved, so that one run sees one state of the directories.
+        super().__init__(saved(listed), config, outputs, ignore_from=files, directories=False, tokens=tokens)
+
+    def _unread(self) -> DataFrame:
+        judged = self._judge(self.listed).drop("content", "is_binary", "lossy_utf8")
+        return apply_marks(with_marks(judged, self.marks), self.rules)
+
+    def _read(self) -> DataFrame:
+        """Every entry; the files that metadata could not rule out have been opened and looked at."""
+        code, opened = F.col("content_code"), F.col("_opened")
+        unread = self._unread().withColumn("_opened", code == "included")
+        return (
+            inspect_bytes(attach_content(unread, opened))
+            .withColumn("content_code", F.when(opened, inspection_code(self.rules)).otherwise(code))
+            .withColumn("content_rule", F.when(opened, inspection_rule(code, self.rules)).otherwise(F.col("content_rule")))
+            .drop("_opened"))
+
+    @cached_property
+    def outline(self) -> DataFrame:
+        return saved(self._unread().select("project", "rel_path", "is_dir", "tree_code"))
+
+    @cached_property
+    def decisions(self) -> DataFrame:
+        measured = F.when(render.included("content"), self.tokens(F.col("content")))
+        return self._read().withColumn("content_tokens", measured).drop("content")
+
+    @cached_property
+    def survivors(self) -> DataFrame:
+        return self._read().where(render.included("content")).select("project", "rel_path", "content")
+
+    def explain(self, requested: DataFrame, roots: DataFrame | None = None) -> DataFrame:
+        """As for tables, and the requested files themselves are opened."""
+        located = explaining.located(requested, roots)
+        keys = located.where("rel_path is not null").select("project", "rel_path").distinct()
+        whole = self.listed
+        tops = whole.select("project").distinct().withColumns(
+            {"rel_path": F.lit(""), "is_dir": F.lit(True), "is_file": F.lit(False)})
+        asked = whole.unionByName(with_facts(tops), allowMissingColumns=True).join(keys, ["project", "rel_path"], "left_semi")
+        part = DirectoryRun.__new__(DirectoryRun)
+        part.__dict__.update(self.__dict__, listed=asked)
+        part.__dict__["marks"] = marks_of(
+            None if self.ignore_files is None else ignored_entries(asked, self.ignore_files, whole), self.outputs)
+        return explaining.explain(located, part._read())
