@@ -11,8 +11,9 @@ from packloom.catalog import corpora as made
 from packloom.functions import content as text_functions
 from packloom.functions import globs, paths, rules
 from packloom.operators import decide, explain, ignore, profiles, render, stats, tree
-from packloom.operators.config import ScanConfig, compile_configs, effective_tree_rules, with_configs
+from packloom.operators.config import ScanConfig, column_rules, compile_configs, effective_tree_rules, with_configs
 from packloom.operators.order import number_rows
+from packloom.operators.saving import saved
 from packloom.plans.packing import Run
 from packloom.sources import corpora
 
@@ -83,9 +84,9 @@ def _project_options(spark, sf_dir):
 
 @query
 def matched_rule_by_project(spark, sf_dir):
-    compiled = compile_configs(_project_options(spark, sf_dir))
-    rows, options = with_configs(made.workspaces(spark, sf_dir).select("project", "rel_path"), compiled)
-    return rows.select("project", "rel_path", options.exclude.first_match(F.col("rel_path")).alias("rule"))
+    compiled = saved(compile_configs(_project_options(spark, sf_dir)))
+    rows = with_configs(made.workspaces(spark, sf_dir).select("project", "rel_path"), compiled)
+    return rows.select("project", "rel_path", column_rules().exclude.first_match(F.col("rel_path")).alias("rule"))
 
 
 @query
@@ -128,7 +129,7 @@ def ignore_rules(spark, sf_dir):
 @query
 def ignore_apply(spark, sf_dir):
     entries = made.ruled_workspaces(spark, sf_dir)
-    ignored = ignore.ignored_entries(entries, ignore.ignore_files(entries))
+    ignored = ignore.ignored_entries(tree.with_directories(entries), ignore.ignore_files(entries))
     marks = decide.marks_of(ignored, None)
     return decide.with_marks(entries, marks).select("project", "rel_path", "ignored")
 

@@ -24,7 +24,7 @@ def file_name(rel_path: Column) -> Column:
 
 def parent_dir(rel_path: Column) -> Column:
     """Directory part of the path, ``''`` at the top level."""
-    return F.regexp_extract(rel_path, r"(?s)\A(.*)/[^/]*\z", 1)
+    return F.substring(rel_path, F.lit(1), F.length(rel_path) - F.length(file_name(rel_path)) - 1)
 
 
 def prefixes(rel_path: Column, with_self: bool = True) -> Column:

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from packloom.fixed_values import DEFAULT_MAX_KIB
 from packloom.functions.globs import compiled_patterns
 from packloom.functions.rules import ColumnRules, LiteralRules
-from packloom.operators.joins import salted_join
+from packloom.operators.joins import measured_join
 
 _FLAGS = ("no_ignore", "tree_no_ignore", "no_tree", "no_blacklist")
 _LISTS = ("include", "exclude", "tree_include", "tree_exclude")
@@ -83,13 +83,16 @@ def compile_configs(resolved: DataFrame) -> DataFrame:
     return lists.withColumn("config_error", F.coalesce(*[F.col(f"_{c}")["error"] for c in _LISTS]))
 
 
-def with_configs(entries: DataFrame, compiled: DataFrame) -> tuple[DataFrame, Rules]:
+def with_configs(entries: DataFrame, compiled: DataFrame) -> DataFrame:
     """Put each project's options on its entries; a project whose options are invalid has no rows.
 
-    The options are unique per project and far fewer than the entries, so they are replicated
-    and a project holding much of the corpus is still spread over many tasks.
+    Options are unique per project and few next to the entries, which may carry their texts.
     """
     good = compiled.where("config_error is null").drop("config_error")
-    joined = salted_join(entries, good, ["project"], spread_on=["rel_path"], how="inner")
+    return measured_join(entries, good, ["project"], spread_on=["rel_path"])
+
+
+def column_rules() -> Rules:
+    """The options :func:`with_configs` put on the rows."""
     lists = {c: ColumnRules(F.col(f"_{c}")) for c in _LISTS}
-    return joined, Rules(**lists, **{c: F.col(c) for c in _FLAGS}, max_kib=F.col("max_size"))
+    return Rules(**lists, **{c: F.col(c) for c in _FLAGS}, max_kib=F.col("max_size"))

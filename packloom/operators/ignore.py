@@ -11,7 +11,6 @@ from packloom.functions.globs import SPACES, glob_body
 from packloom.functions.paths import below, depth, file_name, parent_dir, prefixes
 from packloom.functions.rules import column_rlike
 from packloom.operators.joins import salted_join
-from packloom.operators.tree import expand_nodes, node_path
 
 # Where rules come from, strongest first: this order beats depth, and depth beats line order.
 DOT_IGNORE, GIT_IGNORE, GIT_EXCLUDE = 3, 2, 1
@@ -114,47 +113,47 @@ def inner_repositories(entries: DataFrame) -> DataFrame:
     return entries.select("project", found.alias("base_dir")).where("base_dir <> ''").distinct()
 
 
-def ignored_entries(entries: DataFrame, files: DataFrame, repositories: DataFrame | None = None) -> DataFrame:
-    """``(project, rel_path)`` of every entry that the ignore rules remove.
+# A rule's place as one number that sorts by depth of its file, then run; its sign in the last bit.
+_DEPTH_BITS, _RUN_BITS = 33, 1
+
 
-    ``repositories`` are the entries to find inner repositories in, by default the same ones.
+def ignored_entries(listed: DataFrame, files: DataFrame, repositories: DataFrame | None = None) -> DataFrame:
+    """``(project, rel_path)`` of every entry that the ignore rules remove.
 
-    An entry is ignored when it or one of its ancestors is, since nothing below an ignored
-    directory is looked at.  Every directory is judged once, not once per file in it.
+    ``listed`` has ``project, rel_path, is_dir`` of files and of directories (see
+    ``tree.with_directories``); ``repositories`` are the entries to find inner repositories in, by
+    default the same.  An entry is ignored when it or one of its ancestors is, since nothing
+    below an ignored directory is looked at.  Every directory is judged once, not once per file.
     """
-    runs = rule_runs(files)
-    borders = inner_repositories(entries if repositories is None else repositories).select(
+    borders = inner_repositories(listed if repositories is None else repositories).select(
         "project", "base_dir", F.lit(0).alias("priority"), F.lit(0).alias("run"),
-        F.lit(None).cast("boolean").alias("negated"), F.lit(None).cast("string").alias("regex"))
+        F.lit(False).alias("negated"), F.lit(None).cast("string").alias("regex"))
     with_rules = files.select("project").distinct()
-    concerned = entries.select("project", "rel_path", "is_dir").join(with_rules, "project", "left_semi")
+    entries = listed.select("project", "rel_path", "is_dir").join(with_rules, "project", "left_semi")
+    above = prefixes(F.col("rel_path"), with_self=False)
 
-    bases = F.concat(F.array(F.lit("")), F.filter(prefixes(F.col("parent")), lambda p: p != ""))
-    steps = expand_nodes(concerned).select(
-        "project", node_path(F.col("parent"), F.col("name")).alias("path"), "is_dir",
-        F.explode(bases).alias("base_dir"))
+    steps = entries.select("project", "rel_path", "is_dir", F.explode(F.concat(F.array(F.lit("")), above)).alias("base_dir"))
     subject = F.concat(
-        F.when(F.col("is_dir"), F.lit("/")).otherwise(F.lit("")), below(F.col("path"), F.col("base_dir")))
+        F.when(F.col("is_dir"), F.lit("/")).otherwise(F.lit("")), below(F.col("rel_path"), F.col("base_dir")))
     hits = salted_join(
-        steps, runs.unionByName(borders), ["project", "base_dir"], spread_on=["path"]
+        steps, rule_runs(files).unionByName(borders), ["project", "base_dir"], spread_on=["rel_path"]
     ).where(F.col("regex").isNull() | column_rlike(subject, F.col("regex")))
 
-    place = F.struct(depth(F.col("base_dir")).alias("depth"), F.col("run"), F.col("negated"))
+    place = (
+        F.shiftleft(depth(F.col("base_dir")).cast("bigint"), _DEPTH_BITS)
+        + F.shiftleft(F.col("run").cast("bigint"), _RUN_BITS) + F.col("negated").cast("bigint"))
     strongest = lambda source: F.max(F.when(F.col("priority") == source, place))
-    verdicts = hits.groupBy("project", "path").agg(
+    verdicts = hits.groupBy("project", "rel_path").agg(
         F.max("is_dir").alias("is_dir"),
         strongest(DOT_IGNORE).alias("dot"), strongest(GIT_IGNORE).alias("git"),
-        strongest(GIT_EXCLUDE).alias("exclude"),
-        F.coalesce(F.max(F.when(F.col("priority") == 0, depth(F.col("base_dir")))), F.lit(0)).alias("border"))
-    reaches = lambda rule: F.when(F.col(rule)["depth"] >= F.col("border"), F.col(rule)["negated"])
-    removed = verdicts.where(
-        ~F.coalesce(F.col("dot.negated"), reaches("git"), reaches("exclude"), F.lit(True))
-    ).select("project", F.col("path").alias("rel_path"), "is_dir")
+        strongest(GIT_EXCLUDE).alias("exclude"), F.coalesce(strongest(0), F.lit(0)).alias("border"))
+    reaches = lambda rule: F.when(
+        F.shiftright(rule, _DEPTH_BITS) >= F.shiftright("border", _DEPTH_BITS), F.col(rule))
+    winner = F.coalesce(F.col("dot"), reaches("git"), reaches("exclude"))
+    removed = verdicts.where(winner % 2 == 0).select("project", "rel_path", "is_dir")
 
     pruned = removed.where("is_dir").select("project", F.col("rel_path").alias("above"))
     inside = salted_join(
-        concerned.select(
-            "project", "rel_path", F.explode(prefixes(F.col("rel_path"), with_self=False)).alias("above")),
+        entries.select("project", "rel_path", F.explode(above).alias("above")),
         pruned, ["project", "above"], spread_on=["rel_path"])
-    # Implied directories among the removed are harmless: they name no entry.
     return removed.select("project", "rel_path").union(inside.select("project", "rel_path")).distinct()

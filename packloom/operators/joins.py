@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 # A key left to the shuffled join of `lookup_join` holds at most 1/HEAVY_KEYS of the big table.
 HEAVY_KEYS = 1000
 SALTS = 32
+BROADCAST_BYTES = 64 * 1024 * 1024
 
 
 def salted_join(big: DataFrame, small: DataFrame, keys: list[str], spread_on: list[str],
@@ -22,6 +23,19 @@ def salted_join(big: DataFrame, small: DataFrame, keys: list[str], spread_on: li
     return salted.join(copies, [*keys, "_salt"], how).drop("_salt")
 
 
+def measured_join(big: DataFrame, small: DataFrame, keys: list[str], spread_on: list[str], how: str = "inner",
+                  broadcast_bytes: int = BROADCAST_BYTES) -> DataFrame:
+    """Join a wide ``big`` that should not be shuffled if that can be helped.
+
+    ``small`` (a saved table) is measured, broadcast if within ``broadcast_bytes``, and
+    otherwise joined with salts.
+    """
+    size = small.agg(F.sum(F.octet_length(F.to_json(F.struct(*small.columns))))).first()[0] or 0
+    if size <= broadcast_bytes:
+        return big.join(F.broadcast(small), keys, how)
+    return salted_join(big, small, keys, spread_on, how)
+
+
 def lookup_join(big: DataFrame, facts: DataFrame, keys: list[str], weight: str, spread_on: list[str],
                 heavy_keys: int = HEAVY_KEYS) -> DataFrame:
     """Left join to ``facts`` (one row per key) when the facts are too many to replicate.

@@ -151,11 +151,12 @@ def edit_profiles(existing: DataFrame, edits: DataFrame) -> DataFrame:
 
 def apply_edits(existing: DataFrame, edits: DataFrame) -> DataFrame:
     """Profiles after the edits that :func:`edit_profiles` accepts; refused edits change nothing."""
-    accepted = edit_profiles(existing, edits).where("status = 'ok'")
-    gone = accepted.where("op in ('delete', 'rename')").select("project", "name")
-    moved = existing.join(accepted.where("op = 'rename'").select("project", "name", "new_name"), ["project", "name"]).select(
-        "project", F.col("new_name").alias("name"), *FIELDS)
-    written = accepted.where("op in ('create', 'update')").select("project", "name", *FIELDS)
-    kept = existing.join(gone, ["project", "name"], "left_anti")
-    return upsert_profiles(kept, written).unionByName(moved)
-
+    key = ["project", "name"]
+    accepted = edit_profiles(existing, edits).where("status = 'ok'").select(
+        *key, "op", "new_name", F.struct(*FIELDS).alias("_new"))
+    old = existing.select(*key, F.struct(*FIELDS).alias("_old"))
+    both = old.join(accepted, key, "full_outer").where("op is null or op <> 'delete'")
+    writes = F.col("op").isin("create", "update")
+    return both.select(
+        "project", F.when(F.col("op") == "rename", F.col("new_name")).otherwise(F.col("name")).alias("name"),
+        *[F.coalesce(F.when(writes, F.col(f"_new.{c}")), F.col(f"_old.{c}")).alias(c) for c in FIELDS])

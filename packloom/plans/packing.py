@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from packloom.functions.content import estimated_tokens
 from packloom.operators import explain as explaining
 from packloom.operators import render, stats
-from packloom.operators.config import ScanConfig, compile_configs, with_configs
+from packloom.operators.config import ScanConfig, column_rules, compile_configs, with_configs
 from packloom.operators.decide import apply_marks, inspection_code, inspection_rule, judge, marks_of, with_facts, with_marks
 from packloom.operators.ignore import ignore_files, ignored_entries, is_ignore_file
 from packloom.operators.saving import saved
@@ -34,13 +34,14 @@ class Run:
 
     def __init__(self, entries: DataFrame, config: ScanConfig | DataFrame, outputs: DataFrame | None = None,
                  ignore_from: DataFrame | None = None, directories: bool = True, tokens=estimated_tokens):
-        self.listed = with_facts(with_directories(entries) if directories else entries)
-        if "content" not in self.listed.columns:
-            self.listed = self.listed.withColumn("content", F.lit(None).cast("string"))
+        if "content" not in entries.columns:
+            entries = entries.withColumn("content", F.lit(None).cast("string"))
+        self.files = with_facts(entries)
+        self.listed = with_facts(with_directories(entries)) if directories else self.files
         self.outputs, self.tokens = outputs, tokens
         self._ignore_files = ignore_files(entries) if ignore_from is None else ignore_from
-        self.configs = None if isinstance(config, ScanConfig) else compile_configs(config)
-        self.rules = config.rules() if isinstance(config, ScanConfig) else with_configs(self.listed, self.configs)[1]
+        self.configs = None if isinstance(config, ScanConfig) else saved(compile_configs(config))
+        self.rules = config.rules() if isinstance(config, ScanConfig) else column_rules()
 
     @cached_property
     def ignore_files(self) -> DataFrame | None:
@@ -51,7 +52,11 @@ class Run:
     @cached_property
     def marks(self) -> DataFrame | None:
         """``project, rel_path, ignored, is_output`` of the entries that carry a mark."""
-        marks = marks_of(self._ignored(self.listed), self.outputs)
+        ignored = None
+        if self.ignore_files is not None:
+            paths = saved(self.listed.select("project", "rel_path", "is_dir"))
+            ignored = ignored_entries(paths, self.ignore_files)
+        marks = marks_of(ignored, self.outputs)
         return None if marks is None else saved(marks)
 
     @cached_property
@@ -69,15 +74,12 @@ class Run:
     @cached_property
     def survivors(self) -> DataFrame:
         """``project, rel_path, content`` of the included files."""
-        passed = self._judge(self.listed).where(render.included("content"))
+        passed = self._judge(self.files).where(render.included("content"))
         final = apply_marks(with_marks(passed, self.marks), self.rules)
         return final.where(render.included("content")).select("project", "rel_path", "content")
 
     def _judge(self, listed: DataFrame) -> DataFrame:
-        return judge(listed if self.configs is None else with_configs(listed, self.configs)[0], self.rules)
-
-    def _ignored(self, entries: DataFrame) -> DataFrame | None:
-        return None if self.ignore_files is None else ignored_entries(entries, self.ignore_files, self.listed)
+        return judge(listed if self.configs is None else with_configs(listed, self.configs), self.rules)
 
     def config_errors(self) -> DataFrame:
         """Projects left out because a pattern list of theirs has an invalid glob."""
@@ -99,10 +101,15 @@ class Run:
         tops = (
             self.listed.select("project").distinct()
             .withColumns({"rel_path": F.lit(""), "is_dir": F.lit(True), "is_file": F.lit(False)}))
-        known = self.listed.unionByName(with_facts(tops), allowMissingColumns=True)
-        wanted = known.join(keys, ["project", "rel_path"], "left_semi")
-        marks = marks_of(self._ignored(wanted), self.outputs)
-        return explaining.explain(located, apply_marks(with_marks(self._judge(wanted), marks), self.rules))
+        known = self.listed.drop("content").unionByName(with_facts(tops), allowMissingColumns=True)
+        asked = saved(known.join(keys, ["project", "rel_path"], "left_semi"))
+        ignored = None
+        if self.ignore_files is not None:
+            ignored = ignored_entries(with_directories(asked), self.ignore_files, self.listed)
+        return explaining.explain(located, self._final(asked, marks_of(ignored, self.outputs)))
+
+    def _final(self, entries: DataFrame, marks: DataFrame | None) -> DataFrame:
+        return apply_marks(with_marks(self._judge(entries), marks), self.rules)
 
 
 class DirectoryRun(Run):
@@ -116,43 +123,33 @@ class DirectoryRun(Run):
         # The listing is saved, so that one run sees one state of the directories.
         super().__init__(saved(listed), config, outputs, ignore_from=files, directories=False, tokens=tokens)
 
-    def _unread(self) -> DataFrame:
-        judged = self._judge(self.listed).drop("content", "is_binary", "lossy_utf8")
-        return apply_marks(with_marks(judged, self.marks), self.rules)
-
-    def _read(self) -> DataFrame:
-        """Every entry; the files that metadata could not rule out have been opened and looked at."""
+    def _read(self, entries: DataFrame, marks: DataFrame | None) -> DataFrame:
+        """The entries, with the files that metadata could not rule out opened and looked at."""
         code, opened = F.col("content_code"), F.col("_opened")
-        unread = self._unread().withColumn("_opened", code == "included")
+        unread = self._unread(entries, marks).withColumn("_opened", code == "included")
         return (
             inspect_bytes(attach_content(unread, opened))
             .withColumn("content_code", F.when(opened, inspection_code(self.rules)).otherwise(code))
             .withColumn("content_rule", F.when(opened, inspection_rule(code, self.rules)).otherwise(F.col("content_rule")))
             .drop("_opened"))
 
+    def _unread(self, entries: DataFrame, marks: DataFrame | None) -> DataFrame:
+        return super()._final(entries.drop("content"), marks).drop("is_binary", "lossy_utf8")
+
+    def _final(self, entries: DataFrame, marks: DataFrame | None) -> DataFrame:
+        return self._read(entries, marks)
+
     @cached_property
     def outline(self) -> DataFrame:
-        return saved(self._unread().select("project", "rel_path", "is_dir", "tree_code"))
+        unread = self._unread(self.listed, self.marks)
+        return saved(unread.select("project", "rel_path", "is_dir", "tree_code"))
 
     @cached_property
     def decisions(self) -> DataFrame:
         measured = F.when(render.included("content"), self.tokens(F.col("content")))
-        return self._read().withColumn("content_tokens", measured).drop("content")
+        return self._read(self.listed, self.marks).withColumn("content_tokens", measured).drop("content")
 
     @cached_property
     def survivors(self) -> DataFrame:
-        return self._read().where(render.included("content")).select("project", "rel_path", "content")
-
-    def explain(self, requested: DataFrame, roots: DataFrame | None = None) -> DataFrame:
-        """As for tables, and the requested files themselves are opened."""
-        located = explaining.located(requested, roots)
-        keys = located.where("rel_path is not null").select("project", "rel_path").distinct()
-        whole = self.listed
-        tops = whole.select("project").distinct().withColumns(
-            {"rel_path": F.lit(""), "is_dir": F.lit(True), "is_file": F.lit(False)})
-        asked = whole.unionByName(with_facts(tops), allowMissingColumns=True).join(keys, ["project", "rel_path"], "left_semi")
-        part = DirectoryRun.__new__(DirectoryRun)
-        part.__dict__.update(self.__dict__, listed=asked)
-        part.__dict__["marks"] = marks_of(
-            None if self.ignore_files is None else ignored_entries(asked, self.ignore_files, whole), self.outputs)
-        return explaining.explain(located, part._read())
+        read = self._read(self.listed, self.marks)
+        return read.where(render.included("content")).select("project", "rel_path", "content")
