@@ -183,14 +183,15 @@ def _rule_sentence(code: str, rule: str) -> str:
 
 # ---- tokens: pieces of the encoding's split, counted
 _W = r"\t\n\x0B\f\r\x{85}\p{Z}"
+_SPECIAL = r"<\|(endoftext|fim_prefix|fim_middle|fim_suffix|endofprompt)\|>"
 _PIECES = "|".join([
-    r"<\|endoftext\|>|<\|fim_prefix\|>|<\|fim_middle\|>|<\|fim_suffix\|>|<\|endofprompt\|>",
-    r"''(?i:[sdmt]|ll|ve|re)", r"[^\r\n\p{L}\p{N}]?\p{L}+", r"\p{N}{1,3}",
-    rf" ?[^{_W}\p{{L}}\p{{N}}]+[\r\n]*", rf"[{_W}]*[\r\n]", rf"[{_W}]+"])
+    r"\x00", r"''(?i:[sdmt]|ll|ve|re)", r"[^\r\n\p{L}\p{N}\x00]?\p{L}+", r"\p{N}{1,3}",
+    rf" ?[^{_W}\p{{L}}\p{{N}}\x00]+[\r\n]*", rf"[{_W}]*[\r\n]", rf"[{_W}]+"])
 
 
 def _tokens(text: str) -> str:
-    return f"CAST(len(regexp_extract_all({text}, '{_PIECES}')) AS BIGINT)"
+    marked = f"regexp_replace({text}, '{_SPECIAL}', chr(0), 'g')"
+    return f"CAST(len(regexp_extract_all({marked}, '{_PIECES}')) AS BIGINT)"
 
 
 _LF = "chr(10)"

@@ -9,14 +9,16 @@ from packloom.fixed_values import BLOCK_CLOSING, BPE_SPECIAL_TOKENS
 from packloom.functions.globs import SPACES
 from packloom.functions.paths import escape_path
 
+_SPECIAL = "|".join(t.replace("|", r"\|") for t in BPE_SPECIAL_TOKENS)
 # The public split pattern of the encoding, written without look-ahead and possessive
-# quantifiers so that any regex engine finds the same pieces.
+# quantifiers so that any regex engine finds the same pieces.  A zero byte stands for a special
+# token; text files have no zero bytes of their own.
 _PIECES = "|".join([
-    *(t.replace("|", r"\|") for t in BPE_SPECIAL_TOKENS),
+    r"\x00",
     r"'(?i:[sdmt]|ll|ve|re)",
-    r"[^\r\n\p{L}\p{N}]?\p{L}+",
+    r"[^\r\n\p{L}\p{N}\x00]?\p{L}+",
     r"\p{N}{1,3}",
-    rf" ?[^{SPACES}\p{{L}}\p{{N}}]+[\r\n]*",
+    rf" ?[^{SPACES}\p{{L}}\p{{N}}\x00]+[\r\n]*",
     rf"[{SPACES}]*[\r\n]",
     rf"[{SPACES}]+",
 ])
@@ -50,4 +52,5 @@ def frame(rel_path: Column, content: Column) -> Column:
 
 def estimated_tokens(text: Column) -> Column:
     """Pieces the encoding's pre-split makes of the text, an estimate from below of its tokens."""
-    return F.regexp_count(text, F.lit(_PIECES)).cast("bigint")
+    plain = F.when(F.contains(text, F.lit("<|")), F.regexp_replace(text, _SPECIAL, "\0")).otherwise(text)
+    return F.regexp_count(plain, F.lit(_PIECES)).cast("bigint")

@@ -1,0 +1,75 @@
+import re
+
+import pytest
+from pyspark.sql import functions as F
+
+from packloom.functions import globs, paths, rules
+
+
+def matches(glob, path, crosses_slash=True):
+    return bool(re.search(globs.whole(globs.glob_body(glob, crosses_slash)).replace(r"\z", r"\Z"), path))
+
+
+@pytest.mark.parametrize("glob, path, expected", [
+    ("*.rs", "src/main.rs", True), ("*.rs", "src/main.rsx", False), ("main.rs", "src/main.rs", False),
+    ("src/**", "src", False), ("src/**", "src/a/b", True), ("**/x", "x", True), ("**/x", "a/b/x", True),
+    ("**/x", "ax", False), ("a/**/b", "a/b", True), ("a/**/b", "a/x/y/b", True), ("a/**/b", "ab", False),
+    ("?", "/", True), ("a[!b]c", "axc", True), ("a[!b]c", "abc", False), ("[a-c]x", "bx", True), ("[]x]", "]", True),
+    ("{a,b}/c", "b/c", True), ("{a,}c", "c", False), ("a.b", "axb", False), ("**", "a/b", True), ("a**b", "a/x/b", True),
+    ("a*", "a\nb", True), ("a+(b)", "a+(b)", True),
+])
+def test_include_globs(glob, path, expected):
+    assert matches(glob, path) is expected
+
+
+@pytest.mark.parametrize("glob, path, expected", [
+    ("*.rs", "src/main.rs", False), ("?", "/", False), ("**/a", "x/y/a", True), ("a/**/*", "a/b/c", True),
+    ("a/**/*", "a", False), ("a\\*", "a*", True), ("a\\*", "ab", False), ("{**/x,y}", "q/x", True), ("a**,b", "axx,b", True),
+])
+def test_ignore_globs_stop_at_slashes(glob, path, expected):
+    assert matches(glob, path, crosses_slash=False) is expected
+
+
+@pytest.mark.parametrize("csv", ["[", "{a", "a}", "*.py,{a,b}", "[z-a]"])
+def test_invalid_glob_names_the_pattern(csv):
+    with pytest.raises(globs.GlobError, match="Invalid glob pattern '"):
+        rules.LiteralRules(csv)
+
+
+def test_invalid_glob_text():
+    with pytest.raises(globs.GlobError, match=r"Invalid glob pattern '\['"):
+        globs.compile_patterns("[")
+
+
+def test_pattern_lists_agree_in_both_forms(spark):
+    lists = ["src, *.py ,,a\\b, tests/", "", " , ", " x ,　y.z", "a//b,*"]
+    rows = spark.createDataFrame([(i, t) for i, t in enumerate(lists)], "i int, csv string")
+    raw = F.explode(globs.pattern_list(F.col("csv"))).alias("raw")
+    got = [(r.i, r.raw, r.g) for r in rows.select("i", raw).select("i", "raw", globs.pattern_globs(F.col("raw")).alias("g")).collect()]
+    assert got == [(i, raw, g) for i, t in enumerate(lists) for raw, g in globs.split_patterns(t)]
+
+
+def test_component_order(spark):
+    expected = ["B", "a/b", "a/c/d", "a-b/x", "a.txt"]
+    rows = spark.createDataFrame([(p,) for p in reversed(expected)], "p string")
+    assert [r.p for r in rows.orderBy(paths.path_order(F.col("p"))).collect()] == expected
+
+
+def test_paths_are_escaped(spark):
+    odd = 'a&"<b>\n.rs'
+    rows = spark.createDataFrame([(odd,), ("x\x01\x85\x7f\t\ré😀",)], "p string")
+    got = [r[0] for r in rows.select(paths.escape_path(F.col("p"))).collect()]
+    assert got == ["a&amp;&quot;&lt;b&gt;\\n.rs", "x\\u{1}\\u{85}\\u{7F}\\t\\ré😀"]
+
+
+def test_normalized_paths(spark):
+    cases = {"a//b/./c": "a/b/c", "a/../b": "b", "../x": "../x", "a/../../x": "../x", ".": "", "a/b/..": "a", "../../y": "../../y"}
+    rows = spark.createDataFrame([(p,) for p in cases], "p string")
+    assert {r[0]: r[1] for r in rows.select("p", paths.normalized(F.col("p"))).collect()} == cases
+
+
+def test_prefixes_and_depth(spark):
+    rows = spark.createDataFrame([("a/b/c",), ("a",), ("",)], "p string")
+    got = rows.select(paths.prefixes(F.col("p")), paths.prefixes(F.col("p"), False), paths.depth(F.col("p")), paths.parent_dir(F.col("p")))
+    assert [tuple(r) for r in got.collect()] == [
+        (["a", "a/b", "a/b/c"], ["a", "a/b"], 3, "a/b"), (["a"], [], 1, ""), ([""], [], 0, "")]
