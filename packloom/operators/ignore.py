@@ -10,7 +10,8 @@ from pyspark.sql import types as T
 from packloom.functions.globs import SPACES, glob_body
 from packloom.functions.paths import below, depth, file_name, parent_dir, prefixes
 from packloom.functions.rules import column_rlike
-from packloom.operators.joins import salted_join
+from packloom.operators.joins import measured_join
+from packloom.operators.saving import saved
 
 # Where rules come from, strongest first: this order beats depth, and depth beats line order.
 DOT_IGNORE, GIT_IGNORE, GIT_EXCLUDE = 3, 2, 1
@@ -135,9 +136,9 @@ def ignored_entries(listed: DataFrame, files: DataFrame, repositories: DataFrame
     steps = entries.select("project", "rel_path", "is_dir", F.explode(F.concat(F.array(F.lit("")), above)).alias("base_dir"))
     subject = F.concat(
         F.when(F.col("is_dir"), F.lit("/")).otherwise(F.lit("")), below(F.col("rel_path"), F.col("base_dir")))
-    hits = salted_join(
-        steps, rule_runs(files).unionByName(borders), ["project", "base_dir"], spread_on=["rel_path"]
-    ).where(F.col("regex").isNull() | column_rlike(subject, F.col("regex")))
+    rules = saved(rule_runs(files).unionByName(borders))
+    hits = measured_join(steps, rules, ["project", "base_dir"], spread_on=["rel_path"]).where(
+        F.col("regex").isNull() | column_rlike(subject, F.col("regex")))
 
     place = (
         F.shiftleft(depth(F.col("base_dir")).cast("bigint"), _DEPTH_BITS)
@@ -150,10 +151,10 @@ def ignored_entries(listed: DataFrame, files: DataFrame, repositories: DataFrame
     reaches = lambda rule: F.when(
         F.shiftright(rule, _DEPTH_BITS) >= F.shiftright("border", _DEPTH_BITS), F.col(rule))
     winner = F.coalesce(F.col("dot"), reaches("git"), reaches("exclude"))
-    removed = verdicts.where(winner % 2 == 0).select("project", "rel_path", "is_dir")
+    removed = saved(verdicts.where(winner % 2 == 0).select("project", "rel_path", "is_dir"))
 
     pruned = removed.where("is_dir").select("project", F.col("rel_path").alias("above"))
-    inside = salted_join(
+    inside = measured_join(
         entries.select("project", "rel_path", F.explode(above).alias("above")),
         pruned, ["project", "above"], spread_on=["rel_path"])
     return removed.select("project", "rel_path").union(inside.select("project", "rel_path")).distinct()

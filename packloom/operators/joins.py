@@ -13,22 +13,22 @@ BROADCAST_BYTES = 64 * 1024 * 1024
 
 def salted_join(big: DataFrame, small: DataFrame, keys: list[str], spread_on: list[str],
                 how: str = "inner", salts: int = SALTS) -> DataFrame:
-    """Join where ``small`` is so much smaller that replicating it ``salts`` times costs little.
+    """Shuffled join where ``small`` is so much smaller that replicating it ``salts`` times costs little.
 
-    Each key of ``big`` is spread over ``salts`` partitions.  There is no broadcast hint:
-    Catalyst broadcasts ``small`` when its size allows, and AQE splits what is still uneven.
+    Each key of ``big`` is spread over ``salts`` partitions.  The merge hint keeps Catalyst from
+    broadcasting a ``big`` that it takes for small because it cannot foresee an explode.
     """
     salted = big.withColumn("_salt", F.pmod(F.xxhash64(*spread_on), F.lit(salts)))
     copies = small.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1)).cast("array<bigint>")))
-    return salted.join(copies, [*keys, "_salt"], how).drop("_salt")
+    return salted.join(copies.hint("merge"), [*keys, "_salt"], how).drop("_salt")
 
 
 def measured_join(big: DataFrame, small: DataFrame, keys: list[str], spread_on: list[str], how: str = "inner",
                   broadcast_bytes: int = BROADCAST_BYTES) -> DataFrame:
-    """Join a wide ``big`` that should not be shuffled if that can be helped.
+    """Join a big table to a saved table that is usually small, whatever its size turns out to be.
 
-    ``small`` (a saved table) is measured, broadcast if within ``broadcast_bytes``, and
-    otherwise joined with salts.
+    ``small`` is measured, broadcast if within ``broadcast_bytes`` so that ``big`` stays where it
+    is, and otherwise joined with salts.
     """
     size = small.agg(F.sum(F.octet_length(F.to_json(F.struct(*small.columns))))).first()[0] or 0
     if size <= broadcast_bytes:

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from packloom.fixed_values import TREE_LAST, TREE_MIDDLE, TREE_UNDER_LAST, TREE_UNDER_MIDDLE
 from packloom.functions.paths import file_name, parent_dir, path_order, prefixes
 from packloom.operators.joins import lookup_join
+from packloom.operators.saving import saved
 
 
 def node_path(parent: Column, name: Column) -> Column:
@@ -64,7 +65,7 @@ def directory_indents(marked: DataFrame, directories: DataFrame) -> DataFrame:
         "project", "parent", "n_children",
         F.posexplode(prefixes(F.col("parent"))).alias("level", "above"))
     heirs = chains.groupBy("project", "above").agg(F.count("*").alias("n_below"))
-    facts = heirs.join(bars, ["project", "above"])
+    facts = saved(heirs.join(bars, ["project", "above"]))
     steps = lookup_join(chains, facts, ["project", "above"], weight="n_below", spread_on=["parent"])
     below_top = steps.groupBy("project", "parent").agg(
         F.first("n_children").alias("n_children"),
@@ -77,10 +78,14 @@ def directory_indents(marked: DataFrame, directories: DataFrame) -> DataFrame:
 
 
 def indented(nodes: DataFrame) -> DataFrame:
-    """Add ``is_last`` and ``indent`` to nodes."""
-    directories = directory_facts(nodes)
+    """Add ``is_last`` and ``indent`` to nodes.
+
+    Nodes and the tables per directory serve several joins each, so they are saved.
+    """
+    nodes = saved(nodes)
+    directories = saved(directory_facts(nodes))
     marked = mark_last(nodes, directories)
-    indents = directory_indents(marked, directories)
+    indents = saved(directory_indents(marked, directories))
     return lookup_join(marked, indents, ["project", "parent"], weight="n_children", spread_on=["name"])
 
 
