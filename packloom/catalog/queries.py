@@ -323,7 +323,7 @@ def pack_rows(spark, sf_dir):
 def content_tokens(spark, sf_dir):
     columns = ("project", "rel_path", "content")
     files = corpora.documents(spark, sf_dir).select(*columns).unionByName(corpora.pages(spark, sf_dir).select(*columns))
-    return files.select("project", "rel_path", text_functions.estimated_tokens(F.col("content")).alias("content_tokens"))
+    return corpora.spread(files).select("project", "rel_path", text_functions.estimated_tokens(F.col("content")).alias("content_tokens"))
 
 
 @query

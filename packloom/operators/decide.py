@@ -18,17 +18,15 @@ SKIPPED = ["max_size", "binary", "unreadable", "not_a_file"]
 
 
 def with_facts(entries: DataFrame) -> DataFrame:
-    """Fill in the facts an entry table does not carry."""
+    """Fill in the facts an entry table does not carry, and those it has left null."""
     no, nothing = F.lit(False), F.lit(None)
-    defaults = {
-        "is_dir": no, "is_file": ~F.col("is_dir"), "length": nothing.cast("bigint"),
-        "read_error": nothing.cast("string"), "is_binary": no, "lossy_utf8": no,
-        "link_target": nothing.cast("string"), "root": nothing.cast("string"), "ignored": no, "is_output": no,
-    }
-    for name, default in defaults.items():
-        value = F.coalesce(F.col(name), default) if name in entries.columns else default
-        entries = entries.withColumn(name, value)
-    return entries
+    flags = {name: no for name in ("is_dir", "is_binary", "lossy_utf8", "ignored", "is_output")}
+    texts = {name: nothing.cast("string") for name in ("read_error", "link_target", "root")}
+    have = set(entries.columns)
+    filled = {n: F.coalesce(F.col(n), default) if n in have else default for n, default in flags.items()}
+    filled["is_file"] = F.coalesce(F.col("is_file"), ~filled["is_dir"]) if "is_file" in have else ~filled["is_dir"]
+    missing = {n: default for n, default in (texts | {"length": nothing.cast("bigint")}).items() if n not in have}
+    return entries.withColumns(filled | missing)
 
 
 def marks_of(ignored: DataFrame | None, outputs: DataFrame | None) -> DataFrame | None:
@@ -83,13 +81,13 @@ def inspection_rule(code: Column, rules: Rules) -> Column:
 def judge(entries: DataFrame, rules: Rules) -> DataFrame:
     """Add code and rule for content and tree as far as a row alone can tell: no shuffle.
 
-    For the tree, size, bytes and encoding never matter.
+    ``entries`` have their facts (see :func:`with_facts`).  For the tree, size, bytes and encoding never matter.
     """
     path = F.col("rel_path")
     content = filter_code(path, rules.include, rules.exclude, rules.no_blacklist)
     tree = filter_code(path, rules.tree_include, rules.tree_exclude, rules.no_blacklist)
     content_code, tree_code = F.col("content_code"), F.col("tree_code")
-    return with_facts(entries).withColumns({
+    return entries.withColumns({
         "content_code": F.when(content != "included", content).otherwise(inspection_code(rules)),
         "tree_code": F.when(rules.no_tree, "tree_disabled").otherwise(tree),
     }).withColumns({
@@ -118,5 +116,5 @@ def apply_marks(judged: DataFrame, rules: Rules) -> DataFrame:
 
 
 def decide(entries: DataFrame, rules: Rules) -> DataFrame:
-    """Judge and apply marks that are already on the rows."""
-    return apply_marks(judge(entries, rules), rules)
+    """Fill in facts, judge, and apply marks that are already on the rows."""
+    return apply_marks(judge(with_facts(entries), rules), rules)

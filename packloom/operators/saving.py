@@ -6,6 +6,8 @@ import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
+_written: list[str] = []
+
 
 def checkpoint_dir(spark: SparkSession) -> str:
     """The shared folder the cluster names; only a local session may fall back to its own."""
@@ -29,4 +31,13 @@ def saved(rows: DataFrame) -> DataFrame:
     spark = rows.sparkSession
     path = f"{checkpoint_dir(spark)}/packloom-{uuid.uuid4().hex}"
     rows.write.parquet(path)
+    _written.append(path)
     return spark.read.schema(rows.schema).parquet(path)
+
+
+def discard_saved(spark: SparkSession) -> None:
+    """Delete the tables saved so far, once nothing that uses them will run again."""
+    path_of = spark._jvm.org.apache.hadoop.fs.Path
+    while _written:
+        path = path_of(_written.pop())
+        path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)

@@ -134,7 +134,7 @@ class DirectoryRun(Run):
             .drop("_opened"))
 
     def _unread(self, entries: DataFrame, marks: DataFrame | None) -> DataFrame:
-        return super()._final(entries.drop("content"), marks).drop("is_binary", "lossy_utf8")
+        return super()._final(entries, marks).drop("content", "is_binary", "lossy_utf8")
 
     def _final(self, entries: DataFrame, marks: DataFrame | None) -> DataFrame:
         return self._read(entries, marks)

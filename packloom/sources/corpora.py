@@ -17,6 +17,12 @@ def entries_from(rows: DataFrame, project: Column, rel_path: Column, content: Co
     })
 
 
+def spread(rows: DataFrame) -> DataFrame:
+    """Give a table that comes in fewer pieces than there are cores to every core, before heavy work on texts."""
+    cores = rows.sparkSession.sparkContext.defaultParallelism
+    return rows.repartition(cores) if rows.rdd.getNumPartitions() < cores else rows
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 

@@ -6,7 +6,7 @@ from packloom import ScanConfig
 from packloom.fixed_values import PACK_SUFFIX, PROFILE_FILE
 from packloom.functions.content import decode_lossy, is_binary_bytes, is_lossy
 from packloom.functions.globs import GlobError
-from packloom.operators.decide import judge
+from packloom.operators.decide import judge, with_facts
 from packloom.operators.explain import report
 from packloom.operators.render import included
 from packloom.plans.packing import Run
@@ -90,7 +90,7 @@ def test_bytes(spark):
     rows = spark.createDataFrame(raw, "rel_path string, content_bytes binary").selectExpr(
         "'p' as project", "*", "cast(octet_length(content_bytes) as bigint) as length",
         "if(content_bytes is null, 'read: Permission denied (os error 13)', null) as read_error")
-    got = judge(inspect_bytes(rows), ScanConfig().rules())
+    got = judge(with_facts(inspect_bytes(rows)), ScanConfig().rules())
     assert values(got, "rel_path", "content_code") == {
         ("late.dat", "binary"), ("legacy.txt", "included_lossy"), ("good.txt", "included"),
         ("empty.txt", "included"), ("gone.txt", "unreadable")}
