@@ -297,15 +297,15 @@ CHANGES = """changes AS (
          NULL::BOOLEAN AS tree_no_ignore, CASE WHEN doc_id % 5 = 0 THEN doc_id END AS max_size,
          NULL::BOOLEAN AS no_blacklist FROM documents)"""
 EDITS = f"""{PROFILES}, {CHANGES}, edits AS (
-  SELECT * EXCLUDE (name), ['create', 'update', 'delete', 'rename'][(doc_id // 8) % 4 + 1] AS op,
-         ['default', 'wide', 'extra', 'not valid'][(doc_id // 32) % 4 + 1] AS name,
-         CASE WHEN (doc_id // 8) % 4 = 3 THEN ['moved', 'wide'][(doc_id // 64) % 2 + 1] END AS new_name FROM changes),
+  SELECT * EXCLUDE (name), ['create', 'update', 'delete', 'rename', 'replace', 'save', 'save_whole'][(doc_id // 8) % 7 + 1] AS op,
+         ['default', 'wide', 'extra', 'not valid'][(doc_id // 56) % 4 + 1] AS name,
+         CASE WHEN (doc_id // 8) % 7 = 3 THEN ['moved', 'wide'][(doc_id // 64) % 2 + 1] END AS new_name FROM changes),
 outcomes AS (
-  SELECT e.*, CASE WHEN e.name = 'not valid' THEN 'invalid_name'
+  SELECT e.*, CASE WHEN e.name = 'not valid' THEN 'invalid_name' WHEN s.status <> 'ok' THEN 'invalid_file'
       WHEN op = 'rename' AND EXISTS (SELECT 1 FROM profiles p WHERE p.project = e.project AND p.name = e.new_name) THEN 'already_exists'
       WHEN op = 'create' AND x.name IS NOT NULL THEN 'already_exists'
-      WHEN op <> 'create' AND x.name IS NULL THEN 'not_found' ELSE 'ok' END AS status
-  FROM edits e LEFT JOIN profiles x ON x.project = e.project AND x.name = e.name)"""
+      WHEN op NOT IN ('create', 'save', 'save_whole') AND x.name IS NULL THEN 'not_found' ELSE 'ok' END AS status
+  FROM edits e JOIN statuses s ON s.project = e.project LEFT JOIN profiles x ON x.project = e.project AND x.name = e.name)"""
 _OPTIONS = """options AS (
   SELECT project, exclude_lang, n, n % 2 = 0 AS tree_all, n % 3 = 0 AS no_ignore,
          CASE n % 4 WHEN 0 THEN false WHEN 1 THEN true ELSE n % 3 = 0 END AS tree_no_ignore,
@@ -320,6 +320,10 @@ _MANY = "(rel_path GLOB '*.txt' OR rel_path GLOB '*.md' OR rel_path GLOB '*.log'
 def oracles() -> dict[str, str]:
     merge = ", ".join(f"coalesce(c.{f}, p.{f}) AS {f}" for f in _FIELDS)
     take = ", ".join(f"CASE WHEN c.project IS NOT NULL THEN c.{f} ELSE p.{f} END AS {f}" for f in _FIELDS)
+    edited = ", ".join(
+        f"CASE WHEN d.op IN ('update', 'save') THEN coalesce(d.{f}, p.{f}) "
+        f"WHEN d.op IN ('replace', 'save_whole') THEN d.{f} ELSE p.{f} END AS {f}"
+        for f in ("description", "include", "exclude", "max_size"))
     full_join = "profiles p FULL JOIN changes c ON p.project = c.project AND p.name = c.name"
     keys = "coalesce(c.project, p.project) AS project, coalesce(c.name, p.name) AS name"
     filtered = lambda black: f"""WITH {RULED}, f AS (  -- noqa: E731
@@ -439,6 +443,10 @@ def oracles() -> dict[str, str]:
             SELECT project, rel_path, row_number() OVER (PARTITION BY project ORDER BY string_split(rel_path, '/')) AS seq FROM p""",
         "pack_rows": f"""WITH {PACKED} SELECT project, 0::BIGINT AS section, rel_path, value FROM tree_rows
             UNION ALL SELECT project, 1, rel_path, value FROM block_rows""",
+        "write_packs": f"""WITH {PACKED}, written AS (
+            SELECT project, value FROM tree_rows UNION ALL SELECT project, value FROM block_rows),
+          lines AS (SELECT project, unnest(string_split(left(value, length(value) - 1), chr(10))) AS value FROM written)
+          SELECT project, value, count(*) AS n FROM lines GROUP BY ALL""",
         "content_tokens": f"""WITH {DOCS}, {PAGES} SELECT project, rel_path, {_tokens('content')} AS content_tokens FROM (
             SELECT project, rel_path, content FROM docs UNION ALL SELECT project, rel_path, content FROM pages_files)""",
         "project_tokens": f"WITH {PACKED} SELECT project, output_tokens FROM tokens",
@@ -467,11 +475,11 @@ def oracles() -> dict[str, str]:
         "replace_profiles": f"WITH {PROFILES}, {CHANGES} SELECT {keys}, {take} FROM {full_join}",
         "edit_profiles": f"WITH {EDITS} SELECT project, op, name, new_name, status FROM outcomes",
         "apply_profile_edits": f"""WITH {EDITS}, done AS (SELECT * FROM outcomes WHERE status = 'ok')
-          SELECT p.project, CASE d.op WHEN 'rename' THEN d.new_name ELSE p.name END AS name,
-            CASE d.op WHEN 'update' THEN coalesce(d.description, p.description) ELSE p.description END AS description,
-            CASE d.op WHEN 'update' THEN coalesce(d.exclude, p.exclude) ELSE p.exclude END AS exclude
+          SELECT p.project, CASE d.op WHEN 'rename' THEN d.new_name ELSE p.name END AS name, {edited}
           FROM profiles p LEFT JOIN done d ON d.project = p.project AND d.name = p.name WHERE d.op IS DISTINCT FROM 'delete'
-          UNION ALL SELECT project, name, description, exclude FROM done WHERE op = 'create'""",
+          UNION ALL SELECT d.project, d.name, d.description, d.include, d.exclude, d.max_size FROM done d
+          LEFT JOIN profiles p ON p.project = d.project AND p.name = d.name
+          WHERE d.op IN ('create', 'save', 'save_whole') AND p.name IS NULL""",
         "valid_profile_name": f"""WITH n AS (SELECT doc_id, CASE WHEN doc_id % 6 = 5 THEN '' ELSE lang END
               || {_pick('doc_id', '.api-1', '/api', ' api', '_api' + chr(10), 'é', '')} AS name FROM documents)
           SELECT doc_id, name, doc_id % 6 = 0 AS valid FROM n""",

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -13,9 +14,9 @@ from packloom.functions import globs, paths, rules
 from packloom.operators import decide, explain, ignore, profiles, render, stats, tree
 from packloom.operators.config import ScanConfig, column_rules, compile_configs, effective_tree_rules, with_configs
 from packloom.operators.order import number_rows
-from packloom.operators.saving import saved
+from packloom.operators.saving import checkpoint_dir, saved
 from packloom.plans.packing import Run
-from packloom.sources import corpora
+from packloom.sources import corpora, packs
 
 Query = Callable[[SparkSession, str], DataFrame]
 _QUERIES: dict[str, Query] = {}
@@ -316,6 +317,15 @@ def pack_rows(spark, sf_dir):
                          F.replace("path_order", F.lit("\0"), F.lit("/")).alias("rel_path"), "value")
 
 
+@query
+def write_packs(spark, sf_dir):
+    """Lines of the written packs, counted per project."""
+    folder = f"{checkpoint_dir(spark)}/packs-{uuid.uuid4().hex}"
+    packs.write_packs(Run(corpora.documents(spark, sf_dir), DOCUMENTS).pack(), folder)
+    lines = spark.read.schema("value string, project string").option("lineSep", "\n").text(folder)
+    return lines.groupBy("project", "value").agg(F.count("*").alias("n"))
+
+
 # ---- counts
 
 
@@ -411,23 +421,26 @@ def replace_profiles(spark, sf_dir):
 
 def _profile_edits(spark, sf_dir):
     number = F.regexp_extract("project", r"(\d+)$", 1).cast("bigint")
-    edits = _profile_changes(spark, sf_dir).drop("name")
-    return edits.select(
-        "*", corpora.pick(F.floor(number / 8), "create", "update", "delete", "rename").alias("op"),
-        corpora.pick(F.floor(number / 32), "default", "wide", "extra", "not valid").alias("name"),
-        F.when(F.floor(number / 8) % 4 == 3, corpora.pick(F.floor(number / 64), "moved", "wide")).alias("new_name"))
+    op = corpora.pick(F.floor(number / 8), "create", "update", "delete", "rename", "replace", "save", "save_whole")
+    return _profile_changes(spark, sf_dir).drop("name").select(
+        "*", op.alias("op"), corpora.pick(F.floor(number / 56), "default", "wide", "extra", "not valid").alias("name"),
+        F.when(op == "rename", corpora.pick(F.floor(number / 64), "moved", "wide")).alias("new_name"))
 
 
 @query
 def edit_profiles(spark, sf_dir):
-    existing = profiles.parse_profiles(made.profile_texts(spark, sf_dir))
-    return profiles.edit_profiles(existing, _profile_edits(spark, sf_dir)).select("project", "op", "name", "new_name", "status")
+    files = made.profile_texts(spark, sf_dir)
+    outcome = profiles.edit_profiles(
+        profiles.parse_profiles(files), _profile_edits(spark, sf_dir), profiles.classify_configs(files))
+    return outcome.select("project", "op", "name", "new_name", "status")
 
 
 @query
 def apply_profile_edits(spark, sf_dir):
-    existing = profiles.parse_profiles(made.profile_texts(spark, sf_dir))
-    return profiles.apply_edits(existing, _profile_edits(spark, sf_dir)).select("project", "name", "description", "exclude")
+    files = made.profile_texts(spark, sf_dir)
+    after = profiles.apply_edits(
+        profiles.parse_profiles(files), _profile_edits(spark, sf_dir), profiles.classify_configs(files))
+    return after.select("project", "name", "description", "include", "exclude", "max_size")
 
 
 @query

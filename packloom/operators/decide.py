@@ -29,6 +29,15 @@ def with_facts(entries: DataFrame) -> DataFrame:
     return entries.withColumns(filled | missing)
 
 
+def with_links_to(outputs: DataFrame, entries: DataFrame) -> DataFrame:
+    """The outputs and the links that lead to them, which are the same files."""
+    inside = F.expr("substring(link_target, length(rtrim('/', root)) + 2)")
+    links = entries.where(F.col("link_target").isNotNull() & ~link_error()).select(
+        "project", F.col("rel_path").alias("_link"), inside.alias("rel_path"))
+    found = links.join(outputs.select("project", "rel_path"), ["project", "rel_path"])
+    return outputs.select("project", "rel_path").unionByName(found.select("project", F.col("_link").alias("rel_path")))
+
+
 def marks_of(ignored: DataFrame | None, outputs: DataFrame | None) -> DataFrame | None:
     """``project, rel_path, ignored, is_output`` of the entries in either set; None without sets."""
     marks = [

@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from packloom.fixed_values import DEFAULT_MAX_KIB, DEFAULT_PROFILE, NO_DESCRIPTION, PACK_SUFFIX, PROFILE_FILE
+from packloom.functions.paths import normalized
 
 # Field name to type, in the order they are shown.
 FIELDS = {
@@ -130,33 +131,54 @@ def upsert_profiles(existing: DataFrame, changes: DataFrame, replace: bool = Fal
     return old.join(new, key, "full_outer").select(*key, *[pick(c).alias(c) for c in FIELDS])
 
 
-def edit_profiles(existing: DataFrame, edits: DataFrame) -> DataFrame:
-    """Outcome of one edit per profile: ``project, name, new_name, op, status``.
+def current_outputs(resolved: DataFrame) -> DataFrame:
+    """``project, rel_path`` of the packs that resolved options name inside their own project."""
+    return resolved.select("project", normalized(F.col("output_path")).alias("rel_path")).where(
+        ~F.col("rel_path").startswith("../"))
 
-    ``op`` is create, update, delete or rename.  create needs the name to be free, the others need
-    it to exist, rename needs the new name to be free; names must be valid.  Apply the edits
-    whose status is ok with :func:`apply_edits`.
+
+# Edits that need the profile to exist already, and those that write fields.
+_NEED_PROFILE = ["update", "replace", "delete", "rename"]
+_MERGE, _WRITE_WHOLE = ["update", "save"], ["create", "replace", "save_whole"]
+
+
+def edit_profiles(existing: DataFrame, edits: DataFrame, statuses: DataFrame | None = None) -> DataFrame:
+    """The edits with their ``status``; one edit per profile at a time.
+
+    ``op`` is create (the name must be free), update and replace (merge into, or put in place of,
+    an existing profile), save and save_whole (the same, but also for new names), delete, or
+    rename (``new_name`` must be free).  Names must be valid.  With ``statuses`` (project,
+    status) a file in bad order is never touched.  Status is ok, invalid_name, invalid_file,
+    already_exists or not_found; :func:`apply_edits` applies those that are ok.
     """
-    names = existing.select("project", F.col("name"), F.lit(True).alias("_exists"))
+    names = existing.select("project", "name", F.lit(True).alias("_exists"))
     targets = existing.select("project", F.col("name").alias("new_name"), F.lit(True).alias("_taken"))
     checked = edits.join(names, ["project", "name"], "left").join(targets, ["project", "new_name"], "left")
+    if statuses is None:
+        checked = checked.withColumn("_bad_file", F.lit(False))
+    else:
+        files = statuses.select("project", (F.col("status") != "ok").alias("_bad_file"))
+        checked = checked.join(files, "project", "left").fillna(False, "_bad_file")
     renames, exists = F.col("op") == "rename", F.col("_exists").isNotNull()
     status = (
         F.when(~valid_profile_name(F.col("name")) | (renames & ~valid_profile_name(F.col("new_name"))), "invalid_name")
+        .when(F.col("_bad_file"), "invalid_file")
         .when((renames & F.col("_taken").isNotNull()) | ((F.col("op") == "create") & exists), "already_exists")
-        .when((F.col("op") != "create") & ~exists, "not_found")
+        .when(F.col("op").isin(_NEED_PROFILE) & ~exists, "not_found")
         .otherwise("ok"))
-    return checked.withColumn("status", status).drop("_exists", "_taken")
+    return checked.withColumn("status", status).drop("_exists", "_taken", "_bad_file")
 
 
-def apply_edits(existing: DataFrame, edits: DataFrame) -> DataFrame:
+def apply_edits(existing: DataFrame, edits: DataFrame, statuses: DataFrame | None = None) -> DataFrame:
     """Profiles after the edits that :func:`edit_profiles` accepts; refused edits change nothing."""
     key = ["project", "name"]
-    accepted = edit_profiles(existing, edits).where("status = 'ok'").select(
+    accepted = edit_profiles(existing, edits, statuses).where("status = 'ok'").select(
         *key, "op", "new_name", F.struct(*FIELDS).alias("_new"))
     old = existing.select(*key, F.struct(*FIELDS).alias("_old"))
     both = old.join(accepted, key, "full_outer").where("op is null or op <> 'delete'")
-    writes = F.col("op").isin("create", "update")
+    field = lambda c: (
+        F.when(F.col("op").isin(_WRITE_WHOLE), F.col(f"_new.{c}"))
+        .when(F.col("op").isin(_MERGE), F.coalesce(f"_new.{c}", f"_old.{c}")).otherwise(F.col(f"_old.{c}")))
     return both.select(
         "project", F.when(F.col("op") == "rename", F.col("new_name")).otherwise(F.col("name")).alias("name"),
-        *[F.coalesce(F.when(writes, F.col(f"_new.{c}")), F.col(f"_old.{c}")).alias(c) for c in FIELDS])
+        *[field(c).alias(c) for c in FIELDS])

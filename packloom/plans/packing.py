@@ -11,7 +11,7 @@ from packloom.functions.content import estimated_tokens
 from packloom.operators import explain as explaining
 from packloom.operators import render, stats
 from packloom.operators.config import ScanConfig, column_rules, compile_configs, with_configs
-from packloom.operators.decide import apply_marks, inspection_code, inspection_rule, judge, marks_of, with_facts, with_marks
+from packloom.operators.decide import apply_marks, inspection_code, inspection_rule, judge, marks_of, with_facts, with_links_to, with_marks
 from packloom.operators.ignore import ignore_files, ignored_entries, is_ignore_file
 from packloom.operators.saving import saved
 from packloom.operators.tree import with_directories
@@ -38,7 +38,8 @@ class Run:
             entries = entries.withColumn("content", F.lit(None).cast("string"))
         self.files = with_facts(entries)
         self.listed = with_facts(with_directories(entries)) if directories else self.files
-        self.outputs, self.tokens = outputs, tokens
+        self.outputs = None if outputs is None else with_links_to(outputs, self.files)
+        self.tokens = tokens
         self._ignore_files = ignore_files(entries) if ignore_from is None else ignore_from
         self.configs = None if isinstance(config, ScanConfig) else saved(compile_configs(config))
         self.rules = config.rules() if isinstance(config, ScanConfig) else column_rules()

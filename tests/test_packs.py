@@ -91,6 +91,7 @@ def make_directory(root):
     (root / "inner.rs").symlink_to(root / "src" / "main.rs")
     (root / "dead.rs").symlink_to(root / "nowhere")
     (root / f"old{PACK_SUFFIX}").write_text("previous")
+    (root / "again.rs").symlink_to(root / f"old{PACK_SUFFIX}")
 
 
 def test_directory_listing(spark, tmp_path):
@@ -98,7 +99,7 @@ def test_directory_listing(spark, tmp_path):
     make_directory(root)
     for tasks in (1, 64):
         rows = {r.rel_path: r for r in read_entries(spark, [str(root)], tasks).collect()}
-        assert len(rows) == 16 and rows["empty"].is_dir and rows["src/_gen.rs"].length == 0
+        assert len(rows) == 17 and rows["empty"].is_dir and rows["src/_gen.rs"].length == 0
         assert rows["linked.rs"].link_target == str(tmp_path / "secret.rs") and rows["dead.rs"].link_target == ""
         assert rows["late.rs"].length == 1501 and rows[".env"].is_file and rows["src"].project == "proj"
     with pytest.raises(Exception, match="Scan path must be a directory"):

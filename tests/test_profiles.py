@@ -59,20 +59,29 @@ def test_merge_keeps_unset_fields_and_replace_drops_them(table):
 
 
 def test_edits(spark, table):
-    old = table({"name": "a", "include": "1"}, {"name": "b", "include": "2"}, {"name": "c", "include": "3"},
-                {"name": "d", "include": "4"}, {"name": "e", "include": "5"})
-    rows = [("create", "a", None, "x"), ("create", "new", None, "n"), ("update", "b", None, None), ("update", "none", None, "x"),
-            ("delete", "c", None, None), ("rename", "d", "moved", None), ("rename", "e", "a", None), ("rename", "zz", "yy", None),
-            ("create", "bad name", None, None), ("delete", "", None, None)]
+    old = table(*({"name": n, "include": n} for n in "abcdefgh"), {"project": "broken", "name": "z"})
+    rows = [("create", "a", None, "x", "already_exists"), ("create", "new", None, "n", "ok"), ("update", "b", None, None, "ok"),
+            ("update", "none", None, "x", "not_found"), ("delete", "c", None, None, "ok"), ("rename", "d", "moved", None, "ok"),
+            ("rename", "e", "a", None, "already_exists"), ("rename", "zz", "yy", None, "not_found"),
+            ("replace", "f", None, "r", "ok"), ("replace", "no", None, "r", "not_found"), ("save", "g", None, "s", "ok"),
+            ("save", "g2", None, "s", "ok"), ("save_whole", "h", None, "w", "ok"), ("save_whole", "h2", None, "w", "ok"),
+            ("create", "bad name", None, None, "invalid_name"), ("delete", "", None, None, "invalid_name"),
+            ("rename", "a", "b/c", None, "invalid_name")]
     edits = spark.createDataFrame(
-        [("p", name, op, new, *[text if f == "exclude" else None for f in FIELDS]) for op, name, new, text in rows],
+        [("p", name, op, new, *[text if f == "exclude" else None for f in FIELDS]) for op, name, new, text, _ in rows]
+        + [("broken", "z", "save", None, *[None for _ in FIELDS])],
         "project string, name string, op string, new_name string, " + ", ".join(f"{n} {t}" for n, t in FIELDS.items()))
-    assert values(profiles.edit_profiles(old, edits), "op", "name", "status") == {
-        ("create", "a", "already_exists"), ("create", "new", "ok"), ("update", "b", "ok"), ("update", "none", "not_found"),
-        ("delete", "c", "ok"), ("rename", "d", "ok"), ("rename", "e", "already_exists"), ("rename", "zz", "not_found"),
-        ("create", "bad name", "invalid_name"), ("delete", "", "invalid_name")}
-    assert values(profiles.apply_edits(old, edits), "name", "include", "exclude") == {
-        ("a", "1", None), ("new", None, "n"), ("b", "2", None), ("moved", "4", None), ("e", "5", None)}
+    statuses = spark.createDataFrame([("p", "ok"), ("broken", "legacy")], "project string, status string")
+    assert values(profiles.edit_profiles(old, edits, statuses), "op", "name", "status") == {
+        *((op, name, status) for op, name, _, _, status in rows), ("save", "z", "invalid_file")}
+    assert values(profiles.apply_edits(old, edits, statuses).where("project = 'p'"), "name", "include", "exclude") == {
+        ("a", "a", None), ("new", None, "n"), ("b", "b", None), ("moved", "d", None), ("e", "e", None), ("f", None, "r"),
+        ("g", "g", "s"), ("g2", None, "s"), ("h", None, "w"), ("h2", None, "w")}
+
+
+def test_outputs_named_by_options(spark):
+    resolved = spark.createDataFrame([("p", "./out/a.txt"), ("q", "../elsewhere")], "project string, output_path string")
+    assert values(profiles.current_outputs(resolved), "project", "rel_path") == {("p", "out/a.txt")}
 
 
 def test_names(spark):
