@@ -131,7 +131,7 @@ def ignore_rules(spark, sf_dir):
 def ignore_apply(spark, sf_dir):
     entries = made.ruled_workspaces(spark, sf_dir)
     ignored = ignore.ignored_entries(tree.with_directories(entries), ignore.ignore_files(entries))
-    marks = decide.marks_of(ignored, None)
+    marks = saved(decide.marks_of(ignored, None))
     return decide.with_marks(entries, marks).select("project", "rel_path", "ignored")
 
 
@@ -354,7 +354,8 @@ def walk_errors(spark, sf_dir):
     listed = listed.withColumn("read_error", F.when(F.col("rel_path").rlike("^(config|docs|src/core)$"), made.DIR_DENIED))
     rule_rows = ignore.ignore_files(made.rule_files(spark, sf_dir))
     options = ScanConfig(exclude="tests/", tree_no_ignore=True).rules()
-    marked = decide.with_marks(listed, decide.marks_of(ignore.ignored_entries(listed, rule_rows), None))
+    marks = saved(decide.marks_of(ignore.ignored_entries(listed, rule_rows), None))
+    marked = decide.with_marks(listed, marks)
     return stats.walk_errors(decide.decide(marked, options), options)
 
 

@@ -62,12 +62,13 @@ class ColumnRules:
 
 
 def column_rlike(text: Column, regex: Column) -> Column:
-    """Whether a regex column matches all of a non-empty text.
+    """Whether an anchored regex column matches the text.
 
     ``regexp_extract`` keeps the compiled pattern while consecutive rows repeat it, which rows
     joined to their project's rules do; ``rlike`` with a column pattern compiles it every row.
     """
-    return F.call_function("regexp_extract", text, regex, F.lit(0)) == text
+    found = F.call_function("regexp_extract", text, regex, F.lit(0)) == text
+    return F.when(text == "", F.rlike(text, regex)).otherwise(found)
 
 
 def ascii_lower(text: Column) -> Column:

@@ -23,15 +23,20 @@ def salted_join(big: DataFrame, small: DataFrame, keys: list[str], spread_on: li
     return salted.join(copies.hint("merge"), [*keys, "_salt"], how).drop("_salt")
 
 
+def fits_broadcast(small: DataFrame, broadcast_bytes: int = BROADCAST_BYTES) -> bool:
+    """Measure a saved table: may it be sent to every executor?"""
+    size = small.agg(F.sum(F.octet_length(F.to_json(F.struct(*small.columns))))).first()[0] or 0
+    return size <= broadcast_bytes
+
+
 def measured_join(big: DataFrame, small: DataFrame, keys: list[str], spread_on: list[str], how: str = "inner",
                   broadcast_bytes: int = BROADCAST_BYTES) -> DataFrame:
     """Join a big table to a saved table that is usually small, whatever its size turns out to be.
 
-    ``small`` is measured, broadcast if within ``broadcast_bytes`` so that ``big`` stays where it
-    is, and otherwise joined with salts.
+    ``small`` is broadcast if it fits, so that ``big`` stays where it is, and otherwise joined
+    with salts.
     """
-    size = small.agg(F.sum(F.octet_length(F.to_json(F.struct(*small.columns))))).first()[0] or 0
-    if size <= broadcast_bytes:
+    if fits_broadcast(small, broadcast_bytes):
         return big.join(F.broadcast(small), keys, how)
     return salted_join(big, small, keys, spread_on, how)
 

@@ -54,39 +54,35 @@ def mark_last(nodes: DataFrame, directories: DataFrame | None = None) -> DataFra
     return nodes.join(lasts, ["project", "parent", "name"], "left").fillna(False, "is_last")
 
 
-def directory_indents(marked: DataFrame, directories: DataFrame) -> DataFrame:
-    """``(project, parent, n_children, indent)``: the text before the connector of a directory's children."""
-    bars = marked.select(
-        "project",
-        node_path(F.col("parent"), F.col("name")).alias("above"),
-        F.when(F.col("is_last"), F.lit(TREE_UNDER_LAST)).otherwise(F.lit(TREE_UNDER_MIDDLE)).alias("bar"),
-    )
-    chains = directories.where("parent <> ''").select(
-        "project", "parent", "n_children",
-        F.posexplode(prefixes(F.col("parent"))).alias("level", "above"))
+def directory_indents(directories: DataFrame) -> DataFrame:
+    """Add ``indent`` to directory facts: the text before the connector of the directory's children."""
+    path = F.col("parent")
+    own = directories.where("parent <> ''").select(
+        "project", path.alias("above"), parent_dir(path).alias("parent"), file_name(path).alias("name"))
+    bars = mark_last(own, directories).select(
+        "project", "above",
+        F.when(F.col("is_last"), F.lit(TREE_UNDER_LAST)).otherwise(F.lit(TREE_UNDER_MIDDLE)).alias("bar"))
+    chains = directories.where("parent <> ''").select("project", "parent", F.posexplode(prefixes(path)).alias("level", "above"))
     heirs = chains.groupBy("project", "above").agg(F.count("*").alias("n_below"))
     facts = saved(heirs.join(bars, ["project", "above"]))
     steps = lookup_join(chains, facts, ["project", "above"], weight="n_below", spread_on=["parent"])
-    below_top = steps.groupBy("project", "parent").agg(
-        F.first("n_children").alias("n_children"),
+    indents = steps.groupBy("project", "parent").agg(
         # one element per ancestor of this one directory
         F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("level", "bar"))), lambda s: s["bar"]), "")
-        .alias("indent"),
-    )
-    top = directories.where("parent = ''").select("project", "parent", "n_children", F.lit("").alias("indent"))
-    return below_top.unionByName(top)
+        .alias("indent"))
+    return directories.join(indents, ["project", "parent"], "left").fillna("", "indent")
 
 
 def indented(nodes: DataFrame) -> DataFrame:
-    """Add ``is_last`` and ``indent`` to nodes.
+    """Add ``is_last`` and ``indent`` to nodes, both from their directory in one join.
 
     Nodes and the tables per directory serve several joins each, so they are saved.
     """
     nodes = saved(nodes)
     directories = saved(directory_facts(nodes))
-    marked = mark_last(nodes, directories)
-    indents = saved(directory_indents(marked, directories))
-    return lookup_join(marked, indents, ["project", "parent"], weight="n_children", spread_on=["name"])
+    facts = saved(directory_indents(directories))
+    found = lookup_join(nodes, facts, ["project", "parent"], weight="n_children", spread_on=["name"])
+    return found.withColumn("is_last", F.col("name") == F.col("last_name")).drop("last_name")
 
 
 def tree_lines(entries: DataFrame) -> DataFrame:

@@ -99,15 +99,17 @@ class Run:
         """Decide about the requested paths alone, then put the answers on the requests."""
         located = explaining.located(requested, roots)
         keys = located.where("rel_path is not null").select("project", "rel_path").distinct()
+        roots_asked = keys.where("rel_path = ''").select("project")
         tops = (
-            self.listed.select("project").distinct()
+            self.listed.select("project").join(roots_asked, "project", "left_semi").distinct()
             .withColumns({"rel_path": F.lit(""), "is_dir": F.lit(True), "is_file": F.lit(False)}))
         known = self.listed.drop("content").unionByName(with_facts(tops), allowMissingColumns=True)
         asked = saved(known.join(keys, ["project", "rel_path"], "left_semi"))
         ignored = None
         if self.ignore_files is not None:
             ignored = ignored_entries(with_directories(asked), self.ignore_files, self.listed)
-        return explaining.explain(located, self._final(asked, marks_of(ignored, self.outputs)))
+        marks = marks_of(ignored, self.outputs)
+        return explaining.explain(located, self._final(asked, None if marks is None else saved(marks)))
 
     def _final(self, entries: DataFrame, marks: DataFrame | None) -> DataFrame:
         return apply_marks(with_marks(self._judge(entries), marks), self.rules)

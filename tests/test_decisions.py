@@ -159,6 +159,9 @@ def test_options_per_project(spark, entries):
     assert values(run.decisions, "project", "rel_path", "content_code", "content_rule", "tree_code") == {
         ("one", "a.rs", "included", None, "included"), ("one", "b.md", "include", "*.rs", "include"),
         ("two", "a.rs", "exclude", "a.rs", "included"), ("two", "b.md", "included", None, "included")}
+    asked = spark.createDataFrame([("one", "."), ("two", "."), ("two", "a.rs")], "project string, path string")
+    assert values(run.explain(asked), "project", "path", "content_code") == {
+        ("one", ".", "include"), ("two", ".", "not_a_file"), ("two", "a.rs", "exclude")}
     error = run.config_errors().first()
     assert error.project == "bad" and "Invalid glob pattern '['" in error.config_error
 
