@@ -1,5 +1,7 @@
 """The registered queries against their SQL on the smallest tables, and the shape of their plans."""
 
+import re
+
 import duckdb
 import pytest
 from pyspark.sql import functions as F
@@ -7,6 +9,7 @@ from pyspark.sql import functions as F
 import __spark_entry__ as registered
 import check
 from packloom import ScanConfig
+from packloom.catalog import corpora as made
 from packloom.catalog import queries as catalog
 from packloom.plans.packing import Run
 from packloom.sources import corpora
@@ -44,9 +47,11 @@ def test_entry(spark):
 
 
 def test_row_rules_need_no_python_and_no_shuffle(spark):
-    for name in ("filter_decision", "matched_rule", "blacklist_pattern", "escape_path", "content_tokens", "frame_blocks"):
+    # The inputs of these are themselves shuffled: rule files per distinct project, a small table spread out.
+    shuffled = ("filter_decision", "blacklist_pattern", "content_tokens")
+    for name in (*shuffled, "matched_rule", "escape_path", "frame_blocks"):
         text = plan(catalog.queries()[name](spark, SF))
-        assert "ArrowEvalPython" not in text and ("Exchange" not in text or name in ("filter_decision", "blacklist_pattern"))
+        assert "ArrowEvalPython" not in text and ("Exchange" not in text or name in shuffled)
 
 
 def test_no_query_uses_a_cross_join(spark):
@@ -67,3 +72,30 @@ def test_size_filter_reaches_the_scan(spark, tmp_path):
     stored = spark.read.parquet(str(tmp_path / "corpus"))
     text = plan(stored.where(F.col("length") <= 2048).select("rel_path"))
     assert "LessThanOrEqual(length,2048)" in text
+
+
+def exchanged_columns(spark, frame):
+    """Columns that cross an exchange of the plan, by name."""
+    text = spark._jvm.org.apache.spark.sql.api.python.PythonSQLUtils.explainString(frame._jdf.queryExecution(), "formatted")
+    found = set()
+    for block in text.split("\n\n"):
+        if re.match(r"\(\d+\) \w*Exchange", block.strip()):
+            inputs = re.search(r"Input \[\d+\]: \[(.*)\]", block)
+            found |= {c.split("#")[0] for c in inputs.group(1).split(", ")}
+    return found
+
+
+def test_texts_cross_the_network_for_packs_only(spark):
+    entries = made.ruled_workspaces(spark, SF)
+    run = Run(entries, catalog.WORKSPACE, outputs=made.first_files(entries))
+    for frame in (run.decisions, run.preview(), run.stats()):
+        columns = exchanged_columns(spark, frame)
+        assert "content" not in columns and "text" not in columns
+    assert "content" not in exchanged_columns(spark, run.survivors)
+    ordered = run.pack().repartitionByRange("project", "section", "path_order")
+    assert "value" in exchanged_columns(spark, ordered)
+
+
+def test_a_corpus_without_ignore_files_is_not_joined(spark):
+    run = Run(corpora.documents(spark, SF), ScanConfig(include="*.md"))
+    assert run.marks is None and "Join" not in plan(run.survivors) and "Exchange" not in plan(run.survivors)
