@@ -92,6 +92,11 @@ def with_configs(entries: DataFrame, compiled: DataFrame) -> DataFrame:
     return measured_join(entries, good, ["project"], spread_on=["rel_path"])
 
 
+def without_lists(judged: DataFrame) -> DataFrame:
+    """Drop the compiled lists once they have been used; flags and the size limit stay."""
+    return judged.drop(*[f"_{c}" for c in _LISTS])
+
+
 def column_rules() -> Rules:
     """The options :func:`with_configs` put on the rows."""
     lists = {c: ColumnRules(F.col(f"_{c}")) for c in _LISTS}

@@ -130,7 +130,8 @@ def ignored_entries(listed: DataFrame, files: DataFrame, repositories: DataFrame
         "project", "base_dir", F.lit(0).alias("priority"), F.lit(0).alias("run"),
         F.lit(False).alias("negated"), F.lit(None).cast("string").alias("regex"))
     with_rules = files.select("project").distinct()
-    entries = listed.select("project", "rel_path", "is_dir").join(with_rules, "project", "left_semi")
+    entries = measured_join(
+        listed.select("project", "rel_path", "is_dir"), with_rules, ["project"], spread_on=["rel_path"], how="left_semi")
     above = prefixes(F.col("rel_path"), with_self=False)
 
     steps = entries.select("project", "rel_path", "is_dir", F.explode(F.concat(F.array(F.lit("")), above)).alias("base_dir"))

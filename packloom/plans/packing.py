@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from packloom.functions.content import estimated_tokens
 from packloom.operators import explain as explaining
 from packloom.operators import render, stats
-from packloom.operators.config import ScanConfig, column_rules, compile_configs, with_configs
+from packloom.operators.config import ScanConfig, column_rules, compile_configs, with_configs, without_lists
 from packloom.operators.decide import apply_marks, inspection_code, inspection_rule, judge, marks_of, with_facts, with_links_to, with_marks
 from packloom.operators.ignore import ignore_files, ignored_entries, is_ignore_file
 from packloom.operators.saving import saved
@@ -80,7 +80,9 @@ class Run:
         return final.where(render.included("content")).select("project", "rel_path", "content")
 
     def _judge(self, listed: DataFrame) -> DataFrame:
-        return judge(listed if self.configs is None else with_configs(listed, self.configs), self.rules)
+        if self.configs is None:
+            return judge(listed, self.rules)
+        return without_lists(judge(with_configs(listed, self.configs), self.rules))
 
     def config_errors(self) -> DataFrame:
         """Projects left out because a pattern list of theirs has an invalid glob."""
@@ -118,13 +120,12 @@ class Run:
 class DirectoryRun(Run):
     """A run over directories: list metadata, read ignore files, judge, then open only what is left."""
 
-    def __init__(self, spark: SparkSession, roots: list[str], config: ScanConfig,
+    def __init__(self, spark: SparkSession, roots: list[str] | DataFrame, config: ScanConfig | DataFrame,
                  outputs: DataFrame | None = None, tokens=estimated_tokens):
         listed = read_entries(spark, roots)
         rule_rows = listed.where(is_ignore_file(F.col("rel_path")) & F.col("is_file"))
         files = ignore_files(inspect_bytes(attach_content(rule_rows, F.lit(True))))
-        # The listing is saved, so that one run sees one state of the directories.
-        super().__init__(saved(listed), config, outputs, ignore_from=files, directories=False, tokens=tokens)
+        super().__init__(listed, config, outputs, ignore_from=files, directories=False, tokens=tokens)
 
     def _read(self, entries: DataFrame, marks: DataFrame | None) -> DataFrame:
         """The entries, with the files that metadata could not rule out opened and looked at."""

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -15,42 +15,38 @@ from packloom.sources.directory import os_error_text
 _BATCH_BYTES = 32 * 1024 * 1024
 
 
+def _read_files(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Replace ``read_error`` and add ``content_bytes``, handing rows on in batches of bounded bytes."""
+    for batch in batches:
+        place = batch.schema.get_field_index("read_error")
+        start, held, errors, contents = 0, 0, [], []
+        rows = zip(*(batch.column(c).to_pylist() for c in ("_wanted", "location", "read_error")))
+        for at, (wanted, location, error) in enumerate(rows, 1):
+            data = None
+            if wanted:
+                try:
+                    with open(location, "rb") as file:
+                        data = file.read()
+                except OSError as failure:
+                    error = f"read: {os_error_text(failure)}"
+            errors.append(error)
+            contents.append(data)
+            held += len(data or b"")
+            if held >= _BATCH_BYTES or at == batch.num_rows:
+                part = batch.slice(start, at - start).set_column(place, "read_error", pa.array(errors, pa.string()))
+                yield part.append_column("content_bytes", pa.array(contents, pa.binary()))
+                start, held, errors, contents = at, 0, [], []
+
+
 def attach_content(entries: DataFrame, wanted: Column) -> DataFrame:
     """Add ``content_bytes`` to entries with a ``location``; only ``wanted`` files are opened.
 
     A file that cannot be read gets a ``read_error`` instead of failing the task.  Rows are first
-    spread evenly by path, and handed on in batches of bounded bytes.
+    spread evenly by path.
     """
-    spread = entries.withColumn("_wanted", F.coalesce(wanted, F.lit(False))).repartition(F.col("project"), F.col("rel_path"))
+    spread = entries.withColumn("_wanted", F.coalesce(wanted, F.lit(False))).repartition("project", "rel_path")
     schema = T.StructType([*spread.schema.fields, T.StructField("content_bytes", T.BinaryType())])
-    columns = schema.fieldNames()
-
-    def read(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for batch in batches:
-            rows, held = [], 0
-            for row in batch.itertuples(index=False, name=None):
-                facts = dict(zip(columns, row))
-                data = None
-                if facts["_wanted"]:
-                    try:
-                        with open(facts["location"], "rb") as file:
-                            data = file.read()
-                    except OSError as error:
-                        facts["read_error"] = f"read: {os_error_text(error)}"
-                facts["content_bytes"] = data
-                rows.append(facts)
-                held += len(data or b"")
-                if held >= _BATCH_BYTES:
-                    yield pd.DataFrame(rows, columns=columns)
-                    rows, held = [], 0
-            if rows:
-                yield pd.DataFrame(rows, columns=columns)
-
-    # Nullable integers would turn into floats on the way through pandas.
-    as_text = spread.withColumn("length", F.col("length").cast("string"))
-    text_schema = T.StructType([
-        T.StructField(f.name, T.StringType() if f.name == "length" else f.dataType) for f in schema.fields])
-    return as_text.mapInPandas(read, text_schema).withColumn("length", F.col("length").cast("bigint")).drop("_wanted")
+    return spread.mapInArrow(_read_files, schema).drop("_wanted")
 
 
 def inspect_bytes(entries: DataFrame) -> DataFrame:

@@ -1,127 +1,95 @@
-"""Directory trees as a Spark data source: metadata of every file, directory and link.
+"""Listing directory trees: metadata of every file, directory and link, no file opened.
 
-``spark.dataSource.register(ProjectFiles)`` and then
-``spark.read.format("project_files").option("roots", "/mnt/a,/mnt/b").load()``.
-Roots must be mounted on every executor.  Each root is one project, named after its directory.
-Unlike ``binaryFile`` it keeps hidden, empty and ``_``-prefixed files, lists directories, and
-does not follow links.  No file is opened.
+Unlike ``binaryFile`` the listing keeps hidden, empty and ``_``-prefixed files, has rows for
+directories, and does not follow links.  Directories must be mounted on every executor.
 """
 
 from __future__ import annotations
 
+import itertools
 import os
 import stat
+from collections.abc import Iterator
+from functools import reduce
 
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
+from pyspark.sql import functions as F
 
-SCHEMA = (
-    "project string, rel_path string, is_dir boolean, is_file boolean, length bigint, link_target string, "
-    "root string, read_error string, location binary"
-)
+from packloom.operators.saving import saved
 
+_ENTRY = (
+    "project string, rel_path string, is_dir boolean, is_file boolean, length bigint, link_target string, "
+    "root string, read_error string, location binary")
+_ARROW = pa.schema([
+    ("project", pa.string()), ("rel_path", pa.string()), ("is_dir", pa.bool_()), ("is_file", pa.bool_()),
+    ("length", pa.int64()), ("link_target", pa.string()), ("root", pa.string()), ("read_error", pa.string()),
+    ("location", pa.binary())])
+_BATCH_ROWS = 10_000
 
-class Subtree(InputPartition):
-    """One listing task: a directory and everything below it, or only its direct children."""
 
-    def __init__(self, project: str, root: str, directory: str, recursive: bool):
-        super().__init__(directory)
-        self.project, self.root, self.directory, self.recursive = project, root, directory, recursive
+def os_error_text(error: OSError) -> str:
+    return f"{error.strerror} (os error {error.errno})"
 
 
-def _shown(path: str) -> str:
+def _shown(path: bytes) -> str:
     """Path as valid text; undecodable bytes become U+FFFD."""
-    return os.fsencode(path).decode("utf-8", "replace")
+    return path.decode("utf-8", "replace")
 
 
-def os_error_text(error: OSError) -> str:
-    return f"{error.strerror} (os error {error.errno})"
-
-
-def _row(part: Subtree, path: str, is_dir: bool, is_link: bool, error: str | None = None) -> tuple:
-    target = length = None
-    is_file = False
-    if is_link:
+def _entry(project: str, root: str, entry: os.DirEntry) -> dict:
+    is_dir, error, target, length, is_file = entry.is_dir(follow_symlinks=False), None, None, None, False
+    if entry.is_symlink():
         try:
-            target = _shown(os.path.realpath(path, strict=True))
+            target = _shown(os.path.realpath(entry.path, strict=True))
         except OSError:
             target = ""
     try:
-        facts = os.stat(path)
-        is_file, length = stat.S_ISREG(facts.st_mode), facts.st_size
+        facts = os.stat(entry.path)
+        is_file, length = stat.S_ISREG(facts.st_mode), None if is_dir else facts.st_size
     except OSError as failure:
-        error = error or f"metadata: {os_error_text(failure)}"
-    rel_path = _shown(os.path.relpath(path, part.root))
-    return (part.project, rel_path, is_dir, is_file, None if is_dir else length, target, part.root, error,
-            os.fsencode(path))
-
-
-def _children(directory: str) -> list:
-    with os.scandir(directory) as found:
-        return sorted(found, key=lambda e: e.name)
-
-
-class ProjectFilesReader(DataSourceReader):
-    def __init__(self, options):
-        roots = [r.strip() for r in options.get("roots", options.get("path", "")).split(",") if r.strip()]
-        if not roots:
-            raise ValueError("option 'roots' names no directory")
-        self.roots = []
-        for root in roots:
-            resolved = os.path.realpath(root)
-            if not os.path.isdir(resolved):
-                raise ValueError(f"Scan path must be a directory: {root}")
-            self.roots.append(resolved)
-        self.wanted = int(options.get("tasks", "64"))
-
-    def partitions(self):
-        """Open directories level by level until there are enough of them to spread the listing."""
-        done, open_ = [], [Subtree(os.path.basename(r) or ".", r, r, True) for r in self.roots]
-        while open_ and len(done) + len(open_) < self.wanted:
-            below = []
-            for part in open_:
-                done.append(Subtree(part.project, part.root, part.directory, False))
-                try:
-                    below += [Subtree(part.project, part.root, e.path, True)
-                              for e in _children(part.directory) if e.is_dir(follow_symlinks=False)]
-                except OSError:
-                    pass  # the listing task reports it
-            open_ = below
-        return done + open_
-
-    def read(self, partition):
-        todo = [partition.directory]
-        while todo:
-            directory = todo.pop()
+        error = f"metadata: {os_error_text(failure)}"
+    if is_dir:
+        try:
+            os.scandir(entry.path).close()
+        except OSError as failure:
+            error = f"list: {os_error_text(failure)}"
+    rel_path = _shown(os.path.relpath(entry.path, os.fsencode(root)))
+    return dict(project=project, rel_path=rel_path, is_dir=is_dir, is_file=is_file, length=length,
+                link_target=target, root=root, read_error=error, location=entry.path)
+
+
+def _list_directories(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The direct children of each directory."""
+    for batch in batches:
+        for directory in batch.to_pylist():
             try:
-                children = _children(directory)
-            except OSError as error:
-                if directory != partition.root:
-                    yield _row(partition, directory, True, False, f"list: {os_error_text(error)}")
-                continue
-            if directory != partition.root and (partition.recursive or directory == partition.directory):
-                yield _row(partition, directory, True, False)
-            for entry in children:
-                if entry.is_dir(follow_symlinks=False):
-                    if partition.recursive:
-                        todo.append(entry.path)
-                else:
-                    yield _row(partition, entry.path, False, entry.is_symlink())
-
-
-class ProjectFiles(DataSource):
-    @classmethod
-    def name(cls):
-        return "project_files"
-
-    def schema(self):
-        return SCHEMA
-
-    def reader(self, schema):
-        return ProjectFilesReader(self.options)
-
-
-def read_entries(spark: SparkSession, roots: list[str], tasks: int = 64) -> DataFrame:
-    """Entries of the given directories, one project each."""
-    spark.dataSource.register(ProjectFiles)
-    return spark.read.format("project_files").option("roots", ",".join(roots)).option("tasks", tasks).load()
+                children = os.scandir(directory["location"])
+            except OSError:
+                continue  # its own row says why, unless it vanished since
+            with children:
+                entries = (_entry(directory["project"], directory["root"], child) for child in children)
+                while rows := list(itertools.islice(entries, _BATCH_ROWS)):
+                    yield pa.RecordBatch.from_pylist(rows, schema=_ARROW)
+
+
+def read_entries(spark: SparkSession, roots: list[str] | DataFrame) -> DataFrame:
+    """Entries of the given directories, one project each, named after the directory.
+
+    ``roots`` may also be a table (project, root) of resolved paths.  The trees are listed level
+    by level: all directories of a level are spread over the cluster, so neither a large project
+    nor a large subtree is listed by one task, and the number of jobs is the depth of the trees.
+    """
+    if not isinstance(roots, DataFrame):
+        resolved = [os.path.realpath(root) for root in roots]
+        for root, given in zip(resolved, roots):
+            if not os.path.isdir(root):
+                raise NotADirectoryError(f"Scan path must be a directory: {given}")
+        roots = spark.createDataFrame([(os.path.basename(r) or ".", r) for r in resolved], "project string, root string")
+    level = roots.select("project", "root", F.encode("root", "UTF-8").alias("location"))
+    levels = []
+    while not level.isEmpty():
+        found = saved(level.repartition("location").mapInArrow(_list_directories, _ENTRY))
+        levels.append(found)
+        level = found.where("is_dir and read_error is null").select("project", "root", "location")
+    return reduce(DataFrame.unionByName, levels) if levels else spark.createDataFrame([], _ENTRY)

@@ -97,13 +97,16 @@ def make_directory(root):
 def test_directory_listing(spark, tmp_path):
     root = tmp_path / "proj"
     make_directory(root)
-    for tasks in (1, 64):
-        rows = {r.rel_path: r for r in read_entries(spark, [str(root)], tasks).collect()}
+    table = spark.createDataFrame([("proj", str(root))], "project string, root string")
+    for roots in ([str(root)], table):
+        rows = {r.rel_path: r for r in read_entries(spark, roots).collect()}
         assert len(rows) == 17 and rows["empty"].is_dir and rows["src/_gen.rs"].length == 0
         assert rows["linked.rs"].link_target == str(tmp_path / "secret.rs") and rows["dead.rs"].link_target == ""
         assert rows["late.rs"].length == 1501 and rows[".env"].is_file and rows["src"].project == "proj"
+    two = read_entries(spark, [str(root / "src"), str(root / "build")])
+    assert values(two, "project", "rel_path") == {("src", "main.rs"), ("src", "_gen.rs"), ("build", "out.rs")}
     with pytest.raises(Exception, match="Scan path must be a directory"):
-        read_entries(spark, [str(root / "notes.md")]).collect()
+        read_entries(spark, [str(root / "notes.md")])
 
 
 def test_directory_run(spark, tmp_path):
@@ -132,6 +135,20 @@ def test_directory_run(spark, tmp_path):
         ("legacy.rs", "included_lossy", "included"), ("src", "include", "included"), ("build/out.rs", "ignore", "ignore")}
 
 
+def test_directories_with_options_of_their_own(spark, tmp_path):
+    for name in ("one", "two"):
+        (tmp_path / name).mkdir()
+        (tmp_path / name / "a.rs").write_text("x" * 1500)
+        (tmp_path / name / "b.md").write_text("y")
+    options = spark.createDataFrame([("one", "*.rs", 2), ("two", None, 1)], "project string, include string, max_size long").selectExpr(
+        "*", "cast(null as string) exclude", "'' tree_include", "'' tree_exclude", "false no_ignore",
+        "false tree_no_ignore", "false no_tree", "false no_blacklist")
+    run = DirectoryRun(spark, [str(tmp_path / "one"), str(tmp_path / "two")], options)
+    assert values(run.decisions, "project", "rel_path", "content_code") == {
+        ("one", "a.rs", "included"), ("one", "b.md", "include"), ("two", "a.rs", "max_size"), ("two", "b.md", "included")}
+    assert values(run.pack().where("section = 1"), "project", "path_order") == {("one", "a.rs"), ("two", "b.md")}
+
+
 @pytest.mark.skipif(os.geteuid() == 0, reason="root can read everything")
 def test_unreadable_file(spark, tmp_path):
     root = tmp_path / "proj"
