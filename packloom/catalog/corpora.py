@@ -41,6 +41,16 @@ def rule_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     return entries_from(rows, F.col("project"), F.col("rel_path"), F.col("content"))
 
 
+def document_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """An ignore file per document, with rules made of the document's own columns."""
+    number = F.col("doc_id").cast("string")
+    text = F.concat(
+        F.lit("# "), number, F.lit("\n*."), "lang", F.lit("\n!/"), "source", F.lit("/keep.*  \n\n"), number, F.lit("/\n/"),
+        "lang", F.lit("/**/"), number, F.lit(".log"))
+    return entries_from(
+        table(spark, sf_dir, "documents"), F.col("source"), F.concat("lang", F.lit("/"), number, F.lit("/.gitignore")), text)
+
+
 def ruled_workspaces(spark: SparkSession, sf_dir: str) -> DataFrame:
     return workspaces(spark, sf_dir).unionByName(rule_files(spark, sf_dir))
 

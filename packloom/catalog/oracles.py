@@ -365,11 +365,16 @@ def oracles() -> dict[str, str]:
         "blacklist_component": f"WITH {RULED} SELECT project, rel_path, {_component('rel_path')} AS rule FROM ruled",
         "blacklist_pattern": f"WITH {RULED} SELECT project, rel_path, {_pattern('rel_path')} AS rule FROM ruled",
         **filtered_sql,
-        "ignore_rules": f"""WITH {RULE_FILES}, lines AS (
+        "ignore_rules": f"""WITH {RULE_FILES}, texts AS (
             SELECT project, CASE rel_path WHEN 'src/.ignore' THEN 'src' ELSE '' END AS base_dir,
-                   CASE rel_path WHEN 'src/.ignore' THEN 3 WHEN '.gitignore' THEN 2 ELSE 1 END::BIGINT AS priority,
+                   CASE rel_path WHEN 'src/.ignore' THEN 3 WHEN '.gitignore' THEN 2 ELSE 1 END::BIGINT AS priority, content FROM rule_files
+            UNION ALL SELECT source, lang || '/' || doc_id, 2, '# ' || doc_id || chr(10) || '*.' || lang || chr(10) || '!/' || source
+                   || '/keep.*  ' || chr(10) || chr(10) || doc_id || '/' || chr(10) || '/' || lang || '/**/' || doc_id || '.log'
+            FROM documents),
+          lines AS (
+            SELECT project, base_dir, priority,
                    unnest(generate_series(1, len(string_split(content, chr(10))))) AS line,
-                   rtrim(unnest(string_split(content, chr(10)))) AS raw FROM rule_files),
+                   rtrim(unnest(string_split(content, chr(10)))) AS raw FROM texts),
           parts AS (
             SELECT *, starts_with(raw, '!') AS negated, ends_with(raw, '/') AS dir_only,
                    regexp_replace(regexp_replace(raw, '^(!|\\\\)', ''), '/$', '') AS body

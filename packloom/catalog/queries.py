@@ -123,7 +123,8 @@ def filter_without_blacklist(spark, sf_dir):
 
 @query
 def ignore_rules(spark, sf_dir):
-    found = ignore.ignore_rules(ignore.ignore_files(made.ruled_workspaces(spark, sf_dir)))
+    entries = made.ruled_workspaces(spark, sf_dir).unionByName(made.document_rules(spark, sf_dir))
+    found = ignore.ignore_rules(ignore.ignore_files(entries))
     return found.withColumns({c: F.col(c).cast("bigint") for c in ("priority", "line")})
 
 
