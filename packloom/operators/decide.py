@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 from packloom.functions.paths import link_escapes
 from packloom.functions.rules import filter_code, filter_rule, too_large
 from packloom.operators.config import Rules
-from packloom.operators.joins import fits_broadcast
+from packloom.operators.joins import unique_join
 
 INCLUDED = ["included", "included_lossy"]
 SKIPPED = ["max_size", "binary", "unreadable", "not_a_file"]
@@ -55,8 +55,7 @@ def with_marks(entries: DataFrame, marks: DataFrame | None) -> DataFrame:
     """Put saved marks on the entries by one join on the entry key, which is unique on both sides."""
     if marks is None:
         return entries
-    marks = F.broadcast(marks) if fits_broadcast(marks) else marks
-    marked = entries.drop("ignored", "is_output").join(marks, ["project", "rel_path"], "left")
+    marked = unique_join(entries.drop("ignored", "is_output"), marks, ["project", "rel_path"], "left")
     return marked.fillna(False, ["ignored", "is_output"])
 
 

@@ -29,6 +29,11 @@ def fits_broadcast(small: DataFrame, broadcast_bytes: int = BROADCAST_BYTES) ->
     return size <= broadcast_bytes
 
 
+def unique_join(big: DataFrame, small: DataFrame, keys: list[str], how: str) -> DataFrame:
+    """Join to a saved table on keys unique on both sides, which cannot be skewed; broadcast if it fits."""
+    return big.join(F.broadcast(small) if fits_broadcast(small) else small, keys, how)
+
+
 def measured_join(big: DataFrame, small: DataFrame, keys: list[str], spread_on: list[str], how: str = "inner",
                   broadcast_bytes: int = BROADCAST_BYTES) -> DataFrame:
     """Join a big table to a saved table that is usually small, whatever its size turns out to be.
@@ -42,15 +47,17 @@ def measured_join(big: DataFrame, small: DataFrame, keys: list[str], spread_on:
 
 
 def lookup_join(big: DataFrame, facts: DataFrame, keys: list[str], weight: str, spread_on: list[str],
-                heavy_keys: int = HEAVY_KEYS) -> DataFrame:
-    """Left join to ``facts`` (one row per key) when the facts are too many to replicate.
+                heavy_keys: int = HEAVY_KEYS, broadcast_bytes: int = BROADCAST_BYTES) -> DataFrame:
+    """Left join to saved ``facts`` (one row per key) that may be too many to replicate.
 
-    ``weight`` is a column of ``facts`` that counts the rows of ``big`` per key.  The
-    ``heavy_keys`` heaviest rows of ``facts``, a fixed number, are broadcast; all other keys go
-    through a shuffled join in which each holds at most 1/heavy_keys of ``big``.  Rows served by
-    the broadcast still pass the shuffle, spread evenly by their own hash.
+    ``weight`` is a column of ``facts`` that counts the rows of ``big`` per key.  If the facts do
+    not fit a broadcast, the ``heavy_keys`` heaviest, a fixed number, are broadcast; all other
+    keys go through a shuffled join in which each holds at most 1/heavy_keys of ``big``.  Rows
+    served by the broadcast still pass the shuffle, spread evenly by their own hash.
     """
     values = [c for c in facts.columns if c not in keys and c != weight]
+    if fits_broadcast(facts, broadcast_bytes):
+        return big.join(F.broadcast(facts.drop(weight)), keys, "left").select(*big.columns, *values)
     heavy = facts.orderBy(F.desc(weight), *keys).limit(heavy_keys).select(
         *keys, F.struct(*values).alias("_heavy"))
     light = facts.select(*keys, F.struct(*values).alias("_light"), F.lit(0).cast("bigint").alias("_spread"))

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from packloom.fixed_values import TREE_LAST, TREE_MIDDLE, TREE_UNDER_LAST, TREE_UNDER_MIDDLE
 from packloom.functions.paths import file_name, parent_dir, path_order, prefixes
-from packloom.operators.joins import lookup_join
+from packloom.operators.joins import lookup_join, unique_join
 from packloom.operators.saving import saved
 
 
@@ -15,27 +15,33 @@ def node_path(parent: Column, name: Column) -> Column:
     return F.when(parent == "", name).otherwise(F.concat(parent, F.lit("/"), name))
 
 
-def expand_nodes(entries: DataFrame) -> DataFrame:
-    """``(project, parent, name, is_dir)``: each entry and every ancestor it implies, once.
+def missing_directories(entries: DataFrame) -> DataFrame:
+    """``(project, rel_path)`` of the ancestors that paths imply and no entry stands for.
 
-    An implied ancestor is a directory; the entry's own row decides for itself.
+    Only directories are shuffled: entries meet the implied directories by a broadcast if those fit.
     """
-    steps = entries.select(
-        "project", "rel_path", "is_dir", F.explode(prefixes(F.col("rel_path"))).alias("path"))
-    return steps.groupBy(
-        "project", parent_dir(F.col("path")).alias("parent"), file_name(F.col("path")).alias("name")
-    ).agg(F.min(F.col("is_dir") | (F.col("path") != F.col("rel_path"))).alias("is_dir"))
+    implied = saved(
+        entries.select("project", F.explode(prefixes(F.col("rel_path"), with_self=False)).alias("rel_path")).distinct())
+    listed = unique_join(entries.select("project", "rel_path"), implied, ["project", "rel_path"], "left_semi")
+    return implied.join(listed, ["project", "rel_path"], "left_anti")
 
 
 def with_directories(entries: DataFrame) -> DataFrame:
     """Add the directories that the paths imply, as a listing of the files would show them."""
-    implied = (
-        entries.select("project", F.explode(prefixes(F.col("rel_path"), with_self=False)).alias("rel_path"))
-        .distinct()
-        .withColumns({"is_dir": F.lit(True), "is_file": F.lit(False)})
-    )
-    listed = entries.where("is_dir").select("project", "rel_path")
-    return entries.unionByName(implied.join(listed, ["project", "rel_path"], "left_anti"), allowMissingColumns=True)
+    added = missing_directories(entries).withColumns({"is_dir": F.lit(True), "is_file": F.lit(False)})
+    if "is_file" not in entries.columns:
+        added = added.drop("is_file")
+    return entries.unionByName(added, allowMissingColumns=True)
+
+
+def expand_nodes(entries: DataFrame) -> DataFrame:
+    """``(project, parent, name, is_dir)``: each entry and every ancestor it implies, once.
+
+    An implied ancestor is a directory; an entry of its own decides for itself.
+    """
+    path = F.col("rel_path")
+    return with_directories(entries.select("project", "rel_path", "is_dir")).select(
+        "project", parent_dir(path).alias("parent"), file_name(path).alias("name"), "is_dir")
 
 
 def directory_facts(nodes: DataFrame) -> DataFrame:
@@ -74,13 +80,8 @@ def directory_indents(directories: DataFrame) -> DataFrame:
 
 
 def indented(nodes: DataFrame) -> DataFrame:
-    """Add ``is_last`` and ``indent`` to nodes, both from their directory in one join.
-
-    Nodes and the tables per directory serve several joins each, so they are saved.
-    """
-    nodes = saved(nodes)
-    directories = saved(directory_facts(nodes))
-    facts = saved(directory_indents(directories))
+    """Add ``is_last`` and ``indent`` to nodes, both from their directory in one join."""
+    facts = saved(directory_indents(saved(directory_facts(nodes))))
     found = lookup_join(nodes, facts, ["project", "parent"], weight="n_children", spread_on=["name"])
     return found.withColumn("is_last", F.col("name") == F.col("last_name")).drop("last_name")
 

@@ -5,6 +5,7 @@ from pyspark.sql import functions as F
 
 from packloom import ScanConfig
 from packloom.functions.paths import path_order
+from packloom.operators import joins
 from packloom.operators.joins import lookup_join, measured_join, salted_join
 from packloom.operators.order import number_rows
 from packloom.operators.tree import expand_nodes, tree_lines, with_directories
@@ -58,6 +59,18 @@ def test_implied_directories_are_added_once(entries):
         ("a", True), ("a/b", True), ("a/b/c", False), ("a/b/d", False)]
 
 
+def test_a_path_that_is_both_file_and_directory(entries):
+    got = expand_nodes(entries({"a": "", "a/b": "", "c/d": ""}))
+    assert sorted((r.parent, r.name, r.is_dir) for r in got.collect()) == [
+        ("", "a", False), ("", "c", True), ("a", "b", False), ("c", "d", False)]
+
+
+def test_tree_without_broadcasts(entries, monkeypatch):
+    monkeypatch.setattr(joins, "fits_broadcast", lambda *_: False)
+    files = {f"hot/f{i}": "" for i in range(300)} | {f"d{i % 9}/e{i % 4}/x{i}": "" for i in range(100)}
+    assert drawn(tree_lines(entries(files))) == drawing(dict.fromkeys(files, False))
+
+
 def test_one_directory_with_most_of_the_files(entries):
     files = {f"hot/f{i:04}": "" for i in range(3000)} | {f"d{i}/x": "" for i in range(50)}
     assert drawn(tree_lines(entries(files))) == drawing(dict.fromkeys(files, False))
@@ -67,8 +80,9 @@ def test_joins_give_every_row_its_fact(spark):
     big = spark.range(4000).selectExpr("if(id % 3 = 0, 0, id % 40) as k", "id")
     facts = spark.range(38).selectExpr("id as k", "concat('v', id) as v", "if(id = 0, 1333, 100) as n")
     expected = {(r.k, r.id, f"v{r.k}" if r.k < 38 else None) for r in big.collect()}
-    for heavy in (1, 5, 1000):
-        assert values(lookup_join(big, facts, ["k"], "n", ["id"], heavy_keys=heavy), "k", "id", "v") == expected
+    for heavy, limit in ((1, 0), (5, 0), (1000, 0), (1000, 10**6)):
+        found = lookup_join(big, facts, ["k"], "n", ["id"], heavy_keys=heavy, broadcast_bytes=limit)
+        assert values(found, "k", "id", "v") == expected
     small = facts.drop("n")
     assert values(salted_join(big, small, ["k"], ["id"], "left"), "k", "id", "v") == expected
     for limit in (0, 10**6):
