@@ -131,7 +131,7 @@ def ignored_entries(listed: DataFrame, files: DataFrame, repositories: DataFrame
         F.lit(False).alias("negated"), F.lit(None).cast("string").alias("regex"))
     with_rules = files.select("project").distinct()
     entries = measured_join(
-        listed.select("project", "rel_path", "is_dir"), with_rules, ["project"], spread_on=["rel_path"], how="left_semi")
+        listed.select("project", "rel_path", "is_dir"), with_rules, ["project"], spread_on=["rel_path"], how="left_semi", part_of=files)
     above = prefixes(F.col("rel_path"), with_self=False)
 
     steps = entries.select("project", "rel_path", "is_dir", F.explode(F.concat(F.array(F.lit("")), above)).alias("base_dir"))
@@ -157,5 +157,5 @@ def ignored_entries(listed: DataFrame, files: DataFrame, repositories: DataFrame
     pruned = removed.where("is_dir").select("project", F.col("rel_path").alias("above"))
     inside = measured_join(
         entries.select("project", "rel_path", F.explode(above).alias("above")),
-        pruned, ["project", "above"], spread_on=["rel_path"])
+        pruned, ["project", "above"], spread_on=["rel_path"], part_of=removed)
     return removed.select("project", "rel_path").union(inside.select("project", "rel_path")).distinct()

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from packloom.operators.saving import measured
+
 # A key left to the shuffled join of `lookup_join` holds at most 1/HEAVY_KEYS of the big table.
 HEAVY_KEYS = 1000
 SALTS = 32
@@ -24,9 +26,8 @@ def salted_join(big: DataFrame, small: DataFrame, keys: list[str], spread_on: li
 
 
 def fits_broadcast(small: DataFrame, broadcast_bytes: int = BROADCAST_BYTES) -> bool:
-    """Measure a saved table: may it be sent to every executor?"""
-    size = small.agg(F.sum(F.octet_length(F.to_json(F.struct(*small.columns))))).first()[0] or 0
-    return size <= broadcast_bytes
+    """May the table be sent to every executor?"""
+    return measured(small)["bytes"] <= broadcast_bytes
 
 
 def unique_join(big: DataFrame, small: DataFrame, keys: list[str], how: str) -> DataFrame:
@@ -35,13 +36,13 @@ def unique_join(big: DataFrame, small: DataFrame, keys: list[str], how: str) ->
 
 
 def measured_join(big: DataFrame, small: DataFrame, keys: list[str], spread_on: list[str], how: str = "inner",
-                  broadcast_bytes: int = BROADCAST_BYTES) -> DataFrame:
+                  broadcast_bytes: int = BROADCAST_BYTES, part_of: DataFrame | None = None) -> DataFrame:
     """Join a big table to a saved table that is usually small, whatever its size turns out to be.
 
-    ``small`` is broadcast if it fits, so that ``big`` stays where it is, and otherwise joined
-    with salts.
+    ``small`` is broadcast if it (or the saved table it is a part of) fits, so that ``big`` stays
+    where it is, and otherwise joined with salts.
     """
-    if fits_broadcast(small, broadcast_bytes):
+    if fits_broadcast(small if part_of is None else part_of, broadcast_bytes):
         return big.join(F.broadcast(small), keys, how)
     return salted_join(big, small, keys, spread_on, how)
 

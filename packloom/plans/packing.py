@@ -13,7 +13,7 @@ from packloom.operators import render, stats
 from packloom.operators.config import ScanConfig, column_rules, compile_configs, with_configs, without_lists
 from packloom.operators.decide import apply_marks, inspection_code, inspection_rule, judge, marks_of, with_facts, with_links_to, with_marks
 from packloom.operators.ignore import ignore_files, ignored_entries, is_ignore_file
-from packloom.operators.saving import saved
+from packloom.operators.saving import measured, saved
 from packloom.operators.tree import with_directories
 from packloom.sources.content import attach_content, inspect_bytes
 from packloom.sources.directory import read_entries
@@ -48,7 +48,7 @@ class Run:
     def ignore_files(self) -> DataFrame | None:
         """The ignore files, None when there are none and nothing needs matching."""
         files = saved(self._ignore_files)
-        return None if files.isEmpty() else files
+        return files if measured(files)["rows"] else None
 
     @cached_property
     def marks(self) -> DataFrame | None:

@@ -16,7 +16,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from packloom.operators.saving import saved
+from packloom.operators.saving import measured, saved
 
 _ENTRY = (
     "project string, rel_path string, is_dir boolean, is_file boolean, length bigint, link_target string, "
@@ -88,8 +88,7 @@ def read_entries(spark: SparkSession, roots: list[str] | DataFrame) -> DataFrame
         roots = spark.createDataFrame([(os.path.basename(r) or ".", r) for r in resolved], "project string, root string")
     level = roots.select("project", "root", F.encode("root", "UTF-8").alias("location"))
     levels = []
-    while not level.isEmpty():
-        found = saved(level.repartition("location").mapInArrow(_list_directories, _ENTRY))
-        levels.append(found)
-        level = found.where("is_dir and read_error is null").select("project", "root", "location")
-    return reduce(DataFrame.unionByName, levels) if levels else spark.createDataFrame([], _ENTRY)
+    while not levels or measured(levels[-1])["rows"]:
+        levels.append(saved(level.repartition("location").mapInArrow(_list_directories, _ENTRY)))
+        level = levels[-1].where("is_dir and read_error is null").select("project", "root", "location")
+    return reduce(DataFrame.unionByName, levels)
