@@ -317,23 +317,18 @@ _OWN_EXCLUDE = f"""CASE WHEN list_contains(string_split(rel_path, '/'), exclude_
 _MANY = "(rel_path GLOB '*.txt' OR rel_path GLOB '*.md' OR rel_path GLOB '*.log' OR rel_path GLOB '*.rs')"
 
 
-def oracles() -> dict[str, str]:
-    merge = ", ".join(f"coalesce(c.{f}, p.{f}) AS {f}" for f in _FIELDS)
-    take = ", ".join(f"CASE WHEN c.project IS NOT NULL THEN c.{f} ELSE p.{f} END AS {f}" for f in _FIELDS)
-    edited = ", ".join(
-        f"CASE WHEN d.op IN ('update', 'save') THEN coalesce(d.{f}, p.{f}) "
-        f"WHEN d.op IN ('replace', 'save_whole') THEN d.{f} ELSE p.{f} END AS {f}"
-        for f in ("description", "include", "exclude", "max_size"))
-    full_join = "profiles p FULL JOIN changes c ON p.project = c.project AND p.name = c.name"
-    keys = "coalesce(c.project, p.project) AS project, coalesce(c.name, p.name) AS name"
-    filtered = lambda black: f"""WITH {RULED}, f AS (  -- noqa: E731
+def _filtered(black: str) -> str:
+    return f"""WITH {RULED}, f AS (
         SELECT project, rel_path, {black} AS black, {_ws_exclude('rel_path')} AS excl, {_ws_include('rel_path')} AS incl FROM ruled)
       SELECT project, rel_path,
-        CASE WHEN black IS NOT NULL THEN 'blacklist' WHEN excl IS NOT NULL THEN 'exclude' WHEN NOT incl THEN 'include' ELSE 'included' END AS code,
+        CASE WHEN black IS NOT NULL THEN 'blacklist' WHEN excl IS NOT NULL THEN 'exclude'
+             WHEN NOT incl THEN 'include' ELSE 'included' END AS code,
         CASE WHEN black IS NOT NULL THEN black WHEN excl IS NOT NULL THEN excl WHEN NOT incl THEN {_INCLUDE_TEXT} END AS rule FROM f"""
-    filtered_sql = {name: filtered(black).replace("  -- noqa: E731", "") for name, black in (
-        ("filter_decision", _blacklist("rel_path")), ("filter_without_blacklist", "NULL::VARCHAR"))}
-    resolved = lambda known: f"""{PROFILES}, {REQUESTS}, known AS ({known}), r AS (  -- noqa: E731
+
+
+def _resolved(known: str) -> str:
+    """CTEs resolving the requests against the files in ``known (project, status)``."""
+    return f"""{PROFILES}, {REQUESTS}, known AS ({known}), r AS (
         SELECT r.*, coalesce(requested, 'default') AS profile, k.status FROM requests r LEFT JOIN known k ON k.project = r.project),
       j AS (
         SELECT r.*, p.name IS NOT NULL AS found, p.* EXCLUDE (project, name, include, no_tree),
@@ -343,7 +338,17 @@ def oracles() -> dict[str, str]:
       s AS (SELECT *, CASE WHEN status IN ('legacy', 'invalid') THEN status
               WHEN requested IS NOT NULL AND NOT found AND status IS NULL THEN 'file_not_found'
               WHEN requested IS NOT NULL AND NOT found THEN 'profile_not_found' ELSE 'ok' END AS config_status FROM j)"""
-    resolved_sql = lambda known: resolved(known).replace("  -- noqa: E731", "")
+
+
+def oracles() -> dict[str, str]:
+    merge = ", ".join(f"coalesce(c.{f}, p.{f}) AS {f}" for f in _FIELDS)
+    take = ", ".join(f"CASE WHEN c.project IS NOT NULL THEN c.{f} ELSE p.{f} END AS {f}" for f in _FIELDS)
+    edited = ", ".join(
+        f"CASE WHEN d.op IN ('update', 'save') THEN coalesce(d.{f}, p.{f}) "
+        f"WHEN d.op IN ('replace', 'save_whole') THEN d.{f} ELSE p.{f} END AS {f}"
+        for f in ("description", "include", "exclude", "max_size"))
+    full_join = "profiles p FULL JOIN changes c ON p.project = c.project AND p.name = c.name"
+    keys = "coalesce(c.project, p.project) AS project, coalesce(c.name, p.name) AS name"
     return {
         "parse_patterns": """
           WITH l AS (SELECT source AS project, doc_id, list_filter(list_transform(
@@ -364,7 +369,8 @@ def oracles() -> dict[str, str]:
             FROM ws JOIN options USING (project)""",
         "blacklist_component": f"WITH {RULED} SELECT project, rel_path, {_component('rel_path')} AS rule FROM ruled",
         "blacklist_pattern": f"WITH {RULED} SELECT project, rel_path, {_pattern('rel_path')} AS rule FROM ruled",
-        **filtered_sql,
+        "filter_decision": _filtered(_blacklist("rel_path")),
+        "filter_without_blacklist": _filtered("NULL::VARCHAR"),
         "ignore_rules": f"""WITH {RULE_FILES}, texts AS (
             SELECT project, CASE rel_path WHEN 'src/.ignore' THEN 'src' ELSE '' END AS base_dir,
                    CASE rel_path WHEN 'src/.ignore' THEN 3 WHEN '.gitignore' THEN 2 ELSE 1 END::BIGINT AS priority, content FROM rule_files
@@ -469,12 +475,12 @@ def oracles() -> dict[str, str]:
           FROM listed JOIN ignored_paths USING (project, rel_path) GROUP BY project""",
         "classify_config": f"WITH {PROFILES} SELECT project, status FROM statuses",
         "parse_profiles": f"WITH {PROFILES} SELECT * FROM profiles",
-        "resolve_config": f"""WITH {resolved_sql('SELECT project, status FROM statuses')}
+        "resolve_config": f"""WITH {_resolved('SELECT project, status FROM statuses')}
           SELECT project, profile, config_status, coalesce(output_path, project || {_text(fixed.PACK_SUFFIX)}) AS output_path,
             coalesce(no_ignore, false) AS no_ignore, coalesce(include, saved_include) AS include, exclude, tree_include, tree_exclude,
             coalesce(no_tree, saved_no_tree, false) AS no_tree, coalesce(tree_no_ignore, no_ignore, false) AS tree_no_ignore,
             coalesce(max_size, {fixed.DEFAULT_MAX_KIB})::BIGINT AS max_size, coalesce(no_blacklist, false) AS no_blacklist FROM s""",
-        "missing_profile": f"""WITH {resolved_sql("SELECT project, status FROM statuses WHERE doc_id % 2 = 1")}
+        "missing_profile": f"""WITH {_resolved("SELECT project, status FROM statuses WHERE doc_id % 2 = 1")}
           SELECT project, profile, config_status FROM s""",
         "upsert_profiles": f"WITH {PROFILES}, {CHANGES} SELECT {keys}, {merge} FROM {full_join}",
         "replace_profiles": f"WITH {PROFILES}, {CHANGES} SELECT {keys}, {take} FROM {full_join}",

@@ -12,7 +12,6 @@ from pyspark.sql import functions as F
 
 from packloom import fixed_values
 from packloom.functions.globs import compile_patterns, glob_body, whole
-from packloom.functions.paths import file_name
 
 _UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 _LONGEST = 2**63 - 1

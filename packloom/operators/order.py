@@ -12,7 +12,8 @@ def number_rows(rows: DataFrame, group: str, order: str, name: str = "seq") -> D
     """Add ``name``: 1, 2, 3… within each ``group`` by ``order`` (unique within the group).
 
     Rows are range-partitioned by (group, order), so a large group spans many partitions.  Their
-    places are saved, because range bounds are sampled and may not come out the same twice.  Counts per group and partition, a small table, then give every partition its offset.
+    places are saved, because range bounds are sampled and may not come out the same twice.
+    Counts per group and partition, a small table, then give every partition its offset.
     """
     partitions = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     placed = saved(

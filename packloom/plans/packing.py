@@ -68,8 +68,8 @@ class Run:
     @cached_property
     def decisions(self) -> DataFrame:
         """Facts, codes and rules of every entry, and the tokens of included files' contents."""
-        measured = F.when(render.included("content"), self.tokens(F.col("content")))
-        judged = self._judge(self.listed).withColumn("content_tokens", measured).drop("content")
+        tokens = F.when(render.included("content"), self.tokens(F.col("content")))
+        judged = self._judge(self.listed).withColumn("content_tokens", tokens).drop("content")
         return apply_marks(with_marks(judged, self.marks), self.rules)
 
     @cached_property
@@ -150,8 +150,8 @@ class DirectoryRun(Run):
 
     @cached_property
     def decisions(self) -> DataFrame:
-        measured = F.when(render.included("content"), self.tokens(F.col("content")))
-        return self._read(self.listed, self.marks).withColumn("content_tokens", measured).drop("content")
+        tokens = F.when(render.included("content"), self.tokens(F.col("content")))
+        return self._read(self.listed, self.marks).withColumn("content_tokens", tokens).drop("content")
 
     @cached_property
     def survivors(self) -> DataFrame:

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from packloom.functions.content import decode_lossy, is_binary_bytes, is_lossy
-from packloom.sources.directory import os_error_text
+from packloom.sources.directory import os_error_text, spread_work
 
 _BATCH_BYTES = 32 * 1024 * 1024
 
@@ -44,7 +44,7 @@ def attach_content(entries: DataFrame, wanted: Column) -> DataFrame:
     A file that cannot be read gets a ``read_error`` instead of failing the task.  Rows are first
     spread evenly by path.
     """
-    spread = entries.withColumn("_wanted", F.coalesce(wanted, F.lit(False))).repartition("project", "rel_path")
+    spread = spread_work(entries.withColumn("_wanted", F.coalesce(wanted, F.lit(False))), "project", "rel_path")
     schema = T.StructType([*spread.schema.fields, T.StructField("content_bytes", T.BinaryType())])
     return spread.mapInArrow(_read_files, schema).drop("_wanted")
 

@@ -73,6 +73,14 @@ def _list_directories(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBa
                     yield pa.RecordBatch.from_pylist(rows, schema=_ARROW)
 
 
+def spread_work(rows: DataFrame, *keys: str) -> DataFrame:
+    """Spread rows whose work is file access evenly over ``spark.sql.shuffle.partitions`` tasks.
+
+    The number is given outright: AQE would merge such short rows into few partitions by size.
+    """
+    return rows.repartition(int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions")), *keys)
+
+
 def read_entries(spark: SparkSession, roots: list[str] | DataFrame) -> DataFrame:
     """Entries of the given directories, one project each, named after the directory.
 
@@ -89,6 +97,6 @@ def read_entries(spark: SparkSession, roots: list[str] | DataFrame) -> DataFrame
     level = roots.select("project", "root", F.encode("root", "UTF-8").alias("location"))
     levels = []
     while not levels or measured(levels[-1])["rows"]:
-        levels.append(saved(level.repartition("location").mapInArrow(_list_directories, _ENTRY)))
+        levels.append(saved(spread_work(level, "location").mapInArrow(_list_directories, _ENTRY)))
         level = levels[-1].where("is_dir and read_error is null").select("project", "root", "location")
     return reduce(DataFrame.unionByName, levels)
