@@ -6,8 +6,10 @@ from collections.abc import Callable
 
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from packloom.llm.common import table
+from packloom.llm import fingerprints, language, minhash, mixing, quality, toxicity
+from packloom.llm.common import held_out, remainder, table
 from packloom.llm.packing import pack_documents
 from packloom.llm.token_counts import count_tokens
 
@@ -21,13 +23,81 @@ def op1_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pack_documents(table(spark, sf_dir, "documents"), public_tokenizers.path(VOCABULARY), CONTEXT)
 
 
+def op3_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs, out = table(spark, sf_dir, "documents"), held_out("doc_id", 4, 2)
+    return language.identify(docs, language.train_languages(docs, ~out), out)
+
+
+def op4_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs, labels = table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels")
+    model = toxicity.train_ftrl(docs, labels, "toxic", remainder("doc_id", 5) != 0)
+    return toxicity.score_toxicity(docs, model, held_out("doc_id", 5, 0))
+
+
+def op5_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mixing.mix(table(spark, sf_dir, "documents"))
+
+
 def op7_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return count_tokens(table(spark, sf_dir, "documents"), public_tokenizers.path(VOCABULARY), CONTEXT)
 
 
+def op8_document_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return fingerprints.fingerprint(table(spark, sf_dir, "documents"))
+
+
+def op9_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return minhash.group_documents(table(spark, sf_dir, "documents"), shingle=2, percent=80)
+
+
+def op10_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs, labels = table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels")
+    model = quality.train_quality(docs, labels, "quality", remainder("doc_id", 3) != 1)
+    return quality.score_quality(docs, model, held_out("doc_id", 3, 1))
+
+
+MIXING_SQL = r"""
+WITH sized AS (
+  SELECT doc_id, source, coalesce(text, '') AS text,
+    len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+'))::BIGINT AS size FROM documents),
+keyed AS (
+  SELECT doc_id, source, size,
+    -ln((('0x' || substr(md5(coalesce(doc_id::VARCHAR, '')), 1, 13))::BIGINT + 1)::DOUBLE / 4503599627370496.0) * 4 / greatest(1,
+      ceil(4.0::DOUBLE / (1 + (length(text) - length(translate(text, '|#$%&*<>{}=~^_', '')))::DOUBLE / greatest(size, 1))))::INT AS key
+  FROM sized),
+sources AS (
+  SELECT source, sum(size)::BIGINT AS source_size, [1, 2, 3][((row_number() OVER (ORDER BY source IS NULL, source) - 1) % 3 + 1)::INT] AS weight
+  FROM keyed GROUP BY source),
+steps AS (
+  SELECT *, 3 * source_size::DOUBLE / weight AS stop,
+    sum(3 * source_size) OVER w AS words, sum(weight) OVER w AS weights FROM sources
+  WINDOW w AS (ORDER BY 3 * source_size::DOUBLE / weight, source NULLS LAST)),
+levels AS (
+  SELECT (t.total - s.words)::DOUBLE / (t.weights - s.weights) AS level, s.words, lead(s.stop) OVER (ORDER BY s.words, s.weights) AS next_stop
+  FROM (SELECT 0 AS words, 0 AS weights, 0.0::DOUBLE AS stop UNION ALL SELECT words, weights, stop FROM steps) s,
+    (SELECT sum(source_size) AS total, sum(weight) AS weights FROM sources) t
+  WHERE t.weights > s.weights),
+targets AS (
+  SELECT source, source_size, least(weight * (SELECT coalesce(level, 0) FROM levels WHERE next_stop IS NULL OR level < next_stop ORDER BY words LIMIT 1),
+    3 * source_size)::DOUBLE AS target FROM sources),
+planned AS (
+  SELECT *, CASE WHEN source_size > 0 THEN floor(target / source_size)::BIGINT ELSE 0 END AS epochs FROM targets),
+ordered AS (
+  SELECT k.doc_id, k.size, p.source_size, p.target, p.epochs, floor(p.target - p.epochs * p.source_size + 0.5)::BIGINT
+      - coalesce(sum(k.size) OVER (PARTITION BY k.source ORDER BY k.key, k.doc_id, k.size ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS room
+  FROM keyed k JOIN planned p ON k.source IS NOT DISTINCT FROM p.source)
+SELECT doc_id, size, source_size, target, (epochs * size + greatest(0, least(size, room)))::BIGINT AS taken,
+  (epochs + CASE WHEN size > 0 AND room >= size THEN 1 ELSE 0 END)::INT AS epochs,
+  CASE WHEN room < size THEN greatest(0, room) ELSE 0 END::BIGINT AS part_words
+FROM ordered
+"""
+
+
 def queries() -> dict[str, Query]:
-    return {f.__name__: f for f in (op1_best_fit_packing, op7_token_counts)}
+    return {f.__name__: f for f in (
+        op1_best_fit_packing, op3_language_id, op4_toxicity, op5_source_mixing, op7_token_counts,
+        op8_document_fingerprints, op9_minhash_near_dedup, op10_quality_classifier)}
 
 
 def oracles() -> dict[str, str]:
-    return {}
+    return {"op5_source_mixing": MIXING_SQL}
