@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from packloom.llm import fingerprints, language, minhash, mixing, quality, toxicity
+from packloom.llm import fingerprints, language, minhash, mixing, quality, suffix_tree, toxicity
 from packloom.llm.common import held_out, remainder, table
 from packloom.llm.packing import pack_documents
 from packloom.llm.token_counts import count_tokens
@@ -38,6 +38,11 @@ def op5_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix(table(spark, sf_dir, "documents"))
 
 
+def op6_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = held_out("doc_id", 7, 2)
+    return suffix_tree.score(table(spark, sf_dir, "documents"), ~out, out)
+
+
 def op7_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return count_tokens(table(spark, sf_dir, "documents"), public_tokenizers.path(VOCABULARY), CONTEXT)
 
@@ -95,7 +100,7 @@ FROM ordered
 
 def queries() -> dict[str, Query]:
     return {f.__name__: f for f in (
-        op1_best_fit_packing, op3_language_id, op4_toxicity, op5_source_mixing, op7_token_counts,
+        op1_best_fit_packing, op3_language_id, op4_toxicity, op5_source_mixing, op6_lm_scoring, op7_token_counts,
         op8_document_fingerprints, op9_minhash_near_dedup, op10_quality_classifier)}
 
 
