@@ -7,8 +7,9 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import functions as F
 
-from packloom.llm import fingerprints, language, minhash, mixing, quality, suffix_tree, toxicity
+from packloom.llm import fingerprints, language, minhash, mixing, neighbours, quality, suffix_tree, toxicity
 from packloom.llm.common import held_out, remainder, table
 from packloom.llm.packing import pack_documents
 from packloom.llm.token_counts import count_tokens
@@ -23,6 +24,10 @@ def op1_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pack_documents(table(spark, sf_dir, "documents"), public_tokenizers.path(VOCABULARY), CONTEXT)
 
 
+def op2_nearest_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return neighbours.nearest(table(spark, sf_dir, "embeddings"), F.pmod("vec_id", F.lit(20)) == 0, 20)
+
+
 def op3_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs, out = table(spark, sf_dir, "documents"), held_out("doc_id", 4, 2)
     return language.identify(docs, language.train_languages(docs, ~out), out)
@@ -100,7 +105,7 @@ FROM ordered
 
 def queries() -> dict[str, Query]:
     return {f.__name__: f for f in (
-        op1_best_fit_packing, op3_language_id, op4_toxicity, op5_source_mixing, op6_lm_scoring, op7_token_counts,
+        op1_best_fit_packing, op2_nearest_neighbours, op3_language_id, op4_toxicity, op5_source_mixing, op6_lm_scoring, op7_token_counts,
         op8_document_fingerprints, op9_minhash_near_dedup, op10_quality_classifier)}
 
 
