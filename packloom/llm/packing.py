@@ -1,10 +1,11 @@
 """Best-fit packing of documents into token sequences.
 
-Documents become pieces of at most ``capacity`` tokens, and pieces are put into bins in an order
-given by their hash.  A bucket of pieces has a fixed number of open bins; a bitset tells which
-amounts of free space they offer, a piece goes where least space is left over, and when a new bin
-needs a place the fullest one closes.  Bins still open at the end of a bucket are packed once
-more, as single items, in the same way, so that cutting the work into buckets costs no space.
+Documents become pieces of at most ``capacity`` tokens, and pieces are put into bins as they come.
+A bucket of pieces has a fixed number of open bins; a bitset tells which amounts of free space they
+offer, a piece goes where least space is left over, and when a new bin needs a place the fullest one
+closes.  Pieces are dealt to buckets by their hash and come in falling length.  Bins that are still
+open and not nearly full at the end of a bucket are packed once more, as single items, in the same
+way, so that cutting the work into buckets costs no space.
 
 Null and empty texts are one piece that holds the end id alone.  Repeated rows are packed each; an
 empty table gives no rows; other columns of the table are ignored.
@@ -26,7 +27,9 @@ from packloom.llm.pretokens import number_bytes, prove_whole_tokens, worker_pret
 
 #: Rows of a bucket, about, and bins that are open in it at a time.
 BUCKET_ROWS = 16_384
-OPEN_BINS = 256
+OPEN_BINS = 8_192
+#: A bin filled to this share is not packed again.
+NEARLY_FULL = 0.9
 
 PIECES = "doc_id bigint, piece int, start bigint, length bigint, ids_crc32 bigint"
 
@@ -92,7 +95,7 @@ def _packed(items: DataFrame, keys: list[str], capacity: int, bucket_rows: int,
     dealt = items.withColumn("_order", order).withColumn("_bucket", F.pmod(F.col("_order"), F.lit(buckets)))
 
     def pack(group: pd.DataFrame) -> pd.DataFrame:
-        group = group.sort_values(["_order", *keys], ignore_index=True)
+        group = group.sort_values(["length", "_order", *keys], ascending=False, ignore_index=True)
         bins, offsets, left = best_fit(group["length"].tolist(), capacity, open_bins)
         first = int(group["_bucket"].iloc[0]) << 24
         return group.drop(columns=["_order", "_bucket"]).assign(
@@ -114,7 +117,8 @@ def pack_pieces(pieces: DataFrame, capacity: int, bucket_rows: int = BUCKET_ROWS
     first = written(_packed(
         pieces.where(F.col("length") < capacity), ["doc_id", "piece", "start", "length", "ids_crc32"], capacity, bucket_rows, open_bins))
     left = written(
-        first.where("is_open").groupBy(F.col("bin").alias("from_bin")).agg(F.max(F.col("at") + F.col("length")).alias("length")))
+        first.where("is_open").groupBy(F.col("bin").alias("from_bin")).agg(F.max(F.col("at") + F.col("length")).alias("length"))
+        .where(F.col("length") <= capacity * NEARLY_FULL))
     moved = _packed(left, ["from_bin", "length"], capacity, bucket_rows, open_bins).select(
         "from_bin", F.col("bin").alias("to_bin"), F.col("at").alias("by"))
     placed = first.join(moved, first["bin"] == moved["from_bin"], "left").select(

@@ -1,0 +1,33 @@
+import random
+
+import pytest
+
+SCHEMA = ("doc_id bigint, text string, lang string, source string, n_chars bigint, score double, length int, size int, id bigint, "
+          "rank int, key string, block int, label int, text2 string")
+
+
+@pytest.fixture(scope="session")
+def hostile(spark):
+    """Documents with nulls in every column, empty, blank, odd and very long texts, copies, repeated rows and clashing names."""
+    rng = random.Random(5)
+    words = [a + b for a in "ba do ki lu me no pa ri su te".split() for b in "n r s t la mo".split()]
+    prose = lambda n: " ".join(rng.choice(words) for _ in range(n))
+    base = prose(120)
+    texts = [
+        None, "", " \t\n ", "...", "12 34", "word", "two words", "two words", "TWO Words", "a b c\x1cd\x85e", "café café İSTANBUL ß",
+        "<|endoftext|> it's <|startoftext|>ok", "\U0001f600 漢字仮名 힣", "x" * 5000, prose(30000), base, base, base + " end",
+        base.replace(" ", "\n", 20), base.upper(), prose(200), prose(200), "| a | b " * 60, "Same same " * 300]
+    sources = ["a", "b", None, "c\U0001f600", "a"]
+    rows = [(i, t, ["en", "fr", None][i % 3], sources[i % 5], None, 0.5, 1, 2, 3, 4, "k", 5, 1, "z") for i, t in enumerate(texts)]
+    rows += [rows[15], rows[15], rows[0], (None, "no id here at all", None, None, 3, *rows[0][5:]), (None, None, None, None, None, *[None] * 9)]
+    return spark.createDataFrame(rows, SCHEMA).repartition(3)
+
+
+@pytest.fixture(scope="session")
+def nothing(spark):
+    return spark.createDataFrame([], SCHEMA)
+
+
+@pytest.fixture(scope="session")
+def no_labels(spark):
+    return spark.createDataFrame([], "doc_id bigint, quality int, toxic int")
