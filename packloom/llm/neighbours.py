@@ -201,6 +201,10 @@ def _block(column: str, blocks: int) -> Column:
     return F.pmod(F.xxhash64(column), F.lit(blocks)).cast("int")
 
 
+def _no_rows(key: str, *lists: str) -> pd.DataFrame:
+    return pd.DataFrame({key: pd.Series([], dtype="int64")} | {c: pd.Series([], dtype=object) for c in lists})
+
+
 def search(graph: DataFrame, starts: DataFrame, width: int) -> DataFrame:
     """``query, ids, scores``: the best ``BEAM`` nodes found for each query node, its own left out, best first.
 
@@ -217,14 +221,14 @@ def search(graph: DataFrame, starts: DataFrame, width: int) -> DataFrame:
 
     def lists(asked: pd.DataFrame, block: pd.DataFrame) -> pd.DataFrame:
         if asked.empty:
-            return pd.DataFrame({"query": [], "found": []})
+            return _no_rows("query", "found")
         at = rows_of(asked["node"].to_numpy(), block["id"].to_numpy())
         found = pd.Series(block["ids"].to_numpy()[at]).groupby(asked["query"].to_numpy()).agg(lambda x: np.unique(np.concatenate(x.to_list())))
         return pd.DataFrame({"query": found.index, "found": found.to_list()})
 
     def scored(asked: pd.DataFrame, block: pd.DataFrame) -> pd.DataFrame:
         if asked.empty:
-            return pd.DataFrame({"query": [], "found": [], "scores": []})
+            return _no_rows("query", "found", "scores")
         ids, matrix = block["id"].to_numpy(), np.stack(block["vec"].to_list())
         out = []
         for query, vec, wanted in zip(asked["query"], asked["vec"], asked["found"], strict=True):
@@ -236,7 +240,7 @@ def search(graph: DataFrame, starts: DataFrame, width: int) -> DataFrame:
     def deal(state: pd.DataFrame, lists: pd.DataFrame) -> pd.DataFrame:
         """Nodes a query has not seen, by block."""
         if state.empty or lists.empty:
-            return pd.DataFrame({"query": [], "vec": [], "found": []})
+            return _no_rows("query", "vec", "found")
         new = np.setdiff1d(np.concatenate(lists["found"].to_list()), state["seen"].iloc[0])
         new = new[new != state["query"].iloc[0]]
         return pd.DataFrame({"query": [state["query"].iloc[0]], "vec": [state["vec"].iloc[0]], "found": [new]})
@@ -244,7 +248,7 @@ def search(graph: DataFrame, starts: DataFrame, width: int) -> DataFrame:
     def settle(state: pd.DataFrame, found: pd.DataFrame) -> pd.DataFrame:
         """The beam with what was found; what was expanded last is marked by being seen as such."""
         if state.empty:
-            return pd.DataFrame({c: [] for c in ("query", "vec", "seen", "ids", "scores", "expanded")})
+            return _no_rows("query", "vec", "seen", "ids", "scores", "expanded")
         row = state.iloc[0]
         ids = np.concatenate([row["ids"], *found["found"]]).astype(np.int64)
         scores = np.concatenate([row["scores"], *found["scores"]]).astype(float)
