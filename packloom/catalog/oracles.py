@@ -159,20 +159,31 @@ decided AS (
                  WHEN 'unreadable' THEN {_text(made.DENIED)} END AS content_rule,
             CASE tree_code WHEN 'blacklist' THEN black WHEN 'include' THEN {_TREE_INCLUDE_TEXT} END AS tree_rule FROM coded)"""
 
-# Requests: each file, a detour to it, its directory, a missing path, one outside.
-EXPLAINED = f"""{FULL}, requests AS (
-  SELECT DISTINCT project, unnest([rel_path, './x/..//' || rel_path, regexp_extract(rel_path, '^(.*)/', 1),
-    rel_path || '.gone', 'a/../../' || rel_path]) AS path FROM files),
+# Requests: what is asked, where it leads (null: outside), and what it passes through on the way.
+EXPLAINED = f"""{FULL}, named AS (
+  SELECT project, rel_path AS p, regexp_extract(rel_path, '^(.*)/', 1) AS dir, split_part(rel_path, '/', 1) AS top FROM files),
+requests AS (
+  SELECT project, p AS path, p AS leads, [] AS passed FROM named
+  UNION SELECT project, './' || top || '/..//' || p, p, [top] FROM named
+  UNION SELECT project, dir, dir, [] FROM named
+  UNION SELECT project, p || '.gone', p || '.gone', [] FROM named
+  UNION SELECT project, 'a/../../' || p, NULL, ['a'] FROM named
+  UNION SELECT project, 'nope/../' || p, p, ['nope'] FROM named
+  UNION SELECT project, p || '/.', p, [p] FROM named
+  UNION SELECT project, dir || '/.', CASE WHEN dir = '' THEN NULL ELSE dir END, CASE WHEN dir = '' THEN [] ELSE [dir] END FROM named),
+passes AS (
+  SELECT q.project, q.path, bool_and(d.rel_path IS NOT NULL) AS whole
+  FROM (SELECT project, path, unnest(passed) AS step FROM requests) q
+  LEFT JOIN (SELECT project, rel_path FROM decided WHERE is_dir) d ON d.project = q.project AND d.rel_path = q.step GROUP BY ALL),
 placed AS (
-  SELECT *, CASE WHEN starts_with(path, './x/..//') THEN substr(path, 9) ELSE path END AS rel_path,
-         starts_with(path, 'a/../../') AS outside FROM requests),
+  SELECT r.*, coalesce(whole, true) AS whole, leads IS NULL AS outside FROM requests r LEFT JOIN passes s ON s.project = r.project AND s.path = r.path),
 explained AS (
   SELECT p.project, p.path,
-    CASE WHEN outside THEN 'outside_root' WHEN p.rel_path = '' THEN 'include' ELSE coalesce(d.content_code, 'not_found') END AS content_code,
-    CASE WHEN outside THEN NULL WHEN p.rel_path = '' THEN {_INCLUDE_TEXT} ELSE d.content_rule END AS content_rule,
-    CASE WHEN outside THEN 'outside_root' WHEN p.rel_path = '' THEN 'include' ELSE d.tree_code END AS tree_code,
-    CASE WHEN outside THEN NULL WHEN p.rel_path = '' THEN {_TREE_INCLUDE_TEXT} ELSE d.tree_rule END AS tree_rule
-  FROM placed p LEFT JOIN decided d ON d.project = p.project AND d.rel_path = p.rel_path)"""
+    CASE WHEN NOT whole THEN 'not_found' WHEN outside THEN 'outside_root' WHEN leads = '' THEN 'include' ELSE coalesce(d.content_code, 'not_found') END AS content_code,
+    CASE WHEN NOT whole OR outside THEN NULL WHEN leads = '' THEN {_INCLUDE_TEXT} ELSE d.content_rule END AS content_rule,
+    CASE WHEN NOT whole THEN NULL WHEN outside THEN 'outside_root' WHEN leads = '' THEN 'include' ELSE d.tree_code END AS tree_code,
+    CASE WHEN NOT whole OR outside THEN NULL WHEN leads = '' THEN {_TREE_INCLUDE_TEXT} ELSE d.tree_rule END AS tree_rule
+  FROM placed p LEFT JOIN decided d ON d.project = p.project AND d.rel_path = p.leads)"""
 
 
 def _rule_sentence(code: str, rule: str) -> str:
@@ -299,13 +310,22 @@ CHANGES = """changes AS (
 EDITS = f"""{PROFILES}, {CHANGES}, edits AS (
   SELECT * EXCLUDE (name), ['create', 'update', 'delete', 'rename', 'replace', 'save', 'save_whole'][(doc_id // 8) % 7 + 1] AS op,
          ['default', 'wide', 'extra', 'not valid'][(doc_id // 56) % 4 + 1] AS name,
-         CASE WHEN (doc_id // 8) % 7 = 3 THEN ['moved', 'wide'][(doc_id // 64) % 2 + 1] END AS new_name FROM changes),
-outcomes AS (
+         CASE WHEN (doc_id // 8) % 7 = 3 THEN ['moved', 'wide'][(doc_id // 64) % 2 + 1] END AS new_name FROM changes
+  UNION ALL SELECT * EXCLUDE (name), 'rename', 'wide', 'moved' FROM changes WHERE doc_id % 16 = 0
+  UNION ALL SELECT * EXCLUDE (name), 'create', 'moved', NULL FROM changes WHERE doc_id % 48 = 0),
+judged AS (
   SELECT e.*, CASE WHEN e.name = 'not valid' THEN 'invalid_name' WHEN s.status <> 'ok' THEN 'invalid_file'
       WHEN op = 'rename' AND EXISTS (SELECT 1 FROM profiles p WHERE p.project = e.project AND p.name = e.new_name) THEN 'already_exists'
       WHEN op = 'create' AND x.name IS NOT NULL THEN 'already_exists'
       WHEN op NOT IN ('create', 'save', 'save_whole') AND x.name IS NULL THEN 'not_found' ELSE 'ok' END AS status
-  FROM edits e JOIN statuses s ON s.project = e.project LEFT JOIN profiles x ON x.project = e.project AND x.name = e.name)"""
+  FROM edits e JOIN statuses s ON s.project = e.project LEFT JOIN profiles x ON x.project = e.project AND x.name = e.name),
+claims AS (
+  SELECT project, name AS claim FROM judged WHERE status = 'ok'
+  UNION ALL SELECT project, new_name FROM judged WHERE status = 'ok' AND op = 'rename'),
+twice AS (SELECT project, claim FROM claims GROUP BY ALL HAVING count(*) > 1),
+outcomes AS (
+  SELECT * REPLACE (CASE WHEN status = 'ok' AND EXISTS (SELECT 1 FROM twice t WHERE t.project = j.project
+      AND (t.claim = j.name OR (j.op = 'rename' AND t.claim = j.new_name))) THEN 'claimed_twice' ELSE status END AS status) FROM judged j)"""
 _OPTIONS = """options AS (
   SELECT project, exclude_lang, n, n % 2 = 0 AS tree_all, n % 3 = 0 AS no_ignore,
          CASE n % 4 WHEN 0 THEN false WHEN 1 THEN true ELSE n % 3 = 0 END AS tree_no_ignore,
@@ -340,6 +360,34 @@ def _resolved(known: str) -> str:
               WHEN requested IS NOT NULL AND NOT found THEN 'profile_not_found' ELSE 'ok' END AS config_status FROM j)"""
 
 
+# Workspaces under options resolved from profile files, one per project, in every state.
+PROFILE_RUN = f"""{WS}, {PROFILES}, firsts AS (
+  SELECT source AS project, min(doc_id) AS doc_id, CAST(regexp_extract(source, '(\\d+)$', 1) AS BIGINT) AS n FROM documents GROUP BY source),
+asked AS (
+  SELECT project, 'doc-' || doc_id AS doc, n, CASE WHEN n % 6 = 5 THEN 'wide' END AS requested, CASE WHEN n % 5 = 1 THEN 'a/' END AS own_exclude
+  FROM firsts WHERE n % 7 <> 6),
+resolved AS (
+  SELECT a.project, p.include, coalesce(own_exclude, p.exclude) AS exclude, coalesce(p.tree_include, p.include) AS tree_include,
+    coalesce(p.no_tree, false) AS no_tree, coalesce(p.max_size, 500) AS max_size,
+    CASE WHEN s.status <> 'ok' THEN s.status WHEN requested IS NOT NULL AND p.name IS NULL THEN 'profile_not_found'
+         WHEN n % 11 = 8 THEN 'several rows of options' END AS config_error
+  FROM asked a JOIN statuses s ON s.project = a.doc LEFT JOIN profiles p ON p.project = a.doc AND p.name = coalesce(requested, 'default')),
+entries AS (
+  SELECT project, rel_path, length, false AS is_dir FROM ws
+  UNION ALL SELECT DISTINCT project, unnest({_prefixes('rel_path', False)}) AS rel_path, NULL, true FROM ws),
+profiled AS (
+  SELECT e.project, e.rel_path, e.is_dir, e.length, {_blacklist('e.rel_path')} AS black, coalesce(starts_with(e.rel_path, r.exclude), false) AS excl, r.exclude,
+    r.include, coalesce(r.include, '') = '' OR ends_with(e.rel_path, substr(r.include, 2)) AS incl,
+    coalesce(r.tree_include, '') = '' OR ends_with(e.rel_path, substr(r.tree_include, 2)) AS tree_incl,
+    coalesce(r.no_tree, false) AS no_tree, coalesce(r.max_size, 500) AS max_size
+  FROM entries e LEFT JOIN resolved r ON r.project = e.project WHERE r.config_error IS NULL),
+profile_codes AS (
+  SELECT *, CASE WHEN black IS NOT NULL THEN 'blacklist' WHEN excl THEN 'exclude' WHEN NOT incl THEN 'include' WHEN is_dir THEN 'not_a_file'
+      WHEN length > max_size * 1024 THEN 'max_size' ELSE 'included' END AS content_code,
+    CASE WHEN no_tree THEN 'tree_disabled' WHEN black IS NOT NULL THEN 'blacklist' WHEN excl THEN 'exclude' WHEN NOT tree_incl THEN 'include'
+      ELSE 'included' END AS tree_code FROM profiled)"""
+
+
 def oracles() -> dict[str, str]:
     merge = ", ".join(f"coalesce(c.{f}, p.{f}) AS {f}" for f in _FIELDS)
     take = ", ".join(f"CASE WHEN c.project IS NOT NULL THEN c.{f} ELSE p.{f} END AS {f}" for f in _FIELDS)
@@ -491,6 +539,12 @@ def oracles() -> dict[str, str]:
           UNION ALL SELECT d.project, d.name, d.description, d.include, d.exclude, d.max_size FROM done d
           LEFT JOIN profiles p ON p.project = d.project AND p.name = d.name
           WHERE d.op IN ('create', 'save', 'save_whole') AND p.name IS NULL""",
+        "profile_run": f"""WITH {PROFILE_RUN} SELECT project, rel_path, content_code, tree_code,
+            CASE content_code WHEN 'blacklist' THEN black WHEN 'exclude' THEN exclude WHEN 'include' THEN include
+              WHEN 'max_size' THEN 'max-size = ' || max_size || ' KiB, actual = ' || length || ' bytes' END AS content_rule FROM profile_codes""",
+        "config_errors": f"WITH {PROFILE_RUN} SELECT project, config_error FROM resolved WHERE config_error IS NOT NULL",
+        "current_outputs": """SELECT 'doc-' || doc_id AS project, CASE doc_id % 6 WHEN 0 THEN 'out/' || lang || '.md' ELSE lang || '.md' END AS rel_path
+            FROM documents WHERE doc_id % 6 IN (0, 2)""",
         "valid_profile_name": f"""WITH n AS (SELECT doc_id, CASE WHEN doc_id % 6 = 5 THEN '' ELSE lang END
               || {_pick('doc_id', '.api-1', '/api', ' api', '_api' + chr(10), 'é', '')} AS name FROM documents)
           SELECT doc_id, name, doc_id % 6 = 0 AS valid FROM n""",

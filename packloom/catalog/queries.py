@@ -205,12 +205,14 @@ def tree_rule_inheritance(spark, sf_dir):
 
 
 def _requests(spark, sf_dir):
-    """Per file: its path, a detour to it, its directory, a missing path and one outside."""
+    """Per file: its path, its directory, paths missing and outside, and detours, some through what is no directory."""
     files = made.full_workspaces(spark, sf_dir).select("project", "rel_path")
     path = F.col("rel_path")
+    folder = F.regexp_extract(path, "^(.*)/", 1)
     return files.select("project", F.explode(F.array(
-        path, F.concat(F.lit("./x/..//"), path), F.regexp_extract(path, "^(.*)/", 1), F.concat(path, F.lit(".gone")),
-        F.concat(F.lit("a/../../"), path))).alias("path")).distinct()
+        path, F.concat(F.lit("./"), F.substring_index(path, "/", 1), F.lit("/..//"), path), folder, F.concat(path, F.lit(".gone")),
+        F.concat(F.lit("a/../../"), path), F.concat(F.lit("nope/../"), path), F.concat(path, F.lit("/.")),
+        F.concat(folder, F.lit("/.")))).alias("path")).distinct()
 
 
 @query
@@ -226,7 +228,7 @@ def decision_text(spark, sf_dir):
 @query
 def skip_reason(spark, sf_dir):
     run = _full_run(spark, sf_dir)
-    reason = explain.skip_reason(F.col("content_code"), run.rules.max_kib, F.col("length"), F.col("read_error"))
+    reason = explain.skip_reason(F.col("content_code"), run.rules.max_kib, F.col("length"), F.col("read_error"), F.col("is_dir"))
     return run.decisions.select("project", "rel_path", reason.alias("reason")).where("reason is not null")
 
 
@@ -388,6 +390,50 @@ def resolve_config(spark, sf_dir):
         _profile_requests(spark, sf_dir), profiles.parse_profiles(files), profiles.classify_configs(files))
 
 
+def _profiled_run(spark, sf_dir):
+    """Workspaces under options that are resolved from a profile file per project, in every state.
+
+    A project's file is that of its first document; every seventh project asks for nothing and has
+    no row of options, and every sixth asks for a profile.
+    """
+    entries = made.workspaces(spark, sf_dir)
+    first = corpora.table(spark, sf_dir, "documents").groupBy(F.col("source").alias("project")).agg(F.min("doc_id").alias("doc_id"))
+    number = F.regexp_extract("project", r"(\d+)$", 1).cast("bigint")
+    texts = made.profile_texts(spark, sf_dir).withColumnRenamed("project", "_doc")
+    files = first.join(texts, F.concat(F.lit("doc-"), first["doc_id"].cast("string")) == texts["_doc"]).select("project", "text")
+    asked = first.where(number % 7 != 6).select(
+        "project", F.when(number % 6 == 5, "wide").alias("requested"), F.when(number % 5 == 1, "a/").alias("exclude"),
+        F.when(number % 4 == 1, "src/../docs/./en/out.md").alias("output_path"))
+    twice = asked.where(number % 11 == 8)
+    resolved = profiles.resolve_configs(asked, profiles.parse_profiles(files), profiles.classify_configs(files))
+    return Run(entries, resolved.unionByName(resolved.join(twice.select("project"), "project", "left_semi")))
+
+
+@query
+def profile_run(spark, sf_dir):
+    run = _profiled_run(spark, sf_dir)
+    return run.decisions.select("project", "rel_path", "content_code", "content_rule", "tree_code")
+
+
+@query
+def config_errors(spark, sf_dir):
+    return _profiled_run(spark, sf_dir).config_errors()
+
+
+@query
+def current_outputs(spark, sf_dir):
+    """Outputs inside and outside of their projects, by relative and absolute paths."""
+    docs, number = corpora.table(spark, sf_dir, "documents"), F.col("doc_id")
+    project, name = F.concat(F.lit("doc-"), number.cast("string")), F.concat("lang", F.lit(".md"))
+    root = F.concat(F.lit("/corpus/"), project)
+    path = (
+        F.when(number % 6 == 0, F.concat(F.lit("./out//"), name)).when(number % 6 == 1, F.concat(F.lit("../"), name))
+        .when(number % 6 == 2, F.concat(root, F.lit("/out/../"), name)).when(number % 6 == 3, F.concat(F.lit("/elsewhere/"), name))
+        .when(number % 6 == 4, F.concat(root, F.lit("x/"), name)).otherwise(".."))
+    return profiles.current_outputs(docs.select(project.alias("project"), path.alias("output_path")),
+                                    docs.select(project.alias("project"), root.alias("root")))
+
+
 @query
 def missing_profile(spark, sf_dir):
     """Requests against the files of every other document only, so that some have no file."""
@@ -424,9 +470,14 @@ def replace_profiles(spark, sf_dir):
 def _profile_edits(spark, sf_dir):
     number = F.regexp_extract("project", r"(\d+)$", 1).cast("bigint")
     op = corpora.pick(F.floor(number / 8), "create", "update", "delete", "rename", "replace", "save", "save_whole")
-    return _profile_changes(spark, sf_dir).drop("name").select(
+    changes = _profile_changes(spark, sf_dir).drop("name")
+    edits = changes.select(
         "*", op.alias("op"), corpora.pick(F.floor(number / 56), "default", "wide", "extra", "not valid").alias("name"),
         F.when(op == "rename", corpora.pick(F.floor(number / 64), "moved", "wide")).alias("new_name"))
+    # Some projects get further edits of the same table, a few of which claim one name twice.
+    more = lambda every, op, name, new: changes.where(number % every == 0).select(
+        "*", F.lit(op).alias("op"), F.lit(name).alias("name"), F.lit(new).cast("string").alias("new_name"))
+    return edits.unionByName(more(16, "rename", "wide", "moved")).unionByName(more(48, "create", "moved", None))
 
 
 @query

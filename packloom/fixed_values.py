@@ -1,14 +1,19 @@
-"""Every constant here must equal the tool whose results are matched.
+"""Word lists, sentences and drawing pieces that results depend on.
 
-They are data, not logic.  Nothing else in the package spells one of them out.
+They are data, not logic.
 """
 
+# This engine's own file names.  Corpora that another tool left its files in are read by handing
+# ``profiles.profile_files`` and ``resolve_configs`` that tool's names, and ``ScanConfig.blacklist`` what to block.
+PROFILE_FILE = ".packloomrc"
+PACK_SUFFIX = ".packloom"
+
 # Path components that block a file, compared without ASCII case.
 BLACKLIST_COMPONENTS = [
     ".git",
     ".gitignore",
     ".env",
-    ".onesourcerc",
+    PROFILE_FILE,
     ".svn",
     ".hg",
     "node_modules",
@@ -39,15 +44,11 @@ BLACKLIST_PATTERNS = [
     "*.key",
     "*.p12",
     "*.pfx",
-    "*.onesource",
-    ".onesource-tmp-*",
-    ".onesource-backup-*",
+    f"*{PACK_SUFFIX}",
+    f"{PACK_SUFFIX}-tmp-*",
+    f"{PACK_SUFFIX}-backup-*",
 ]
 
-# Name of a project's profile file and suffix of its default pack name.
-PROFILE_FILE = ".onesourcerc"
-PACK_SUFFIX = ".onesource"
-
 # Option defaults.
 DEFAULT_MAX_KIB = 500
 DEFAULT_PROFILE = "default"
@@ -80,11 +81,13 @@ TREE_UNDER_MIDDLE = "│   "
 # Closing of a framed file.
 BLOCK_CLOSING = "\n</file>\n\n"
 
-# The public cl100k_base split pattern and special tokens.
-BPE_SPLIT = (
-    r"""'(?i:[sdmt]|ll|ve|re)|[^\r\n\p{L}\p{N}]?+\p{L}++|\p{N}{1,3}+| ?[^\s\p{L}\p{N}]++[\r\n]*+"""
-    r"""|\s++$|\s*[\r\n]|\s+(?!\S)|\s"""
-)
+# Why a file that passed the rules was not attached.
+SKIP_TOO_LARGE = "larger than %d KiB: %d bytes"
+SKIP_BINARY = "binary file"
+SKIP_UNREADABLE = "unreadable: "
+SKIP_DIRECTORY_LINK = "unreadable: read: Is a directory (os error 21)"
+
+# Special tokens of the public cl100k_base encoding.
 BPE_SPECIAL_TOKENS = {
     "<|endoftext|>": 100257,
     "<|fim_prefix|>": 100258,

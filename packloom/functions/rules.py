@@ -92,30 +92,30 @@ def blacklist_component(path: Column) -> Column:
     return F.when(found != "", F.element_at(canonical, found))
 
 
-def blacklist_pattern(path: Column) -> Column:
-    """First blacklist glob that matches the whole path or the file name, else null."""
-    globs = fixed_values.BLACKLIST_PATTERNS
+def blacklist_pattern(path: Column, more: tuple[str, ...] = ()) -> Column:
+    """First blacklist glob, or one of ``more``, that matches the whole path or the file name, else null."""
+    globs = [*fixed_values.BLACKLIST_PATTERNS, *more]
     return F.coalesce(*[F.when(path.rlike(_pattern_regex([g])), F.lit(g)) for g in globs])
 
 
-def blacklisted(path: Column) -> Column:
-    return ascii_lower(path).rlike(_COMPONENT) | path.rlike(_pattern_regex(fixed_values.BLACKLIST_PATTERNS))
+def blacklisted(path: Column, more: tuple[str, ...] = ()) -> Column:
+    return ascii_lower(path).rlike(_COMPONENT) | path.rlike(_pattern_regex([*fixed_values.BLACKLIST_PATTERNS, *more]))
 
 
-def filter_code(path: Column, include, exclude, no_blacklist: Column) -> Column:
+def filter_code(path: Column, include, exclude, no_blacklist: Column, more: tuple[str, ...] = ()) -> Column:
     """blacklist, exclude, include or included, in that order; exclude always wins over include."""
     return (
-        F.when(~no_blacklist & blacklisted(path), "blacklist")
+        F.when(~no_blacklist & blacklisted(path, more), "blacklist")
         .when(exclude.matches(path), "exclude")
         .when(include.is_set() & ~include.matches(path), "include")
         .otherwise("included")
     )
 
 
-def filter_rule(code: Column, path: Column, include, exclude) -> Column:
+def filter_rule(code: Column, path: Column, include, exclude, more: tuple[str, ...] = ()) -> Column:
     """The rule behind a filter code; worked out only for rows that have such a code."""
     return (
-        F.when(code == "blacklist", F.coalesce(blacklist_component(path), blacklist_pattern(path)))
+        F.when(code == "blacklist", F.coalesce(blacklist_component(path), blacklist_pattern(path, more)))
         .when(code == "exclude", exclude.first_match(path))
         .when(code == "include", include.text())
     )

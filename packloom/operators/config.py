@@ -29,11 +29,15 @@ class Rules:
     no_tree: Column
     no_blacklist: Column
     max_kib: Column
+    blacklist: tuple[str, ...] = ()
 
 
 @dataclass(frozen=True)
 class ScanConfig:
-    """Options shared by every project.  Tree settings left at None follow the content settings."""
+    """Options shared by every project.  Tree settings left at None follow the content settings.
+
+    ``blacklist`` holds globs beyond the built-in ones, such as the files another tool leaves behind.
+    """
 
     include: str | None = None
     exclude: str | None = None
@@ -44,6 +48,7 @@ class ScanConfig:
     no_tree: bool = False
     no_blacklist: bool = False
     max_size: int = DEFAULT_MAX_KIB
+    blacklist: tuple[str, ...] = ()
 
     def rules(self) -> Rules:
         # An empty tree list is set, and so replaces the content list by "no filter".
@@ -59,6 +64,7 @@ class ScanConfig:
             no_tree=F.lit(self.no_tree),
             no_blacklist=F.lit(self.no_blacklist),
             max_kib=F.lit(self.max_size).cast("bigint"),
+            blacklist=self.blacklist,
         )
 
 
@@ -72,24 +78,33 @@ def effective_tree_rules(configs: DataFrame) -> DataFrame:
 
 
 def compile_configs(resolved: DataFrame) -> DataFrame:
-    """Compile the pattern lists of resolved rows (one per project).
+    """One row per project: its pattern lists compiled, and why it is held back, if it is.
 
-    ``config_error`` names the first bad glob; such a project fails as a whole and the others
-    go on.  Keep the rows with an error to report them, and join only the rest.
+    ``config_error`` is the status of a project whose options could not be resolved
+    (``config_status`` other than ok), else the first bad glob, else that the project has several
+    rows of options.  Such a project fails as a whole, and the others go on.
     """
+    status = F.col("config_status") if "config_status" in resolved.columns else F.lit("ok")
     lists = effective_tree_rules(resolved).select(
-        "project", "max_size", *_FLAGS, *[compiled_patterns(F.col(c)).alias(f"_{c}") for c in _LISTS]
-    )
-    return lists.withColumn("config_error", F.coalesce(*[F.col(f"_{c}")["error"] for c in _LISTS]))
+        "project", "max_size", *_FLAGS, *[compiled_patterns(F.col(c)).alias(f"_{c}") for c in _LISTS],
+        F.when(status != "ok", status).alias("_status"))
+    errors = F.coalesce("_status", *[F.col(f"_{c}")["error"] for c in _LISTS])
+    kept = [c for c in lists.columns if c not in ("project", "_status")]
+    one = lists.withColumn("_error", errors).groupBy("project").agg(
+        *[F.first(c).alias(c) for c in kept], F.min("_error").alias("_error"), F.count(F.lit(1)).alias("_rows"))
+    repeated = F.when(F.col("_rows") > 1, F.lit("several rows of options"))
+    return one.withColumn("config_error", F.coalesce("_error", repeated)).drop("_error", "_rows")
 
 
 def with_configs(entries: DataFrame, compiled: DataFrame) -> DataFrame:
-    """Put each project's options on its entries; a project whose options are invalid has no rows.
+    """Put each project's options on its entries.
 
-    Options are unique per project and few next to the entries, which may carry their texts.
+    A project without options has the defaults; one that is held back has no rows.  ``compiled``
+    is a saved table, few rows next to the entries, which may carry their texts.
     """
-    good = compiled.where("config_error is null").drop("config_error")
-    return measured_join(entries, good, ["project"], spread_on=["rel_path"])
+    joined = measured_join(entries, compiled, ["project"], spread_on=["rel_path"], how="left")
+    default = {**{c: F.coalesce(c, F.lit(False)) for c in _FLAGS}, "max_size": F.coalesce("max_size", F.lit(DEFAULT_MAX_KIB))}
+    return joined.where("config_error is null").drop("config_error").withColumns(default)
 
 
 def without_lists(judged: DataFrame) -> DataFrame:

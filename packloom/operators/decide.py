@@ -31,12 +31,15 @@ def with_facts(entries: DataFrame) -> DataFrame:
 
 
 def with_links_to(outputs: DataFrame, entries: DataFrame) -> DataFrame:
-    """The outputs and the links that lead to them, which are the same files."""
+    """The outputs, what those among them that are links lead to, and all links that lead to either: the same files."""
     inside = F.expr("substring(link_target, length(rtrim('/', root)) + 2)")
     links = entries.where(F.col("link_target").isNotNull() & ~link_error()).select(
         "project", F.col("rel_path").alias("_link"), inside.alias("rel_path"))
-    found = links.join(outputs.select("project", "rel_path"), ["project", "rel_path"])
-    return outputs.select("project", "rel_path").unionByName(found.select("project", F.col("_link").alias("rel_path")))
+    outputs = outputs.select("project", "rel_path")
+    targets = links.join(outputs.withColumnRenamed("rel_path", "_link"), ["project", "_link"]).select("project", "rel_path")
+    files = outputs.unionByName(targets).distinct()
+    found = links.join(files, ["project", "rel_path"])
+    return files.unionByName(found.select("project", F.col("_link").alias("rel_path")))
 
 
 def marks_of(ignored: DataFrame | None, outputs: DataFrame | None) -> DataFrame | None:
@@ -94,16 +97,16 @@ def judge(entries: DataFrame, rules: Rules) -> DataFrame:
     ``entries`` have their facts (see :func:`with_facts`).  For the tree, size, bytes and encoding never matter.
     """
     path = F.col("rel_path")
-    content = filter_code(path, rules.include, rules.exclude, rules.no_blacklist)
-    tree = filter_code(path, rules.tree_include, rules.tree_exclude, rules.no_blacklist)
+    content = filter_code(path, rules.include, rules.exclude, rules.no_blacklist, rules.blacklist)
+    tree = filter_code(path, rules.tree_include, rules.tree_exclude, rules.no_blacklist, rules.blacklist)
     content_code, tree_code = F.col("content_code"), F.col("tree_code")
     return entries.withColumns({
         "content_code": F.when(content != "included", content).otherwise(inspection_code(rules)),
         "tree_code": F.when(rules.no_tree, "tree_disabled").otherwise(tree),
     }).withColumns({
         "content_rule": F.coalesce(
-            filter_rule(content_code, path, rules.include, rules.exclude), inspection_rule(content_code, rules)),
-        "tree_rule": filter_rule(tree_code, path, rules.tree_include, rules.tree_exclude),
+            filter_rule(content_code, path, rules.include, rules.exclude, rules.blacklist), inspection_rule(content_code, rules)),
+        "tree_rule": filter_rule(tree_code, path, rules.tree_include, rules.tree_exclude, rules.blacklist),
     })
 
 

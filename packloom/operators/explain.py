@@ -5,8 +5,9 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from packloom.fixed_values import DECISION_TEXT
-from packloom.functions.paths import normalized
+from packloom.fixed_values import DECISION_TEXT, SKIP_BINARY, SKIP_DIRECTORY_LINK, SKIP_TOO_LARGE, SKIP_UNREADABLE
+from packloom.functions.paths import normalized, prefixes
+from packloom.operators.saving import measured, saved
 
 
 def decision_text(code: Column) -> Column:
@@ -26,18 +27,37 @@ def rule_text(code: Column, rule: Column) -> Column:
     )
 
 
-def skip_reason(code: Column, max_kib: Column, length: Column, read_error: Column) -> Column:
-    """Why a file that passed the rules was not attached, null otherwise."""
+def skip_reason(code: Column, max_kib: Column, length: Column, read_error: Column, is_dir: Column) -> Column:
+    """Why a file that passed the rules was not attached, null otherwise; a directory is no file, a link to one is."""
     return (
-        F.when(code == "max_size", F.format_string("larger than %d KiB: %d bytes", max_kib, length))
-        .when(code == "binary", F.lit("binary file"))
-        .when(code == "unreadable", F.concat(F.lit("unreadable: "), read_error))
+        F.when(code == "max_size", F.format_string(SKIP_TOO_LARGE, max_kib, length))
+        .when(code == "binary", F.lit(SKIP_BINARY))
+        .when((code == "unreadable") & ~is_dir, F.concat(F.lit(SKIP_UNREADABLE), read_error))
+        .when((code == "not_a_file") & ~is_dir, F.lit(SKIP_DIRECTORY_LINK))
     )
 
 
+def _passed(path: Column) -> Column:
+    """The directories a path goes through on detours: before every ``..``, ``.`` and doubled or trailing slash."""
+    start = F.struct(F.array().cast("array<string>").alias("at"), F.array().cast("array<string>").alias("passed"))
+
+    def step(state: Column, part: Column) -> Column:
+        at, passed = state["at"], state["passed"]
+        here = F.concat(passed, F.array(F.array_join(at, "/")))
+        up = F.slice(at, 1, F.greatest(F.size(at) - 1, F.lit(0)))
+        return (
+            F.when(part.isin("", "."), F.struct(at.alias("at"), here.alias("passed")))
+            .when(part == "..", F.struct(up.alias("at"), here.alias("passed")))
+            .otherwise(F.struct(F.concat(at, F.array(part)).alias("at"), passed.alias("passed"))))
+
+    walked = F.aggregate(F.split(path, "/"), start, step)["passed"]
+    return F.array_remove(F.array_distinct(walked), "")
+
+
 def located(requested: DataFrame, roots: DataFrame | None = None) -> DataFrame:
-    """Add ``rel_path`` to ``(project, path)``: the path below the root, null when outside it.
+    """Add ``rel_path`` to ``(project, path)``, the path below the root, null when outside it, and ``passed``.
 
+    ``passed`` are directories that must be there for the path to exist as it is written.
     ``roots`` (project, root) is needed for absolute paths only.
     """
     path = F.col("path")
@@ -48,22 +68,55 @@ def located(requested: DataFrame, roots: DataFrame | None = None) -> DataFrame:
     root = F.rtrim("root", F.lit("/"))
     in_root = F.when(path == root, "").when(
         F.startswith(path, F.concat(root, F.lit("/"))), F.substring(path, F.length(root) + 2, F.length(path)))
-    tidy = F.when(path.startswith("/"), normalized(F.coalesce(in_root, F.lit("..")))).otherwise(normalized(path))
-    return requested.withColumn("rel_path", tidy).withColumn(
+    inside = F.when(path.startswith("/"), F.coalesce(in_root, F.lit(".."))).otherwise(path)
+    placed = requested.withColumn("rel_path", normalized(inside)).withColumn("passed", _passed(inside))
+    return placed.withColumn(
         "rel_path", F.when(~F.col("rel_path").rlike(r"\A\.\.(?:/|\z)"), F.col("rel_path"))).drop("root")
 
 
+def through_links(located_requests: DataFrame, links: DataFrame) -> DataFrame:
+    """Follow links to directories on the way: what lies behind one is judged where it really is.
+
+    ``links`` (project, rel_path, real_path) are the links to directories; real_path is null where
+    one leads out of the root.  The last component of a path is not followed.  Each round follows
+    one link of every path that still has some.
+    """
+    rows = located_requests
+    while True:
+        above = rows.select("project", "path", "rel_path", F.explode(prefixes(F.col("rel_path"), with_self=False)).alias("_link")).join(
+            links.select("project", F.col("rel_path").alias("_link"), "real_path"), ["project", "_link"])
+        first = saved(above.groupBy("project", "path").agg(F.min(F.struct(F.length("_link").alias("n"), "real_path")).alias("_to")))
+        if not measured(first)["rows"]:
+            return rows
+        behind = F.expr("substring(rel_path, _to.n + 1)")
+        real = F.when(F.col("_to.real_path") == "", F.substring(behind, F.lit(2), F.length("rel_path"))).otherwise(F.concat("_to.real_path", behind))
+        rows = saved(rows.join(first, ["project", "path"], "left").withColumn(
+            "rel_path", F.when(F.col("_to").isNull(), F.col("rel_path")).otherwise(real)).drop("_to"))
+
+
+def asked_keys(located_requests: DataFrame) -> DataFrame:
+    """``project, rel_path`` of all that the requests need to know about."""
+    keys = located_requests.select("project", F.explode(F.array_compact(F.concat(F.array("rel_path"), "passed"))).alias("rel_path"))
+    return keys.distinct()
+
+
 def explain(located_requests: DataFrame, decisions: DataFrame) -> DataFrame:
     """``project, path`` and code and rule for content and tree, for every requested path.
 
-    ``decisions`` need to cover the requested paths only (and directories, and each root as
-    ``''``).  A path that is not there has no tree decision.
+    ``decisions`` need to cover :func:`asked_keys` only (and directories, and each root as
+    ``''``).  A path that is not there, or goes through something that is not a directory, is not
+    found, which comes before being outside, and has no tree decision.
     """
     known = decisions.select(
         "project", "rel_path", "content_code", "content_rule", "tree_code", "tree_rule",
         F.coalesce(F.col("link_target") != "", F.lit(True)).alias("found"))
-    rows = located_requests.join(known, ["project", "rel_path"], "left")
-    outside, found = F.col("rel_path").isNull(), F.coalesce("found", F.lit(False))
+    directories = decisions.where("is_dir").select("project", F.col("rel_path").alias("_passed"))
+    broken = (
+        located_requests.select("project", "path", F.explode("passed").alias("_passed"))
+        .join(directories, ["project", "_passed"], "left_anti").select("project", "path", F.lit(True).alias("_broken")).distinct())
+    rows = located_requests.join(known, ["project", "rel_path"], "left").join(broken, ["project", "path"], "left")
+    whole = F.col("_broken").isNull()
+    outside, found = whole & F.col("rel_path").isNull(), whole & F.coalesce("found", F.lit(False))
     return rows.select(
         "project", "path",
         F.when(outside, "outside_root").when(~found, "not_found").otherwise(F.col("content_code")).alias("content_code"),

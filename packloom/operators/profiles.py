@@ -17,9 +17,9 @@ FIELDS = {
 _DEFAULTS = {"no_ignore": False, "no_tree": False, "no_blacklist": False, "max_size": DEFAULT_MAX_KIB}
 
 
-def profile_files(entries: DataFrame) -> DataFrame:
-    """``(project, text)`` of the profile file at each project's root."""
-    return entries.where(F.col("rel_path") == PROFILE_FILE).select("project", F.col("content").alias("text"))
+def profile_files(entries: DataFrame, name: str = PROFILE_FILE) -> DataFrame:
+    """``(project, text)`` of the profile file, by ``name``, at each project's root."""
+    return entries.where(F.col("rel_path") == name).select("project", F.col("content").alias("text"))
 
 
 def _document(text: Column) -> Column:
@@ -80,20 +80,23 @@ def list_profiles(profiles: DataFrame) -> DataFrame:
     ).orderBy("project", "name")
 
 
-def resolve_configs(projects: DataFrame, profiles: DataFrame, statuses: DataFrame | None = None) -> DataFrame:
+def resolve_configs(projects: DataFrame, profiles: DataFrame, statuses: DataFrame | None = None,
+                    pack_suffix: str = PACK_SUFFIX) -> DataFrame:
     """One row of final options per project: own options, else the selected profile's, else defaults.
 
-    ``projects`` has ``project, requested`` (profile name or null) and any option fields set for
-    this run.  ``config_status``: ok; profile_not_found; file_not_found when a profile was asked
+    ``projects`` has ``project, requested`` (profile name or null), any option fields set for this
+    run, and, if wanted, ``no_config``: true for projects that do not look at their profile file.
+    ``config_status``: ok; profile_not_found; file_not_found when a profile was asked
     for and there is no profile file; or the file's own bad status (see :func:`classify_configs`),
     when ``statuses`` (project, status) is given.
     """
     own = [c for c in FIELDS if c in projects.columns]
-    asked = projects.withColumn("_name", F.coalesce("requested", F.lit(DEFAULT_PROFILE)))
+    looks = ~F.coalesce(F.col("no_config"), F.lit(False)) if "no_config" in projects.columns else F.lit(True)
+    asked = projects.withColumn("_name", F.coalesce("requested", F.lit(DEFAULT_PROFILE))).withColumn("_looks", looks)
     saved = profiles.select(
         "project", F.col("name").alias("_name"), F.lit(True).alias("_found"),
         *[F.col(c).alias(f"_saved_{c}") for c in FIELDS])
-    joined = asked.join(saved, ["project", "_name"], "left")
+    joined = asked.join(saved.withColumn("_looks", F.lit(True)), ["project", "_name", "_looks"], "left")
     if statuses is None:
         statuses = profiles.select("project").distinct().withColumn("status", F.lit("ok"))
     joined = joined.join(statuses.select("project", F.col("status").alias("_file")), "project", "left")
@@ -103,12 +106,12 @@ def resolve_configs(projects: DataFrame, profiles: DataFrame, statuses: DataFram
         if name in _DEFAULTS:
             sources.append(F.lit(_DEFAULTS[name]).cast(FIELDS[name]))
         if name == "output_path":
-            sources.append(F.concat(F.col("project"), F.lit(PACK_SUFFIX)))
+            sources.append(F.concat(F.col("project"), F.lit(pack_suffix)))
         return F.coalesce(*sources)
 
     missing = F.col("requested").isNotNull() & F.col("_found").isNull()
     status = (
-        F.when(F.col("_file").isin("legacy", "invalid"), F.col("_file"))
+        F.when(~F.col("_looks"), "ok").when(F.col("_file").isin("legacy", "invalid"), F.col("_file"))
         .when(missing & F.col("_file").isNull(), "file_not_found")
         .when(missing, "profile_not_found").otherwise("ok"))
     resolved = joined.select(
@@ -131,10 +134,21 @@ def upsert_profiles(existing: DataFrame, changes: DataFrame, replace: bool = Fal
     return old.join(new, key, "full_outer").select(*key, *[pick(c).alias(c) for c in FIELDS])
 
 
-def current_outputs(resolved: DataFrame) -> DataFrame:
-    """``project, rel_path`` of the packs that resolved options name inside their own project."""
-    return resolved.select("project", normalized(F.col("output_path")).alias("rel_path")).where(
-        ~F.col("rel_path").startswith("../"))
+def current_outputs(resolved: DataFrame, roots: DataFrame | None = None) -> DataFrame:
+    """``project, rel_path`` of the packs that resolved options name inside their own project.
+
+    ``roots`` (project, root) tells which absolute paths are inside; without it none is.
+    """
+    path = F.col("output_path")
+    if roots is None:
+        rows = resolved.select("project", path, F.lit(None).cast("string").alias("root"))
+    else:
+        rows = resolved.join(roots.select("project", "root").distinct(), "project", "left").select("project", path, "root")
+    tidy = F.when(path.startswith("/"), F.concat(F.lit("/"), normalized(path))).otherwise(normalized(path))
+    root = F.concat(F.rtrim("root", F.lit("/")), F.lit("/"))
+    inside = F.when(~path.startswith("/"), tidy).when(F.startswith(tidy, root), F.substring(tidy, F.length(root) + 1, F.length(tidy)))
+    return rows.select("project", inside.alias("rel_path")).where(
+        F.col("rel_path").isNotNull() & (F.col("rel_path") != "") & ~F.col("rel_path").rlike(r"\A\.\.(?:/|\z)"))
 
 
 # Edits that need the profile to exist already, and those that write fields.
@@ -148,8 +162,9 @@ def edit_profiles(existing: DataFrame, edits: DataFrame, statuses: DataFrame | N
     ``op`` is create (the name must be free), update and replace (merge into, or put in place of,
     an existing profile), save and save_whole (the same, but also for new names), delete, or
     rename (``new_name`` must be free).  Names must be valid.  With ``statuses`` (project,
-    status) a file in bad order is never touched.  Status is ok, invalid_name, invalid_file,
-    already_exists or not_found; :func:`apply_edits` applies those that are ok.
+    status) a file in bad order is never touched.  A name that several edits of one table would
+    write or rename to is refused to all of them.  Status is ok, invalid_name, invalid_file,
+    already_exists, not_found or claimed_twice; :func:`apply_edits` applies those that are ok.
     """
     names = existing.select("project", "name", F.lit(True).alias("_exists"))
     targets = existing.select("project", F.col("name").alias("new_name"), F.lit(True).alias("_taken"))
@@ -166,7 +181,16 @@ def edit_profiles(existing: DataFrame, edits: DataFrame, statuses: DataFrame | N
         .when((renames & F.col("_taken").isNotNull()) | ((F.col("op") == "create") & exists), "already_exists")
         .when(F.col("op").isin(_NEED_PROFILE) & ~exists, "not_found")
         .otherwise("ok"))
-    return checked.withColumn("status", status).drop("_exists", "_taken", "_bad_file")
+    judged = checked.withColumn("status", status).drop("_exists", "_taken", "_bad_file")
+    # Edits of one profile, and renames that end at its name.
+    claims = judged.where("status = 'ok'").select("project", F.explode(F.array_compact(F.array(
+        "name", F.when(F.col("op") == "rename", F.col("new_name"))))).alias("_claim"))
+    twice = claims.groupBy("project", "_claim").count().where("count > 1").select("project", "_claim", F.lit(True).alias("_twice"))
+    for name in ("name", "new_name"):
+        asked = F.col("op") == "rename" if name == "new_name" else F.lit(True)
+        judged = judged.join(twice.withColumnRenamed("_claim", name), ["project", name], "left").withColumn(
+            "status", F.when(F.col("_twice") & asked & (F.col("status") == "ok"), "claimed_twice").otherwise(F.col("status"))).drop("_twice")
+    return judged.select(*edits.columns, "status")
 
 
 def apply_edits(existing: DataFrame, edits: DataFrame, statuses: DataFrame | None = None) -> DataFrame:

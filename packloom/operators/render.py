@@ -62,7 +62,7 @@ def block_tokens(rel_path: Column, tokens_of_content: Column, tokens=estimated_t
 def preview(decided: DataFrame, max_kib: Column) -> DataFrame:
     """The dry run: a status line for every file that reading decides about, nothing written."""
     path, code = F.col("rel_path"), F.col("content_code")
-    why = skip_reason(code, max_kib, F.col("length"), F.col("read_error"))
+    why = skip_reason(code, max_kib, F.col("length"), F.col("read_error"), F.col("is_dir"))
     lossy = F.when(code == "included_lossy", ", lossy UTF-8").otherwise("")
     line = F.when(
         included("content"), F.format_string("[EXPECT] %s (%d content tokens%s)", path, F.col("content_tokens"), lossy)

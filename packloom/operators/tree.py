@@ -23,7 +23,7 @@ def missing_directories(entries: DataFrame) -> DataFrame:
     implied = saved(
         entries.select("project", F.explode(prefixes(F.col("rel_path"), with_self=False)).alias("rel_path")).distinct())
     listed = unique_join(entries.select("project", "rel_path"), implied, ["project", "rel_path"], "left_semi")
-    return implied.join(listed, ["project", "rel_path"], "left_anti")
+    return saved(implied.join(listed, ["project", "rel_path"], "left_anti"))
 
 
 def with_directories(entries: DataFrame) -> DataFrame:

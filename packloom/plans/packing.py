@@ -11,8 +11,10 @@ from packloom.functions.content import estimated_tokens
 from packloom.operators import explain as explaining
 from packloom.operators import render, stats
 from packloom.operators.config import ScanConfig, column_rules, compile_configs, with_configs, without_lists
-from packloom.operators.decide import apply_marks, inspection_code, inspection_rule, judge, marks_of, with_facts, with_links_to, with_marks
+from packloom.operators.decide import apply_marks, inspection_code, inspection_rule, judge, link_error, marks_of, with_facts, with_links_to, with_marks
 from packloom.operators.ignore import ignore_files, ignored_entries, is_ignore_file
+from packloom.operators.joins import unique_join
+from packloom.operators.profiles import current_outputs
 from packloom.operators.saving import measured, saved
 from packloom.operators.tree import with_directories
 from packloom.sources.content import attach_content, inspect_bytes
@@ -23,7 +25,8 @@ class Run:
     """One scan of a corpus under given options.
 
     ``config`` is a ScanConfig for all projects, or a DataFrame of resolved options with one row
-    per project.  ``outputs`` (project, rel_path) are the current output files.  Ignore rules come
+    per project.  ``outputs`` (project, rel_path) are the current output files, besides those that
+    the options name as ``output_path``.  Ignore rules come
     from ``ignore_from`` (project, base_dir, priority, content), by default from the ignore files
     in the corpus.
 
@@ -38,8 +41,13 @@ class Run:
             entries = entries.withColumn("content", F.lit(None).cast("string"))
         self.files = with_facts(entries)
         self.listed = with_facts(with_directories(entries)) if directories else self.files
+        if not isinstance(config, ScanConfig) and "output_path" in config.columns:
+            roots = self.files.select("project", "root").where("root is not null").distinct() if "root" in entries.columns else None
+            named = current_outputs(config, roots)
+            outputs = named if outputs is None else outputs.select("project", "rel_path").unionByName(named)
         self.outputs = None if outputs is None else with_links_to(outputs, self.files)
         self.tokens = tokens
+        self.has_links = "link_target" in entries.columns
         self._ignore_files = ignore_files(entries) if ignore_from is None else ignore_from
         self.configs = None if isinstance(config, ScanConfig) else saved(compile_configs(config))
         self.rules = config.rules() if isinstance(config, ScanConfig) else column_rules()
@@ -50,13 +58,21 @@ class Run:
         files = saved(self._ignore_files)
         return files if measured(files)["rows"] else None
 
+    @cached_property
+    def paths(self) -> DataFrame:
+        """``project, rel_path, is_dir`` of every entry."""
+        return saved(self.listed.select("project", "rel_path", "is_dir"))
+
+    @cached_property
+    def projects(self) -> DataFrame:
+        return saved(self.paths.select("project").distinct())
+
     @cached_property
     def marks(self) -> DataFrame | None:
         """``project, rel_path, ignored, is_output`` of the entries that carry a mark."""
         ignored = None
         if self.ignore_files is not None:
-            paths = saved(self.listed.select("project", "rel_path", "is_dir"))
-            ignored = ignored_entries(paths, self.ignore_files)
+            ignored = ignored_entries(self.paths, self.ignore_files)
         marks = marks_of(ignored, self.outputs)
         return None if marks is None else saved(marks)
 
@@ -85,7 +101,7 @@ class Run:
         return without_lists(judge(with_configs(listed, self.configs), self.rules))
 
     def config_errors(self) -> DataFrame:
-        """Projects left out because a pattern list of theirs has an invalid glob."""
+        """Projects held back, and why: options not resolved, an invalid glob, or several rows of options."""
         return self.configs.where("config_error is not null").select("project", "config_error")
 
     def pack(self) -> DataFrame:
@@ -99,20 +115,30 @@ class Run:
 
     def explain(self, requested: DataFrame, roots: DataFrame | None = None) -> DataFrame:
         """Decide about the requested paths alone, then put the answers on the requests."""
-        located = explaining.located(requested, roots)
-        keys = located.where("rel_path is not null").select("project", "rel_path").distinct()
+        located = saved(explaining.located(requested, roots))
+        if self.has_links:
+            located = explaining.through_links(located, self._directory_links())
+        keys = saved(explaining.asked_keys(located))
         roots_asked = keys.where("rel_path = ''").select("project")
         tops = (
-            self.listed.select("project").join(roots_asked, "project", "left_semi").distinct()
+            self.projects.join(roots_asked, "project", "left_semi")
             .withColumns({"rel_path": F.lit(""), "is_dir": F.lit(True), "is_file": F.lit(False)}))
         known = self.listed.drop("content").unionByName(with_facts(tops), allowMissingColumns=True)
-        asked = saved(known.join(keys, ["project", "rel_path"], "left_semi"))
+        asked = saved(unique_join(known, keys, ["project", "rel_path"], "left_semi"))
         ignored = None
         if self.ignore_files is not None:
-            ignored = ignored_entries(with_directories(asked), self.ignore_files, self.listed)
+            # The root itself is never ignored.
+            below = with_directories(asked.where("rel_path <> ''"))
+            ignored = ignored_entries(below, self.ignore_files, self.paths)
         marks = marks_of(ignored, self.outputs)
         return explaining.explain(located, self._final(asked, None if marks is None else saved(marks)))
 
+    def _directory_links(self) -> DataFrame:
+        """``project, rel_path, real_path`` of the links to directories; real_path is null outside the root."""
+        inside = F.expr("substring(link_target, length(rtrim('/', root)) + 2)")
+        return saved(self.files.where("link_target <> '' and not is_file and not is_dir").select(
+            "project", "rel_path", F.when(~link_error(), inside).alias("real_path")))
+
     def _final(self, entries: DataFrame, marks: DataFrame | None) -> DataFrame:
         return apply_marks(with_marks(self._judge(entries), marks), self.rules)
 

@@ -46,10 +46,3 @@ def pages(spark: SparkSession, sf_dir: str) -> DataFrame:
     return entries_from(
         table(spark, sf_dir, "pages"), F.regexp_extract("url", r"^https?://([^/?#]+)", 1),
         F.concat(F.col("page_id").cast("string"), F.lit("/"), tail), F.col("html"))
-
-
-def conversations(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """One project per conversation, one file per turn."""
-    return entries_from(
-        table(spark, sf_dir, "conversations"), F.concat(F.lit("conv-"), F.col("conv_id").cast("string")),
-        F.concat("role", F.lit("/"), F.col("turn").cast("string"), F.lit(".txt")), F.col("text"))

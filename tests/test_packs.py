@@ -7,7 +7,6 @@ from pyspark.sql import functions as F
 
 from packloom import ScanConfig
 from packloom.fixed_values import PACK_SUFFIX
-from packloom.functions.bpe import exact_tokens
 from packloom.functions.content import estimated_tokens
 from packloom.plans.packing import DirectoryRun, Run
 from packloom.sources.directory import read_entries
@@ -176,19 +175,6 @@ def test_estimate_counts_pieces(spark):
     assert {r[0]: r[1] for r in rows.select("t", estimated_tokens(F.col("t"))).collect()} == texts
 
 
-def test_exact_tokens_with_a_supplied_rank_file(spark, tmp_path, entries):
-    ranks = [bytes([b]) for b in range(256)] + [b"he", b"ll", b"hell", b"hello", b" w"]
-    file = tmp_path / "small.ranks"
-    file.write_text("".join(f"{base64.b64encode(r).decode()} {i}\n" for i, r in enumerate(ranks)))
-    count = exact_tokens(str(file))
-    rows = spark.createDataFrame([("hello world",), ("<|endoftext|>",), ("",), (None,)], "t string")
-    assert [r[0] for r in rows.select(count(F.col("t"))).collect()] == [6, 1, 0, None]
-    run = Run(entries({"hello.txt": "hello"}), ScanConfig(), tokens=count)
-    pieces = ["p/\n", "└── hello.txt\n", '<file path="hello.txt">\n', "hello", "\n</file>\n\n"]
-    sizes = spark.createDataFrame([(t,) for t in pieces], "t string").select(F.sum(count(F.col("t")))).first()[0]
-    assert run.stats().first().output_tokens == sizes
-
-
 def test_tree_tokens_add_up_over_lines(spark, entries):
     files = {f"a {i}/b.{i}/  c\t{i}.txt": "" for i in range(30)}
     run = Run(entries(files), ScanConfig())
