@@ -151,7 +151,7 @@ def compiled_patterns(csv: pd.Series) -> pd.DataFrame:
         try:
             rules = compile_patterns(text)
             rows.append((None, [r for r, _ in rules], [whole(b) for _, b in rules],
-                         whole("|".join(b for _, b in rules)) if rules else None))
+                         whole("|".join(f"({b})" for _, b in rules)) if rules else None))
         except GlobError as error:
             rows.append((str(error), [], [], None))
     return pd.DataFrame(rows, columns=["error", "raws", "regexes", "any_regex"])

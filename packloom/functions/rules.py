@@ -53,8 +53,10 @@ class ColumnRules:
         return F.coalesce(column_rlike(path, self.any_regex), F.lit(False))
 
     def first_match(self, path: Column) -> Column:
-        hits = F.filter(self.raws, lambda _, i: F.rlike(path, F.get(self.regexes, i)))
-        return F.when(self.matches(path), F.get(hits, F.lit(0)))
+        # One group per rule in one regex, which stays compiled; the group that took the path names the rule.
+        taken = F.filter(self.raws, lambda _, i: F.call_function("regexp_extract", path, self.any_regex, i + 1) == path)
+        of_root = F.filter(self.raws, lambda _, i: F.rlike(path, F.get(self.regexes, i)))
+        return F.when(self.matches(path), F.get(F.when(path == "", of_root).otherwise(taken), F.lit(0)))
 
     def text(self) -> Column:
         return F.array_join(self.raws, ",")

@@ -10,7 +10,7 @@ from pyspark.sql import types as T
 from packloom.functions.globs import SPACES, glob_body
 from packloom.functions.paths import below, depth, file_name, parent_dir, prefixes
 from packloom.functions.rules import column_rlike
-from packloom.operators.joins import measured_join
+from packloom.operators.joins import fits_broadcast, lookup_join, measured_join, unique_join
 from packloom.operators.saving import saved
 
 # Where rules come from, strongest first: this order beats depth, and depth beats line order.
@@ -129,6 +129,8 @@ def ignored_entries(listed: DataFrame, files: DataFrame, repositories: DataFrame
     borders = inner_repositories(listed if repositories is None else repositories).select(
         "project", "base_dir", F.lit(0).alias("priority"), F.lit(0).alias("run"),
         F.lit(False).alias("negated"), F.lit(None).cast("string").alias("regex"))
+    if not hasattr(files, "measured"):
+        files = saved(files)  # rules are read several times, the texts they stand in only here
     with_rules = files.select("project").distinct()
     entries = measured_join(
         listed.select("project", "rel_path", "is_dir"), with_rules, ["project"], spread_on=["rel_path"], how="left_semi", part_of=files)
@@ -154,8 +156,19 @@ def ignored_entries(listed: DataFrame, files: DataFrame, repositories: DataFrame
     winner = F.coalesce(F.col("dot"), reaches("git"), reaches("exclude"))
     removed = saved(verdicts.where(winner % 2 == 0).select("project", "rel_path", "is_dir"))
 
-    pruned = removed.where("is_dir").select("project", F.col("rel_path").alias("above"))
-    inside = measured_join(
-        entries.select("project", "rel_path", F.explode(above).alias("above")),
-        pruned, ["project", "above"], spread_on=["rel_path"], part_of=removed)
-    return removed.select("project", "rel_path").union(inside.select("project", "rel_path")).distinct()
+    # Pruning spreads over directories alone; a file then asks its own directory.
+    directories = entries.where("is_dir").select("project", "rel_path")
+    tops = removed.where("is_dir").select("project", F.col("rel_path").alias("above"))
+    inside = unique_join(
+        directories.withColumn("above", F.explode(above)), saved(tops), ["project", "above"], "left_semi").select("project", "rel_path")
+    pruned = saved(tops.select("project", F.col("above").alias("parent")).union(inside.select("project", "rel_path")).distinct())
+    files = entries.where("not is_dir").select("project", "rel_path", parent_dir(F.col("rel_path")).alias("parent"))
+    if fits_broadcast(pruned):
+        below_pruned = files.join(F.broadcast(pruned), ["project", "parent"], "left_semi")
+    else:
+        weights = files.groupBy("project", "parent").agg(F.count("*").alias("n_children"))
+        facts = saved(pruned.join(weights, ["project", "parent"]).withColumn("pruned", F.lit(True)))
+        below_pruned = lookup_join(files, facts, ["project", "parent"], weight="n_children", spread_on=["rel_path"]).where("pruned")
+    return (
+        removed.select("project", "rel_path").union(pruned.select("project", "parent"))
+        .union(below_pruned.select("project", "rel_path")).distinct())
