@@ -16,6 +16,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from packloom.operators.joins import unique_join
 from packloom.operators.saving import measured, saved
 
 _ENTRY = (
@@ -59,18 +60,26 @@ def _entry(project: str, root: str, entry: os.DirEntry) -> dict:
                 link_target=target, root=root, read_error=error, location=entry.path)
 
 
+def _children(directory: dict) -> Iterator[dict]:
+    """Entries of one directory; if listing it fails at any point, a last row without location says so."""
+    project, root = directory["project"], directory["root"]
+    try:
+        with os.scandir(directory["location"]) as children:
+            for child in children:
+                yield _entry(project, root, child)
+    except OSError as failure:
+        rel_path = _shown(os.path.relpath(directory["location"], os.fsencode(root)))
+        yield dict(project=project, rel_path="" if rel_path == "." else rel_path, is_dir=True, is_file=False, length=None, link_target=None,
+                   root=root, read_error=f"list: {os_error_text(failure)}", location=None)
+
+
 def _list_directories(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """The direct children of each directory."""
     for batch in batches:
         for directory in batch.to_pylist():
-            try:
-                children = os.scandir(directory["location"])
-            except OSError:
-                continue  # its own row says why, unless it vanished since
-            with children:
-                entries = (_entry(directory["project"], directory["root"], child) for child in children)
-                while rows := list(itertools.islice(entries, _BATCH_ROWS)):
-                    yield pa.RecordBatch.from_pylist(rows, schema=_ARROW)
+            entries = _children(directory)
+            while rows := list(itertools.islice(entries, _BATCH_ROWS)):
+                yield pa.RecordBatch.from_pylist(rows, schema=_ARROW)
 
 
 def spread_work(rows: DataFrame, *keys: str) -> DataFrame:
@@ -98,5 +107,16 @@ def read_entries(spark: SparkSession, roots: list[str] | DataFrame) -> DataFrame
     levels = []
     while not levels or measured(levels[-1])["rows"]:
         levels.append(saved(spread_work(level, "location").mapInArrow(_list_directories, _ENTRY)))
-        level = levels[-1].where("is_dir and read_error is null").select("project", "root", "location")
-    return reduce(DataFrame.unionByName, levels)
+        level = levels[-1].where("is_dir and read_error is null and location is not null").select("project", "root", "location")
+    return with_failures(reduce(DataFrame.unionByName, levels))
+
+
+def with_failures(listed: DataFrame) -> DataFrame:
+    """Put listing failures (rows without location) on their directories; a root that failed keeps a row of its own."""
+    failures = listed.where("location is null")
+    if failures.isEmpty():
+        return listed
+    found = saved(failures.groupBy("project", "rel_path").agg(F.min("read_error").alias("_failure")))
+    entries = unique_join(listed.where("location is not null"), found, ["project", "rel_path"], "left").withColumn(
+        "read_error", F.coalesce("read_error", "_failure")).drop("_failure")
+    return entries.unionByName(failures.where("rel_path = ''").dropDuplicates(["project"]))

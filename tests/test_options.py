@@ -119,3 +119,23 @@ def test_names_claimed_twice_are_refused(spark):
     assert status == {("p", "create"): "claimed_twice", ("p", "rename"): "claimed_twice", ("p", "update"): "ok", ("q", "rename"): "ok"}
     after = values(profiles.apply_edits(existing, edits), "project", "name")
     assert after == {("p", "default"), ("p", "old"), ("q", "moved")}
+
+
+def test_directories_that_fail_during_the_walk_count(spark, tmp_path):
+    """A directory that is there when its parent is listed, and cannot be listed itself any more."""
+    import pyarrow as pa
+
+    from packloom.sources import directory
+
+    (tmp_path / "gone.txt").write_text("x")
+    batch = pa.RecordBatch.from_pylist([
+        {"project": "p", "root": str(tmp_path), "location": str(tmp_path / "vanished").encode()},
+        {"project": "p", "root": str(tmp_path), "location": str(tmp_path).encode()}])
+    rows = [r for b in directory._list_directories(iter([batch])) for r in b.to_pylist()]
+    assert [(r["rel_path"], r["location"] is None) for r in rows] == [("vanished", True), ("gone.txt", False)]
+    listed = spark.createDataFrame(
+        [("p", "vanished", True, False, None, None, "/r", None, b"v"), ("p", "a", False, True, 1, None, "/r", None, b"a"),
+         ("p", "vanished", True, False, None, None, "/r", "list: gone (os error 2)", None),
+         ("q", "", True, False, None, None, "/q", "list: gone (os error 2)", None)], directory._ENTRY)
+    found = values(directory.with_failures(listed), "project", "rel_path", "read_error")
+    assert found == {("p", "vanished", "list: gone (os error 2)"), ("p", "a", None), ("q", "", "list: gone (os error 2)")}
