@@ -23,8 +23,8 @@ PLAIN_CHUNK = re.compile(r"[\x21-\x7e\xa1-\xac\xae-\xff]+")
 EDGES = re.compile(r"[\t\n\r ]+")
 
 #: Bounds of the memos a Python worker keeps: chunks, and pre-tokens that had to be merged.
-CHUNKS = 300_000
-MERGED = 1_000_000
+CHUNKS = 600_000
+MERGED = 600_000
 #: Unknown pre-tokens merged in one call of the library.
 CALL = 500
 
@@ -96,37 +96,46 @@ class Pretokens:
         if not self.whole:
             yield from ([self.value(self._alone(text))] if text else [] for text in texts)
             return
+        known = self.chunks
         for text in texts:
             if not text:
                 yield []
                 continue
             chunks = text.split() if PLAIN_TEXT.fullmatch(text) else [c for c in EDGES.split(text) if c]
-            found = list(map(self.chunks.get, chunks))
-            if None in found:
-                self._learn({c for c, v in zip(chunks, found, strict=True) if v is None})
-                known = self.chunks
-                found = [known[c] if v is None else v for c, v in zip(chunks, found, strict=True)]
-                if len(known) > CHUNKS:
-                    known.clear()
-            yield found
+            missing = set(chunks).difference(known)
+            if missing:
+                self._learn(missing)
+            yield list(map(known.__getitem__, chunks))
+            if len(known) > CHUNKS:
+                known.clear()
 
     def _alone(self, text: str) -> bytes:
         return number_bytes(self.library.encode(text, add_special_tokens=False).ids)
 
     def _learn(self, chunks: set[str]) -> None:
-        parts, unknown, whole, merged = {}, set(), self.whole, self.merged
+        """Remember the chunks: most are one known pre-token, or one and a mark after it."""
+        whole, merged, known, value = self.whole, self.merged, self.chunks, self.value
+        parts, unknown = [], set()
         for chunk in chunks:
-            if not PLAIN_CHUNK.fullmatch(chunk) or any(s in chunk for s in self.special):
-                self.chunks[chunk] = self.value(self._alone(chunk))
+            lower = chunk.lower()
+            if lower.isascii() and (lower.isalpha() or lower[-1] in ".," and lower[:-1].isalpha()):
+                words = [lower] if lower.isalpha() else [lower[:-1], lower[-1]]
+            elif not PLAIN_CHUNK.fullmatch(chunk) or any(s in chunk for s in self.special):
+                known[chunk] = value(self._alone(chunk))
                 continue
-            parts[chunk] = words = PRETOKEN.findall(chunk.lower())
-            unknown.update(w for w in words if w not in whole and w not in merged)
-        if len(merged) + len(unknown) > MERGED:
-            merged.clear()
-            unknown = {w for words in parts.values() for w in words if w not in whole}
+            else:
+                words = PRETOKEN.findall(lower)
+            ids = [whole.get(w) or merged.get(w) for w in words]
+            if None in ids:
+                parts.append((chunk, words))
+                unknown.update([w for w, found in zip(words, ids, strict=True) if found is None])
+            else:
+                known[chunk] = value(ids[0] if len(ids) == 1 else b"".join(ids))
         self._merge(list(unknown))
-        for chunk, words in parts.items():
-            self.chunks[chunk] = self.value(b"".join([whole.get(w) or merged[w] for w in words]))
+        for chunk, words in parts:
+            known[chunk] = value(b"".join([whole.get(w) or merged[w] for w in words]))
+        if len(merged) > MERGED:
+            merged.clear()
 
     def _merge(self, words: list[str]) -> None:
         """Merge unknown pre-tokens, many in a call; the tokens that end words tell them apart."""
