@@ -3,7 +3,11 @@
 from __future__ import annotations
 
 import uuid
+from collections.abc import Iterator
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -40,3 +44,18 @@ def held_out(doc_id: str | Column, modulus: int, value: int) -> Column:
 def parts_of(rows: int, at_most: int) -> int:
     """Into how many parts rows go so that a part holds about ``at_most``."""
     return max(1, -(-rows // at_most))
+
+
+#: Bytes of text that a Python worker takes apart at a time.
+BLOCK_BYTES = 4 << 20
+
+
+def blocks(batches: Iterator[pa.RecordBatch], text: int, size: int = BLOCK_BYTES) -> Iterator[pa.RecordBatch]:
+    """The rows of the batches in slices of about ``size`` bytes of text, or of one longer text."""
+    for batch in batches:
+        lengths = pc.fill_null(pc.binary_length(batch.column(text)), 0).to_numpy(zero_copy_only=False)
+        place = np.cumsum(lengths) // size
+        edges = [0, *(np.flatnonzero(np.diff(place)) + 1).tolist(), batch.num_rows]
+        for begin, end in zip(edges[:-1], edges[1:], strict=True):
+            if end > begin:
+                yield batch.slice(begin, end - begin)

@@ -21,12 +21,12 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from packloom.llm.common import written
+from packloom.llm.common import blocks, written
 from packloom.llm.quality import sample_labelled
 
 #: Bounds of the fit: labelled documents, coordinates, and documents that a coordinate needs.
 FIT_ROWS = 20_000
-COORDINATES = 1 << 20
+COORDINATES = 1 << 17
 LEAST_DOCS = 5
 SHARDS, ROUNDS = 4, 4
 ALPHA, BETA, L1, L2 = 2.0, 1.0, 2.0, 0.0
@@ -145,7 +145,7 @@ def train_ftrl(docs: DataFrame, labels: DataFrame, label: str = "toxic", learn:
 
     def index(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         hashes = place.value
-        for batch in batches:
+        for batch in blocks(batches, 0):
             texts = batch.column(0).to_pylist()
             docs_at, found = features(texts)
             spot = np.searchsorted(hashes, found)
@@ -169,9 +169,10 @@ def train_ftrl(docs: DataFrame, labels: DataFrame, label: str = "toxic", learn:
             yield pd.DataFrame({"at": at, "z": z[at] - state.value[0][at], "n": n[at] - state.value[1][at]})
 
         moved = indexed.mapInPandas(shard, "at bigint, z double, n double").groupBy("at").agg(F.sum("z").alias("z"), F.sum("n").alias("n"))
-        change = moved.toPandas()
-        z[change["at"]] += change["z"] / SHARDS
-        n[change["at"]] += change["n"] / SHARDS
+        change = moved.toArrow()
+        at = change["at"].to_numpy()
+        z[at] += change["z"].to_numpy() / SHARDS
+        n[at] += change["n"].to_numpy() / SHARDS
         state.destroy()
     w = _weights(z, n)
     kept = np.flatnonzero(w[1:])
@@ -182,24 +183,25 @@ def _coordinates(sample: DataFrame) -> np.ndarray:
     """Sorted hashes of the features that most sampled documents hold, at least ``LEAST_DOCS``."""
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in blocks(batches, 0):
             hashes, counts = np.unique(features(batch.column(0).to_pylist())[1], return_counts=True)
             yield pa.RecordBatch.from_arrays([pa.array(hashes.view(np.int64)), pa.array(counts)], ["hash", "n"])
 
     counted = sample.select("text").mapInArrow(count, "hash bigint, n bigint").groupBy("hash").agg(F.sum("n").alias("n"))
     frequent = counted.where(F.col("n") >= LEAST_DOCS).orderBy(F.desc("n"), "hash").limit(COORDINATES).select("hash")
-    return np.sort(frequent.toPandas()["hash"].to_numpy(np.int64).view(np.uint64))
+    return np.sort(frequent.toArrow()["hash"].to_numpy().view(np.uint64))
 
 
 def score_column(spark: SparkSession, model: SparseModel, text: str) -> Column:
     sent = spark.sparkContext.broadcast(model)
     made = []
 
-    @F.pandas_udf("double")
-    def score(texts: pd.Series) -> pd.Series:
+    @F.arrow_udf("double")
+    def score(texts: pa.Array) -> pa.Array:
         if not made:
             made.append(sent.value.scorer())
-        return pd.Series(made[0](texts.tolist()))
+        parts = blocks([pa.RecordBatch.from_arrays([texts], ["text"])], 0)
+        return pa.array(np.concatenate([np.zeros(0), *[made[0](p.column(0).to_pylist()) for p in parts]]))
 
     return score(F.col(text))
 
