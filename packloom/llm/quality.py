@@ -128,13 +128,14 @@ def _grow(codes: np.ndarray, residual: np.ndarray, rows: np.ndarray, depth: int,
 def _sparse_weights(matrix: np.ndarray, y: np.ndarray, penalty: float, rounds: int = 400) -> tuple[float, np.ndarray]:
     """Logistic regression with an L1 penalty on all but the bias, by accelerated proximal steps."""
     n, m = matrix.shape
+    x = np.ones((n, m + 1), np.float32)
     scale = np.maximum(matrix.std(axis=0), 0.05)
-    x = np.hstack([matrix / scale, np.ones((n, 1))])
-    stride = 4 * n / max(np.linalg.norm(x.T @ x, 2), 1e-9)
+    np.divide(matrix, scale, out=x[:, :-1], casting="unsafe")
+    stride = 4 * n / max(np.linalg.norm((x.T @ x).astype(float), 2), 1e-9)
     w = v = np.zeros(m + 1)
     momentum = 1.0
     for _ in range(rounds):
-        gradient = x.T @ (1 / (1 + np.exp(-x @ v)) - y) / n
+        gradient = (x.T @ (1 / (1 + np.exp(-(x @ v.astype(np.float32)))) - y).astype(np.float32) / n).astype(float)
         new = v - stride * gradient
         new[:-1] = np.sign(new[:-1]) * np.maximum(np.abs(new[:-1]) - stride * penalty, 0)
         after = (1 + np.sqrt(1 + 4 * momentum**2)) / 2
@@ -176,7 +177,7 @@ def fit_rules(values: dict[str, np.ndarray], y: np.ndarray, penalty: float = PEN
             unique.append((path, inside))
     if not unique:
         return RuleEnsemble(bias)
-    bias, weights = _sparse_weights(np.column_stack([i for _, i in unique]).astype(float), y.astype(float), penalty)
+    bias, weights = _sparse_weights(np.column_stack([i for _, i in unique]).astype(np.float32), y.astype(float), penalty)
     rules = [
         Rule(tuple((names[f], above, float(edges[f][cut])) for f, above, cut in path), float(w))
         for (path, _), w in zip(unique, weights, strict=True) if abs(w) > 1e-6]
