@@ -7,11 +7,14 @@ documents, also over others, form a group.
 
 Documents with equal sets are one from the start, so large groups of copies cost nothing later.
 Representatives that share a band of their signatures meet in buckets.  No bucket is expanded into
-all its pairs at once: first every member is compared with one pivot, then the members that are
-still apart with several others, and at last those that remain apart with the members of other
-groups; pairs within a group are never compared.  Links are confirmed on the full sets.
-
-Null texts are empty.  Repeated rows of an id have one group, that of any of their texts.  Rows without an id get no group.
+all its pairs: first every member is compared with one pivot, which joins most of what belongs
+together.  Then the members outside a bucket's main group are compared with those of other groups,
+in blocks of bounded size: by whole signatures first, and where these come near the similarity by
+the sets themselves, so that only links leave a block.  Pairs within a group are never compared.
+All links are confirmed on the full sets.
+
+Null texts are empty.  Repeated rows of an id have one group, that of any of their texts.  Rows without an id
+make no groups; they show the group of an equal text, if there is one, and are not kept.
 An empty table gives no rows; other columns are ignored.
 """
 
@@ -31,8 +34,10 @@ from packloom.operators.saving import saved
 #: Signature slots are BANDS x BAND_ROWS: two sets of similarity 0.8 miss each other once in 1,500 times.
 BANDS, BAND_ROWS = 24, 6
 SLOTS = BANDS * BAND_ROWS
-#: Pivots per bucket in the second comparison.
-PIVOTS = 8
+#: Signatures agree on this much less than the similarity before a pair is given up, some three standard deviations.
+MARGIN = 0.1
+#: Shingles of a bucket's members that are compared in one block, about.
+CHUNK = 1_000_000
 #: Elements whose permutations are held in memory at a time.
 BLOCK = 200_000
 MEMO = 500_000
@@ -120,31 +125,35 @@ def _blocks(texts: list[str | None], shingle: int) -> Iterator[list[np.ndarray]]
 
 
 def sketch(docs: DataFrame, shingle: int, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
-    """``doc_id, n_shingles, k1, k2, bands``: k1 and k2 identify the set; an empty set has neither them nor bands."""
+    """``doc_id, n_shingles, k1, k2, bands, signature``; k1 and k2 identify the set, and an empty set has only its size.
+
+    The signature is kept as 16 bits a slot.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         import xxhash
 
         for batch in batches:
-            counts, keys, bands = [], [], []
+            counts, keys, bands, signatures = [], [], [], []
             for sets in _blocks(batch.column(1).to_pylist(), shingle):
-                found = band_keys(superminhash(sets)).view(np.int64)
-                for values, row in zip(sets, found, strict=True):
+                signature = superminhash(sets)
+                short = (_mix(signature) >> np.uint64(48)).astype(np.uint16)
+                for values, row, slots in zip(sets, band_keys(signature).view(np.int64), short, strict=True):
                     counts.append(len(values))
                     keys.append(xxhash.xxh3_128_digest(values.tobytes()) if len(values) else None)
                     bands.append(row if len(values) else None)
+                    signatures.append(slots.tobytes() if len(values) else None)
             halves = [[None if k is None else int.from_bytes(k[at : at + 8], "little", signed=True) for k in keys] for at in (0, 8)]
             yield pa.RecordBatch.from_arrays(
-                [batch.column(0), pa.array(counts, pa.int64()), *[pa.array(h, pa.int64()) for h in halves], pa.array(bands, pa.list_(pa.int64()))],
-                ["doc_id", "n_shingles", "k1", "k2", "bands"])
+                [batch.column(0), pa.array(counts, pa.int64()), *[pa.array(h, pa.int64()) for h in halves], pa.array(bands, pa.list_(pa.int64())),
+                 pa.array(signatures, pa.binary())], ["doc_id", "n_shingles", "k1", "k2", "bands", "signature"])
 
     rows = docs.select(F.col(doc_id).cast("bigint").alias("doc_id"), F.col(text).alias("text"))
-    return rows.mapInArrow(run, "doc_id bigint, n_shingles bigint, k1 bigint, k2 bigint, bands array<bigint>")
+    return rows.mapInArrow(run, "doc_id bigint, n_shingles bigint, k1 bigint, k2 bigint, bands array<bigint>, signature binary")
 
 
-def linked(pairs: DataFrame, docs: DataFrame, shingle: int, percent: int, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
-    """The pairs ``(a, b)`` whose full sets are similar enough; the texts of documents in no pair stay in their scan."""
-    ids = saved(pairs.selectExpr("explode(array(a, b)) as _id").distinct())
+def sets_of(ids: DataFrame, docs: DataFrame, shingle: int, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
+    """``_id, members`` for the saved ``ids`` (_id); texts of other documents stay in their scan."""
     texts = docs.select(F.col(doc_id).cast("bigint").alias("_id"), F.col(text).alias("text"))
 
     def sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -152,8 +161,12 @@ def linked(pairs: DataFrame, docs: DataFrame, shingle: int, percent: int, doc_id
             found = [shingle_set(t, shingle).tobytes() for t in batch.column(1).to_pylist()]
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(found, pa.binary())], ["_id", "members"])
 
-    involved = unique_join(texts, ids, ["_id"], "inner").select("_id", "text")
-    members = written(involved.mapInArrow(sets, "_id bigint, members binary"))
+    return written(unique_join(texts, ids, ["_id"], "inner").select("_id", "text").mapInArrow(sets, "_id bigint, members binary"))
+
+
+def linked(pairs: DataFrame, docs: DataFrame, shingle: int, percent: int, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
+    """The pairs ``(a, b)`` whose full sets are similar enough; the texts of documents in no pair stay in their scan."""
+    members = sets_of(saved(pairs.selectExpr("explode(array(a, b)) as _id").distinct()), docs, shingle, doc_id, text)
     both = (
         pairs.join(members.select(F.col("_id").alias("b"), F.col("members").alias("mb")), "b")
         .join(members.select(F.col("_id").alias("a"), F.col("members").alias("ma")), "a"))
@@ -178,24 +191,20 @@ def components(edges: DataFrame) -> DataFrame:
     summarised by a minimum, never gathered.
     """
     edges = written(edges.where("a <> b").select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).distinct())
-    state = None
-    while True:
+    # Done when every edge leads to a root, that is, to a node from which no edge leads on.
+    while not edges.select("v").join(edges.select(F.col("u").alias("v")), "v", "left_semi").isEmpty() or _forked(edges):
         both = edges.union(edges.select("v", "u"))
         least = both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m"))
-        large = both.join(least, "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v").distinct()
+        large = both.join(least, "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v")
         low = large.groupBy("u").agg(F.min("v").alias("m"))
         moved = large.join(low, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).union(low).where("u <> v")
-        edges = written(moved.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct())
-        now = edges.agg(F.count(F.lit(1)), F.bit_xor(F.xxhash64("u", "v"))).first()
-        if now == state:
-            return edges.select(F.col("u").alias("id"), F.col("v").alias("component")).union(
-                edges.select("v", "v").distinct())
-        state = now
+        edges = written(moved.distinct())
+    return edges.select(F.col("u").alias("id"), F.col("v").alias("component")).union(edges.select("v", "v").distinct())
 
 
-def _sizes_fit(percent: int):
-    """Sets of too different sizes cannot be linked."""
-    return F.expr(f"100 * least(na, nb) >= {percent} * greatest(na, nb)")
+def _forked(edges: DataFrame) -> bool:
+    """Does a node still lead to several others?"""
+    return not edges.groupBy("u").count().where("count > 1").isEmpty()
 
 
 def group_documents(docs: DataFrame, shingle: int = 5, percent: int = 80, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
@@ -203,28 +212,21 @@ def group_documents(docs: DataFrame, shingle: int = 5, percent: int = 80, doc_id
     sketched = written(sketch(docs, shingle, doc_id, text))
     groups = written(
         sketched.where(F.col("k1").isNotNull() & F.col("doc_id").isNotNull()).groupBy("k1", "k2")
-        .agg(F.min("doc_id").alias("rep"), F.min("n_shingles").alias("n"), F.min("bands").alias("bands")))
+        .agg(F.min("doc_id").alias("rep"), F.min("n_shingles").alias("n"), F.min("bands").alias("bands"), F.min("signature").alias("signature")))
     rows = groups.select("rep", "n", F.explode("bands").alias("key"))
     # Only buckets in which documents meet go on.
-    crowded = rows.groupBy("key").agg(F.count(F.lit(1)).alias("c"), F.min("rep").alias("pivot")).where("c > 1").drop("c")
-    met = written(rows.join(crowded, "key"))
-    sizes = groups.select("rep", "n")
-
-    def with_sizes(pairs: DataFrame) -> DataFrame:
-        named = pairs.join(sizes.select(F.col("rep").alias("a"), F.col("n").alias("na")), "a")
-        return named.join(sizes.select(F.col("rep").alias("b"), F.col("n").alias("nb")), "b").where(_sizes_fit(percent)).select("a", "b")
-
-    pairs = written(with_sizes(met.where("rep <> pivot").select(F.col("pivot").alias("a"), F.col("rep").alias("b")).distinct()))
-    asked, edges = pairs, written(linked(pairs, docs, shingle, percent, doc_id, text))
+    crowded = rows.groupBy("key").agg(F.count(F.lit(1)).alias("c"), F.min(F.struct("rep", "n")).alias("first")).where("c > 1").drop("c")
+    met = written(rows.join(crowded, "key").where("rep <> first.rep").select("key", "rep", "n", F.col("first.rep").alias("pivot"), F.col("first.n").alias("pn")))
+    close = F.expr(f"100 * least(n, pn) >= {percent} * greatest(n, pn)")
+    pairs = written(met.where(close).select(F.col("pivot").alias("a"), F.col("rep").alias("b")).distinct())
+    edges = written(linked(pairs, docs, shingle, percent, doc_id, text))
     found = written(components(edges))
-    for last in (False, True):
-        pairs = written(with_sizes(_apart(met, found, last).join(asked, ["a", "b"], "left_anti")))
-        if pairs.isEmpty():
-            continue
-        more = written(linked(pairs, docs, shingle, percent, doc_id, text))
-        asked, edges = asked.union(pairs), edges.union(more)
+    hopeful = written(_contested(met.select("key", "rep"), found, groups, percent))
+    if not hopeful.isEmpty():
+        sets = sets_of(saved(hopeful.select(F.col("rep").alias("_id")).distinct()), docs, shingle, doc_id, text)
+        more = written(_links_of(hopeful, sets, percent))
         if not more.isEmpty():
-            found = written(components(edges))
+            found = written(components(found.select(F.col("id").alias("a"), F.col("component").alias("b")).union(more)))
     named = groups.join(found, groups["rep"] == found["id"], "left").select(
         F.col("k1").alias("_k1"), F.col("k2").alias("_k2"), F.coalesce("component", "rep").alias("_component"))
     return sketched.join(named, (F.col("k1") == F.col("_k1")) & (F.col("k2") == F.col("_k2")), "left").select(
@@ -232,22 +234,98 @@ def group_documents(docs: DataFrame, shingle: int = 5, percent: int = 80, doc_id
     ).withColumn("kept", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(False)))
 
 
-def _apart(met: DataFrame, found: DataFrame, last: bool) -> DataFrame:
-    """Pairs (a < b) of bucket members in different groups.
+def _contested(met: DataFrame, found: DataFrame, groups: DataFrame, percent: int) -> DataFrame:
+    """The members, by block, that some member of another group may be similar to, by their signatures.
 
-    Members outside the group of the bucket's pivot are *strays*.  At first each member meets
-    ``PIVOTS`` of its bucket's strays; the last time it meets all strays of other groups.
+    ``met`` holds the members but the pivots, which have been compared with all.  Members outside
+    the largest group of their bucket are *strays*; every stray meets every member of another
+    group.  Both sides are dealt into chunks of about ``CHUNK`` shingles.
     """
-    grouped = met.join(found, met["rep"] == found["id"], "left").select(
-        "key", "rep", "pivot", F.coalesce("component", "rep").alias("group"))
-    homes = grouped.where("rep = pivot").select("key", F.col("group").alias("home"))
-    placed = grouped.join(homes, "key")
-    strays = placed.where("`group` <> home")
-    if last:
-        picked = strays.select("key", F.col("rep").alias("other"), F.col("group").alias("other_group"))
-    else:
-        least = [F.min(F.struct(F.xxhash64(F.lit(i), "rep"), "rep", "group")) for i in range(PIVOTS)]
-        picked = strays.groupBy("key").agg(F.array_distinct(F.array(*least)).alias("some")).select(
-            "key", F.explode("some").alias("one")).select("key", F.col("one.rep").alias("other"), F.col("one.group").alias("other_group"))
-    return placed.join(picked, "key").where("`group` <> other_group").select(
-        F.least("rep", "other").alias("a"), F.greatest("rep", "other").alias("b")).distinct()
+    placed = met.join(found, met["rep"] == found["id"], "left").select("key", "rep", F.coalesce("component", "rep").alias("group"))
+    placed = placed.join(groups.select("rep", "n"), "rep")
+    tally = placed.groupBy("key", "group").agg(F.sum("n").alias("c"))
+    buckets = tally.groupBy("key").agg(
+        F.count(F.lit(1)).alias("n_groups"), F.sum("c").alias("all"), F.max(F.struct("c", "group")).alias("main")).where("n_groups > 1")
+    divided = written(placed.join(buckets.select(
+        "key", F.col("main.group").alias("home"), F.ceil(F.col("all") / CHUNK).alias("member_chunks"),
+        F.ceil((F.col("all") - F.col("main.c")) / CHUNK).alias("stray_chunks")), "key"))
+    spread = lambda n: F.explode(F.sequence(F.lit(0).cast("bigint"), F.col(n) - 1))
+    chunk = lambda n: F.pmod(F.xxhash64("rep"), F.col(n))
+    members = divided.select("key", "rep", "group", F.lit(False).alias("stray"), chunk("member_chunks").alias("m"), spread("stray_chunks").alias("s"))
+    strays = divided.where("`group` <> home").select(
+        "key", "rep", "group", F.lit(True).alias("stray"), spread("member_chunks").alias("m"), chunk("stray_chunks").alias("s"))
+    rows = members.union(strays).join(groups.select("rep", "n", "bands", "signature"), "rep").select(*_BLOCK)
+
+    def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for block in _runs(batches, 3):
+            needed = np.zeros(len(block), bool)
+            for x, near in _near(block, percent):
+                needed[near] = True
+                needed[x] |= len(near) > 0
+            if needed.any():
+                yield from block.filter(pa.array(needed)).to_batches()
+
+    return rows.repartition("key", "m", "s").sortWithinPartitions("key", "m", "s").mapInArrow(compare, rows.schema)
+
+
+_BLOCK = ("key", "m", "s", "stray", "rep", "group", "n", "bands", "signature")
+
+
+def _near(block: pa.Table, percent: int) -> Iterator[tuple[int, np.ndarray]]:
+    """Each stray of a block and the members of other groups that its signature comes near to.
+
+    Pairs of two strays appear once, and a pair that shares several bands only in the first.
+    """
+    rep, group, n = (block[c].to_numpy() for c in ("rep", "group", "n"))
+    bands = block["bands"].combine_chunks().flatten().to_numpy().reshape(len(rep), -1)
+    signature = np.frombuffer(b"".join(block["signature"].to_pylist()), np.uint16).reshape(len(rep), -1)
+    stray = block["stray"].to_numpy(zero_copy_only=False).astype(bool)
+    key, others, strays = block["key"][0].as_py(), np.flatnonzero(~stray), np.flatnonzero(stray)
+    is_stray = np.isin(rep[others], rep[strays])
+    least = (percent / 100 - MARGIN) * signature.shape[1]
+    for x in strays.tolist():
+        may = (group[others] != group[x]) & (100 * np.minimum(n[others], n[x]) >= percent * np.maximum(n[others], n[x]))
+        y = others[may & (~is_stray | (rep[others] > rep[x]))]
+        y = y[(signature[y] == signature[x]).sum(axis=1) >= least]
+        yield x, y[bands[x][(bands[y] == bands[x]).argmax(axis=1)] == key]
+
+
+def _links_of(hopeful: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """Links (a, b) between members of the blocks, by their sets; two groups are linked once in a block."""
+    rows = hopeful.join(sets, hopeful["rep"] == sets["_id"]).select(*_BLOCK, "members")
+
+    def confirm(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for block in _runs(batches, 3):
+            rep, group = block["rep"].to_numpy(), block["group"].to_numpy()
+            sets = [np.frombuffer(m, np.uint64) for m in block["members"].to_pylist()]
+            joined, found = set(), []
+            for x, near in _near(block, percent):
+                for y in near.tolist():
+                    if (group[x], group[y]) in joined:
+                        continue
+                    shared = len(np.intersect1d(sets[x], sets[y], assume_unique=True))
+                    if 100 * shared >= percent * (len(sets[x]) + len(sets[y]) - shared):
+                        joined |= {(group[x], group[y]), (group[y], group[x])}
+                        found.append((rep[x], rep[y]))
+            if found:
+                yield pa.RecordBatch.from_arrays([pa.array(side, pa.int64()) for side in zip(*found, strict=True)], ["a", "b"])
+
+    dealt = rows.repartition("key", "m", "s").sortWithinPartitions("key", "m", "s")
+    return dealt.mapInArrow(confirm, "a bigint, b bigint").distinct()
+
+
+def _runs(batches: Iterator[pa.RecordBatch], width: int) -> Iterator[pa.Table]:
+    """The rows of each run of equal values in the first ``width`` columns of sorted batches."""
+    held = None
+    for batch in batches:
+        table = pa.Table.from_batches([batch])
+        held = table if held is None else pa.concat_tables([held, table])
+        if not held.num_rows:
+            continue
+        keys = np.column_stack([held.column(c).to_numpy() for c in range(width)])
+        edges = [0, *(np.flatnonzero((keys[1:] != keys[:-1]).any(axis=1)) + 1).tolist()]
+        for begin, end in zip(edges[:-1], edges[1:], strict=True):
+            yield held.slice(begin, end - begin)
+        held = held.slice(edges[-1])
+    if held is not None and held.num_rows:
+        yield held

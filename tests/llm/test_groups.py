@@ -74,7 +74,7 @@ def test_groups_of_copies_and_chains(spark):
     assert sum(r["kept"] for r in found) < len(rows) - 90
 
 
-@pytest.mark.parametrize("chunk", [2, 4096])
+@pytest.mark.parametrize("chunk", [30, 1_000_000])
 def test_pairs_that_no_pivot_links_are_found(spark, monkeypatch, chunk):
     """One bucket holds everything and signatures are full of hope, so the comparison of strays does all the work."""
     monkeypatch.setattr(minhash, "CHUNK", chunk)
