@@ -84,7 +84,8 @@ def fingerprint(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") ->
 
     Texts are shuffled by id once, and then the beginnings that replace the ends of others.
     """
-    rows = docs.select(F.col(doc_id).cast("bigint").alias("doc_id"), F.coalesce(text, F.lit("")).alias("text"))
+    every = docs.select(F.col(doc_id).cast("bigint").alias("doc_id"), F.coalesce(text, F.lit("")).alias("text"))
+    rows = every.where(F.col("doc_id").isNotNull())  # the same plan on both sides, so that its shuffle is reused
     following = successors(rows)
     beginnings = rows.join(following.withColumnRenamed("doc_id", "to"), rows["doc_id"] == F.col("next_id")).select(
         "to", F.substring(F.col("text"), F.lit(1), F.col("need")).alias("begin"))
@@ -93,8 +94,9 @@ def fingerprint(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") ->
     half = F.floor(F.length("text") / 2).cast("int")
     begin = F.substring(F.coalesce("begin", F.lit("")), F.lit(1), half)
     edited = F.concat(F.substring(F.col("text"), F.lit(1), F.length("text") - half), begin)
-    made = rows.join(beginnings, rows["doc_id"] == beginnings["to"], "left").select(
-        "doc_id", F.length("text").cast("bigint").alias("n_chars"), "text", edited.alias("edited"))
+    begun = rows.join(beginnings, rows["doc_id"] == beginnings["to"], "left").select("doc_id", "text", "begin")
+    begun = begun.union(every.where(F.col("doc_id").isNull()).select("doc_id", "text", F.lit(None).cast("string").alias("begin")))
+    made = begun.select("doc_id", F.length("text").cast("bigint").alias("n_chars"), "text", edited.alias("edited"))
     found = written(made.select(
         "doc_id", "n_chars", F.sha2(F.col("edited").cast("binary"), 256).alias("edited_sha256"),
         sketch(F.col("text")).alias("own"), sketch(F.col("edited")).alias("changed")))
