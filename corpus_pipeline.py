@@ -27,8 +27,13 @@ def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 
 def toxicity_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Drop documents that are as likely toxic as not, or likelier, as ``labels.toxic`` marks them."""
+    """Drop documents that are as likely toxic as not, or likelier, as ``labels.toxic`` marks them.
+
+    A model that learned nothing tells no document from another, and none is dropped.
+    """
     model = toxicity.train_ftrl(docs, table(spark, sf_dir, "labels"))
+    if not model.learned:
+        return docs
     return docs.where(toxicity.score_column(spark, model, "text") < 0.5)
 
 

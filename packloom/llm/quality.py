@@ -90,10 +90,12 @@ def sample_labelled(docs: DataFrame, labels: DataFrame, label: str, learn: Colum
                     doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """``doc_id, text, label`` of at most ``rows`` labelled documents; ``learn`` says which ids of ``labels`` may be used.
 
-    The bounded list of ids and labels is broadcast, so texts stay in their scan.
+    Only ids that ``docs`` has count towards the bound.  The bounded list of ids and labels is
+    broadcast, so texts stay in their scan.
     """
     usable = labels.where(F.col(label).isin(0, 1) & F.col("doc_id").isNotNull())
     usable = (usable if learn is None else usable.where(learn)).groupBy("doc_id").agg(F.max(label).cast("int").alias("_label"))
+    usable = usable.join(docs.select(F.col(doc_id).alias("doc_id")).distinct(), "doc_id", "left_semi")
     chosen = usable.orderBy(F.xxhash64("doc_id"), "doc_id").limit(rows).withColumnRenamed("doc_id", "_id")
     return docs.join(F.broadcast(chosen), docs[doc_id] == F.col("_id")).select(
         F.col("_id").alias("doc_id"), docs[text].alias("text"), F.col("_label").alias("label"))

@@ -98,6 +98,11 @@ class SparseModel:
     weights: np.ndarray
     bias: float
 
+    @property
+    def learned(self) -> bool:
+        """Does any feature tell texts apart?  If not, all have the same score."""
+        return len(self.weights) > 0
+
     def scorer(self):
         """A function from texts to probabilities; a bitmap turns almost all features away."""
         size, shift = 1 << FILTER_BITS, np.uint64(64 - FILTER_BITS)

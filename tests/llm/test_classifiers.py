@@ -33,6 +33,13 @@ def test_fits_do_not_see_what_is_held_out(spark):
     assert quality.train_quality(docs, labels, learn=learn) == quality.train_quality(docs, turned, learn=learn)
 
 
+def test_bound_counts_only_labels_of_documents(spark):
+    docs = spark.createDataFrame([(i, f"text {i}") for i in range(30)], "doc_id bigint, text string")
+    labels = spark.createDataFrame([(i, 1, 0) for i in range(3000)], "doc_id bigint, quality int, toxic int")
+    assert {r["doc_id"] for r in records(quality.sample_labelled(docs, labels, "quality", None, 40))} == set(range(30))
+    assert quality.sample_labelled(docs, labels, "quality", F.col("doc_id") < 20, 10).count() == 10
+
+
 def test_rules_say_what_the_expression_computes(spark):
     rng = np.random.default_rng(1)
     texts = [" ".join(rng.choice(["ab", "c|d", "E!", "ff."], rng.integers(1, 40))) for _ in range(400)]

@@ -30,6 +30,12 @@ def test_stages_drop_what_they_should(spark):
         assert kept.where(F.col(label) == bad).count() < 0.4 * all_bad and kept.where(F.col(label) != bad).count() >= 0.98 * all_good
 
 
+@pytest.mark.parametrize("given", [[], [(i, 1, 1) for i in range(24)], [(i, 1, i % 2) for i in range(1000, 1100)]])
+def test_toxicity_without_usable_labels_drops_nothing(spark, hostile, no_labels, tmp_path, given):
+    spark.createDataFrame(given, no_labels.schema).write.parquet(f"{tmp_path}/labels.parquet")
+    assert corpus_pipeline.toxicity_stage(spark, hostile, str(tmp_path)).count() == hostile.count()
+
+
 def test_one_of_each_group_stays(spark, hostile):
     kept = records(corpus_pipeline.near_duplicate_stage(spark, hostile, ""))
     ids = [r["doc_id"] for r in kept]
