@@ -1,8 +1,9 @@
 """From raw documents to packed training sequences: quality, toxicity, near-duplicates, mixture, packing.
 
 Every stage takes the documents its predecessor kept and works on all of them; all but the last
-return the columns of documents.  Rows without an id are judged by their text like others, are
-nobody's duplicate, and are mixed and packed.  An empty table passes through as an empty table.
+return the columns of documents.  Rows without an id are judged, grouped, mixed and packed by their
+text like others, and repeated rows are rows of their own.  An empty table passes through as an
+empty table.
 """
 
 from __future__ import annotations
@@ -38,10 +39,18 @@ def toxicity_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
 
 
 def near_duplicate_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Keep one document, the one with the smallest id, of each group of near-duplicates."""
-    groups = minhash.group_documents(docs, SHINGLE, PERCENT)
-    extra = saved(groups.where(F.col("doc_id").isNotNull() & ~F.col("kept")).select("doc_id").distinct())
-    return unique_join(docs, extra, ["doc_id"], "left_anti").select(*docs.columns)
+    """Keep one row of each group of near-duplicates: that with the smallest id, ids before none.
+
+    Rows are told apart by a number that is written once, so a repeated id or none loses no text
+    and leaves no copy.  A text without words is nobody's duplicate.
+    """
+    rows = written(docs.withColumn("_row", F.monotonically_increasing_id()))
+    order = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", F.xxhash64("text").alias("text"), "_row")
+    groups = minhash.group_documents(rows, SHINGLE, PERCENT, doc_id="_row").select(F.col("doc_id").alias("_row"), "component_id")
+    members = written(groups.join(rows.select("_row", order.alias("order")), "_row"))
+    first = members.groupBy("component_id").agg(F.min("order").alias("first")).select("first._row")
+    extra = saved(members.select("_row").join(first, "_row", "left_anti"))
+    return unique_join(rows, extra, ["_row"], "left_anti").select(*docs.columns)
 
 
 def mixing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

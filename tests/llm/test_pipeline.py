@@ -42,6 +42,14 @@ def test_one_of_each_group_stays(spark, hostile):
     assert 15 in ids and not {16, 17, 18, 19, 7, 8} & set(ids) and 6 in ids and ids.count(None) == 2
 
 
+def test_one_row_of_each_group_stays(spark):
+    a, b, c, d, e = (" ".join(f"{x}{i}" for i in range(60)) for x in "abcde")
+    rows = [(1, a), (1, a), (1, a), (2, a), (None, a), (None, b), (None, b + " end"), (3, c), (4, c), (4, d), (5, e), (None, e), (6, ""), (7, None)]
+    docs = spark.createDataFrame(rows, "doc_id bigint, text string").repartition(3)
+    kept = sorted(((r["doc_id"], (r["text"] or " ")[0]) for r in records(corpus_pipeline.near_duplicate_stage(spark, docs, ""))), key=str)
+    assert kept == sorted([(1, "a"), (None, "b"), (3, "c"), (4, "d"), (5, "e"), (6, " "), (7, " ")], key=str)
+
+
 def test_runs_whole(spark, folder):
     found = records(corpus_pipeline.run(spark, folder))
     assert found and all(r["length"] <= 2048 for r in found)
