@@ -1,7 +1,7 @@
 """Toxicity: FTRL-proximal logistic regression over hashed word n-grams and skip-grams.
 
 Features are 64-bit hashes of a word, of two neighbours, and of two words with one between them;
-each counts once per document.  Features that enough sampled documents hold become coordinates.
+each counts once per document.  All features that enough sampled documents hold become coordinates.
 Shards of the sample run the per-coordinate updates side by side, their states are averaged, and
 the next round starts from there.  The L1 part leaves few weights, which are broadcast.
 
@@ -24,9 +24,8 @@ from pyspark.sql import functions as F
 from packloom.llm.common import blocks, written
 from packloom.llm.quality import sample_labelled
 
-#: Bounds of the fit: labelled documents, coordinates, and documents that a coordinate needs.
+#: Bounds of the fit: labelled documents, and documents that a coordinate needs.
 FIT_ROWS = 20_000
-COORDINATES = 1 << 17
 LEAST_DOCS = 5
 SHARDS, ROUNDS = 4, 4
 ALPHA, BETA, L1, L2 = 2.0, 1.0, 2.0, 0.0
@@ -138,7 +137,7 @@ def _learn(rows: Iterator[tuple[list[int], int]], z: np.ndarray, n: np.ndarray)
 
 def train_ftrl(docs: DataFrame, labels: DataFrame, label: str = "toxic", learn: Column | None = None,
                rows: int = FIT_ROWS, doc_id: str = "doc_id", text: str = "text") -> SparseModel:
-    """Fit on a bounded sample: what reaches the driver is a row per coordinate, at most ``COORDINATES``."""
+    """Fit on a bounded sample: what reaches the driver is a row per coordinate, a feature of ``LEAST_DOCS`` documents of the sample."""
     spark = docs.sparkSession
     sample = written(sample_labelled(docs, labels, label, learn, rows, doc_id, text).repartition(SHARDS, F.xxhash64("doc_id", "text")))
     balance = sample.agg(F.count(F.lit(1)), F.sum("label")).first()
@@ -185,7 +184,7 @@ def train_ftrl(docs: DataFrame, labels: DataFrame, label: str = "toxic", learn:
 
 
 def _coordinates(sample: DataFrame) -> np.ndarray:
-    """Sorted hashes of the features that most sampled documents hold, at least ``LEAST_DOCS``."""
+    """Sorted hashes of all features that ``LEAST_DOCS`` sampled documents hold."""
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in blocks(batches, 0):
@@ -193,7 +192,7 @@ def _coordinates(sample: DataFrame) -> np.ndarray:
             yield pa.RecordBatch.from_arrays([pa.array(hashes.view(np.int64)), pa.array(counts)], ["hash", "n"])
 
     counted = sample.select("text").mapInArrow(count, "hash bigint, n bigint").groupBy("hash").agg(F.sum("n").alias("n"))
-    frequent = counted.where(F.col("n") >= LEAST_DOCS).orderBy(F.desc("n"), "hash").limit(COORDINATES).select("hash")
+    frequent = counted.where(F.col("n") >= LEAST_DOCS).select("hash")
     return np.sort(frequent.toArrow()["hash"].to_numpy().view(np.uint64))
 
 

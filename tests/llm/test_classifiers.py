@@ -66,6 +66,14 @@ def test_features_are_words_pairs_and_skips():
     assert np.bincount(docs, minlength=5).tolist() == [6, 1, 0, 3, 0] and (hashes == alone).sum() == 2
 
 
+def test_every_feature_of_enough_documents_is_a_coordinate(spark):
+    each = 2000
+    texts = [" ".join(f"w{at}x{i}" for i in range(each)) for at in range(25) for _ in range(toxicity.LEAST_DOCS)]
+    sample = spark.createDataFrame([(t,) for t in texts], "text string")
+    found = toxicity._coordinates(sample)
+    assert len(found) == 25 * (3 * each - 3) > 1 << 17 and (np.diff(found.astype(float)) >= 0).all()
+
+
 def test_ftrl_drops_noise():
     rng = np.random.default_rng(2)
     rows = []
