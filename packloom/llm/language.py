@@ -3,7 +3,8 @@
 Each language has a dictionary of raw text.  A text, lower-cased and reduced to its letters and the
 gaps between them, is cut into segments; each is compressed with every language's dictionary by
 zstandard, and the language with the fewest bytes wins.  A small margin between the two smallest
-marks the decision as ``rejected``.
+marks the decision as ``rejected``.  Every value of ``lang`` is learned; many languages are judged
+in groups, whose sizes are put side by side.
 
 Null texts and texts without a letter are ``und`` with score 0, as are all texts if no language
 was learned.  Equal sizes go to the language that sorts first.  Repeated rows are judged each;
@@ -21,11 +22,15 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-#: Bounds of the dictionaries: languages (those with most documents), documents and bytes per language, bytes of all.
-LANGUAGES = 500
+from packloom.llm.common import written
+
+#: Bounds of the dictionaries: documents and bytes per language, bytes of all.
 SAMPLE_DOCS = 400
 DICTIONARY_BYTES = 64 * 1024
 ALL_BYTES = 32 * 1024 * 1024
+#: Languages whose compressors a worker holds at a time, and sizes it holds while it goes through the groups.
+GROUP = 500
+SIZES = 8_000_000
 #: Characters a sampled document gives at most, from a place its hash picks.
 SNIPPET = 400
 SEGMENT = 4096
@@ -46,12 +51,11 @@ def sample_texts(docs: DataFrame, learn: Column, doc_id: str = "doc_id", text: s
     ``SAMPLE_DOCS`` snippets per language leave their scan.
     """
     rows = docs.where(learn & F.col(lang).isNotNull() & (F.length(text) > 0))
-    counts = rows.groupBy(F.col(lang).alias("lang")).count().orderBy(F.desc("count"), "lang").limit(LANGUAGES).collect()
-    wanted = max(1, min(SAMPLE_DOCS, ALL_BYTES // (SNIPPET * max(1, len(counts)))))
+    counts = written(rows.groupBy(F.col(lang).alias("_lang")).agg(F.count(F.lit(1)).alias("_count")))
+    wanted = max(1, min(SAMPLE_DOCS, ALL_BYTES // (SNIPPET * max(1, counts.count()))))
     order = F.xxhash64(F.col(doc_id).cast("string"), F.col(text))
-    share = F.lit(0.0)
-    for row in counts:
-        share = F.when(F.col(lang) == row["lang"], F.lit(min(1.0, 4 * wanted / row["count"]))).otherwise(share)
+    rows = rows.join(F.broadcast(counts), F.col(lang) == F.col("_lang"))
+    share = F.least(F.lit(1.0), F.lit(4.0 * wanted + 40) / F.col("_count"))
     start = F.pmod(order, F.greatest(F.length(text) - SNIPPET, F.lit(1))).cast("int")
     near = rows.where(F.pmod(order, F.lit(2**40)) / F.lit(float(2**40)) < share).select(
         F.col(lang).alias("lang"), F.pmod(order, F.lit(2**40)).alias("_order"),
@@ -91,14 +95,42 @@ class Compressors:
         self.names = sorted(dictionaries)
         self.long, self.short = ([of_level(dictionaries[n], level) for n in self.names] for level in (LEVEL, SHORT_LEVEL))
 
-    def judge(self, text: str | None) -> tuple[str, float, float]:
-        """Language, score and margin: how much more than the fewest bytes the runner-up needs, relative to its own."""
-        if not text or not self.names or not any(c.isalpha() for c in text):
-            return "und", 0.0, 0.0
-        content = reduced(text).encode()
+    def sizes(self, content: bytes) -> list[int]:
+        """Bytes of a reduced text with each dictionary, in the order of names."""
         segments = [content[at : at + SEGMENT] for at in range(0, len(content), SEGMENT)]
         tools = self.short if len(content) <= SHORT else self.long
-        sizes = np.array([sum([len(compress(s)) for s in segments]) for compress in tools], float)
+        return [sum([len(compress(s)) for s in segments]) for compress in tools]
+
+
+class Judge:
+    """Compares texts with all dictionaries, ``GROUP`` of them at a time; a single group's compressors are kept."""
+
+    def __init__(self, dictionaries: dict[str, bytes]):
+        self.names = sorted(dictionaries)
+        self.groups = [{n: dictionaries[n] for n in self.names[at : at + GROUP]} for at in range(0, len(self.names), GROUP)]
+        self.kept = Compressors(self.groups[0]) if len(self.groups) == 1 else None
+
+    def all(self, texts: list[str | None]) -> list[tuple[str, float, float]]:
+        at_once = max(1, SIZES // max(1, len(self.names)))
+        return [found for at in range(0, len(texts), at_once) for found in self._some(texts[at : at + at_once])]
+
+    def _some(self, texts: list[str | None]) -> list[tuple[str, float, float]]:
+        found = [("und", 0.0, 0.0)] * len(texts)
+        judged = [i for i, t in enumerate(texts) if t and self.names and any(c.isalpha() for c in t)]
+        if not judged:
+            return found
+        sizes, at = np.empty((len(judged), len(self.names))), 0
+        for group in self.groups:
+            tools = self.kept or Compressors(group)
+            for row, i in enumerate(judged):
+                sizes[row, at : at + len(group)] = tools.sizes(reduced(texts[i]).encode())
+            at += len(group)
+        for row, i in enumerate(judged):
+            found[i] = self.decide(sizes[row])
+        return found
+
+    def decide(self, sizes: np.ndarray) -> tuple[str, float, float]:
+        """Language, score and margin: how much more than the fewest bytes the runner-up needs, relative to its own."""
         best = int(sizes.argmin())
         others = np.delete(sizes, best)
         if not len(others):
@@ -114,9 +146,9 @@ def identify(docs: DataFrame, dictionaries: dict[str, bytes], held_out: Column,
     sent = docs.sparkSession.sparkContext.broadcast(dictionaries)
 
     def judge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        tools = Compressors(sent.value)
+        judged = Judge(sent.value)
         for batch in batches:
-            found = [tools.judge(t) for t in batch.column(2).to_pylist()]
+            found = judged.all(batch.column(2).to_pylist())
             names, scores, margins = zip(*found, strict=True) if found else ((), (), ())
             yield pa.RecordBatch.from_arrays(
                 [batch.column(0), batch.column(1), pa.array(names, pa.string()), pa.array(scores, pa.float64()), pa.array(margins, pa.float64())],

@@ -110,3 +110,20 @@ def test_language_of_hostile_texts(hostile, nothing):
     assert empty == {} and {r["lang_pred"] for r in records(language.identify(hostile, empty, F.lit(False)))} == {"und"}
     one = language.identify(hostile, language.train_languages(hostile, F.col("lang") == "en"), F.lit(False))
     assert {r["lang_pred"] for r in records(one)} == {"en", "und"}
+
+
+def test_every_language_is_learned(spark, monkeypatch):
+    names = [f"l{i:03}" for i in range(520)]
+    rng = np.random.default_rng(3)
+    stems = ["".join(rng.choice(list("abcdefghijklmnopqrstuvwxyz"), 7)) for _ in range(4 * len(names))]
+    text = lambda at: " ".join(stems[4 * at + j] for j in (0, 1, 2, 3, 1, 0, 3, 2))
+    rows = [(3 * at + j, text(at), name) for at, name in enumerate(names) for j in range(1 if at >= 500 else 2)]
+    docs = spark.createDataFrame([*rows, (9999, None, None)], "doc_id bigint, text string, lang string")
+    dictionaries = language.train_languages(docs, F.lit(True))
+    assert sorted(dictionaries) == names
+    texts = [text(at) for at in (0, 499, 500, 519)] + [None, "12"]
+    whole = language.Judge(dictionaries).all(texts)
+    assert [w[0] for w in whole] == ["l000", "l499", "l500", "l519", "und", "und"]
+    monkeypatch.setattr(language, "GROUP", 7)
+    monkeypatch.setattr(language, "SIZES", 600)
+    assert language.Judge(dictionaries).all(texts) == whole
