@@ -34,8 +34,9 @@ from packloom.operators.saving import saved
 #: Signature slots are BANDS x BAND_ROWS: two sets of similarity 0.8 miss each other once in 1,500 times.
 BANDS, BAND_ROWS = 24, 6
 SLOTS = BANDS * BAND_ROWS
-#: Signatures agree on this much less than the similarity before a pair is given up, some three standard deviations.
-MARGIN = 0.1
+#: Signatures agree on this much less than the similarity before a pair is given up, six standard deviations: of pairs at
+#: a similarity of 0.8, fewer than one in a million.
+MARGIN = 0.2
 #: Shingles of a bucket's members that are compared in one block, about.
 CHUNK = 1_000_000
 #: Elements whose permutations are held in memory at a time.

@@ -1,6 +1,8 @@
+import math
 import random
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -119,3 +121,16 @@ def test_components_of_long_chains_and_stars(spark):
 
 def test_empty_table(nothing):
     assert minhash.group_documents(nothing).count() == 0
+
+
+def test_few_pairs_are_given_up_by_their_signatures():
+    least = math.ceil((0.8 - minhash.MARGIN) * minhash.SLOTS)
+    missed = sum(math.comb(minhash.SLOTS, k) * 0.8**k * 0.2 ** (minhash.SLOTS - k) for k in range(least))
+    assert missed < 1e-6
+    rng = np.random.default_rng(4)
+    one = rng.integers(0, 2**16, minhash.SLOTS).astype(np.uint16)
+    other = one.copy()
+    other[least:] += 1
+    rows = [{"key": 5, "m": 0, "s": 0, "stray": i > 0, "rep": i, "group": i, "n": 50, "bands": [5, 9 + i], "signature": x.tobytes()} for i, x in enumerate((one, other))]
+    block = pa.Table.from_pylist(rows)
+    assert [(x, near.tolist()) for x, near in minhash._near(block, 80)] == [(1, [0])]
