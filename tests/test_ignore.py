@@ -1,4 +1,4 @@
-from conftest import values
+from helpers import values
 
 from packloom.operators.ignore import ignore_files, ignored_entries
 from packloom.operators.tree import with_directories

@@ -1,7 +1,7 @@
 """Options that are safe to run on: states of profile files, outputs, links, previews."""
 
 import pytest
-from conftest import values
+from helpers import values
 
 from packloom import ScanConfig
 from packloom.fixed_values import PROFILE_FILE

@@ -1,5 +1,5 @@
 import pytest
-from conftest import values
+from helpers import values
 
 from packloom.fixed_values import PACK_SUFFIX, PROFILE_FILE
 from packloom.operators import profiles
