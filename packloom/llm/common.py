@@ -51,9 +51,13 @@ BLOCK_BYTES = 4 << 20
 
 
 def blocks(batches: Iterator[pa.RecordBatch], text: int, size: int = BLOCK_BYTES) -> Iterator[pa.RecordBatch]:
-    """The rows of the batches in slices of about ``size`` bytes of text, or of one longer text."""
+    """The rows of the batches in slices of about ``size`` bytes of text, or of one longer text.
+
+    ``text`` is the number of a column of texts, or of one that has their lengths.
+    """
     for batch in batches:
-        lengths = pc.fill_null(pc.binary_length(batch.column(text)), 0).to_numpy(zero_copy_only=False)
+        column = batch.column(text)
+        lengths = pc.fill_null(column if pa.types.is_integer(column.type) else pc.binary_length(column), 0).to_numpy(zero_copy_only=False)
         place = np.cumsum(lengths) // size
         edges = [0, *(np.flatnonzero(np.diff(place)) + 1).tolist(), batch.num_rows]
         for begin, end in zip(edges[:-1], edges[1:], strict=True):
