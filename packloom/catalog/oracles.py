@@ -256,6 +256,32 @@ tokens AS (
     UNION ALL SELECT project, {_tokens('content')} + {_tokens(_opening('rel_path'))} + {_tokens(_CLOSING)} FROM block_rows)
   GROUP BY project)"""
 
+# Workspaces without ignore files under a cap by project: blocks in pack order and the tokens before each.
+CAPPED = f"""{WS}, entries AS (
+  SELECT project, rel_path, length, content, false AS is_dir FROM ws
+  UNION ALL SELECT DISTINCT project, unnest({_prefixes('rel_path', False)}), NULL, NULL, true FROM ws),
+judged AS (
+  SELECT *, {_blacklist('rel_path')} IS NULL AS open, {_ws_exclude('rel_path')} IS NOT NULL AS excl, {_ws_include('rel_path')} AS incl,
+         {_tree_include('rel_path')} AS tree_incl FROM entries),
+shown AS (SELECT project, rel_path FROM judged WHERE open AND tree_incl), {_tree('shown')},
+tree_rows AS (
+  SELECT project, '' AS rel_path, project || '/' || {_LF} AS value FROM (SELECT DISTINCT project FROM ws)
+  UNION ALL SELECT project, path, line || CASE WHEN NOT is_dir AND (project, path) IN (SELECT (project, rel_path) FROM judged WHERE is_dir)
+    THEN '/' ELSE '' END || {_LF} FROM drawn),
+tree_sizes AS (SELECT project, sum({_tokens('value')}) AS tree FROM tree_rows GROUP BY project),
+caps AS (
+  SELECT project, CASE WHEN n % 6 <> 5 THEN n % 6 * n % 7 * 900 + 150 END AS cap
+  FROM (SELECT DISTINCT source AS project, CAST(regexp_extract(source, '(\\d+)$', 1) AS BIGINT) AS n FROM documents)),
+sized AS (
+  SELECT project, rel_path, content, {_tokens('content')} + {_tokens(_opening('rel_path'))} + {_tokens(_CLOSING)} AS block_tokens
+  FROM judged WHERE open AND NOT excl AND incl AND NOT is_dir AND length <= 4096),
+summed AS (
+  SELECT *, CAST(coalesce(sum(block_tokens) OVER (PARTITION BY project ORDER BY string_split(rel_path, '/')
+    ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS BIGINT) AS tokens_before FROM sized),
+capped AS (
+  SELECT s.*, cap IS NULL OR tree + tokens_before + block_tokens <= cap AS kept
+  FROM summed s JOIN caps USING (project) JOIN tree_sizes USING (project))"""
+
 # ---- profiles
 PROFILE_TEXTS = """texts AS (
   SELECT 'doc-' || doc_id AS project, doc_id, CASE doc_id % 8
@@ -512,6 +538,40 @@ def oracles() -> dict[str, str]:
         "run_stats": f"""WITH {PACKED} SELECT project, CAST(count(*) FILTER (wanted AND length <= 2048) AS BIGINT) AS files_processed,
             CAST(count(*) FILTER (wanted AND length > 2048) AS BIGINT) AS files_skipped, any_value(output_tokens) AS output_tokens
             FROM judged JOIN tokens USING (project) GROUP BY project""",
+        "token_cap": f"WITH {CAPPED} SELECT project, rel_path, block_tokens, tokens_before, kept FROM capped",
+        "token_cap_stats": f"""WITH {CAPPED}, late AS (
+            SELECT project, count(*) AS n FROM judged WHERE open AND NOT excl AND incl AND NOT is_dir AND length > 4096 GROUP BY project),
+          kept AS (SELECT project, count(*) FILTER (kept) AS n, count(*) FILTER (NOT kept) AS beyond, sum(block_tokens) FILTER (kept) AS size
+            FROM capped GROUP BY project)
+          SELECT project, coalesce(k.n, 0)::BIGINT AS files_processed, (coalesce(k.beyond, 0) + coalesce(l.n, 0))::BIGINT AS files_skipped,
+            (tree + coalesce(size, 0))::BIGINT AS output_tokens
+          FROM tree_sizes LEFT JOIN kept k USING (project) LEFT JOIN late l USING (project)""",
+        "token_cap_pack": f"""WITH {CAPPED} SELECT project, 0::BIGINT AS section, rel_path, md5(value) AS value_md5 FROM tree_rows
+            UNION ALL SELECT project, 1, rel_path, md5({_opening('rel_path')} || content || {_CLOSING}) FROM capped WHERE kept""",
+        "directory_tokens": f"""WITH {WS}, {PAGES}, files AS (
+            SELECT project, rel_path, content, strlen(content) AS length FROM ws
+            UNION ALL SELECT project, rel_path, content, strlen(content) FROM pages_files),
+          kept AS (SELECT project, rel_path, {_tokens('content')} + {_tokens(_opening("replace(replace(rel_path, '&', '&amp;'), '<', '&lt;')"))} + {_tokens(_CLOSING)} AS n
+            FROM files WHERE {_blacklist('rel_path')} IS NULL AND NOT starts_with(rel_path, 'tests/') AND length <= 8192),
+          dirs AS (SELECT DISTINCT project, unnest([''] || {_prefixes('rel_path', False)}) AS directory FROM files),
+          nodes AS (
+            SELECT project, path, row_number() OVER (PARTITION BY project ORDER BY path <> '', string_split(path, '/')) - 1 AS number FROM (
+              SELECT project, directory AS path FROM dirs UNION ALL SELECT project, rel_path FROM kept)),
+          spans AS (
+            SELECT d.project, d.directory, min(number) AS first, max(number) AS last FROM dirs d JOIN nodes n ON n.project = d.project
+              AND (d.directory = '' OR n.path = d.directory OR starts_with(n.path, d.directory || '/')) GROUP BY ALL),
+          sums AS (SELECT project, directory, count(*) AS files, sum(n) AS n FROM (
+            SELECT project, n, unnest([''] || {_prefixes('rel_path', False)}) AS directory FROM kept) GROUP BY ALL)
+          SELECT project, directory, first, last, coalesce(files, 0)::BIGINT AS files, coalesce(n, 0)::BIGINT AS block_tokens
+          FROM spans LEFT JOIN sums USING (project, directory)""",
+        "token_rollup": f"""WITH {PACKED}, parts AS (
+            SELECT project, split_part(rel_path, '/', 1) AS top_dir, regexp_extract(rel_path, '(\\.[^./]*)$', 1) AS extension,
+              CASE WHEN starts_with(rel_path, 'de/') AND NOT rel_path LIKE '%.pem' THEN 'exclude' WHEN rel_path LIKE '%.pem' THEN 'blacklist'
+                   WHEN NOT wanted THEN 'include' WHEN length > 2048 THEN 'max_size' ELSE 'included' END AS code,
+              CASE WHEN wanted AND length <= 2048
+                   THEN {_tokens('content')} + {_tokens(_opening('rel_path'))} + {_tokens(_CLOSING)} ELSE 0 END AS n FROM judged)
+          SELECT project, top_dir, extension, code, grouping_id(project, top_dir, extension, code)::BIGINT AS level, count(*) AS files,
+            sum(n)::BIGINT AS block_tokens FROM parts GROUP BY ROLLUP (project, top_dir, extension, code)""",
         "walk_errors": f"""WITH {WS}, listed AS (
             SELECT project, rel_path, false AS is_dir, doc_id % 5 IN (2, 3, 4) AS bad_link FROM ws
             UNION ALL SELECT DISTINCT project, unnest({_prefixes('rel_path', False)}), true, false FROM ws),

@@ -362,6 +362,48 @@ def walk_errors(spark, sf_dir):
     return stats.walk_errors(decide.decide(marked, options), options)
 
 
+def _caps(spark, sf_dir):
+    """A cap by project: some too small for any file, some for all, some none."""
+    number = F.regexp_extract("source", r"(\d+)$", 1).cast("bigint")
+    cap = F.when(number % 6 != 5, number % 6 * number % 7 * 900 + 150)
+    return corpora.table(spark, sf_dir, "documents").select(F.col("source").alias("project"), cap.alias("max_tokens")).distinct()
+
+
+def _capped_run(spark, sf_dir):
+    return Run(made.workspaces(spark, sf_dir), WORKSPACE, max_tokens=_caps(spark, sf_dir))
+
+
+@query
+def token_cap(spark, sf_dir):
+    return _capped_run(spark, sf_dir).token_cap
+
+
+@query
+def token_cap_stats(spark, sf_dir):
+    return _capped_run(spark, sf_dir).stats()
+
+
+@query
+def token_cap_pack(spark, sf_dir):
+    """Rows of packs that are cut, told apart by digests of their values."""
+    packed = _capped_run(spark, sf_dir).pack()
+    return packed.select("project", F.col("section").cast("bigint").alias("section"),
+                         F.replace("path_order", F.lit("\0"), F.lit("/")).alias("rel_path"), F.md5("value").alias("value_md5"))
+
+
+@query
+def directory_tokens(spark, sf_dir):
+    """Tokens below every directory, at every depth, of workspaces and of sites."""
+    columns = ("project", "rel_path", "content", "is_dir", "is_file", "length")
+    files = made.workspaces(spark, sf_dir).select(*columns).unionByName(corpora.pages(spark, sf_dir).select(*columns))
+    return Run(files, ScanConfig(exclude="tests/", no_tree=True, max_size=8)).directory_tokens()
+
+
+@query
+def token_rollup(spark, sf_dir):
+    return Run(corpora.documents(spark, sf_dir), DOCUMENTS).token_rollup()
+
+
 # ---- profiles
 
 

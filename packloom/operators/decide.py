@@ -15,7 +15,7 @@ from packloom.operators.config import Rules
 from packloom.operators.joins import unique_join
 
 INCLUDED = ["included", "included_lossy"]
-SKIPPED = ["max_size", "binary", "unreadable", "not_a_file"]
+SKIPPED = ["max_size", "binary", "unreadable", "not_a_file", "token_cap"]
 
 
 def with_facts(entries: DataFrame) -> DataFrame:

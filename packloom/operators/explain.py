@@ -9,10 +9,12 @@ from packloom.fixed_values import DECISION_TEXT, SKIP_BINARY, SKIP_DIRECTORY_LIN
 from packloom.functions.paths import normalized, prefixes
 from packloom.operators.saving import measured, saved
 
+SKIP_TOKEN_CAP = "beyond the token cap"
+
 
 def decision_text(code: Column) -> Column:
     texts = F.create_map(*[F.lit(x) for pair in DECISION_TEXT.items() for x in pair])
-    return F.try_element_at(texts, code)
+    return F.when(code == "token_cap", F.lit(f"skipped because {SKIP_TOKEN_CAP}")).otherwise(F.try_element_at(texts, code))
 
 
 def rule_text(code: Column, rule: Column) -> Column:
@@ -34,6 +36,7 @@ def skip_reason(code: Column, max_kib: Column, length: Column, read_error: Colum
         .when(code == "binary", F.lit(SKIP_BINARY))
         .when((code == "unreadable") & ~is_dir, F.concat(F.lit(SKIP_UNREADABLE), read_error))
         .when((code == "not_a_file") & ~is_dir, F.lit(SKIP_DIRECTORY_LINK))
+        .when(code == "token_cap", F.lit(SKIP_TOKEN_CAP))
     )
 
 

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from packloom.functions.content import estimated_tokens
 from packloom.operators import explain as explaining
-from packloom.operators import render, stats
+from packloom.operators import budget, intervals, render, stats
 from packloom.operators.config import ScanConfig, column_rules, compile_configs, with_configs, without_lists
 from packloom.operators.decide import apply_marks, inspection_code, inspection_rule, judge, link_error, marks_of, with_facts, with_links_to, with_marks
 from packloom.operators.ignore import ignore_files, ignored_entries, is_ignore_file
@@ -30,13 +30,18 @@ class Run:
     from ``ignore_from`` (project, base_dir, priority, content), by default from the ignore files
     in the corpus.
 
-    Two narrow tables without texts are saved when first needed, because plans use them many
-    times: the marks on entries (ignored, current output), and the outline trees are drawn from.
-    Texts cross the network for the packs only; whatever else needs them is measured in the scan.
+    ``max_tokens`` caps the tokens of every pack, or of those of a table (project, max_tokens): see
+    ``budget.token_cap``.
+
+    Narrow tables without texts are saved when first needed, because plans use them many
+    times: the marks on entries (ignored, current output), the outline trees are drawn from, and
+    the counted decisions.  Texts cross the network for the packs only; whatever else needs them is
+    measured in one pass, of which all counts, previews, caps and break-downs are made.
     """
 
     def __init__(self, entries: DataFrame, config: ScanConfig | DataFrame, outputs: DataFrame | None = None,
-                 ignore_from: DataFrame | None = None, directories: bool = True, tokens=estimated_tokens):
+                 ignore_from: DataFrame | None = None, directories: bool = True, tokens=estimated_tokens,
+                 max_tokens: int | DataFrame | None = None):
         if "content" not in entries.columns:
             entries = entries.withColumn("content", F.lit(None).cast("string"))
         self.files = with_facts(entries)
@@ -47,6 +52,7 @@ class Run:
             outputs = named if outputs is None else outputs.select("project", "rel_path").unionByName(named)
         self.outputs = None if outputs is None else with_links_to(outputs, self.files)
         self.tokens = tokens
+        self.max_tokens = max_tokens
         self.has_links = "link_target" in entries.columns
         self._ignore_files = ignore_files(entries) if ignore_from is None else ignore_from
         self.configs = None if isinstance(config, ScanConfig) else saved(compile_configs(config))
@@ -79,11 +85,40 @@ class Run:
     @cached_property
     def outline(self) -> DataFrame:
         """``project, rel_path, is_dir, tree_code`` of every entry."""
+        if "counted" in self.__dict__:
+            return self.counted.select("project", "rel_path", "is_dir", "tree_code")
         return saved(self.decisions.select("project", "rel_path", "is_dir", "tree_code"))
 
+    @cached_property
+    def counted(self) -> DataFrame:
+        """The decisions, saved: texts are read once for all that is counted."""
+        return saved(self.decisions)
+
+    @cached_property
+    def token_cap(self) -> DataFrame:
+        """``project, rel_path, block_tokens, tokens_before, kept`` of every included file under the cap."""
+        return saved(budget.token_cap(self.counted, self.outline, self.max_tokens, self.tokens))
+
+    @cached_property
+    def cuts(self) -> DataFrame:
+        """``project, cut_at`` of the projects whose packs the cap cuts."""
+        return saved(budget.cuts(self.token_cap))
+
+    @cached_property
+    def capped(self) -> DataFrame:
+        """The counted decisions, with the code ``token_cap`` for files behind the cut of their project."""
+        return self._capped(self.counted)
+
+    def _capped(self, decided: DataFrame) -> DataFrame:
+        if self.max_tokens is None:
+            return decided
+        joined, beyond = budget.beyond_cut(decided, self.cuts)
+        return joined.withColumn(
+            "content_code", F.when(beyond & render.included("content"), "token_cap").otherwise(F.col("content_code"))).drop("cut_at")
+
     @cached_property
     def decisions(self) -> DataFrame:
-        """Facts, codes and rules of every entry, and the tokens of included files' contents."""
+        """Facts, codes and rules of every entry, and the tokens of included files' contents; no cap is applied."""
         tokens = F.when(render.included("content"), self.tokens(F.col("content")))
         judged = self._judge(self.listed).withColumn("content_tokens", tokens).drop("content")
         return apply_marks(with_marks(judged, self.marks), self.rules)
@@ -105,13 +140,25 @@ class Run:
         return self.configs.where("config_error is not null").select("project", "config_error")
 
     def pack(self) -> DataFrame:
-        return render.pack(self.outline, self.survivors)
+        if self.max_tokens is None:
+            return render.pack(self.outline, self.survivors)
+        joined, beyond = budget.beyond_cut(self.survivors, self.cuts)
+        return render.pack(self.outline, joined.where(~beyond).drop("cut_at"))
 
     def preview(self) -> DataFrame:
-        return render.preview(self.decisions, self.rules.max_kib)
+        return render.preview(self.capped, self.rules.max_kib)
 
     def stats(self) -> DataFrame:
-        return stats.run_stats(self.decisions, self.outline, self.rules, self.tokens)
+        return stats.run_stats(self.capped, self.outline, self.rules, self.tokens)
+
+    def token_rollup(self) -> DataFrame:
+        return stats.token_rollup(self.capped, self.tokens)
+
+    def directory_tokens(self) -> DataFrame:
+        """``project, directory, first, last, files, block_tokens``: what every directory's included files cost, at every depth."""
+        tokens = render.block_tokens(F.col("rel_path"), F.col("content_tokens"), self.tokens)
+        kept = self.capped.where(F.col("is_dir") | render.included("content"))
+        return intervals.directory_totals(kept.select("project", "rel_path", "is_dir", tokens.alias("block_tokens")), ["block_tokens"])
 
     def explain(self, requested: DataFrame, roots: DataFrame | None = None) -> DataFrame:
         """Decide about the requested paths alone, then put the answers on the requests."""
@@ -131,7 +178,7 @@ class Run:
             below = with_directories(asked.where("rel_path <> ''"))
             ignored = ignored_entries(below, self.ignore_files, self.paths)
         marks = marks_of(ignored, self.outputs)
-        return explaining.explain(located, self._final(asked, None if marks is None else saved(marks)))
+        return explaining.explain(located, self._capped(self._final(asked, None if marks is None else saved(marks))))
 
     def _directory_links(self) -> DataFrame:
         """``project, rel_path, real_path`` of the links to directories; real_path is null outside the root."""
@@ -147,11 +194,11 @@ class DirectoryRun(Run):
     """A run over directories: list metadata, read ignore files, judge, then open only what is left."""
 
     def __init__(self, spark: SparkSession, roots: list[str] | DataFrame, config: ScanConfig | DataFrame,
-                 outputs: DataFrame | None = None, tokens=estimated_tokens):
+                 outputs: DataFrame | None = None, tokens=estimated_tokens, max_tokens: int | DataFrame | None = None):
         listed = read_entries(spark, roots)
         rule_rows = listed.where(is_ignore_file(F.col("rel_path")) & F.col("is_file"))
         files = ignore_files(inspect_bytes(attach_content(rule_rows, F.lit(True))))
-        super().__init__(listed, config, outputs, ignore_from=files, directories=False, tokens=tokens)
+        super().__init__(listed, config, outputs, ignore_from=files, directories=False, tokens=tokens, max_tokens=max_tokens)
 
     def _read(self, entries: DataFrame, marks: DataFrame | None) -> DataFrame:
         """The entries, with the files that metadata could not rule out opened and looked at."""
