@@ -441,6 +441,16 @@ def oracles() -> dict[str, str]:
             WHEN {_has('rel_path', 'en')} THEN 'en' WHEN starts_with(rel_path, 'tests/') THEN 'tests/**' END AS rule FROM ws""",
         "matched_rule_by_project": f"""WITH {WS}, {_OPTIONS} SELECT project, rel_path, {_OWN_EXCLUDE} AS rule
             FROM ws JOIN options USING (project)""",
+        "first_rule_by_index": f"""WITH {WS}, patterns AS (
+            SELECT project, doc_id AS ord, CASE doc_id % 8 WHEN 0 THEN rel_path WHEN 1 THEN '*' || doc_id || '.rs' WHEN 2 THEN rel_path || '/'
+                WHEN 3 THEN doc_id::VARCHAR WHEN 4 THEN '*/' || doc_id || '*' WHEN 5 THEN split_part(rel_path, '/', 1) || '/*' || doc_id || '.md'
+                WHEN 7 THEN split_part(rel_path, '/', 1) || '/*/' || doc_id || '.txt' END AS raw FROM ws
+            UNION ALL SELECT DISTINCT project, 1000000000, unnest(['*.PEM', 'config/']) FROM ws),
+          hits AS (
+            SELECT w.project, w.rel_path, min({{'ord': p.ord, 'raw': p.raw}}) AS best FROM ws w JOIN patterns p ON p.project = w.project AND CASE
+              WHEN ends_with(raw, '/') THEN starts_with(rel_path, raw) WHEN regexp_full_match(raw, '[0-9]+') THEN {_has('rel_path', "' || raw || '").replace("'' || raw || ''", "raw")}
+              ELSE rel_path GLOB raw END GROUP BY ALL)
+          SELECT project, rel_path, best.ord AS ord, best.raw AS rule FROM ws LEFT JOIN hits USING (project, rel_path)""",
         "blacklist_component": f"WITH {RULED} SELECT project, rel_path, {_component('rel_path')} AS rule FROM ruled",
         "blacklist_pattern": f"WITH {RULED} SELECT project, rel_path, {_pattern('rel_path')} AS rule FROM ruled",
         "filter_decision": _filtered(_blacklist("rel_path")),

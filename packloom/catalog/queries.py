@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from packloom.catalog import corpora as made
 from packloom.functions import content as text_functions
 from packloom.functions import globs, paths, rules
-from packloom.operators import decide, explain, ignore, profiles, render, stats, tree
+from packloom.operators import decide, explain, ignore, profiles, render, rule_index, stats, tree
 from packloom.operators.config import ScanConfig, column_rules, compile_configs, effective_tree_rules, with_configs
 from packloom.operators.order import number_rows
 from packloom.operators.saving import checkpoint_dir, saved
@@ -90,6 +90,27 @@ def matched_rule_by_project(spark, sf_dir):
     return rows.select("project", "rel_path", column_rules().exclude.first_match(F.col("rel_path")).alias("rule"))
 
 
+def _document_patterns(spark, sf_dir):
+    """A pattern per document for its project, of every kind that can be looked up, and of none."""
+    files = made.workspaces(spark, sf_dir).select("project", "rel_path")
+    numbered = files.withColumn("ord", F.regexp_extract("rel_path", r"(\d+)(?:\.\w+|/[^/]+)$", 1).cast("bigint"))
+    number, top = F.col("ord").cast("string"), F.substring_index("rel_path", "/", 1)
+    raw = (
+        F.when(F.col("ord") % 8 == 0, F.col("rel_path")).when(F.col("ord") % 8 == 1, F.concat(F.lit("*"), number, F.lit(".rs")))
+        .when(F.col("ord") % 8 == 2, F.concat(F.col("rel_path"), F.lit("/"))).when(F.col("ord") % 8 == 3, number)
+        .when(F.col("ord") % 8 == 4, F.concat(F.lit(" */"), number, F.lit("* "))).when(F.col("ord") % 8 == 5, F.concat(top, F.lit("/*"), number, F.lit(".md")))
+        .when(F.col("ord") % 8 == 6, F.concat(number, F.lit("?.{bad"))).otherwise(F.concat(top, F.lit("/*/"), number, F.lit(".txt"))))
+    everything = files.select("project").distinct().select("project", F.explode(F.array(*map(F.lit, ("*.PEM", "config/")))).alias("raw"))
+    return numbered.select("project", "ord", raw.alias("raw")).unionByName(everything.withColumn("ord", F.lit(10**9)), allowMissingColumns=True)
+
+
+@query
+def first_rule_by_index(spark, sf_dir):
+    """Patterns as rows, as many as files: the first that matches each file."""
+    index = rule_index.pattern_index(_document_patterns(spark, sf_dir))
+    return rule_index.first_rules(made.workspaces(spark, sf_dir), index)
+
+
 @query
 def blacklist_component(spark, sf_dir):
     return made.ruled_workspaces(spark, sf_dir).select(

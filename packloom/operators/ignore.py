@@ -2,15 +2,14 @@
 
 from __future__ import annotations
 
-import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
-from packloom.functions.globs import SPACES, glob_body
+from packloom.functions.globs import SPACES
 from packloom.functions.paths import below, depth, file_name, parent_dir, prefixes
 from packloom.functions.rules import column_rlike
-from packloom.operators.joins import fits_broadcast, lookup_join, measured_join, unique_join
+from packloom.operators.joins import fits_broadcast, lookup_join, measured_join, spread_work
+from packloom.operators.rule_index import ignore_probes, keyed_ignore_rules
 from packloom.operators.saving import saved
 
 # Where rules come from, strongest first: this order beats depth, and depth beats line order.
@@ -68,44 +67,9 @@ def ignore_rules(files: DataFrame) -> DataFrame:
     return files.select("project", "base_dir", "priority", F.inline(_rules_of(F.col("content"))))
 
 
-_RUNS = T.ArrayType(T.StructType().add("run", "integer").add("negated", "boolean").add("regex", "string"))
-
-
-@F.pandas_udf(_RUNS)
-def _rule_runs(globs: pd.Series, negated: pd.Series, dir_only: pd.Series) -> pd.Series:
-    """Merge neighbouring rules of the same sign in one file: only the last matching sign counts.
-
-    The text to match is the path below the file's directory, with a leading ``/`` for
-    directories.  A malformed glob is skipped, like a comment.
-    """
-    result = []
-    for file_globs, file_negated, file_dir_only in zip(globs, negated, dir_only):
-        runs = []
-        for glob, sign, only_dirs in zip(file_globs, file_negated, file_dir_only):
-            try:
-                body = glob_body(glob, crosses_slash=False)
-            except ValueError:
-                continue
-            if not runs or runs[-1][0] != sign:
-                runs.append((bool(sign), [], []))
-            runs[-1][2 if only_dirs else 1].append(body)
-        result.append([
-            {"run": number, "negated": sign, "regex": "(?s)\\A(?:" + "|".join(
-                head + "(?:" + "|".join(bodies) + ")"
-                for head, bodies in (("/?+", both), ("/", dirs)) if bodies) + ")\\z"}
-            for number, (sign, both, dirs) in enumerate(runs)])
-    return pd.Series(result)
-
-
-def rule_runs(files: DataFrame) -> DataFrame:
-    """``project, base_dir, priority, run, negated, regex``, one row per run of same-signed rules.
-
-    A file holds few runs however many rules it has, so matching an entry costs one regex per
-    run, compiled once while the rows of a project pass by.
-    """
-    rules = files.select("project", "base_dir", "priority", _rules_of(F.col("content")).alias("r"))
-    runs = _rule_runs(F.col("r.glob"), F.col("r.negated"), F.col("r.dir_only"))
-    return rules.select("project", "base_dir", "priority", F.inline(runs))
+def keyed_rules(files: DataFrame) -> DataFrame:
+    """The rules of the files as rows with keys, see ``rule_index.keyed_ignore_rules``."""
+    return keyed_ignore_rules(files.select("project", "base_dir", "priority", _rules_of(F.col("content")).alias("r")))
 
 
 def inner_repositories(entries: DataFrame) -> DataFrame:
@@ -127,21 +91,31 @@ def ignored_entries(listed: DataFrame, files: DataFrame, repositories: DataFrame
     below an ignored directory is looked at.  Every directory is judged once, not once per file.
     """
     borders = inner_repositories(listed if repositories is None else repositories).select(
-        "project", "base_dir", F.lit(0).alias("priority"), F.lit(0).alias("run"),
-        F.lit(False).alias("negated"), F.lit(None).cast("string").alias("regex"))
+        "project", "base_dir", F.lit(0).alias("priority"), F.lit(0).alias("run"), F.lit(False).alias("negated"),
+        F.lit("rest").alias("kind"), F.lit("").alias("key"), F.lit(True).alias("always"), F.lit(False).alias("always_dir"),
+        F.lit(None).cast("string").alias("regex"))
     if not hasattr(files, "measured"):
         files = saved(files)  # rules are read several times, the texts they stand in only here
     with_rules = files.select("project").distinct()
     entries = measured_join(
         listed.select("project", "rel_path", "is_dir"), with_rules, ["project"], spread_on=["rel_path"], how="left_semi", part_of=files)
-    above = prefixes(F.col("rel_path"), with_self=False)
-
-    steps = entries.select("project", "rel_path", "is_dir", F.explode(F.concat(F.array(F.lit("")), above)).alias("base_dir"))
-    subject = F.concat(
-        F.when(F.col("is_dir"), F.lit("/")).otherwise(F.lit("")), below(F.col("rel_path"), F.col("base_dir")))
-    rules = saved(rule_runs(files).unionByName(borders))
-    hits = measured_join(steps, rules, ["project", "base_dir"], spread_on=["rel_path"]).where(
-        F.col("regex").isNull() | column_rlike(subject, F.col("regex")))
+    # A few files may hold many rules: they are taken apart side by side.
+    rules = saved(keyed_rules(spread_work(files, "project", "base_dir", "priority")).unionByName(borders))
+    # Which rule files reach a directory is found once per directory; its entries ask only those.
+    holders = entries.groupBy("project", parent_dir(F.col("rel_path")).alias("parent")).agg(F.count("*").alias("n_children"))
+    reached = holders.select("project", "parent", "n_children", F.explode(
+        F.when(F.col("parent") == "", F.array(F.lit(""))).otherwise(F.concat(F.array(F.lit("")), prefixes(F.col("parent"))))).alias("base_dir"))
+    bases = measured_join(reached, rules.select("project", "base_dir").distinct(), ["project", "base_dir"], spread_on=["parent"], part_of=rules)
+    facts = saved(bases.groupBy("project", "parent").agg(F.first("n_children").alias("n_children"), F.collect_list("base_dir").alias("bases")))
+    asking = entries.select("project", "rel_path", "is_dir", parent_dir(F.col("rel_path")).alias("parent"))
+    steps = lookup_join(asking, facts, ["project", "parent"], weight="n_children", spread_on=["rel_path"]).select(
+        "project", "rel_path", "is_dir", F.explode("bases").alias("base_dir"))
+    inside = below(F.col("rel_path"), F.col("base_dir"))
+    probes = steps.select("project", "rel_path", "is_dir", "base_dir", F.explode(ignore_probes(F.col("rel_path"), inside)).alias("p")).select(
+        "project", "rel_path", "is_dir", "base_dir", "p.kind", "p.key").where("key is not null")
+    subject = F.concat(F.when(F.col("is_dir"), F.lit("/")).otherwise(F.lit("")), inside)
+    hits = measured_join(probes, rules, ["project", "base_dir", "kind", "key"], spread_on=["rel_path"]).where(
+        F.col("always") | (F.col("always_dir") & F.col("is_dir")) | F.coalesce(column_rlike(subject, F.col("regex")), F.lit(False)))
 
     place = (
         F.shiftleft(depth(F.col("base_dir")).cast("bigint"), _DEPTH_BITS)
@@ -159,8 +133,8 @@ def ignored_entries(listed: DataFrame, files: DataFrame, repositories: DataFrame
     # Pruning spreads over directories alone; a file then asks its own directory.
     directories = entries.where("is_dir").select("project", "rel_path")
     tops = removed.where("is_dir").select("project", F.col("rel_path").alias("above"))
-    inside = unique_join(
-        directories.withColumn("above", F.explode(above)), saved(tops), ["project", "above"], "left_semi").select("project", "rel_path")
+    above = directories.withColumn("above", F.explode(prefixes(F.col("rel_path"), with_self=False)))
+    inside = above.join(F.broadcast(tops) if fits_broadcast(removed) else tops, ["project", "above"], "left_semi").select("project", "rel_path")
     pruned = saved(tops.select("project", F.col("above").alias("parent")).union(inside.select("project", "rel_path")).distinct())
     files = entries.where("not is_dir").select("project", "rel_path", parent_dir(F.col("rel_path")).alias("parent"))
     if fits_broadcast(pruned):

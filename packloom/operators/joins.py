@@ -69,3 +69,11 @@ def lookup_join(big: DataFrame, facts: DataFrame, keys: list[str], weight: str,
     )
     joined = marked.join(light, [*keys, "_spread"], "left")
     return joined.select(*big.columns, *[F.coalesce(f"_heavy.{v}", f"_light.{v}").alias(v) for v in values])
+
+
+def spread_work(rows: DataFrame, *keys: str) -> DataFrame:
+    """Spread rows that are short but long to work on evenly over ``spark.sql.shuffle.partitions`` tasks.
+
+    The number is given outright: AQE would merge such short rows into few partitions by size.
+    """
+    return rows.repartition(int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions")), *keys)

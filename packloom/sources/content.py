@@ -10,7 +10,8 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from packloom.functions.content import decode_lossy, is_binary_bytes, is_lossy
-from packloom.sources.directory import os_error_text, spread_work
+from packloom.operators.joins import spread_work
+from packloom.sources.directory import os_error_text
 
 _BATCH_BYTES = 32 * 1024 * 1024
 

@@ -16,7 +16,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from packloom.operators.joins import unique_join
+from packloom.operators.joins import spread_work, unique_join
 from packloom.operators.saving import measured, saved
 
 _ENTRY = (
@@ -82,14 +82,6 @@ def _list_directories(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBa
                 yield pa.RecordBatch.from_pylist(rows, schema=_ARROW)
 
 
-def spread_work(rows: DataFrame, *keys: str) -> DataFrame:
-    """Spread rows whose work is file access evenly over ``spark.sql.shuffle.partitions`` tasks.
-
-    The number is given outright: AQE would merge such short rows into few partitions by size.
-    """
-    return rows.repartition(int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions")), *keys)
-
-
 def read_entries(spark: SparkSession, roots: list[str] | DataFrame) -> DataFrame:
     """Entries of the given directories, one project each, named after the directory.
 
