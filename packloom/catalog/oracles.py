@@ -214,6 +214,13 @@ def _opening(path: str) -> str:
 
 
 _CLOSING = _text(fixed.BLOCK_CLOSING)
+# Lines of ``written`` rows, numbered per project in pack order.
+_LINES = """cut AS (
+  SELECT project, section, rel_path, string_split(left(value, length(value) - 1), chr(10)) AS lines FROM written),
+split AS (
+  SELECT project, section, rel_path, unnest(generate_series(1, len(lines))) AS line, unnest(lines) AS value FROM cut),
+numbered AS (
+  SELECT project, value, row_number() OVER (PARTITION BY project ORDER BY section, rel_path <> '', string_split(rel_path, '/'), line) AS line_no FROM split)"""
 TREE_INPUT = f"""{WS}, {PAGES}, files AS (
   SELECT project, rel_path FROM ws UNION ALL SELECT project, rel_path FROM pages_files)"""
 
@@ -539,9 +546,14 @@ def oracles() -> dict[str, str]:
         "pack_rows": f"""WITH {PACKED} SELECT project, 0::BIGINT AS section, rel_path, value FROM tree_rows
             UNION ALL SELECT project, 1, rel_path, value FROM block_rows""",
         "write_packs": f"""WITH {PACKED}, written AS (
-            SELECT project, value FROM tree_rows UNION ALL SELECT project, value FROM block_rows),
-          lines AS (SELECT project, unnest(string_split(left(value, length(value) - 1), chr(10))) AS value FROM written)
-          SELECT project, value, count(*) AS n FROM lines GROUP BY ALL""",
+            SELECT project, 0 AS section, rel_path, value FROM tree_rows UNION ALL SELECT project, 1, rel_path, value FROM block_rows),
+          {_LINES} SELECT project, line_no, value FROM numbered""",
+        "publish_packs": f"""WITH {PACKED}, written AS (
+            SELECT project, 0 AS section, rel_path, value FROM tree_rows WHERE regexp_extract(project, '(\\d+)$', 1)::INT % 2 = 1
+            UNION ALL SELECT project, 1, rel_path, value FROM block_rows WHERE regexp_extract(project, '(\\d+)$', 1)::INT % 2 = 1
+            UNION ALL SELECT project, 1, rel_path, {_opening('rel_path')} || content || {_CLOSING} FROM docs
+              WHERE rel_path LIKE '%.log' AND regexp_extract(project, '(\\d+)$', 1)::INT % 2 = 0 AND length <= 512000),
+          {_LINES} SELECT project, line_no, value FROM numbered""",
         "content_tokens": f"""WITH {DOCS}, {PAGES} SELECT project, rel_path, {_tokens('content')} AS content_tokens FROM (
             SELECT project, rel_path, content FROM docs UNION ALL SELECT project, rel_path, content FROM pages_files)""",
         "project_tokens": f"WITH {PACKED} SELECT project, output_tokens FROM tokens",

@@ -341,13 +341,27 @@ def pack_rows(spark, sf_dir):
                          F.replace("path_order", F.lit("\0"), F.lit("/")).alias("rel_path"), "value")
 
 
+def _in_order(lines):
+    return number_rows(lines, "project", "place", "line_no").select("project", "line_no", "value")
+
+
 @query
 def write_packs(spark, sf_dir):
-    """Lines of the written packs, counted per project."""
+    """Lines of the written packs, numbered in the order of the files."""
     folder = f"{checkpoint_dir(spark)}/packs-{uuid.uuid4().hex}"
     packs.write_packs(Run(corpora.documents(spark, sf_dir), DOCUMENTS).pack(), folder)
-    lines = spark.read.schema("value string, project string").option("lineSep", "\n").text(folder)
-    return lines.groupBy("project", "value").agg(F.count("*").alias("n"))
+    return _in_order(packs.read_lines(spark, folder))
+
+
+@query
+def publish_packs(spark, sf_dir):
+    """Lines of published packs, after a second run that wrote half of the projects anew."""
+    folder = f"{checkpoint_dir(spark)}/published-{uuid.uuid4().hex}"
+    files = corpora.documents(spark, sf_dir)
+    packs.publish_packs(Run(files, DOCUMENTS).pack(), folder)
+    even = F.pmod(F.regexp_extract("project", r"(\d+)$", 1).cast("int"), F.lit(2)) == 0
+    packs.publish_packs(Run(files.where(even), ScanConfig(include="*.log", no_tree=True)).pack(), folder)
+    return _in_order(packs.read_published(spark, folder))
 
 
 # ---- counts

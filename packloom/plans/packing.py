@@ -191,7 +191,11 @@ class Run:
 
 
 class DirectoryRun(Run):
-    """A run over directories: list metadata, read ignore files, judge, then open only what is left."""
+    """A run over directories: list metadata, read ignore files, judge, then open only what is left.
+
+    What survives is opened once: texts, codes and token counts are saved together, and packs,
+    previews, counts and caps are made of them.  ``opened`` counts the files opened for their content.
+    """
 
     def __init__(self, spark: SparkSession, roots: list[str] | DataFrame, config: ScanConfig | DataFrame,
                  outputs: DataFrame | None = None, tokens=estimated_tokens, max_tokens: int | DataFrame | None = None):
@@ -199,13 +203,14 @@ class DirectoryRun(Run):
         rule_rows = listed.where(is_ignore_file(F.col("rel_path")) & F.col("is_file"))
         files = ignore_files(inspect_bytes(attach_content(rule_rows, F.lit(True))))
         super().__init__(listed, config, outputs, ignore_from=files, directories=False, tokens=tokens, max_tokens=max_tokens)
+        self.opened = spark.sparkContext.accumulator(0)
 
     def _read(self, entries: DataFrame, marks: DataFrame | None) -> DataFrame:
         """The entries, with the files that metadata could not rule out opened and looked at."""
         code, opened = F.col("content_code"), F.col("_opened")
         unread = self._unread(entries, marks).withColumn("_opened", code == "included")
         return (
-            inspect_bytes(attach_content(unread, opened))
+            inspect_bytes(attach_content(unread, opened, self.opened))
             .withColumn("content_code", F.when(opened, inspection_code(self.rules)).otherwise(code))
             .withColumn("content_rule", F.when(opened, inspection_rule(code, self.rules)).otherwise(F.col("content_rule")))
             .drop("_opened"))
@@ -221,12 +226,21 @@ class DirectoryRun(Run):
         unread = self._unread(self.listed, self.marks)
         return saved(unread.select("project", "rel_path", "is_dir", "tree_code"))
 
+    @cached_property
+    def read(self) -> DataFrame:
+        """Decisions, tokens and, of included files, contents, saved."""
+        inside = render.included("content")
+        return saved(self._read(self.listed, self.marks).withColumns({
+            "content_tokens": F.when(inside, self.tokens(F.col("content"))), "content": F.when(inside, F.col("content"))}))
+
     @cached_property
     def decisions(self) -> DataFrame:
-        tokens = F.when(render.included("content"), self.tokens(F.col("content")))
-        return self._read(self.listed, self.marks).withColumn("content_tokens", tokens).drop("content")
+        return self.read.drop("content")
+
+    @cached_property
+    def counted(self) -> DataFrame:
+        return self.decisions
 
     @cached_property
     def survivors(self) -> DataFrame:
-        read = self._read(self.listed, self.marks)
-        return read.where(render.included("content")).select("project", "rel_path", "content")
+        return self.read.where(render.included("content")).select("project", "rel_path", "content")

@@ -5,6 +5,7 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import pyarrow as pa
+from pyspark import Accumulator
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -16,7 +17,7 @@ from packloom.sources.directory import os_error_text
 _BATCH_BYTES = 32 * 1024 * 1024
 
 
-def _read_files(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _read_files(batches: Iterator[pa.RecordBatch], opened: Accumulator | None) -> Iterator[pa.RecordBatch]:
     """Replace ``read_error`` and add ``content_bytes``, handing rows on in batches of bounded bytes."""
     for batch in batches:
         place = batch.schema.get_field_index("read_error")
@@ -26,6 +27,8 @@ def _read_files(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             data = None
             if wanted:
                 try:
+                    if opened is not None:
+                        opened.add(1)
                     with open(location, "rb") as file:
                         data = file.read()
                 except OSError as failure:
@@ -39,15 +42,15 @@ def _read_files(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 start, held, errors, contents = at, 0, [], []
 
 
-def attach_content(entries: DataFrame, wanted: Column) -> DataFrame:
-    """Add ``content_bytes`` to entries with a ``location``; only ``wanted`` files are opened.
+def attach_content(entries: DataFrame, wanted: Column, opened: Accumulator | None = None) -> DataFrame:
+    """Add ``content_bytes`` to entries with a ``location``; only ``wanted`` files are opened, and counted in ``opened``.
 
     A file that cannot be read gets a ``read_error`` instead of failing the task.  Rows are first
     spread evenly by path.
     """
     spread = spread_work(entries.withColumn("_wanted", F.coalesce(wanted, F.lit(False))), "project", "rel_path")
     schema = T.StructType([*spread.schema.fields, T.StructField("content_bytes", T.BinaryType())])
-    return spread.mapInArrow(_read_files, schema).drop("_wanted")
+    return spread.mapInArrow(lambda batches: _read_files(batches, opened), schema).drop("_wanted")
 
 
 def inspect_bytes(entries: DataFrame) -> DataFrame:

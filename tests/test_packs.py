@@ -10,7 +10,7 @@ from packloom.fixed_values import PACK_SUFFIX
 from packloom.functions.content import estimated_tokens
 from packloom.plans.packing import DirectoryRun, Run
 from packloom.sources.directory import read_entries
-from packloom.sources.packs import write_packs
+from packloom.sources.packs import outline_of, part_number, publish_packs, read_manifest, read_published, write_packs
 from packloom.streaming.arrivals import frame_arrivals
 
 
@@ -66,6 +66,39 @@ def test_other_projects_stay_and_the_folder_must_exist(entries, tmp_path):
         write_packs(Run(entries(FILES), ScanConfig()).pack(), str(tmp_path / "no" / "packs"))
 
 
+def test_parts_are_even_though_projects_are_not(entries):
+    files = {f"d{i % 7}/f{i}.txt": f"text {i}\n" * (i % 40) for i in range(300)}
+    rows = Run(entries(files, "big").unionByName(entries({"a": "1"}, "s1")).unionByName(entries({"b": "2"}, "s2")), ScanConfig(no_tree=True)).pack()
+    outline = outline_of(rows)
+    parts, number = part_number(outline, 6)
+    sizes = [r.n for r in rows.withColumn("part", number).groupBy("part").agg(F.sum(F.octet_length("value")).alias("n")).collect()]
+    assert len(sizes) == parts == 6 and max(sizes) <= 1.5 * sum(sizes) / 6
+
+
+def test_publishing_shows_all_projects_of_a_run_at_once(entries, spark, tmp_path):
+    out = str(tmp_path / "packs")
+
+    def shown():
+        lines = read_published(spark, out).orderBy("project", "place").collect()
+        return {p: "".join(r.value + "\n" for r in lines if r.project == p) for p in {r.project for r in lines}}
+
+    assert read_manifest(spark, out).count() == 0
+    both = entries(FILES, "p").unionByName(entries({"x": "1"}, "q"))
+    assert publish_packs(Run(both, ScanConfig()).pack(), out) == 1
+    first = shown()
+    assert first["p"] == PACK and set(first) == {"p", "q"}
+    # The second run fails on its last project: neither is replaced.
+    rows = Run(entries({"new": "n"}, "p").unionByName(entries({"y": "2"}, "q")), ScanConfig()).pack()
+    broken = rows.withColumn("value", F.when(F.col("path_order") == "y", F.raise_error(F.lit("render failed"))).otherwise(F.col("value")))
+    with pytest.raises(Exception, match="render failed"):
+        publish_packs(broken, out)
+    assert shown() == first
+    # One that leaves a project out keeps it, and earlier versions can still be read.
+    assert publish_packs(Run(entries({"y": "2"}, "q"), ScanConfig(no_tree=True)).pack(), out) == 2
+    assert shown() == {"p": PACK, "q": '<file path="y">\n2\n</file>\n\n'}
+    assert values(read_manifest(spark, out, 1), "project", "version") == {("p", 1), ("q", 1)}
+
+
 def test_no_tree(entries):
     packed = Run(entries(FILES), ScanConfig(no_tree=True)).pack()
     assert values(packed, "section") == {1}
@@ -127,6 +160,8 @@ def test_directory_run(spark, tmp_path):
     lines = values(run.preview(), "status_line")
     assert "[SKIP] over.rs (larger than 2 KiB: 2049 bytes)" in lines and "[SKIP] late.rs (binary file)" in lines
     assert any(line.startswith("[EXPECT] legacy.rs (") and line.endswith(" content tokens, lossy UTF-8)") for line in lines)
+    # Pack, counts and preview together opened each file once that rules and size let through: four survivors and late.rs.
+    assert run.opened.value == 5
     asked = spark.createDataFrame(
         [("proj", p) for p in ("linked.rs", "dead.rs", "late.rs", "legacy.rs", "src", "build/out.rs")], "project string, path string")
     assert values(run.explain(asked), "path", "content_code", "tree_code") == {
