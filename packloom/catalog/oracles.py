@@ -552,7 +552,7 @@ def oracles() -> dict[str, str]:
             SELECT project, 0 AS section, rel_path, value FROM tree_rows WHERE regexp_extract(project, '(\\d+)$', 1)::INT % 2 = 1
             UNION ALL SELECT project, 1, rel_path, value FROM block_rows WHERE regexp_extract(project, '(\\d+)$', 1)::INT % 2 = 1
             UNION ALL SELECT project, 1, rel_path, {_opening('rel_path')} || content || {_CLOSING} FROM docs
-              WHERE rel_path LIKE '%.log' AND regexp_extract(project, '(\\d+)$', 1)::INT % 2 = 0 AND length <= 512000),
+              WHERE (rel_path LIKE '%.txt' OR rel_path LIKE '%.log') AND regexp_extract(project, '(\\d+)$', 1)::INT % 2 = 0 AND length <= 512000),
           {_LINES} SELECT project, line_no, value FROM numbered""",
         "content_tokens": f"""WITH {DOCS}, {PAGES} SELECT project, rel_path, {_tokens('content')} AS content_tokens FROM (
             SELECT project, rel_path, content FROM docs UNION ALL SELECT project, rel_path, content FROM pages_files)""",

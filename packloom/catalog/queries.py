@@ -360,7 +360,7 @@ def publish_packs(spark, sf_dir):
     files = corpora.documents(spark, sf_dir)
     packs.publish_packs(Run(files, DOCUMENTS).pack(), folder)
     even = F.pmod(F.regexp_extract("project", r"(\d+)$", 1).cast("int"), F.lit(2)) == 0
-    packs.publish_packs(Run(files.where(even), ScanConfig(include="*.log", no_tree=True)).pack(), folder)
+    packs.publish_packs(Run(files.where(even), ScanConfig(include="*.txt,*.log", no_tree=True)).pack(), folder)
     return _in_order(packs.read_published(spark, folder))
 
 
