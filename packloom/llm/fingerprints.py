@@ -1,10 +1,14 @@
-"""Document fingerprints from closed syncmers over words, in DataFrame operations only.
+"""Document fingerprints from closed syncmers over words, matched by position, in DataFrame operations only.
 
-A window of ``K`` words is an anchor if, of the hashes of its word pairs, the least stands first or
-last.  That depends on the window alone, so texts that share a passage share its anchors wherever
-it stands.  A fingerprint holds the ``SKETCH`` least of a text's anchors, a bottom-k sketch of their
-set; the likeness of two is the Dice coefficient that the sketches estimate.  Texts of fewer than
-``SHORT`` words, and those without an anchor, have the hashes of their words for anchors.
+A window of ``K`` words is an anchor if, of the hashes of its words, the least stands first or last.
+That depends on the window alone, so texts that share a passage share its anchors wherever it
+stands.  Every word of a text ends one window, the first ones with nothing in the places before the
+text, so the one rule holds for texts of any length, and a text with a word has an anchor.
+
+Two texts are compared by all their anchors and their positions.  Shared anchors count where they
+are collinear: at least ``CHAIN`` of them, the same number of words apart in both texts.  The
+likeness is twice that number by the number of both texts' distinct anchors; equal fingerprints are 1.
+A fingerprint is a digest of all anchors with their positions.
 
 Null texts are empty ones.  The next document is the one with the next larger id; of several rows
 with that id, the least text.  Rows without an id have no next document: half of them is cut off and
@@ -14,14 +18,25 @@ are ignored.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+import json
+
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from packloom.llm.common import written
-from packloom.operators.order import number_rows
+from packloom.operators.joins import measured_join, unique_join
+from packloom.operators.order import running_sums
+from packloom.operators.saving import saved
 
 SPACE = r"[\x20\x09-\x0D]+"
-K, SHORT, SKETCH = 5, 12, 64
+#: Words of a window, and shared anchors that make a chain.
+K, CHAIN = 3, 2
+#: Stands for the hash of a word before the text.
+NOTHING = 2**63 - 1
+#: An anchor is one number: its hash, and in the low bits its position and which of two texts it is from.
+PLACE_BITS = 24
+#: Bytes of text that are put beside their next documents together; such groups at most.
+BUCKET_BYTES, MAX_BUCKETS, FANOUT = 4 << 20, 1 << 17, 256
 
 
 def _bound(value: Column, use) -> Column:
@@ -29,81 +44,120 @@ def _bound(value: Column, use) -> Column:
     return F.element_at(F.transform(F.array(value), use), 1)
 
 
-def anchor_positions(text: Column) -> Column:
-    """``(position, hash)`` of all closed syncmers of a text, or of its words if there are none."""
+def anchors(text: Column) -> Column:
+    """All distinct anchors of a text in the order of their hashes, each at its first position."""
+    words = F.array_remove(F.split(F.coalesce(text, F.lit("")), SPACE), "")
+    hashes = F.transform(words, lambda w: F.xxhash64(w))
 
-    def of_words(words: Column) -> Column:
-        pairs = F.zip_with(words, F.slice(words, 2, F.size(words)), lambda a, b: F.xxhash64(a, b))
+    def of_hashes(h: Column) -> Column:
+        def window(x: Column, i: Column) -> Column:
+            first, middle = (F.when(i >= back, F.get(h, i - back)).otherwise(F.lit(NOTHING)) for back in (2, 1))
+            number = F.shiftleft(F.shiftrightunsigned(F.xxhash64(first, middle, x), PLACE_BITS + 1), PLACE_BITS + 1)
+            place = F.shiftleft(F.pmod(i, F.lit(1 << PLACE_BITS)).cast("bigint"), 1)
+            return F.when(middle >= F.least(first, x), number.bitwiseOR(place))
 
-        def of_pairs(p: Column) -> Column:
-            starts = F.sequence(F.lit(1), F.size(words) - (K - 1))
-            closed = F.filter(starts, lambda i: F.least(F.get(p, i - 1), F.get(p, i + K - 3)) <= F.least(*[F.get(p, i + j) for j in range(K - 3)]))
-            return F.transform(closed, lambda i: F.struct(
-                i.alias("position"), F.xxhash64(F.get(p, i - 1), F.get(p, i + 1), F.get(p, i + K - 3)).alias("hash")))
+        return F.sort_array(F.filter(F.transform(h, window), lambda a: a.isNotNull()))
 
-        own = F.transform(words, lambda w, i: F.struct((i + 1).alias("position"), F.xxhash64(w).alias("hash")))
-        found = F.when(F.size(words) < SHORT, own).otherwise(_bound(pairs, of_pairs))
-        return _bound(found, lambda f: F.when(F.size(f) > 0, f).otherwise(own))
+    def firsts(found: Column) -> Column:
+        return F.filter(found, lambda a, i: (i == 0) | (F.shiftright(a, PLACE_BITS + 1) != F.shiftright(F.get(found, i - 1), PLACE_BITS + 1)))
 
-    return _bound(F.split(F.coalesce(text, F.lit("")), SPACE), of_words)
+    return _bound(_bound(hashes, of_hashes), firsts)
 
 
-def sketch(text: Column) -> Column:
-    """The least distinct anchors, by the upper half of their hashes, in ascending order."""
-    hashes = F.transform(anchor_positions(text), lambda a: F.shiftrightunsigned(a["hash"], 32))
-    return F.slice(F.sort_array(F.array_distinct(hashes)), 1, SKETCH)
+def likeness(a: Column, b: Column) -> Column:
+    """Share of the anchors of two texts that both have, collinear."""
+    place = lambda x: F.shiftright(x, 1).bitwiseAND(F.lit((1 << PLACE_BITS) - 1))
+    side = lambda x: F.lit(1) - 2 * x.bitwiseAND(F.lit(1).cast("bigint"))
+    both = F.sort_array(F.concat(a, F.transform(b, lambda x: x.bitwiseOR(F.lit(1).cast("bigint")))))
 
+    def shared(merged: Column) -> Column:
+        def apart(x: Column, i: Column) -> Column:
+            """How many words further the anchor stands in the second text, if the next one is the same from there."""
+            other = F.get(merged, i + 1)
+            same = F.shiftright(x, PLACE_BITS + 1) == F.shiftright(other, PLACE_BITS + 1)
+            return F.when(same, side(x) * (place(other) - place(x)))
 
-def likeness(a: Column, b: Column) -> Column:
-    """Dice coefficient of two texts' anchors, from the least anchors of both together."""
+        return F.sort_array(F.filter(F.transform(merged, apart), lambda d: d.isNotNull()))
 
-    def shared(least: Column) -> Column:
-        j = F.size(F.array_intersect(F.array_intersect(least, a), b)) / F.size(least)
-        return 2 * j / (1 + j)
+    def chained(gaps: Column) -> Column:
+        return F.size(F.filter(gaps, lambda d, i: (d == F.get(gaps, i + CHAIN - 1)) | ((i > 0) & (d == F.get(gaps, i - 1)))))
 
-    union = F.slice(F.sort_array(F.array_union(a, b)), 1, SKETCH)
-    return F.coalesce(F.when(F.size(union) > 0, _bound(union, shared)), F.lit(0.0))
+    total = F.size(a) + F.size(b)
+    near = 2.0 * _bound(_bound(both, shared), chained) / total
+    return F.when(a == b, F.lit(1.0)).when(total > 0, F.coalesce(near, F.lit(0.0))).otherwise(F.lit(0.0))
 
 
-def as_text(sketched: Column) -> Column:
-    return F.array_join(F.transform(sketched, lambda v: F.lpad(F.lower(F.hex(v)), 8, "0")), "")
+def digest(found: Column) -> Column:
+    """A fingerprint's text: two 64-bit hashes of all anchors, and their number."""
+    half = lambda h: F.lpad(F.lower(F.hex(h)), 16, "0")
+    return F.concat(half(F.xxhash64(found)), half(F.xxhash64(F.lit(K), found)), F.lit("-"), F.size(found).cast("string"))
 
 
-def successors(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
-    """``doc_id, next_id, need, times``: the next larger id, after the last the first, and half the length of the longest text."""
-    ids = docs.where(F.col(doc_id).isNotNull()).groupBy(F.col(doc_id).alias("doc_id")).agg(
-        F.max(F.coalesce(F.length(text), F.lit(0))).alias("_n"), F.count(F.lit(1)).alias("times"))
-    ranked = written(number_rows(ids.withColumn("_all", F.lit(0)), "_all", "doc_id", "_rank").drop("_all"))
-    last = ranked.agg(F.max("_rank")).first()[0] or 1
-    after = ranked.select(F.col("doc_id").alias("next_id"), F.when(F.col("_rank") == 1, last).otherwise(F.col("_rank") - 1).alias("_rank"))
-    return written(ranked.join(after, "_rank").select("doc_id", "next_id", F.floor(F.col("_n") / 2).cast("int").alias("need"), "times"))
+def buckets_of(ids: DataFrame) -> list[int]:
+    """The first id of every bucket: runs of ids whose texts have about ``BUCKET_BYTES``, at most ``MAX_BUCKETS`` of them."""
+    summed = saved(running_sums(ids.select(F.lit(0).alias("_all"), "doc_id", "bytes"), "_all", ["doc_id"], {"before": "bytes"}))
+    total = summed.agg(F.max(F.col("before") + F.col("bytes"))).first()[0] or 0
+    size = max(BUCKET_BYTES, -(-total // MAX_BUCKETS))
+    first = summed.groupBy(F.floor(F.col("before") / size).alias("bucket")).agg(F.min("doc_id").alias("first"))
+    return sorted(r["first"] for r in first.select("first").collect())
 
 
-def fingerprint(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
-    """Fingerprints of every text and of its edited text, and how near they and the next document are.
+def bucket_of(doc_id: Column, firsts: list[int]) -> tuple[Column, Column]:
+    """Number of the bucket that an id falls into, and whether it is its bucket's first id; two short look-ups."""
+    groups = [firsts[at : at + FANOUT] for at in range(0, len(firsts), FANOUT)]
+    listed = lambda values, kind: F.from_json(F.lit(json.dumps(values)), kind)
+    coarse = F.size(F.filter(listed([g[0] for g in groups], "array<bigint>"), lambda b: b <= doc_id)) - 1
+    group = F.get(listed(groups, "array<array<bigint>>"), coarse)
+    fine = F.size(F.filter(group, lambda b: b <= doc_id)) - 1
+    return coarse * FANOUT + fine, F.get(group, fine) == doc_id
 
-    Texts are shuffled by id once, and then the beginnings that replace the ends of others.
+
+def with_next(rows: DataFrame, firsts: list[int]) -> DataFrame:
+    """Add ``next_text`` and ``next_own`` to rows of unique ids ``doc_id, text``, and their anchors ``own``.
+
+    Texts move once, to the buckets of their ids, in which the next row is one window step away.
+    The first text of each bucket also goes to the bucket before it, as a guest behind its rows.
     """
-    every = docs.select(F.col(doc_id).cast("bigint").alias("doc_id"), F.coalesce(text, F.lit("")).alias("text"))
-    rows = every.where(F.col("doc_id").isNotNull())  # the same plan on both sides, so that its shuffle is reused
-    following = successors(rows)
-    beginnings = rows.join(following.withColumnRenamed("doc_id", "to"), rows["doc_id"] == F.col("next_id")).select(
-        "to", F.substring(F.col("text"), F.lit(1), F.col("need")).alias("begin"))
-    if following.where("times > 1").limit(1).count():
-        beginnings = beginnings.groupBy("to").agg(F.min("begin").alias("begin"))
+    number, leads = bucket_of(F.col("doc_id"), firsts)
+    placed = rows.withColumns({"_bucket": number, "_leads": leads})
+    visit = lambda bucket, guest: F.struct(bucket.cast("int").alias("bucket"), F.lit(guest).alias("guest"))
+    visits = F.when(F.col("_leads"), F.array(
+        visit(F.col("_bucket"), False), visit(F.pmod(F.col("_bucket") - 1, F.lit(len(firsts))), True))).otherwise(F.array(visit(F.col("_bucket"), False)))
+    dealt = placed.select("doc_id", "text", F.explode(visits).alias("v")).select("doc_id", "text", "v.bucket", "v.guest").repartition("bucket")
+    beside = Window.partitionBy("bucket").orderBy("guest", "doc_id")
+    known = dealt.withColumn("own", anchors(F.col("text")))
+    return known.withColumns({"next_text": F.lead("text").over(beside), "next_own": F.lead("own").over(beside)}).where("not guest").drop("bucket", "guest")
+
+
+def fingerprint(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
+    """Fingerprints of every text and of its edited text, and how near they and the next document are."""
+    every = docs.select(F.col(doc_id).cast("bigint").alias("doc_id"), F.coalesce(F.col(text), F.lit("")).alias("text"))
+    named = every.where(F.col("doc_id").isNotNull())
+    ids = written(named.groupBy("doc_id").agg(F.sum(F.octet_length("text") + 64).alias("bytes"), F.count(F.lit(1)).alias("times")))
+    nothing = {"next_text": F.lit("").cast("string"), "next_own": F.lit(None).cast("array<bigint>")}
+    unnamed = every.where(F.col("doc_id").isNull()).withColumns({"own": anchors(F.col("text")), **nothing})
+    firsts = buckets_of(ids)
+    if not firsts:
+        return _compared(unnamed)
+    repeated = saved(ids.where("times > 1").select("doc_id"))
+    if not repeated.measured["rows"]:
+        return _compared(with_next(named, firsts).unionByName(unnamed))
+    # Of the rows of an id, the least text stands for it; the others take its next document.
+    several = unique_join(named, repeated, ["doc_id"], "left_semi")
+    single = unique_join(named, repeated, ["doc_id"], "left_anti")
+    following = with_next(single.unionByName(several.groupBy("doc_id").agg(F.min("text").alias("text"))), firsts)
+    of_repeated = saved(unique_join(following, repeated, ["doc_id"], "left_semi").select("doc_id", "next_text", "next_own"))
+    others = measured_join(several, of_repeated, ["doc_id"], spread_on=["text"]).withColumn("own", anchors(F.col("text")))
+    alone = unique_join(following, repeated, ["doc_id"], "left_anti")
+    return _compared(alone.unionByName(others).unionByName(unnamed))
+
+
+def _compared(rows: DataFrame) -> DataFrame:
     half = F.floor(F.length("text") / 2).cast("int")
-    begin = F.substring(F.coalesce("begin", F.lit("")), F.lit(1), half)
-    edited = F.concat(F.substring(F.col("text"), F.lit(1), F.length("text") - half), begin)
-    begun = rows.join(beginnings, rows["doc_id"] == beginnings["to"], "left").select("doc_id", "text", "begin")
-    begun = begun.union(every.where(F.col("doc_id").isNull()).select("doc_id", "text", F.lit(None).cast("string").alias("begin")))
-    made = begun.select("doc_id", F.length("text").cast("bigint").alias("n_chars"), "text", edited.alias("edited"))
-    found = written(made.select(
-        "doc_id", "n_chars", F.sha2(F.col("edited").cast("binary"), 256).alias("edited_sha256"),
-        sketch(F.col("text")).alias("own"), sketch(F.col("edited")).alias("changed")))
-    after = found.select(F.col("doc_id").alias("_id"), F.col("own").alias("_next")).join(
-        following.select(F.col("doc_id").alias("to"), F.col("next_id").alias("_id")), "_id").select("to", "_next")
-    if following.where("times > 1").limit(1).count():
-        after = after.groupBy("to").agg(F.min("_next").alias("_next"))
-    return found.join(after, found["doc_id"] == after["to"], "left").select(
-        "doc_id", "n_chars", "edited_sha256", as_text(F.col("own")).alias("fingerprint"), as_text(F.col("changed")).alias("edited_fingerprint"),
-        likeness(F.col("own"), F.col("changed")).alias("near_edited"), likeness(F.col("own"), F.col("_next")).alias("near_next"))
+    edited = F.concat(F.substring(F.col("text"), F.lit(1), F.length("text") - half), F.substring(F.col("next_text"), F.lit(1), half))
+    made = rows.withColumn("edited", edited).withColumn("changed", anchors(F.col("edited")))
+    return made.select(
+        "doc_id", F.length("text").cast("bigint").alias("n_chars"), F.sha2(F.col("edited").cast("binary"), 256).alias("edited_sha256"),
+        digest(F.col("own")).alias("fingerprint"), digest(F.col("changed")).alias("edited_fingerprint"),
+        likeness(F.col("own"), F.col("changed")).alias("near_edited"),
+        F.coalesce(likeness(F.col("own"), F.col("next_own")), F.lit(0.0)).alias("near_next"))
