@@ -7,7 +7,8 @@ about those that are better than what they have; only pairs with a new member ar
 carry the vectors to the nodes, and what comes back is merged by node.
 
 A query starts from its own node's list and, round by round, looks at the neighbours of its best
-unvisited candidates.  Vectors stay in blocks of bounded size, to which queries travel.
+unvisited candidates, until a round changes no query's best ones.  Vectors stay in blocks of bounded
+size, to which queries travel.
 
 Vectors that are null, zero, of another length than most, or hold null or non-finite components
 take no part.  Rows of one id count once, with the least vector; rows without an id are left out.
@@ -29,13 +30,13 @@ from packloom.llm.common import parts_of, written
 #: Neighbours a node keeps, nodes that list it and that it hears of, and what it tells each about.
 DEGREE, REVERSE, TOLD = 48, 32, 6
 TREES, LEAF, PLANES = 6, 128, 20
-ROUNDS, SETTLED = 7, 0.02
-#: Search: candidates looked at in a round, kept, and rounds.
-EXPANDED, BEAM, STEPS = 64, 256, 4
+ROUNDS, SETTLED = 30, 0.02
+#: Search: candidates looked at in a round, kept, rounds at most, and best ones that must stay the same for a query to be settled.
+EXPANDED, BEAM, STEPS, TOP = 64, 256, 16, 24
 #: Nodes of a partition or block, about.
 PART_NODES = 2_000
 
-LISTS = "id bigint, ids array<bigint>, scores array<float>, fresh array<boolean>"
+LISTS = "id bigint, ids array<bigint>, scores array<double>, fresh array<boolean>"
 
 
 def valid_vectors(rows: DataFrame, vec_id: str, vector: str) -> DataFrame:
@@ -54,8 +55,22 @@ def _matrix(column: pa.Array, kind) -> np.ndarray:
     return flat.flatten().to_numpy(zero_copy_only=False).astype(kind, copy=False).reshape(len(flat), -1)
 
 
-def _halves(column: pa.ChunkedArray, width: int) -> np.ndarray:
-    return np.frombuffer(b"".join(column.to_pylist()), np.float16).reshape(-1, width).astype(np.float32)
+def _packed(vectors: np.ndarray, top: float) -> pa.Array:
+    """Each vector as the largest of its components, by the largest of all, and its components by its own largest.
+
+    Directions are halves then, whatever the numbers' magnitude, and no vector is lost beside larger ones.
+    """
+    own = np.abs(vectors).max(axis=1, keepdims=True)
+    return pa.array([s.tobytes() + d.tobytes() for s, d in zip(own / top, (vectors / own).astype(np.float16), strict=True)], pa.binary())
+
+
+def _halves(column: pa.ChunkedArray, width: int) -> tuple[np.ndarray, np.ndarray]:
+    """Directions and scales of packed vectors.
+
+    Whom a node lists depends on the others' scales and not on its own, so that its scores leave its own out.
+    """
+    rows = np.frombuffer(b"".join(column.to_pylist()), np.dtype([("scale", "<f8"), ("half", "<f2", (width,))]))
+    return rows["half"].astype(np.float32), rows["scale"]
 
 
 def _flat(ids: pa.ChunkedArray, *lists: pa.ChunkedArray) -> list[np.ndarray]:
@@ -82,7 +97,7 @@ def _best(node: np.ndarray, other: np.ndarray, score: np.ndarray, fresh: np.ndar
     offsets = pa.array(np.concatenate([[0], ends]).astype(np.int32))
     return pa.table({
         "id": pa.array(node[starts]), "ids": pa.ListArray.from_arrays(offsets, pa.array(other[keep])),
-        "scores": pa.ListArray.from_arrays(offsets, pa.array(score[keep].astype(np.float32))),
+        "scores": pa.ListArray.from_arrays(offsets, pa.array(score[keep].astype(np.float64))),
         "fresh": pa.ListArray.from_arrays(offsets, pa.array(fresh[keep].astype(bool)))})
 
 
@@ -104,28 +119,29 @@ def _merge(lists: DataFrame, parts: int, degree: int) -> DataFrame:
     return lists.repartition(parts, "id").mapInArrow(_whole_partition(work), LISTS)
 
 
-def first_lists(nodes: DataFrame, width: int, parts: int, degree: int = DEGREE) -> DataFrame:
+def first_lists(nodes: DataFrame, width: int, parts: int, top: float, degree: int = DEGREE) -> DataFrame:
     """The best neighbours among the ``LEAF`` nodes beside each along ``TREES`` orders by random projections."""
     planes = np.random.default_rng(11).normal(size=(TREES, PLANES + 1, width)).astype(np.float32)
 
     def place(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            vectors = _matrix(batch.column(1), np.float32)
+            whole = _matrix(batch.column(1), np.float64)
+            packed, vectors = _packed(whole, top), (whole / np.abs(whole).max(axis=1, keepdims=True)).astype(np.float32)
             for tree in range(TREES):
                 seen = vectors @ planes[tree].T
                 code = (seen[:, :PLANES] > 0) @ (1 << np.arange(PLANES)[::-1]).astype(np.float64)
                 yield pa.RecordBatch.from_arrays(
                     [pa.array(np.full(len(vectors), tree), pa.int32()), pa.array(code), pa.array(seen[:, PLANES].astype(np.float64)), batch.column(0),
-                     pa.array([v.tobytes() for v in vectors.astype(np.float16)], pa.binary())], ["tree", "code", "at", "id", "vec"])
+                     packed], ["tree", "code", "at", "id", "vec"])
 
     def leaves(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             trees, ids = batch.column(0).to_numpy(), batch.column(3).to_numpy()
-            vectors = _halves(pa.chunked_array([batch.column(4)]), width)
+            vectors, scales = _halves(pa.chunked_array([batch.column(4)]), width)
             for start in range(0, len(ids), LEAF):
                 for tree in np.unique(trees[start : start + LEAF]):
                     at = np.flatnonzero(trees[start : start + LEAF] == tree) + start
-                    scores = vectors[at] @ vectors[at].T
+                    scores = (vectors[at] @ vectors[at].T) * scales[at]
                     node, other = np.repeat(ids[at], len(at)), np.tile(ids[at], len(at))
                     yield from _best(node, other, scores.ravel(), np.ones(len(node), bool), degree).to_batches()
 
@@ -137,7 +153,7 @@ def first_lists(nodes: DataFrame, width: int, parts: int, degree: int = DEGREE)
 def _round(graph: DataFrame, width: int, parts: int, degree: int, number: int) -> DataFrame:
     """Candidates that the nodes' neighbours tell each other about."""
     own = graph.select(
-        "id", "half", F.when(F.size("ids") >= degree, F.element_at("scores", -1)).otherwise(F.lit(-3.4e38)).cast("float").alias("least"),
+        "id", "half", F.when(F.size("ids") >= degree, F.element_at("scores", -1)).otherwise(F.lit(float("-inf"))).alias("least"),
         F.arrays_zip("ids", "fresh").alias("links"))
     edges = own.select("id", "half", "least", F.explode("links").alias("link")).select(
         F.col("link.ids").alias("to"), "id", "half", "least", F.col("link.fresh").alias("fresh"))
@@ -149,14 +165,14 @@ def _round(graph: DataFrame, width: int, parts: int, degree: int, number: int) -
     def work(table: pa.Table) -> pa.Table:
         to, member, least = (table[c].to_numpy() for c in ("to", "id", "least"))
         fresh = table["fresh"].to_numpy(zero_copy_only=False).astype(bool)
-        vectors = _halves(table["half"], width)
+        vectors, scales = _halves(table["half"], width)
         order = np.lexsort((~fresh, member, to))
         edge = np.concatenate([[0], np.flatnonzero(np.diff(to[order])) + 1, [len(to)]])
         found = []
         for begin, end in zip(edge[:-1], edge[1:], strict=True):
             at = order[begin:end]
             at = at[np.concatenate([[True], member[at][1:] != member[at][:-1]])]
-            scores = vectors[at] @ vectors[at].T
+            scores = (vectors[at] @ vectors[at].T) * scales[at]
             scores[~(fresh[at][:, None] | fresh[at][None, :])] = -np.inf
             np.fill_diagonal(scores, -np.inf)
             told = min(TOLD, len(at) - 1)
@@ -167,7 +183,7 @@ def _round(graph: DataFrame, width: int, parts: int, degree: int, number: int) -
             row, column = np.nonzero(value > least[at][:, None])
             found.append((member[at[row]], member[at[best[row, column]]], value[row, column]))
         node, other, score = (np.concatenate(x) for x in zip(*found, strict=True)) if found else (np.zeros(0, np.int64),) * 3
-        return _best(node, other, score.astype(np.float32), np.ones(len(node), bool), degree)
+        return _best(node, other, score, np.ones(len(node), bool), degree)
 
     return heard.unionByName(listed).repartition(parts * 2, "to").mapInArrow(_whole_partition(work), LISTS)
 
@@ -179,13 +195,14 @@ def build_graph(nodes: DataFrame, width: int, degree: int = DEGREE) -> DataFrame
     """
     parts = parts_of(nodes.count(), PART_NODES)
 
+    top = nodes.agg(F.max(F.array_max(F.transform("vec", lambda x: F.abs(x))))).first()[0]
+
     def halve(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            half = [v.tobytes() for v in _matrix(batch.column(1), np.float64).astype(np.float16)]
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(half, pa.binary())], ["id", "half"])
+            yield pa.RecordBatch.from_arrays([batch.column(0), _packed(_matrix(batch.column(1), np.float64), top)], ["id", "half"])
 
     halves = written(nodes.select("id", "vec").mapInArrow(halve, "id bigint, half binary").repartition(parts, "id"))
-    lists = written(first_lists(nodes, width, parts, degree))
+    lists = written(first_lists(nodes, width, parts, top, degree))
     for number in range(ROUNDS):
         told = _round(halves.join(lists, "id"), width, parts, degree, number)
         known = lists.withColumn("fresh", F.transform("fresh", lambda _: F.lit(False)))
@@ -248,16 +265,17 @@ def search(graph: DataFrame, starts: DataFrame, width: int) -> DataFrame:
     def settle(state: pd.DataFrame, found: pd.DataFrame) -> pd.DataFrame:
         """The beam with what was found; what was expanded last is marked by being seen as such."""
         if state.empty:
-            return _no_rows("query", "vec", "seen", "ids", "scores", "expanded")
+            return _no_rows("query", "vec", "seen", "ids", "scores", "expanded", "changed")
         row = state.iloc[0]
         ids = np.concatenate([row["ids"], *found["found"]]).astype(np.int64)
         scores = np.concatenate([row["scores"], *found["scores"]]).astype(float)
         seen = np.union1d(row["seen"], np.concatenate(found["found"].to_list()).astype(np.int64)) if len(found) else row["seen"]
         best = np.lexsort((ids, -scores))[:BEAM]
         done = np.union1d(row["expanded"], row["next"]).astype(np.int64)
-        return pd.DataFrame({"query": [row["query"]], "vec": [row["vec"]], "seen": [seen], "ids": [ids[best]], "scores": [scores[best]], "expanded": [done]})
+        return pd.DataFrame({"query": [row["query"]], "vec": [row["vec"]], "seen": [seen], "ids": [ids[best]], "scores": [scores[best]], "expanded": [done],
+                             "changed": [not np.array_equal(ids[best][:TOP], row["ids"][:TOP])]})
 
-    state_schema = "query bigint, vec array<double>, seen array<bigint>, ids array<bigint>, scores array<double>, expanded array<bigint>"
+    state_schema = "query bigint, vec array<double>, seen array<bigint>, ids array<bigint>, scores array<double>, expanded array<bigint>, changed boolean"
     empty = F.array().cast("array<bigint>")
     state = starts.select(
         F.col("id").alias("query"), "vec", empty.alias("seen"), F.array("id").alias("ids"),
@@ -271,6 +289,8 @@ def search(graph: DataFrame, starts: DataFrame, width: int) -> DataFrame:
             F.collect_list("node").alias("found")).join(unseen.select("query", "vec"), "query")
         named = wanted.groupBy("block").cogroup(vectors.groupBy("block")).applyInPandas(scored, "query bigint, found array<bigint>, scores array<double>")
         state = written(state.groupBy("query").cogroup(named.groupBy("query")).applyInPandas(settle, state_schema))
+        if not state.where("changed").limit(1).count():
+            break
     return state.select("query", "ids", "scores")
 
 
