@@ -289,6 +289,30 @@ capped AS (
   SELECT s.*, cap IS NULL OR tree + tokens_before + block_tokens <= cap AS kept
   FROM summed s JOIN caps USING (project) JOIN tree_sizes USING (project))"""
 
+# Two snapshots of the workspaces and what differs.
+DELTAS = f"""{WS}, sized AS (
+  SELECT project, rel_path, content, {_tokens('content')} + {_tokens(_opening('rel_path'))} + {_tokens(_CLOSING)} AS tokens FROM (
+    SELECT * FROM ws) WHERE {_blacklist('rel_path')} IS NULL AND regexp_matches(rel_path, '\\.(txt|md|rs|log)$')),
+edited AS (
+  SELECT project, CASE WHEN doc_id % 10 = 1 THEN 'moved/' ELSE '' END || rel_path AS rel_path,
+    CASE doc_id % 10 WHEN 2 THEN content || ' more' WHEN 3 THEN 'same text' ELSE content END AS content FROM ws WHERE doc_id % 10 <> 0
+  UNION ALL SELECT project, 'copies/' || rel_path, content FROM ws WHERE doc_id % 10 = 4),
+resized AS (
+  SELECT project, rel_path, content, {_tokens('content')} + {_tokens(_opening('rel_path'))} + {_tokens(_CLOSING)} AS tokens FROM edited
+  WHERE {_blacklist('rel_path')} IS NULL AND regexp_matches(rel_path, '\\.(txt|md|rs|log)$')),
+both_sides AS (
+  SELECT coalesce(a.project, b.project) AS project, coalesce(a.rel_path, b.rel_path) AS rel_path, a.content AS old, b.content AS new,
+    a.tokens AS tokens_before, b.tokens AS tokens_after
+  FROM sized a FULL JOIN resized b ON a.project = b.project AND a.rel_path = b.rel_path WHERE a.content IS DISTINCT FROM b.content),
+gone AS (SELECT *, row_number() OVER (PARTITION BY project, old ORDER BY rel_path) AS k FROM both_sides WHERE new IS NULL),
+came AS (SELECT *, row_number() OVER (PARTITION BY project, new ORDER BY rel_path) AS k FROM both_sides WHERE old IS NULL),
+deltas AS (
+  SELECT project, rel_path, NULL AS from_path, 'changed' AS change, tokens_before, tokens_after FROM both_sides WHERE old IS NOT NULL AND new IS NOT NULL
+  UNION ALL SELECT coalesce(g.project, c.project), coalesce(c.rel_path, g.rel_path), CASE WHEN c.rel_path IS NOT NULL THEN g.rel_path END,
+    CASE WHEN g.rel_path IS NULL THEN 'added' WHEN c.rel_path IS NULL THEN 'removed' ELSE 'moved' END, g.tokens_before, c.tokens_after
+  FROM gone g FULL JOIN came c ON g.project = c.project AND g.old = c.new AND g.k = c.k),
+changes AS (SELECT *, (coalesce(tokens_after, 0) - coalesce(tokens_before, 0))::BIGINT AS delta FROM deltas)"""
+
 # ---- profiles
 PROFILE_TEXTS = """texts AS (
   SELECT 'doc-' || doc_id AS project, doc_id, CASE doc_id % 8
@@ -554,6 +578,12 @@ def oracles() -> dict[str, str]:
             UNION ALL SELECT project, 1, rel_path, {_opening('rel_path')} || content || {_CLOSING} FROM docs
               WHERE (rel_path LIKE '%.txt' OR rel_path LIKE '%.log') AND regexp_extract(project, '(\\d+)$', 1)::INT % 2 = 0 AND length <= 512000),
           {_LINES} SELECT project, line_no, value FROM numbered""",
+        "streamed_blocks": f"WITH {PACKED} SELECT project, rel_path, value FROM block_rows",
+        "streamed_counts": f"""WITH {PACKED}, sized AS (
+            SELECT project, count(*) AS n, sum({_tokens('content')} + {_tokens(_opening('rel_path'))} + {_tokens(_CLOSING)}) AS tokens FROM kept GROUP BY project)
+          SELECT j.project, coalesce(any_value(s.n), 0)::BIGINT AS files_processed,
+            (count(*) FILTER (wanted AND length > 2048))::BIGINT AS files_skipped, coalesce(any_value(s.tokens), 0)::BIGINT AS block_tokens
+          FROM judged j LEFT JOIN sized s ON s.project = j.project GROUP BY j.project""",
         "content_tokens": f"""WITH {DOCS}, {PAGES} SELECT project, rel_path, {_tokens('content')} AS content_tokens FROM (
             SELECT project, rel_path, content FROM docs UNION ALL SELECT project, rel_path, content FROM pages_files)""",
         "project_tokens": f"WITH {PACKED} SELECT project, output_tokens FROM tokens",
@@ -594,6 +624,9 @@ def oracles() -> dict[str, str]:
                    THEN {_tokens('content')} + {_tokens(_opening('rel_path'))} + {_tokens(_CLOSING)} ELSE 0 END AS n FROM judged)
           SELECT project, top_dir, extension, code, grouping_id(project, top_dir, extension, code)::BIGINT AS level, count(*) AS files,
             sum(n)::BIGINT AS block_tokens FROM parts GROUP BY ROLLUP (project, top_dir, extension, code)""",
+        "token_deltas": f"WITH {DELTAS} SELECT * FROM changes",
+        "token_delta_totals": f"""WITH {DELTAS} SELECT project, change, count(*) AS files, sum(delta)::BIGINT AS delta
+            FROM changes GROUP BY GROUPING SETS ((project, change), (project))""",
         "walk_errors": f"""WITH {WS}, listed AS (
             SELECT project, rel_path, false AS is_dir, doc_id % 5 IN (2, 3, 4) AS bad_link FROM ws
             UNION ALL SELECT DISTINCT project, unnest({_prefixes('rel_path', False)}), true, false FROM ws),

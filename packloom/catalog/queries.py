@@ -11,12 +11,13 @@ from pyspark.sql import functions as F
 from packloom.catalog import corpora as made
 from packloom.functions import content as text_functions
 from packloom.functions import globs, paths, rules
-from packloom.operators import decide, explain, ignore, profiles, render, rule_index, stats, tree
+from packloom.operators import decide, deltas, explain, ignore, profiles, render, rule_index, stats, tree
 from packloom.operators.config import ScanConfig, column_rules, compile_configs, effective_tree_rules, with_configs
 from packloom.operators.order import number_rows
 from packloom.operators.saving import checkpoint_dir, saved
 from packloom.plans.packing import Run
 from packloom.sources import corpora, packs
+from packloom.streaming import arrivals
 
 Query = Callable[[SparkSession, str], DataFrame]
 _QUERIES: dict[str, Query] = {}
@@ -364,6 +365,34 @@ def publish_packs(spark, sf_dir):
     return _in_order(packs.read_published(spark, folder))
 
 
+# ---- streams
+
+
+def _streamed(spark, sf_dir):
+    """The documents as a stream: stopped after its first files, then started again by a new reader for all others.
+
+    The stream reads the documents' own parquet files, split so that they arrive one after the other.
+    """
+    folder = f"{checkpoint_dir(spark)}/arrivals-{uuid.uuid4().hex}"
+    files = corpora.documents(spark, sf_dir)
+    halves = files.withColumn("_half", F.pmod(F.xxhash64("rel_path"), F.lit(2)))
+    for half in (0, 1):
+        halves.where(F.col("_half") == half).drop("_half").write.mode("append").parquet(f"{folder}/in")
+        stream = spark.readStream.schema(files.schema).option("maxFilesPerTrigger", 4).parquet(f"{folder}/in")
+        arrivals.Arrivals(spark, f"{folder}/out", DOCUMENTS).start(stream).awaitTermination()
+    return arrivals.Arrivals(spark, f"{folder}/out", DOCUMENTS)
+
+
+@query
+def streamed_blocks(spark, sf_dir):
+    return _streamed(spark, sf_dir).blocks()
+
+
+@query
+def streamed_counts(spark, sf_dir):
+    return _streamed(spark, sf_dir).counts()
+
+
 # ---- counts
 
 
@@ -439,6 +468,33 @@ def token_rollup(spark, sf_dir):
     return Run(corpora.documents(spark, sf_dir), DOCUMENTS).token_rollup()
 
 
+def _edited_workspaces(spark, sf_dir):
+    """The workspaces after a while: files removed, changed, moved, copied and exchanged for others."""
+    files = made.workspaces(spark, sf_dir)
+    number = F.regexp_extract("rel_path", r"(\d+)(?:\.\w+|/[^/]+)$", 1).cast("bigint")
+    path, text = F.col("rel_path"), F.col("content")
+    kept = files.withColumn("n", number).where("n % 10 <> 0")
+    moved = F.when(F.col("n") % 10 == 1, F.concat(F.lit("moved/"), path)).otherwise(path)
+    cut = F.when(F.col("n") % 10 == 2, F.concat(text, F.lit(" more"))).when(F.col("n") % 10 == 3, F.lit("same text")).otherwise(text)
+    copies = kept.where("n % 10 = 4").withColumn("rel_path", F.concat(F.lit("copies/"), path))
+    return kept.withColumns({"rel_path": moved, "content": cut}).unionByName(copies).drop("n")
+
+
+def _deltas(spark, sf_dir):
+    config = ScanConfig(include="*.txt,*.md,*.rs,*.log")
+    return deltas.token_deltas(*[Run(files, config).snapshot() for files in (made.workspaces(spark, sf_dir), _edited_workspaces(spark, sf_dir))])
+
+
+@query
+def token_deltas(spark, sf_dir):
+    return _deltas(spark, sf_dir)
+
+
+@query
+def token_delta_totals(spark, sf_dir):
+    return deltas.delta_totals(_deltas(spark, sf_dir))
+
+
 # ---- profiles
 
 

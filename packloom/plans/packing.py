@@ -151,6 +151,17 @@ class Run:
     def stats(self) -> DataFrame:
         return stats.run_stats(self.capped, self.outline, self.rules, self.tokens)
 
+    def snapshot(self) -> DataFrame:
+        """``project, rel_path, digest, tokens`` of every included file, for ``deltas.token_deltas``; texts are read once."""
+        inside = render.included("content")
+        judged = self._judge(self.listed).withColumns({
+            "content_tokens": F.when(inside, self.tokens(F.col("content"))), "digest": F.when(inside, F.sha2("content", 256))}).drop("content")
+        return self._snapshot_of(apply_marks(with_marks(judged, self.marks), self.rules))
+
+    def _snapshot_of(self, decided: DataFrame) -> DataFrame:
+        tokens = render.block_tokens(F.col("rel_path"), F.col("content_tokens"), self.tokens)
+        return decided.where(render.included("content")).select("project", "rel_path", "digest", tokens.alias("tokens"))
+
     def token_rollup(self) -> DataFrame:
         return stats.token_rollup(self.capped, self.tokens)
 
@@ -244,3 +255,6 @@ class DirectoryRun(Run):
     @cached_property
     def survivors(self) -> DataFrame:
         return self.read.where(render.included("content")).select("project", "rel_path", "content")
+
+    def snapshot(self) -> DataFrame:
+        return self._snapshot_of(self.read.withColumn("digest", F.sha2("content", 256)))

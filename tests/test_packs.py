@@ -11,7 +11,6 @@ from packloom.functions.content import estimated_tokens
 from packloom.plans.packing import DirectoryRun, Run
 from packloom.sources.directory import read_entries
 from packloom.sources.packs import outline_of, part_number, publish_packs, read_manifest, read_published, write_packs
-from packloom.streaming.arrivals import frame_arrivals
 
 
 def written(path, project):
@@ -217,17 +216,3 @@ def test_tree_tokens_add_up_over_lines(spark, entries):
     rows = spark.createDataFrame([("".join(tree), 0)] + [(line, 1) for line in tree], "t string, k int")
     sums = {r[0]: r[1] for r in rows.groupBy("k").agg(F.sum(estimated_tokens(F.col("t")))).collect()}
     assert sums[0] == sums[1]
-
-
-def test_arriving_files(spark, entries, tmp_path):
-    source, table = str(tmp_path / "in"), entries(FILES)
-    table.write.parquet(source)
-    stream = spark.readStream.schema(table.schema).parquet(source)
-    config = ScanConfig(exclude="a/")
-    query = frame_arrivals(stream, config).writeStream.format("memory").queryName("arrived").option(
-        "checkpointLocation", str(tmp_path / "state")).start()
-    query.processAllAvailable()
-    query.stop()
-    got = values(spark.table("arrived"), "rel_path", "value")
-    packed = Run(table, config).pack().where("section = 1")
-    assert {value for _, value in got} == values(packed, "value") and len(got) == 4
