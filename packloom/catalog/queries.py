@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from packloom.catalog import corpora as made
 from packloom.functions import content as text_functions
 from packloom.functions import globs, paths, rules
-from packloom.operators import decide, deltas, explain, ignore, profiles, render, rule_index, stats, tree
+from packloom.operators import decide, deltas, exact, explain, ignore, profiles, render, rule_index, stats, tree
 from packloom.operators.config import ScanConfig, column_rules, compile_configs, effective_tree_rules, with_configs
 from packloom.operators.order import number_rows
 from packloom.operators.saving import checkpoint_dir, saved
@@ -403,6 +403,16 @@ def content_tokens(spark, sf_dir):
     return corpora.spread(files).select("project", "rel_path", text_functions.estimated_tokens(F.col("content")).alias("content_tokens"))
 
 
+@query
+def exact_tokens(spark, sf_dir):
+    """Exact counts of documents and pages under the merge ranks of a public vocabulary."""
+    import public_tokenizers
+
+    columns = ("project", "rel_path", "content")
+    files = corpora.documents(spark, sf_dir).select(*columns).unionByName(corpora.pages(spark, sf_dir).select(*columns))
+    return exact.exact_tokens(files, exact.read_ranks(public_tokenizers.path("byte_bpe_50k.tiktoken")), public_tokenizers.PATTERN)
+
+
 @query
 def project_tokens(spark, sf_dir):
     run = Run(corpora.documents(spark, sf_dir), DOCUMENTS)
