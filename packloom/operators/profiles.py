@@ -31,12 +31,26 @@ def _document(text: Column) -> Column:
     return F.when(single, F.try_variant_get(one, "$[0]", "variant"))
 
 
+def _is_large(value: Column) -> Column:
+    """A whole number of 64 bits without sign that a signed one cannot hold."""
+    number = F.try_variant_get(value, "$", "decimal(20,0)")
+    return F.schema_of_variant(value).isin("DECIMAL(19,0)", "DECIMAL(20,0)") & number.between(F.lit(str(2**63)).cast("decimal(20,0)"), F.lit(str(2**64 - 1)).cast("decimal(20,0)"))
+
+
+def _field(profile: Column, name: str, sql_type: str) -> Column:
+    """A field's value; a size beyond the range of a long is the largest long, which limits nothing either."""
+    value = F.try_variant_get(profile, f"$.{name}", sql_type)
+    if sql_type != "bigint":
+        return value
+    return F.coalesce(value, F.when(_is_large(F.try_variant_get(profile, f"$.{name}", "variant")), F.lit(2**63 - 1)))
+
+
 def _is_kind(value: Column, sql_type: str) -> Column:
     """The variant is absent, JSON null, or strictly of the type; no casting from other types."""
     kind = F.schema_of_variant(value)
     exact = kind == {"string": "STRING", "boolean": "BOOLEAN", "bigint": "BIGINT"}[sql_type]
     if sql_type == "bigint":
-        exact = exact & (F.try_variant_get(value, "$", "bigint") >= 0)
+        exact = (exact & (F.try_variant_get(value, "$", "bigint") >= 0)) | _is_large(value)
     return F.coalesce(value.isNull() | (kind == "VOID") | exact, F.lit(False))
 
 
@@ -66,7 +80,7 @@ def parse_profiles(files: DataFrame) -> DataFrame:
     each = good.select("project", F.explode(
         F.try_variant_get(_document(F.col("text")), "$.profiles", "map<string,variant>")).alias("name", "_profile"))
     return each.select("project", "name", *[
-        F.try_variant_get("_profile", f"$.{name}", kind).alias(name) for name, kind in FIELDS.items()])
+        _field(F.col("_profile"), name, kind).alias(name) for name, kind in FIELDS.items()])
 
 
 def valid_profile_name(name: Column) -> Column:

@@ -44,6 +44,19 @@ def test_document_states(spark, text, status):
     assert (row.status, row.text) == (status, text)
 
 
+def test_sizes_of_64_bits(spark):
+    """Sizes are unsigned: those beyond a long are the largest long, and one bit more is a wrong type."""
+    sizes = {"9223372036854775807": ("ok", 2**63 - 1), "9223372036854775808": ("ok", 2**63 - 1), "18446744073709551615": ("ok", 2**63 - 1),
+             "18446744073709551616": ("invalid", None), "99999999999999999999": ("invalid", None), "12345678901234567890.5": ("invalid", None),
+             "-9223372036854775809": ("invalid", None), "3.0": ("invalid", None), "7": ("ok", 7)}
+    files = texts(spark, *[f'{{"profiles":{{"a":{{"max_size":{size}}}}}}}' for size in sizes])
+    status = {r.project: r.status for r in profiles.classify_configs(files).collect()}
+    found = {r.project: r.max_size for r in profiles.parse_profiles(files).collect()}
+    # A flat reading of such a document has no known field, so a wrong type makes it a legacy one.
+    want = {f"p{i}": ("ok" if kind == "ok" else "legacy", size) for i, (kind, size) in enumerate(sizes.values())}
+    assert {p: (s, found.get(p)) for p, s in status.items()} == want
+
+
 def test_bad_documents_yield_no_profiles(spark):
     files = texts(spark, '{"profiles":{"a":{"include":"x"}}}', '{"profiles":{"a":{},"b":{"include":1}}}', "nope")
     assert values(profiles.parse_profiles(files), "project", "name") == {("p0", "a")}
