@@ -14,7 +14,22 @@ from pyspark.sql import functions as F
 from packloom.operators.saving import checkpoint_dir
 
 
+#: Bytes of an Arrow batch between Spark and Python.
+BATCH_BYTES = 4 << 20
+
+
+def bound_batches(spark: SparkSession) -> None:
+    """From now on this session hands texts to Python in batches of ``BATCH_BYTES``, if it was asked for no smaller ones.
+
+    A batch is held several times on its way, in the executor and in its Python worker.
+    """
+    key = "spark.sql.execution.arrow.maxBytesPerBatch"
+    if not 0 < int(spark.conf.get(key).removesuffix("b")) <= BATCH_BYTES:
+        spark.conf.set(key, str(BATCH_BYTES))
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    bound_batches(spark)
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
@@ -63,3 +78,18 @@ def blocks(batches: Iterator[pa.RecordBatch], text: int, size: int = BLOCK_BYTES
         for begin, end in zip(edges[:-1], edges[1:], strict=True):
             if end > begin:
                 yield batch.slice(begin, end - begin)
+
+
+_remembered: dict[str, dict] = {}
+
+
+def memo_of(operator: str) -> dict:
+    """What this Python worker remembers for an operator.
+
+    Workers are used again by later stages.  One remembers for one operator at a time, so that the
+    memos of a pipeline's stages do not pile up in it.
+    """
+    if operator not in _remembered:
+        _remembered.clear()
+        _remembered[operator] = {}
+    return _remembered[operator]

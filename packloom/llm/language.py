@@ -34,8 +34,8 @@ SIZES = 8_000_000
 #: Characters a sampled document gives at most, from a place its hash picks.
 SNIPPET = 400
 SEGMENT = 4096
-#: Compression levels: short texts, of at most SHORT bytes, give less to tell by and are searched harder.
-LEVEL, SHORT_LEVEL, SHORT = 6, 12, 2048
+#: Compression level of all texts.
+LEVEL = 12
 MIN_MARGIN = 0.01
 GAP = re.compile(r"[\W\d_]+")
 
@@ -85,21 +85,20 @@ class Compressors:
     def __init__(self, dictionaries: dict[str, bytes]):
         import zstandard
 
-        def of_level(content: bytes, level: int):
+        def compressor(content: bytes):
             shared = zstandard.ZstdCompressionDict(content, dict_type=zstandard.DICT_TYPE_RAWCONTENT) if len(content) >= 8 else None
             if shared:
-                shared.precompute_compress(level=level)
+                shared.precompute_compress(level=LEVEL)
             return zstandard.ZstdCompressor(
-                level=level, dict_data=shared, write_content_size=False, write_checksum=False, write_dict_id=False).compress
+                level=LEVEL, dict_data=shared, write_content_size=False, write_checksum=False, write_dict_id=False).compress
 
         self.names = sorted(dictionaries)
-        self.long, self.short = ([of_level(dictionaries[n], level) for n in self.names] for level in (LEVEL, SHORT_LEVEL))
+        self.tools = [compressor(dictionaries[n]) for n in self.names]
 
     def sizes(self, content: bytes) -> list[int]:
         """Bytes of a reduced text with each dictionary, in the order of names."""
         segments = [content[at : at + SEGMENT] for at in range(0, len(content), SEGMENT)]
-        tools = self.short if len(content) <= SHORT else self.long
-        return [sum([len(compress(s)) for s in segments]) for compress in tools]
+        return [sum([len(compress(s)) for s in segments]) for compress in self.tools]
 
 
 class Judge:

@@ -27,7 +27,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from packloom.llm.common import written
+from packloom.llm.common import blocks, bound_batches, memo_of, written
 from packloom.operators.joins import unique_join
 from packloom.operators.saving import saved
 
@@ -41,9 +41,8 @@ MARGIN = 0.2
 CHUNK = 1_000_000
 #: Elements whose permutations are held in memory at a time.
 BLOCK = 200_000
-MEMO = 500_000
-
-_memo: dict[bytes, int] = {}
+#: Words whose hashes a Python worker remembers, and bytes of a word that is worth it.
+MEMO, MEMO_BYTES = 300_000, 40
 
 
 def _mix(x: np.ndarray) -> np.ndarray:
@@ -58,13 +57,16 @@ def shingle_set(text: str | None, shingle: int) -> np.ndarray:
     import xxhash
 
     words = text.encode().lower().split() if text else []
-    found = list(map(_memo.get, words))
+    memo = memo_of("minhash")
+    found = list(map(memo.get, words))
     if None in found:
         for at, (word, value) in enumerate(zip(words, found, strict=True)):
             if value is None:
-                found[at] = _memo[word] = xxhash.xxh3_64_intdigest(word)
-        if len(_memo) > MEMO:
-            _memo.clear()
+                found[at] = xxhash.xxh3_64_intdigest(word)
+                if len(word) <= MEMO_BYTES:
+                    memo[word] = found[at]
+        if len(memo) > MEMO:
+            memo.clear()
     hashes = np.array(found, np.uint64)
     if not len(hashes):
         return hashes
@@ -134,7 +136,7 @@ def sketch(docs: DataFrame, shingle: int, doc_id: str = "doc_id", text: str = "t
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         import xxhash
 
-        for batch in batches:
+        for batch in blocks(batches, 1):
             counts, keys, bands, signatures = [], [], [], []
             for sets in _blocks(batch.column(1).to_pylist(), shingle):
                 signature = superminhash(sets)
@@ -158,7 +160,7 @@ def sets_of(ids: DataFrame, docs: DataFrame, shingle: int, doc_id: str = "doc_id
     texts = docs.select(F.col(doc_id).cast("bigint").alias("_id"), F.col(text).alias("text"))
 
     def sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in blocks(batches, 1):
             found = [shingle_set(t, shingle).tobytes() for t in batch.column(1).to_pylist()]
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(found, pa.binary())], ["_id", "members"])
 
@@ -210,6 +212,7 @@ def _forked(edges: DataFrame) -> bool:
 
 def group_documents(docs: DataFrame, shingle: int = 5, percent: int = 80, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """``doc_id, n_shingles, component_id, kept`` of every row."""
+    bound_batches(docs.sparkSession)
     sketched = written(sketch(docs, shingle, doc_id, text))
     groups = written(
         sketched.where(F.col("k1").isNotNull() & F.col("doc_id").isNotNull()).groupBy("k1", "k2")

@@ -14,6 +14,8 @@ import re
 
 import numpy as np
 
+from packloom.llm.common import memo_of
+
 #: The file's own pre-token pattern for Latin-1, and its shape, which the shortcut relies on.
 PRETOKEN = re.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[a-zªµºß-öø-ÿ]+|[0-9²³¹¼½¾]|[^\sa-zªµºß-öø-ÿ0-9²³¹¼½¾]+")
 PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
@@ -152,12 +154,10 @@ class Pretokens:
                 self.merged |= {w: self._alone(w) for w in some}
 
 
-_kept: dict[tuple, Pretokens] = {}
-
-
 def worker_pretokens(path: str, whole: dict[str, bytes], value=None) -> Pretokens:
     """The encoder of this Python worker, which tasks reuse."""
+    kept = memo_of("pretokens")
     key = (path, value)
-    if key not in _kept:
-        _kept[key] = Pretokens(path, whole, *([value] if value else []))
-    return _kept[key]
+    if key not in kept:
+        kept[key] = Pretokens(path, whole, *([value] if value else []))
+    return kept[key]

@@ -6,7 +6,7 @@ Shards of the sample run the per-coordinate updates side by side, their states a
 the next round starts from there.  The L1 part leaves few weights, which are broadcast.
 
 Null texts score as empty ones.  Rows without a label teach nothing; an id labelled twice teaches
-its larger label; with no usable labels every score is 0.5 or the share of label 1.  Repeated
+its larger label, and one with several rows its least text; with no usable labels every score is 0.5 or the share of label 1.  Repeated
 rows are scored each; other columns are ignored.
 """
 
@@ -16,12 +16,11 @@ from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from packloom.llm.common import blocks, written
+from packloom.llm.common import blocks, bound_batches, memo_of, written
 from packloom.llm.quality import sample_labelled
 
 #: Bounds of the fit: labelled documents, and documents that a coordinate needs.
@@ -30,13 +29,13 @@ LEAST_DOCS = 5
 SHARDS, ROUNDS = 4, 4
 ALPHA, BETA, L1, L2 = 2.0, 1.0, 2.0, 0.0
 
-#: Words whose hashes a Python worker remembers.
-MEMO = 500_000
+#: Words whose hashes a Python worker remembers, and characters of a word that is worth it: some 15 MB.
+MEMO, MEMO_CHARS = 100_000, 40
+#: Bytes of text whose features are taken together: they need some forty times as much memory.
+TEXT_BYTES = 512 << 10
 EDGE = "!\"#$%&'()*+,-./:;<=>?@[\\]^_`{|}~"
 FILTER_BITS = 22
 
-_memo: dict[str, int] = {}
-
 
 def _word_hash(word: str) -> int:
     import xxhash
@@ -46,16 +45,18 @@ def _word_hash(word: str) -> int:
 
 def _hashes(texts: list[str | None]) -> tuple[np.ndarray, np.ndarray]:
     """Hashes of all words of the texts, one after the other, and how many words each text has."""
-    flat, counts = [], []
+    flat, counts, memo = [], [], memo_of("toxicity")
     for text in texts:
         words = text.split() if text else []
-        found = list(map(_memo.get, words))
+        found = list(map(memo.get, words))
         if None in found:
             for at, (word, value) in enumerate(zip(words, found, strict=True)):
                 if value is None:
-                    found[at] = _memo[word] = _word_hash(word)
-            if len(_memo) > MEMO:
-                _memo.clear()
+                    found[at] = _word_hash(word)
+                    if len(word) <= MEMO_CHARS:
+                        memo[word] = found[at]
+            if len(memo) > MEMO:
+                memo.clear()
         flat.append(np.array(found, np.uint64))
         counts.append(len(found))
     return (np.concatenate(flat) if flat else np.zeros(0, np.uint64)), np.array(counts, np.int64)
@@ -124,10 +125,9 @@ def _weights(z: np.ndarray, n: np.ndarray) -> np.ndarray:
     return np.where(np.abs(z) <= L1, 0.0, -(z - np.sign(z) * L1) / ((BETA + np.sqrt(n)) / ALPHA + L2))
 
 
-def _learn(rows: Iterator[tuple[list[int], int]], z: np.ndarray, n: np.ndarray) -> None:
+def _learn(rows: Iterator[tuple[np.ndarray, int]], z: np.ndarray, n: np.ndarray) -> None:
     """One pass of FTRL-proximal over rows of (coordinates, label), in place."""
     for at, label in rows:
-        at = np.asarray(at)
         w = _weights(z[at], n[at])
         g = 1 / (1 + np.exp(-np.clip(w.sum(), -35, 35))) - label
         more = n[at] + g * g
@@ -139,7 +139,10 @@ def train_ftrl(docs: DataFrame, labels: DataFrame, label: str = "toxic", learn:
                rows: int = FIT_ROWS, doc_id: str = "doc_id", text: str = "text") -> SparseModel:
     """Fit on a bounded sample: what reaches the driver is a row per coordinate, a feature of ``LEAST_DOCS`` documents of the sample."""
     spark = docs.sparkSession
-    sample = written(sample_labelled(docs, labels, label, learn, rows, doc_id, text).repartition(SHARDS, F.xxhash64("doc_id", "text")))
+    bound_batches(spark)
+    # However many rows an id has, it teaches once, by its least text: the bound on ids is one on rows.
+    once = sample_labelled(docs, labels, label, learn, rows, doc_id, text).groupBy("doc_id").agg(F.min("text").alias("text"), F.max("label").alias("label"))
+    sample = written(once.repartition(SHARDS, F.xxhash64("doc_id", "text")))
     balance = sample.agg(F.count(F.lit(1)), F.sum("label")).first()
     if not balance[0] or balance[1] in (0, balance[0]):
         share = (float(balance[1] or 0) + 1) / (balance[0] + 2)
@@ -149,30 +152,35 @@ def train_ftrl(docs: DataFrame, labels: DataFrame, label: str = "toxic", learn:
 
     def index(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         hashes = place.value
-        for batch in blocks(batches, 0):
+        for batch in blocks(batches, 0, TEXT_BYTES):
             texts = batch.column(0).to_pylist()
             docs_at, found = features(texts)
             spot = np.searchsorted(hashes, found)
             hit = (spot < len(hashes)) & (hashes[np.minimum(spot, max(0, len(hashes) - 1))] == found) if len(hashes) else np.zeros(len(found), bool)
             ends = np.searchsorted(docs_at[hit], np.arange(len(texts) + 1))
-            spots = spot[hit] + 1  # 0 is the bias
-            lists = [np.concatenate([[0], spots[a:b]]) for a, b in zip(ends[:-1], ends[1:], strict=True)]
-            yield pa.RecordBatch.from_arrays([pa.array(lists, pa.list_(pa.int64())), batch.column(1)], ["at", "label"])
+            # 0 is the bias, which begins every list.
+            spots = np.insert((spot[hit] + 1).astype(np.int32), ends[:-1], 0)
+            offsets = pa.array((ends + np.arange(len(ends))).astype(np.int32))
+            yield pa.RecordBatch.from_arrays([pa.ListArray.from_arrays(offsets, pa.array(spots)), batch.column(1)], ["at", "label"])
 
-    indexed = written(sample.select("text", "label").mapInArrow(index, "at array<bigint>, label int"))
+    indexed = written(sample.select("text", "label").mapInArrow(index, "at array<int>, label int"))
+    place.destroy()
     size = len(known) + 1
     z, n = np.zeros(size), np.zeros(size)
     for _ in range(ROUNDS):
         state = spark.sparkContext.broadcast((z, n))
 
-        def shard(batches: Iterator[pa.RecordBatch], state=state) -> Iterator[pd.DataFrame]:
+        def shard(batches: Iterator[pa.RecordBatch], state=state) -> Iterator[pa.RecordBatch]:
             z, n = (x.copy() for x in state.value)
             for batch in batches:
-                _learn(zip(batch["at"], batch["label"], strict=True), z, n)
+                lists, labels = batch.column(0), batch.column(1).to_pylist()
+                edges, spots = lists.offsets.to_numpy(), lists.values.to_numpy()
+                _learn(((spots[a:b], label) for a, b, label in zip(edges[:-1], edges[1:], labels, strict=True)), z, n)
             at = np.flatnonzero(n != state.value[1])
-            yield pd.DataFrame({"at": at, "z": z[at] - state.value[0][at], "n": n[at] - state.value[1][at]})
+            yield pa.RecordBatch.from_arrays(
+                [pa.array(at), pa.array(z[at] - state.value[0][at]), pa.array(n[at] - state.value[1][at])], ["at", "z", "n"])
 
-        moved = indexed.mapInPandas(shard, "at bigint, z double, n double").groupBy("at").agg(F.sum("z").alias("z"), F.sum("n").alias("n"))
+        moved = indexed.mapInArrow(shard, "at bigint, z double, n double").groupBy("at").agg(F.sum("z").alias("z"), F.sum("n").alias("n"))
         change = moved.toArrow()
         at = change["at"].to_numpy()
         z[at] += change["z"].to_numpy() / SHARDS
@@ -187,7 +195,7 @@ def _coordinates(sample: DataFrame) -> np.ndarray:
     """Sorted hashes of all features that ``LEAST_DOCS`` sampled documents hold."""
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in blocks(batches, 0):
+        for batch in blocks(batches, 0, TEXT_BYTES):
             hashes, counts = np.unique(features(batch.column(0).to_pylist())[1], return_counts=True)
             yield pa.RecordBatch.from_arrays([pa.array(hashes.view(np.int64)), pa.array(counts)], ["hash", "n"])
 
@@ -204,7 +212,7 @@ def score_column(spark: SparkSession, model: SparseModel, text: str) -> Column:
     def score(texts: pa.Array) -> pa.Array:
         if not made:
             made.append(sent.value.scorer())
-        parts = blocks([pa.RecordBatch.from_arrays([texts], ["text"])], 0)
+        parts = blocks([pa.RecordBatch.from_arrays([texts], ["text"])], 0, TEXT_BYTES)
         return pa.array(np.concatenate([np.zeros(0), *[made[0](p.column(0).to_pylist()) for p in parts]]))
 
     return score(F.col(text))
