@@ -15,7 +15,7 @@ from pyspark.sql import types as T
 
 # White space as Unicode defines it (a Java and RE2 character class body); \s alone means less.
 SPACES = r"\t\n\x0B\f\r\x{85}\p{Z}"
-_STRIP = "\t\n\x0b\f\r \x85\xa0\u1680" + "".join(map(chr, range(0x2000, 0x200B))) + "\u2028\u2029\u202f\u205f\u3000"
+STRIPPED = "\t\n\x0b\f\r \x85\xa0\u1680" + "".join(map(chr, range(0x2000, 0x200B))) + "\u2028\u2029\u202f\u205f\u3000"
 
 _ANYTHING = re.compile(r"(?:\*\*/)*\*\*(?=$|[,}])")  # the whole glob, or a whole branch of it
 _ANY_PARENTS = re.compile(r"(?:\*\*/)+")
@@ -116,7 +116,7 @@ def split_patterns(csv: str | None) -> list[tuple[str, list[str]]]:
     """``(pattern as written, globs it stands for)`` in list order; see :func:`pattern_list`."""
     out = []
     for piece in (csv or "").split(","):
-        raw = piece.strip(_STRIP).replace("\\", "/")
+        raw = piece.strip(STRIPPED).replace("\\", "/")
         if not raw:
             continue
         if not any(c in raw for c in "/*."):

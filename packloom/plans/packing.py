@@ -18,7 +18,8 @@ from packloom.operators.profiles import current_outputs
 from packloom.operators.saving import measured, saved
 from packloom.operators.tree import with_directories
 from packloom.sources.content import attach_content, inspect_bytes
-from packloom.sources.directory import read_entries
+from packloom.sources.directory import read_entries, with_failures
+from packloom.sources.entries_source import scan_entries
 
 
 class Run:
@@ -206,11 +207,13 @@ class DirectoryRun(Run):
 
     What survives is opened once: texts, codes and token counts are saved together, and packs,
     previews, counts and caps are made of them.  ``opened`` counts the files opened for their content.
+    With ``prune``, directories that ignore files remove are not entered, so what lies below them is not
+    known: packs are the same, and paths in there are not found when explained.
     """
 
     def __init__(self, spark: SparkSession, roots: list[str] | DataFrame, config: ScanConfig | DataFrame,
-                 outputs: DataFrame | None = None, tokens=estimated_tokens, max_tokens: int | DataFrame | None = None):
-        listed = read_entries(spark, roots)
+                 outputs: DataFrame | None = None, tokens=estimated_tokens, max_tokens: int | DataFrame | None = None, prune: bool = False):
+        listed = saved(with_failures(scan_entries(spark, roots, prune=True))) if prune else read_entries(spark, roots)
         rule_rows = listed.where(is_ignore_file(F.col("rel_path")) & F.col("is_file"))
         files = ignore_files(inspect_bytes(attach_content(rule_rows, F.lit(True))))
         super().__init__(listed, config, outputs, ignore_from=files, directories=False, tokens=tokens, max_tokens=max_tokens)

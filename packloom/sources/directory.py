@@ -19,14 +19,14 @@ from pyspark.sql import functions as F
 from packloom.operators.joins import spread_work, unique_join
 from packloom.operators.saving import measured, saved
 
-_ENTRY = (
+ENTRY = (
     "project string, rel_path string, is_dir boolean, is_file boolean, length bigint, link_target string, "
     "root string, read_error string, location binary")
-_ARROW = pa.schema([
+ARROW_ENTRY = pa.schema([
     ("project", pa.string()), ("rel_path", pa.string()), ("is_dir", pa.bool_()), ("is_file", pa.bool_()),
     ("length", pa.int64()), ("link_target", pa.string()), ("root", pa.string()), ("read_error", pa.string()),
     ("location", pa.binary())])
-_BATCH_ROWS = 10_000
+BATCH_ROWS = 10_000
 
 
 def os_error_text(error: OSError) -> str:
@@ -60,7 +60,7 @@ def _entry(project: str, root: str, entry: os.DirEntry) -> dict:
                 link_target=target, root=root, read_error=error, location=entry.path)
 
 
-def _children(directory: dict) -> Iterator[dict]:
+def children_of(directory: dict) -> Iterator[dict]:
     """Entries of one directory; if listing it fails at any point, a last row without location says so."""
     project, root = directory["project"], directory["root"]
     try:
@@ -77,9 +77,9 @@ def _list_directories(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBa
     """The direct children of each directory."""
     for batch in batches:
         for directory in batch.to_pylist():
-            entries = _children(directory)
-            while rows := list(itertools.islice(entries, _BATCH_ROWS)):
-                yield pa.RecordBatch.from_pylist(rows, schema=_ARROW)
+            entries = children_of(directory)
+            while rows := list(itertools.islice(entries, BATCH_ROWS)):
+                yield pa.RecordBatch.from_pylist(rows, schema=ARROW_ENTRY)
 
 
 def read_entries(spark: SparkSession, roots: list[str] | DataFrame) -> DataFrame:
@@ -98,7 +98,7 @@ def read_entries(spark: SparkSession, roots: list[str] | DataFrame) -> DataFrame
     level = roots.select("project", "root", F.encode("root", "UTF-8").alias("location"))
     levels = []
     while not levels or measured(levels[-1])["rows"]:
-        levels.append(saved(spread_work(level, "location").mapInArrow(_list_directories, _ENTRY)))
+        levels.append(saved(spread_work(level, "location").mapInArrow(_list_directories, ENTRY)))
         level = levels[-1].where("is_dir and read_error is null and location is not null").select("project", "root", "location")
     return with_failures(reduce(DataFrame.unionByName, levels))
 
