@@ -136,6 +136,6 @@ def test_directories_that_fail_during_the_walk_count(spark, tmp_path):
     listed = spark.createDataFrame(
         [("p", "vanished", True, False, None, None, "/r", None, b"v"), ("p", "a", False, True, 1, None, "/r", None, b"a"),
          ("p", "vanished", True, False, None, None, "/r", "list: gone (os error 2)", None),
-         ("q", "", True, False, None, None, "/q", "list: gone (os error 2)", None)], directory._ENTRY)
+         ("q", "", True, False, None, None, "/q", "list: gone (os error 2)", None)], directory.ENTRY)
     found = values(directory.with_failures(listed), "project", "rel_path", "read_error")
     assert found == {("p", "vanished", "list: gone (os error 2)"), ("p", "a", None), ("q", "", "list: gone (os error 2)")}
