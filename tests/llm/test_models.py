@@ -97,6 +97,7 @@ def test_scores_equal_brute_force(spark, monkeypatch):
     rows = [(i, t) for i, t in enumerate(texts)] + [(500, None), (501, "w1"), (502, "never seen")]
     docs = spark.createDataFrame(rows, "doc_id bigint, text string").repartition(3)
     monkeypatch.setattr(suffix_tree, "PAIRS", 100)
+    monkeypatch.setattr(suffix_tree, "SCORED", 7)
     for frequent in (300_000, 20):  # with 20, most words have no number: they are in no context and never listed
         monkeypatch.setattr(suffix_tree.most_frequent, "__defaults__", (frequent,))
         learn = F.col("doc_id") < 100
