@@ -7,8 +7,8 @@ about those that are better than what they have; only pairs with a new member ar
 carry the vectors to the nodes, and what comes back is merged by node.
 
 A query starts from its own node's list and, round by round, looks at the neighbours of its best
-unvisited candidates, until a round changes no query's best ones.  Vectors stay in blocks of bounded
-size, to which queries travel.
+unvisited candidates, until a round changes the best ones of hardly any query.  Vectors stay in blocks
+of bounded size, to which queries travel.
 
 Vectors that are null, zero, of another length than most, or hold null or non-finite components
 take no part.  Rows of one id count once, with the least vector; rows without an id are left out.
@@ -30,13 +30,14 @@ from packloom.llm.common import parts_of, written
 #: Neighbours a node keeps, nodes that list it and that it hears of, and what it tells each about.
 DEGREE, REVERSE, TOLD = 48, 32, 6
 TREES, LEAF, PLANES = 6, 128, 20
-ROUNDS, SETTLED = 30, 0.02
+ROUNDS, SETTLED = 12, 0.02
 #: Search: candidates looked at in a round, kept, rounds at most, and best ones that must stay the same for a query to be settled.
-EXPANDED, BEAM, STEPS, TOP = 64, 256, 16, 24
+EXPANDED, BEAM, STEPS, TOP = 64, 256, 8, 24
 #: Nodes of a partition or block, about.
 PART_NODES = 2_000
 
-LISTS = "id bigint, ids array<bigint>, scores array<double>, fresh array<boolean>"
+#: Scores in the lists are relative to the largest vector, so that single precision holds them.
+LISTS = "id bigint, ids array<bigint>, scores array<float>, fresh array<boolean>"
 
 
 def valid_vectors(rows: DataFrame, vec_id: str, vector: str) -> DataFrame:
@@ -97,7 +98,7 @@ def _best(node: np.ndarray, other: np.ndarray, score: np.ndarray, fresh: np.ndar
     offsets = pa.array(np.concatenate([[0], ends]).astype(np.int32))
     return pa.table({
         "id": pa.array(node[starts]), "ids": pa.ListArray.from_arrays(offsets, pa.array(other[keep])),
-        "scores": pa.ListArray.from_arrays(offsets, pa.array(score[keep].astype(np.float64))),
+        "scores": pa.ListArray.from_arrays(offsets, pa.array(score[keep].astype(np.float32))),
         "fresh": pa.ListArray.from_arrays(offsets, pa.array(fresh[keep].astype(bool)))})
 
 
@@ -153,7 +154,7 @@ def first_lists(nodes: DataFrame, width: int, parts: int, top: float, degree: in
 def _round(graph: DataFrame, width: int, parts: int, degree: int, number: int) -> DataFrame:
     """Candidates that the nodes' neighbours tell each other about."""
     own = graph.select(
-        "id", "half", F.when(F.size("ids") >= degree, F.element_at("scores", -1)).otherwise(F.lit(float("-inf"))).alias("least"),
+        "id", "half", F.when(F.size("ids") >= degree, F.element_at("scores", -1)).otherwise(F.lit(float("-inf"))).cast("float").alias("least"),
         F.arrays_zip("ids", "fresh").alias("links"))
     edges = own.select("id", "half", "least", F.explode("links").alias("link")).select(
         F.col("link.ids").alias("to"), "id", "half", "least", F.col("link.fresh").alias("fresh"))
@@ -289,7 +290,8 @@ def search(graph: DataFrame, starts: DataFrame, width: int) -> DataFrame:
             F.collect_list("node").alias("found")).join(unseen.select("query", "vec"), "query")
         named = wanted.groupBy("block").cogroup(vectors.groupBy("block")).applyInPandas(scored, "query bigint, found array<bigint>, scores array<double>")
         state = written(state.groupBy("query").cogroup(named.groupBy("query")).applyInPandas(settle, state_schema))
-        if not state.where("changed").limit(1).count():
+        changed, queries = state.agg(F.count_if("changed"), F.count(F.lit(1))).first()
+        if changed <= SETTLED * queries:
             break
     return state.select("query", "ids", "scores")
 
