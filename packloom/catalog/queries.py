@@ -410,7 +410,7 @@ def exact_tokens(spark, sf_dir):
 
     columns = ("project", "rel_path", "content")
     files = corpora.documents(spark, sf_dir).select(*columns).unionByName(corpora.pages(spark, sf_dir).select(*columns))
-    return exact.exact_tokens(files, exact.read_ranks(public_tokenizers.path("byte_bpe_50k.tiktoken")), public_tokenizers.PATTERN)
+    return exact.exact_tokens(corpora.spread(files), exact.read_ranks(public_tokenizers.path("byte_bpe_50k.tiktoken")), public_tokenizers.PATTERN)
 
 
 @query

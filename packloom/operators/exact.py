@@ -1,8 +1,9 @@
-"""Exact token counts from a user's merge ranks: byte pairs merged by rank, once per distinct piece of the corpus.
+"""Exact token counts from a user's merge ranks: byte pairs merged by rank, once per distinct piece of a batch.
 
-The encoding's pattern cuts a text into pieces that are encoded by themselves.  A corpus has far
-fewer distinct pieces than pieces, so each distinct one is merged once, wherever in the cluster, and
-its count is joined back to the files that hold it.
+The encoding's pattern cuts a text into pieces that are encoded by themselves.  Texts have far fewer
+distinct pieces than pieces, so a task merges the distinct ones of a batch of files and remembers
+their counts for the next batches.  Pieces never leave the task that cut them: to count each but
+once in the cluster, all of them would pass a shuffle, which costs many times their merges.
 """
 
 from __future__ import annotations
@@ -11,15 +12,19 @@ import base64
 import heapq
 from collections.abc import Iterator
 
+import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-
-from packloom.operators.joins import lookup_join
-from packloom.operators.saving import saved
+from pyspark.sql import types as T
 
 #: A rank file goes to all tasks, so it may have this many bytes at most.
 RANK_BYTES = 64 << 20
+#: Pieces whose counts a task remembers: beyond them it starts anew, and merges a piece again when it meets it.
+REMEMBERED = 500_000
+#: Longest piece that is remembered, in bytes: longer ones hardly come again.
+REMEMBERED_PIECE = 64
 
 
 def read_ranks(path: str) -> dict[bytes, int]:
@@ -73,28 +78,49 @@ def pieces_of(text: Column, pattern: str) -> Column:
     return F.regexp_extract_all(text, F.lit(f"(?U){pattern}"), F.lit(0))
 
 
-def count_pieces(pieces: DataFrame, ranks: dict[bytes, int]) -> DataFrame:
-    """``piece, n, tokens`` of the distinct ``pieces`` (piece, n)."""
-    sent = pieces.sparkSession.sparkContext.broadcast(ranks)
+class PieceCounts:
+    """Token counts of pieces, remembered within bounds."""
 
-    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        known = sent.value
-        for batch in batches:
-            counts = [count_merged(piece, known) for piece in batch.column(0).cast(pa.binary()).to_pylist()]
-            yield batch.append_column("tokens", pa.array(counts, pa.int64()))
+    def __init__(self, ranks: dict[bytes, int]):
+        self.ranks, self.known = ranks, {}
+
+    def of_distinct(self, pieces: pa.Array) -> np.ndarray:
+        if len(self.known) > REMEMBERED:
+            self.known = {}
+        known, counts = self.known, np.zeros(len(pieces), np.int64)
+        for i, piece in enumerate(pieces.cast(pa.binary()).to_pylist()):
+            count = known.get(piece)
+            if count is None:
+                count = count_merged(piece, self.ranks)
+                if len(piece) <= REMEMBERED_PIECE:
+                    known[piece] = count
+            counts[i] = count
+        return counts
 
-    return pieces.select("piece", "n").mapInArrow(work, "piece string, n bigint, tokens bigint")
+    def of_lists(self, lists: pa.Array) -> np.ndarray:
+        """The sum of each list of pieces, 0 for null."""
+        sizes = pc.fill_null(pc.list_value_length(lists), 0).to_numpy(zero_copy_only=False)
+        coded = lists.flatten().dictionary_encode()
+        tokens = self.of_distinct(coded.dictionary)[coded.indices.to_numpy(zero_copy_only=False)]
+        sums = np.concatenate([[0], np.cumsum(tokens)])
+        ends = np.cumsum(sizes)
+        return sums[ends] - sums[ends - sizes]
 
 
 def exact_tokens(files: DataFrame, ranks: dict[bytes, int], pattern: str) -> DataFrame:
     """``project, rel_path, content_tokens``: tokens of every file's ``content`` under the ranks and the piece pattern.
 
-    The join sends the counts of the pieces to the files; if they do not fit a broadcast, those of
-    the most frequent pieces are broadcast and the rest meets its files in a shuffle, in which no piece is hot.
-    A null or empty content has no tokens.  Strings of special tokens are ordinary text.
+    The ranks go to all tasks; nothing is shuffled.  A null or empty content has no tokens.  Strings
+    of special tokens are ordinary text.
     """
-    parts = files.select("project", "rel_path", F.explode(pieces_of(F.col("content"), pattern)).alias("piece"))
-    counted = saved(count_pieces(parts.groupBy("piece").agg(F.count(F.lit(1)).alias("n")), ranks))
-    found = lookup_join(parts, counted, ["piece"], weight="n", spread_on=["project", "rel_path"])
-    sums = found.groupBy("project", "rel_path").agg(F.sum("tokens").alias("content_tokens"))
-    return files.select("project", "rel_path").join(sums, ["project", "rel_path"], "left").fillna(0, ["content_tokens"])
+    sent = files.sparkSession.sparkContext.broadcast(ranks)
+
+    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        counts = PieceCounts(sent.value)
+        for batch in batches:
+            yield pa.RecordBatch.from_arrays(
+                [batch.column(0), batch.column(1), pa.array(counts.of_lists(batch.column(2)), pa.int64())], ["project", "rel_path", "content_tokens"])
+
+    cut = files.select("project", "rel_path", pieces_of(F.col("content"), pattern).alias("pieces"))
+    schema = T.StructType([*cut.schema.fields[:2], T.StructField("content_tokens", T.LongType())])
+    return cut.mapInArrow(work, schema)

@@ -75,3 +75,24 @@ def test_null_contents_and_survivors(spark, entries):
     assert values(exact.exact_tokens(run.survivors, ranks, WORDS), "rel_path", "content_tokens") == {("a.txt", 3)}
     nothing = files.withColumn("content", F.lit(None).cast("string"))
     assert values(exact.exact_tokens(nothing, ranks, WORDS), "content_tokens") == {0}
+
+
+def test_pieces_pass_no_shuffle(spark, entries):
+    ranks = {b"a": 0, b"b": 1, b"aa": 2}
+    frame = exact.exact_tokens(entries({f"f{i}": f"aa b{'a' * i}" for i in range(30)}).coalesce(2), ranks, WORDS)
+    assert "Exchange" not in frame._jdf.queryExecution().toString()
+    expected = {(f"f{i}", 2 + brute(b"b" + b"a" * i, ranks)) for i in range(30)}
+    assert values(frame, "rel_path", "content_tokens") == expected
+
+
+def test_what_a_task_remembers_changes_no_count(monkeypatch):
+    import pyarrow as pa
+
+    ranks = {b"a": 0, b"b": 1, b"aa": 2}
+    lists = [[["aa", "b", "aa"], None], [[], ["baa"] * 3, ["a" * 100]], [["b", "aaa"], ["a" * 100, "aa"]]]
+    expected = [[sum(brute(p.encode(), ranks) for p in pieces or []) for pieces in batch] for batch in lists]
+    for bounds in ((500_000, 64), (1, 64), (500_000, 2)):
+        monkeypatch.setattr(exact, "REMEMBERED", bounds[0])
+        monkeypatch.setattr(exact, "REMEMBERED_PIECE", bounds[1])
+        counts = exact.PieceCounts(ranks)
+        assert [counts.of_lists(pa.array(batch, pa.list_(pa.string()))).tolist() for batch in lists] == expected
