@@ -15,10 +15,21 @@ top      the first component                        ``src``
 below    a directory it lies in                     ``src``, ``src/ab``
 inside   the name of a directory it lies in         ``src``, ``ab``
 rest     nothing                                    (empty)
+end      any ending of the path                     ``z``, ``gz``, ``.gz``, ...
+part     any beginning of a component               ``s``, ``sr``, ..., ``ab``, ``x.t``, ...
+begin    any beginning of the path                  ``s``, ``sr``, ``src``, ``src/``, ...
+
+The last three are for pattern lists alone.  A pattern that no key settles has all the keys it
+demands to choose from, and is found by the one that the fewest patterns of its project demand: many
+patterns that share an ending or a first directory would meet every path that has it.  Paths look up
+beginnings and endings of the lengths that the index holds.  Only patterns that hold no plain text
+there, or classes and choices, are ``rest`` and meet all paths of their project.
 """
 
 from __future__ import annotations
 
+import re
+
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -31,6 +42,7 @@ from packloom.operators.joins import lookup_join, measured_join
 from packloom.operators.saving import saved
 
 _SPECIAL, _NESTED = set("*?[]{}\\"), set("[]{}\\")
+_WILD = re.compile(r"[*?]+")
 
 
 def _literal(text: str) -> bool:
@@ -64,6 +76,23 @@ def glob_key(glob: str, crosses_slash: bool = True) -> tuple[str, str, bool]:
     return "rest", "", False
 
 
+def glob_keys(glob: str) -> tuple[list[tuple[str, str]], bool]:
+    """The ``kind, key`` pairs a pattern's glob demands, the better ones first, and whether the only one decides."""
+    kind, key, sure = glob_key(glob)
+    if sure or _NESTED & set(glob):
+        return [(kind, key)], sure
+    runs = _WILD.split(glob)
+    # "**/x" also matches "x", so that a slash after two stars may stand for none.
+    end = runs[-1][1:] if runs[-1].startswith("/") and glob.removesuffix(runs[-1]).endswith("**") else runs[-1]
+    parts = sorted({part for run in runs for part in run.split("/")[1:] if part}, key=lambda p: (-len(p), p))
+    found = [(kind, key)] if kind == "name" else []
+    found += [("end", end)] if end else []
+    found += [("part", part) for part in parts]
+    found += [("begin", runs[0])] if runs[0] else []
+    found += [(kind, key)] if kind in ("ext", "top") else []
+    return found or [("rest", "")], False
+
+
 def name_ending(name: Column) -> Column:
     """What follows the last dot of a name, null without a dot."""
     return F.when(F.contains(name, F.lit(".")), F.substring_index(name, ".", -1))
@@ -130,12 +159,14 @@ def ignore_probes(rel_path: Column, below: Column) -> Column:
 
 # ---- pattern lists as rows
 
-_PATTERN = T.ArrayType(T.StructType().add("raw", "string").add("kind", "string").add("key", "string").add("regex", "string").add("error", "string"))
+_PATTERN = T.ArrayType(
+    T.StructType().add("raw", "string").add("keys", T.ArrayType(T.StructType().add("kind", "string").add("key", "string")))
+    .add("regex", "string").add("error", "string"))
 
 
 @F.pandas_udf(_PATTERN)
 def _pattern_keys(raw: pd.Series) -> pd.Series:
-    """Keys of each pattern, one per glob it stands for, or its error; blank patterns have none."""
+    """Keys to choose from of each pattern, a row per glob it stands for, or its error; blank patterns have none."""
     result = []
     for text in raw:
         rows = []
@@ -143,10 +174,11 @@ def _pattern_keys(raw: pd.Series) -> pd.Series:
             compile_patterns(text)
             for pattern, globs in split_patterns(text):
                 for glob in globs:
-                    kind, key, sure = glob_key(glob)
-                    rows.append({"raw": pattern, "kind": kind, "key": key, "regex": None if sure else whole(glob_body(glob)), "error": None})
+                    keys, sure = glob_keys(glob)
+                    rows.append({"raw": pattern, "keys": [{"kind": kind, "key": key} for kind, key in keys],
+                                 "regex": None if sure else whole(glob_body(glob)), "error": None})
         except ValueError as error:
-            rows = [{"raw": text, "kind": None, "key": None, "regex": None, "error": str(error)}]
+            rows = [{"raw": text, "keys": [], "regex": None, "error": str(error)}]
         result.append(rows)
     return pd.Series(result)
 
@@ -155,10 +187,42 @@ def pattern_index(patterns: DataFrame) -> DataFrame:
     """``project, raw, kind, key, regex, error, ord`` of patterns ``project, ord, raw``, saved.
 
     A bad pattern has an ``error`` and no key, and matches nothing.  Equal rules of a project are
-    one, that of the least ``ord``.
+    one, that of the least ``ord``.  Of the keys a rule may have, it gets the one that the fewest
+    rules of its project may have.
     """
     rows = patterns.select("project", F.col("ord").cast("bigint").alias("ord"), F.inline(_pattern_keys(F.col("raw"))))
-    return saved(rows.groupBy("project", "raw", "kind", "key", "regex", "error").agg(F.min("ord").alias("ord")))
+    rules = saved(rows.groupBy("project", "raw", "keys", "regex", "error").agg(F.min("ord").alias("ord")).withColumn("id", F.monotonically_increasing_id()))
+    choices = rules.select("id", "project", "raw", "regex", "error", "ord", F.posexplode_outer("keys").alias("place", "choice")).select(
+        "id", "project", "raw", "regex", "error", "ord", "place", "choice.*")
+    common = saved(choices.where("kind is not null").groupBy("project", "kind", "key").agg(F.count(F.lit(1)).alias("n")).withColumn("rules", F.col("n")))
+    weighed = lookup_join(choices, common, ["project", "kind", "key"], weight="n", spread_on=["id"])
+    same = [F.first(c).alias(c) for c in ("project", "raw", "regex", "error", "ord")]
+    return saved(weighed.groupBy("id").agg(*same, F.min(F.struct("rules", "place", "kind", "key")).alias("best")).select(
+        "project", "raw", "best.kind", "best.key", "regex", "error", "ord"))
+
+
+def _path_probes(path: Column, index: DataFrame) -> Column:
+    """The keys under which rules of the index may match a path, some of them null; below directories excepted."""
+    name = file_name(path)
+    probe = lambda kind, key: F.struct(F.lit(kind).alias("kind"), key.alias("key"))
+    probes = F.array(
+        probe("path", path), probe("name", name), probe("ext", name_ending(name)),
+        probe("top", F.when(F.contains(path, F.lit("/")), F.substring_index(path, "/", 1))), probe("rest", F.lit("")))
+    lengths: dict[str, list[int]] = {}
+    for row in index.where("kind in ('begin', 'end', 'part')").select("kind", F.length("key").alias("n")).distinct().collect():
+        lengths.setdefault(row["kind"], []).append(row["n"])
+
+    def some(kind: str, text: Column, first) -> Column:
+        fitting = F.filter(F.array(*map(F.lit, sorted(lengths[kind]))), lambda n: n <= F.length(text))
+        return F.transform(fitting, lambda n: probe(kind, F.substring(text, first(n), n)))
+
+    if "begin" in lengths:
+        probes = F.concat(probes, some("begin", path, lambda n: F.lit(1)))
+    if "end" in lengths:
+        probes = F.concat(probes, some("end", path, lambda n: F.length(path) - n + 1))
+    if "part" in lengths:
+        probes = F.concat(probes, F.array_distinct(F.flatten(F.transform(F.split(path, "/"), lambda c: some("part", c, lambda n: F.lit(1))))))
+    return probes
 
 
 def first_rules(entries: DataFrame, index: DataFrame) -> DataFrame:
@@ -167,7 +231,7 @@ def first_rules(entries: DataFrame, index: DataFrame) -> DataFrame:
     ``entries`` have unique ``project, rel_path``.  Rules that speak of directories are matched once
     per directory; an entry then asks its directory and looks its own keys up.
     """
-    path, name = F.col("rel_path"), file_name(F.col("rel_path"))
+    path = F.col("rel_path")
     best = F.min(F.struct("ord", "raw"))
     of_directories = index.where("kind in ('below', 'inside')")
     of_paths = index.where("kind not in ('below', 'inside')")
@@ -182,11 +246,8 @@ def first_rules(entries: DataFrame, index: DataFrame) -> DataFrame:
 
     asking = entries.select("project", "rel_path", parent_dir(path).alias("parent"))
     known = lookup_join(asking, facts, ["project", "parent"], weight="n", spread_on=["rel_path"])
-    probe = lambda kind, key: F.struct(F.lit(kind).alias("kind"), key.alias("key"))
-    probes = F.array(
-        probe("path", path), probe("name", name), probe("ext", name_ending(name)),
-        probe("top", F.when(F.contains(path, F.lit("/")), F.substring_index(path, "/", 1))), probe("rest", F.lit("")))
-    asked = asking.select("project", "rel_path", F.explode(probes).alias("p")).select("project", "rel_path", "p.*").where("key is not null")
+    asked = asking.select("project", "rel_path", F.explode(_path_probes(path, of_paths)).alias("p")).select(
+        "project", "rel_path", "p.*").where("key is not null")
     hits = measured_join(asked, of_paths, ["project", "kind", "key"], spread_on=["rel_path"], part_of=index).where(
         F.col("regex").isNull() | column_rlike(path, F.col("regex")))
     every = known.select("project", "rel_path", "of_dir").unionByName(

@@ -7,7 +7,7 @@ from helpers import values
 from packloom.functions import globs
 from packloom.functions.paths import file_name
 from packloom.operators.ignore import ignore_files, ignored_entries
-from packloom.operators.rule_index import first_rules, glob_key, pattern_index
+from packloom.operators.rule_index import first_rules, glob_key, glob_keys, pattern_index
 from packloom.operators.tree import with_directories
 
 PARTS = ["src", "ab", "a.b", "x.tar.gz", ".env", ".env.d", "a", "*", "**", "*.gz", "*.b", "a.*", ".*", "?b", "a*b.gz", "[ab]", "x.tar.*", "a?.b", "{src,a}", "*.*"]
@@ -98,3 +98,35 @@ def test_many_rules_of_all_kinds(entries):
 def test_file_name_keys(spark):
     rows = spark.createDataFrame([("a/b.c",)], "p string")
     assert rows.select(file_name(rows.p)).first()[0] == "b.c"
+
+
+def test_none_of_the_keys_of_a_pattern_misses():
+    rng = random.Random(2)
+    names = ["src", "ab", "a.b", "x.tar.gz", ".env", ".env.d", "a", "b.gz", "axb.gz", "aa", "a.", ""]
+    paths = ["/".join(rng.choice(names) for _ in range(rng.randint(1, 4))) for _ in range(300)]
+    kinds = set()
+    for _ in range(1500):
+        glob = rng.choice(["", "", "**/", "*/", "/"]) + "/".join(rng.choice([*PARTS, "***", "a/**", "a*/*"]) for _ in range(rng.randint(1, 4)))
+        try:
+            regex = re.compile(globs.whole(globs.glob_body(glob)).replace(r"\z", r"\Z"))
+        except ValueError:
+            continue
+        for path in filter(regex.search, paths):
+            begins = {("part", c[:n]) for c in path.split("/") for n in range(1, len(c) + 1)}
+            has = keys_of(path) | begins | {("begin", path[:n]) for n in range(1, len(path) + 1)} | {("end", path[-n:]) for n in range(1, len(path) + 1)}
+            assert set(glob_keys(glob)[0]) <= has, (glob, glob_keys(glob), path)
+        kinds |= {kind for kind, _ in glob_keys(glob)[0]}
+    assert kinds == {"path", "name", "ext", "top", "below", "inside", "rest", "begin", "end", "part"}
+
+
+def test_many_patterns_share_no_key(spark):
+    """As many patterns as paths: each meets about the paths it matches, not all that share its ending or first directory."""
+    raws = [raw for n in range(100, 300) for raw in (f"*/{n}*", f"*{n}.rs", f"src/*{n}.md", f"d{n}/*.txt", f"src/**/{n}.x*")] + ["*.rs", "src/*", "*o*"]
+    index = pattern_index(spark.createDataFrame([("p", i, raw) for i, raw in enumerate(raws)], "project string, ord int, raw string"))
+    per_key = {(r.kind, r.key): r["count"] for r in index.groupBy("kind", "key").count().collect()}
+    assert sum(per_key.values()) == len(raws) and max(per_key.values()) <= 2 and per_key["rest", ""] == 1
+    paths = [f"src/a/{n}.{ext}" for n in range(95, 130) for ext in ("rs", "md", "x", "xy")] + [f"{n}/c.txt" for n in range(99, 103)] + ["d101/k/f.txt", "d9/f.txt", "f"]
+    entries = spark.createDataFrame([("p", path) for path in paths], "project string, rel_path string")
+    got = {r.rel_path: r.rule for r in first_rules(entries, index).collect()}
+    regexes = [(raw, re.compile("|".join(globs.whole(body).replace(r"\z", r"\Z") for _, body in globs.compile_patterns(raw)))) for raw in raws]
+    assert got == {path: next((raw for raw, regex in regexes if regex.search(path)), None) for path in paths}
