@@ -110,6 +110,22 @@ def test_scores_equal_brute_force(spark, monkeypatch):
             assert all(math.isfinite(x) for x in got.values())
 
 
+@pytest.mark.parametrize("entries, bits", [(2_000_000, 29), (40, 29), (5, 10), (0, 10)])
+def test_successors_that_do_not_fit_count_all_the_same(spark, monkeypatch, entries, bits):
+    rng = random.Random(3)
+    words = [f"w{i}" for i in range(40)]
+    phrases = [[rng.choice(words) for _ in range(7)] for _ in range(9)]
+    texts = [" ".join(w for _ in range(rng.randint(1, 20)) for w in (rng.choice(phrases) if rng.random() < 0.6 else [rng.choice(words)])) for i in range(120)]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id bigint, text string").repartition(3)
+    monkeypatch.setattr(suffix_tree, "ENTRIES", entries)
+    monkeypatch.setattr(suffix_tree, "FILTER", bits)
+    learn = F.col("doc_id") < 100
+    got = {r["doc_id"]: r["score"] for r in records(suffix_tree.score(docs, learn, ~learn))}
+    want, nodes = brute_scores(texts, [i < 100 for i in range(120)])
+    assert nodes > 50
+    assert all(abs(got[i] - s) < 1e-6 * abs(s) for i, s in enumerate(want))
+
+
 def test_the_tree_grows_with_the_texts(spark):
     nodes = []
     for folder in ("sf0.001", "sf0.01"):
