@@ -230,6 +230,26 @@ def test_recall_of_the_query(spark):
     assert recall(table, np.array(rows["embedding"].tolist(), float), 20) >= 0.95
 
 
+def test_few_rounds_settle_the_graph(spark, monkeypatch):
+    """What a round costs is a vector sent to all that a node lists, so starting lists must leave few rounds to do."""
+    x = np.random.default_rng(13).normal(size=(4000, 64))
+    nodes = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x / np.linalg.norm(x, axis=1, keepdims=True))], "id bigint, vec array<double>")
+    rounds, ask = [], neighbours._round
+    monkeypatch.setattr(neighbours, "_round", lambda *given: rounds.append(given[-1]) or ask(*given))
+    graph = neighbours.build_graph(nodes.coalesce(4), 64).toPandas()
+    assert len(graph) == 4000 and len(rounds) <= 2
+    assert all(len(set(ids)) == neighbours.DEGREE and i not in ids for i, ids in zip(graph["id"], graph["ids"], strict=True))
+
+
+def test_a_cell_of_too_many_nodes_is_cut(spark, monkeypatch):
+    """Nodes of one direction fall in the same cells, whatever the centres; all have lists, and good ones."""
+    monkeypatch.setattr(neighbours, "LEAF", 100)
+    monkeypatch.setattr(neighbours, "CENTRES", 6)
+    rng = np.random.default_rng(14)
+    x = rng.normal(size=12) + 0.05 * rng.normal(size=(1500, 12))
+    assert recall(vectors(spark, x), x, 50) >= 0.95
+
+
 def test_few_or_no_vectors(spark):
     table = spark.createDataFrame([(0, [1.0, 2.0]), (1, [2.0, 0.5]), (2, [0.0, 0.0])], "vec_id bigint, embedding array<double>")
     assert records(neighbours.nearest(table, F.col("vec_id") == 0, 20)) == [{"query_id": 0, "rank": 1, "vec_id": 1, "score": 3.0}]
