@@ -1,5 +1,6 @@
 import math
 import random
+import time
 import zlib
 from collections import Counter
 
@@ -9,7 +10,7 @@ from pyspark.sql import functions as F
 
 from llm_helpers import records
 from packloom.llm import catalog, neighbours, suffix_tree
-from packloom.llm.common import held_out
+from packloom.llm.common import held_out, written
 
 
 def tokens(text):
@@ -167,6 +168,33 @@ def test_no_training_rows(hostile, nothing):
     assert suffix_tree.score(nothing, F.lit(True), F.lit(False)).count() == 0
 
 
+def test_pairs_are_packed_and_added(spark):
+    """Pairs whose numbers exceed 64 bits together, in far fewer bytes than three numbers; what is packed in parts adds up."""
+    rng = np.random.default_rng(15)
+    c, w = rng.choice(rng.integers(1, 300_001**3, 500), 20_000), rng.integers(0, 300_001, 20_000)
+    w[::3] = 300_000
+    counted = Counter(zip(c.tolist(), w.tolist(), strict=True))
+    got, size = Counter(), 0
+    for half in (slice(0, 9_000), slice(9_000, None)):
+        batch = suffix_tree._packed(*suffix_tree._merged(c[half], w[half]), 7)
+        size += batch.nbytes
+        for data, pairs in zip(batch["data"].to_pylist(), batch["size"].to_pylist(), strict=True):
+            for a, b, n in zip(*map(np.ndarray.tolist, suffix_tree._unpacked(data, pairs)), strict=True):
+                got[a, b] += n
+    assert got == counted and size < 8 * len(counted)
+    assert [len(x) for x in suffix_tree._merged(np.zeros(0, np.int64), np.zeros(0, np.int64))] == [0, 0, 0]
+
+
+def test_writing_leaves_no_shuffle(spark):
+    files = lambda: spark._jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager().getAllFiles().mkString(" ").count("shuffle_")
+    before = files()
+    rows = written(spark.range(5000).repartition(3, "id").groupBy((F.col("id") % 7).alias("k")).count())
+    end = time.time() + 10
+    while files() > before and time.time() < end:
+        time.sleep(0.1)
+    assert files() <= before and rows.agg(F.sum("count")).first()[0] == 5000
+
+
 def nearest_by_force(vectors, query, k):
     q = np.array(vectors[query], float)
     scored = sorted((-float(np.array(v, float) @ q), i) for i, v in vectors.items() if i != query)
