@@ -3,8 +3,8 @@
 White space never reaches the merges of this kind of vocabulary (word ends are marked inside it),
 so a text's ids are the ids of its white-space chunks one after the other, and a chunk's ids are
 the ids of its pre-tokens.  That holds where normalising cannot reach over a chunk's edge, so only
-*plain* chunks (printable ASCII and Latin-1, already composed) are taken apart here; every other
-chunk goes to the library as it is.
+*plain* chunks (printable ASCII and Latin-1, already composed) are taken apart here, and only their
+pre-tokens go straight to the merges of the library; every other chunk goes to the library as it is.
 """
 
 from __future__ import annotations
@@ -27,8 +27,6 @@ EDGES = re.compile(r"[\t\n\r ]+")
 #: Bounds of the memos a Python worker keeps: chunks, and pre-tokens that had to be merged.
 CHUNKS = 600_000
 MERGED = 600_000
-#: Unknown pre-tokens merged in one call of the library.
-CALL = 500
 
 
 def _byte_letters() -> dict[str, int]:
@@ -68,9 +66,11 @@ def splits_at_spaces(path: str) -> bool:
     with open(path, encoding="utf-8") as file:
         content = json.load(file)
     normalizers = (content.get("normalizer") or {}).get("normalizers") or []
-    split = ((content.get("pre_tokenizer") or {}).get("pretokenizers") or [{}])[0]
+    split, *then = (content.get("pre_tokenizer") or {}).get("pretokenizers") or [{}]
     return (
         [n["type"] for n in normalizers] == ["NFC", "Replace", "Lowercase"]
+        and [(t["type"], t["add_prefix_space"], t["use_regex"]) for t in then] == [("ByteLevel", False, False)]
+        and content["model"].get("dropout") is None
         and split.get("pattern") == {"Regex": PATTERN} and split.get("behavior") == "Removed" and split.get("invert") is True
         and content["model"].get("end_of_word_suffix") == WORD_END and content.get("post_processor") is None
         and not any(t["single_word"] or t["lstrip"] or t["rstrip"] or t["normalized"] for t in content["added_tokens"]))
@@ -88,9 +88,8 @@ class Pretokens:
 
         self.library, self.whole, self.value = Tokenizer.from_file(path), whole, value
         self.special = [t.content for t in self.library.get_added_tokens_decoder().values()]
-        self.ends = np.zeros(self.library.get_vocab_size() + 1, bool)
-        for token, number in self.library.get_vocab(with_added_tokens=False).items():
-            self.ends[number] = token.endswith(WORD_END)
+        self.merges = self.library.model
+        self.letters = {b: letter for letter, b in _byte_letters().items()}
         self.chunks, self.merged = {}, {}
 
     def values(self, texts: list[str | None]):
@@ -133,25 +132,20 @@ class Pretokens:
                 unknown.update([w for w, found in zip(words, ids, strict=True) if found is None])
             else:
                 known[chunk] = value(ids[0] if len(ids) == 1 else b"".join(ids))
-        self._merge(list(unknown))
+        self._merge(unknown)
         for chunk, words in parts:
             known[chunk] = value(b"".join([whole.get(w) or merged[w] for w in words]))
         if len(merged) > MERGED:
             merged.clear()
 
-    def _merge(self, words: list[str]) -> None:
-        """Merge unknown pre-tokens, many in a call; the tokens that end words tell them apart."""
-        for at in range(0, len(words), CALL):
-            some = words[at : at + CALL]
-            ids = np.asarray(self.library.encode(" ".join(some), add_special_tokens=False).ids, "<u4")
-            edges = np.flatnonzero(self.ends[ids]) + 1
-            if len(edges) == len(some):
-                flat, begin = ids.tobytes(), 0
-                for word, end in zip(some, edges.tolist(), strict=True):
-                    self.merged[word] = flat[4 * begin : 4 * end]
-                    begin = end
-            else:
-                self.merged |= {w: self._alone(w) for w in some}
+    def _merge(self, words: set[str]) -> None:
+        """Merge unknown pre-tokens by the library's model, which takes them as they leave normaliser and pre-tokeniser: in letters for bytes."""
+        tokenize, letters, ids, edges = self.merges.tokenize, self.letters, [], [0]
+        for word in words:
+            ids += [t.id for t in tokenize(word if word.isascii() else word.encode().decode("latin-1").translate(letters))]
+            edges.append(4 * len(ids))
+        flat = number_bytes(ids)
+        self.merged.update(zip(words, map(flat.__getitem__, map(slice, edges, edges[1:])), strict=True))
 
 
 def worker_pretokens(path: str, whole: dict[str, bytes], value=None) -> Pretokens:

@@ -54,6 +54,14 @@ def test_proof_and_bounded_memos(library, monkeypatch):
         assert np.frombuffer(b"".join(chunks), "<u4").tolist() == library.encode(text, add_special_tokens=False).ids
 
 
+def test_unknown_words_go_straight_to_the_merges(library):
+    encoder = Pretokens(PATH, prove_whole_tokens(PATH))
+    encoder.library = None  # no plain word passes the normaliser and the pre-tokeniser again
+    texts = ["Qwrtzx zxcvbq,, qwrtzx's", "Çaöüß ñandúqx µªº ½x²³ don't¡¿x", "zß" * 9000 + " " + "qx9" * 300]
+    for text, chunks in zip(texts, encoder.values(texts), strict=True):
+        assert np.frombuffer(b"".join(chunks), "<u4").tolist() == library.encode(text, add_special_tokens=False).ids
+
+
 @pytest.mark.parametrize("capacity", [7, 2048])
 def test_packing_keeps_every_token(hostile, library, capacity):
     found = records(pack_documents(hostile, PATH, capacity))
