@@ -5,6 +5,7 @@ import zlib
 from collections import Counter
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -185,6 +186,29 @@ def test_pairs_are_packed_and_added(spark):
     assert [len(x) for x in suffix_tree._merged(np.zeros(0, np.int64), np.zeros(0, np.int64))] == [0, 0, 0]
 
 
+def test_a_task_adds_part_by_part_in_one_worker(spark):
+    """Pairs come sorted by part, and what follows one word needs no second Python worker beside the one that adds."""
+    docs = spark.createDataFrame([(i, "a b a c d " * 5) for i in range(9)], "doc_id bigint, text string")
+    tree, _, numbered = suffix_tree.train(docs.withColumn("learn", F.lit(True)))
+    pairs = suffix_tree.count_pairs(numbered, tree, 1, None)
+    plan = pairs._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("MapInArrow") == 2 and "Sort [part" in plan
+    found = {(r["c"], r["w"]): (r["n"], r["total"], r["whole"]) for r in records(pairs)}
+    a, b = tree.numbers[b"a"], tree.numbers[b"b"]
+    assert found[a, b] == (45, 90, 46 / (9 * 26 + 6)) and found[b, a][:2] == (45, 45)
+
+
+def test_words_of_slices():
+    texts = ["x", " A\tb\x0b\x0cÉ ", None, "", "\n", "z\x1cz \x85 rare rare ", "b"]
+    words = [(t or "").encode().lower().split() for t in texts]
+    tree = suffix_tree.Tree({b"a": 1, b"b": 2}, np.array([1, 1, 1]), 3, 3)
+    for begin in range(len(texts)):
+        tokens, others, times = tree.number(pa.array(texts).slice(begin))
+        for t, o, n, w in zip(tokens.to_pylist(), others.to_pylist(), times.to_pylist(), words[begin:], strict=True):
+            assert np.frombuffer(t, np.int32).tolist() == [*[tree.numbers.get(x, -1) for x in w], 0]
+            assert dict(zip(o, n, strict=True)) == Counter(x for x in w if x not in tree.numbers)
+
+
 def test_writing_leaves_no_shuffle(spark):
     files = lambda: spark._jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager().getAllFiles().mkString(" ").count("shuffle_")
     before = files()
