@@ -1,4 +1,5 @@
 import math
+import os
 import random
 import time
 import zlib
@@ -12,6 +13,7 @@ from pyspark.sql import functions as F
 from llm_helpers import records
 from packloom.llm import catalog, neighbours, suffix_tree
 from packloom.llm.common import held_out, written
+from packloom.operators.saving import checkpoint_dir
 
 
 def tokens(text):
@@ -198,6 +200,47 @@ def test_a_task_adds_part_by_part_in_one_worker(spark):
     assert found[a, b] == (45, 90, 46 / (9 * 26 + 6)) and found[b, a][:2] == (45, 45)
 
 
+def test_the_driver_keeps_no_level_and_no_table_of_the_training(spark):
+    """Levels and filter are handed on as they are found, and of the tables written in between only three stay."""
+    folder = checkpoint_dir(spark).removeprefix("file:")
+    before, held = set(os.listdir(folder)), []
+    docs = spark.createDataFrame([(i, "a b a c a d e f " * 9 + f"g{i % 3} h i " * 5) for i in range(30)], "doc_id bigint, text string")
+    entries, suffix_tree.ENTRIES = suffix_tree.ENTRIES, 4
+    try:
+        tree, others, *_ = suffix_tree._train(docs.withColumn("learn", F.lit(True)), "learn", lambda part: held.append(part) or len(held))
+    finally:
+        suffix_tree.ENTRIES = entries
+    assert tree.levels == [1, 2, 3] and tree.others == 4 and not tree.numbers
+    assert all(isinstance(level, suffix_tree.Level) for level in held[:3])
+    assert others.count() > 4
+    assert len([f for f in set(os.listdir(folder)) - before if f.startswith("llm-")]) == 3
+
+
+def test_answers_are_sums_by_row(spark, monkeypatch):
+    """Whatever the pieces are, every question has the table's value or none; false ones, repeated ones and nodes count as they should."""
+    monkeypatch.setattr(suffix_tree, "ASKED", 300)
+    rng, width = np.random.default_rng(16), 300_001
+    keys = list({(int(c), int(w)) for c, w in zip(rng.choice(rng.integers(1, width**3, 40), 500), rng.integers(-1, width, 500), strict=True)})
+    table = {k: float(v) for k, v in zip(keys, rng.normal(size=len(keys)), strict=True)}
+    wrong = [(c + 1, -1) for c, _ in keys[:50]] + [(c, width - 1) for c, _ in keys[50:99]]
+    asks = [((keys + wrong)[i], int(r)) for i, r in zip(rng.integers(0, len(keys) + len(wrong), 4000), rng.integers(0, 90, 4000) + (7 << 33), strict=True)]
+    want = Counter()
+    for k, row in asks:
+        if k in table:
+            want[row] += table[k]
+    packed = []
+    for part in (asks[:1500], asks[1500:]):
+        c, w, row = (np.array(x, np.int64) for x in zip(*((*k, row) for k, row in part), strict=True))
+        packed += suffix_tree._packed_held([(c, w, row)], suffix_tree.SHARES * 3).to_pylist()
+    asked = spark.createDataFrame([(r["part"], r["size"], r["data"]) for r in packed], "part int, size bigint, data binary")
+    others = spark.createDataFrame([(*k, v) for k, v in table.items()], "c bigint, w bigint, value double")
+    found = records(suffix_tree.gained(asked, others, width, 3))
+    got = {r["row"]: r["gained"] for r in found}
+    assert len(found) == len(got) and got.keys() == want.keys()
+    assert all(abs(got[r] - v) < 1e-9 for r, v in want.items())
+    assert records(suffix_tree.gained(asked.limit(0), others, width, 3)) == []
+
+
 def test_words_of_slices():
     texts = ["x", " A\tb\x0b\x0cÉ ", None, "", "\n", "z\x1cz \x85 rare rare ", "b"]
     words = [(t or "").encode().lower().split() for t in texts]
