@@ -241,6 +241,24 @@ def test_answers_are_sums_by_row(spark, monkeypatch):
     assert records(suffix_tree.gained(asked.limit(0), others, width, 3)) == []
 
 
+def test_lookups_and_merges_by_force():
+    """Sieves let no known number slip; pairs are merged the same with and without counts, in 64 bits or beyond."""
+    rng = np.random.default_rng(17)
+    known = np.unique(rng.integers(0, 2**62, 3000))
+    sought = rng.permutation(np.concatenate([known, known + 1, rng.integers(0, 2**62, 9000)]))
+    places = {int(k): i for i, k in enumerate(known)}
+    want = [places.get(int(x), -1) for x in sought]
+    for found in (suffix_tree._find(known, sought), suffix_tree._find_few(known, suffix_tree._sieve(known), sought)):
+        assert found.tolist() == want
+    none = np.zeros(0, np.int64)
+    assert suffix_tree._find_few(none, suffix_tree._sieve(none), sought).max() == -1
+    for most in (50, 300_001**3):
+        c, w = rng.choice(rng.integers(1, most, 40), 5000), rng.integers(0, 300_001, 30)[rng.integers(0, 30, 5000)]
+        counted = sorted((*k, n) for k, n in Counter(zip(c.tolist(), w.tolist(), strict=True)).items())
+        for n in (None, np.ones(5000, np.int64)):
+            assert list(zip(*map(np.ndarray.tolist, suffix_tree._merged(c, w, n)), strict=True)) == counted
+
+
 def test_words_of_slices():
     texts = ["x", " A\tb\x0b\x0cÉ ", None, "", "\n", "z\x1cz \x85 rare rare ", "b"]
     words = [(t or "").encode().lower().split() for t in texts]
